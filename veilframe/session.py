@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 100_000
@@ -66,25 +66,33 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
             .join(salted, [*on, "_salt"], how).drop("_salt"))
 
 
-def join_hot_split(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join where ``right`` is unique on ``on`` and ``weight`` counts its left matches.
+def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join on the text column ``key``, of which ``right`` has each value once.
 
-    Keys with more than 1/HOT_KEY_SHARE of all matches number at most HOT_KEY_SHARE, so
-    they are broadcast; every other key is small enough for a plain shuffle join.
-    ``right`` should be materialised, it is read three times.
+    ``weight`` counts the left rows of a key. Keys with more than 1/HOT_KEY_SHARE of all
+    rows number at most HOT_KEY_SHARE, so they are broadcast. Their rows then carry a
+    spread key that matches nothing in the shuffle join of all other keys, and no task
+    gets more than its share. ``left`` is computed once; ``right`` should be materialised.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
     cut = max(total // HOT_KEY_SHARE, 1)
-    hot = right.filter(F.col(weight) > cut)
-    cold = right.filter(F.col(weight) <= cut)
-    keys = hot.select(*on)
-    return (left.join(F.broadcast(hot), on)
-            .unionByName(left.join(F.broadcast(keys), on, "left_anti").join(cold, on)))
+    values = [c for c in right.columns if c not in (key, weight)]
 
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.select(F.col(key).alias(f"_{tag}"),
+                           F.struct(*values).alias(f"_{tag}_values"))
 
-def _is_map(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() == "map"
+    hot = side(right.filter(F.col(weight) > cut), "hot")
+    cold = side(right.filter(F.col(weight) <= cut), "cold")
+    spread_key = F.concat(F.lit("#"), F.xxhash64(*left.columns).cast("string"))
+    joined = (left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+              .withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key))
+                          .otherwise(spread_key))
+              .join(cold, F.col("_key") == F.col("_cold"), "left")
+              .filter("_hot IS NOT NULL OR _cold IS NOT NULL"))
+    found = F.coalesce("_hot_values", "_cold_values")
+    return joined.select(*left.columns, *[found[v].alias(v) for v in values])
 
 
-def default_if_none(value: Column | None, default: Column) -> Column:
-    return default if value is None else value
+def _is_map(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() == "map"
