@@ -16,64 +16,40 @@ SPAN_TYPE = "struct<start:int,end:int,entity:string,score:double,priority:int,ru
 NO_SPANS = f"cast(array() AS array<{SPAN_TYPE}>)"
 
 
+def match_starts(found: str, gaps: str) -> str:
+    """Start offsets of matches, from the lengths of the matches and the gaps around them."""
+    g, m, e, n = var("g"), var("m"), var("e"), var("n")
+    widths = f"zip_with({gaps}, {found}, ({g}, {m}) -> length({g}) + coalesce(length({m}), 0))"
+    return (f"zip_with(slice({running_sum(widths)}, 1, size({found})), {found}, "
+            f"({e}, {n}) -> {e} - length({n}))")
+
+
 def matches(text: str, pattern: str) -> str:
     """``array<struct<start int, m string>>`` of all matches of ``pattern``.
 
-    Offsets come from the lengths of the matches and of the gaps between them. The gaps
-    are only computed for texts with a match.
+    The gaps are only computed for texts with a match.
     """
-    g, m, i = var("g"), var("m"), var("i")
+    s, m = var("s"), var("m")
     rx = lit(pattern)
-
-    def located(found: str) -> str:
-        widths = (f"zip_with(split({text}, {rx}, -1), {found}, ({g}, {m}) -> "
-                  f"length({g}) + coalesce(length({m}), 0))")
-        return let(running_sum(widths), lambda ends: (
-            f"transform({found}, ({m}, {i}) -> "
-            f"named_struct('start', get({ends}, {i}) - length({m}), 'm', {m}))"))
-
     return let(f"regexp_extract_all({text}, {rx}, 0)", lambda found: (
         f"IF(size({found}) = 0, cast(array() AS array<struct<start:int,m:string>>), "
-        f"{located(found)})"))
+        f"zip_with({match_starts(found, f'split({text}, {rx}, -1)')}, {found}, "
+        f"({s}, {m}) -> named_struct('start', {s}, 'm', {m})))"))
 
 
-def has_context(text: str, start: str, words: Iterable[str]) -> str:
-    """True when one of ``words`` occurs in the last five tokens before ``start``."""
-    t, w = var("t"), var("w")
+def context_before(text: str, start: str) -> str:
+    """The last five tokens before ``start`` in lower case, joined by spaces."""
+    t = var("t")
     n = R.CONTEXT_WINDOW
     tokens = f"filter(split(lower(left({text}, {start})), r'\\s+'), {t} -> {t} != '')"
-    listed = ", ".join(lit(x) for x in words)
-    window = let(tokens, lambda a: (
+    return let(tokens, lambda a: (
         f"array_join(slice({a}, greatest(size({a}) - {n - 1}, 1), {n}), ' ')"))
-    return let(window, lambda s: f"exists(array({listed}), {w} -> contains({s}, {w}))")
 
 
 def boosted(score: str) -> str:
     return f"least(greatest({score} + {R.CONTEXT_BOOST}D, {R.CONTEXT_FLOOR}D), 1.0D)"
 
 
-def rule_spans(text: str, rule: R.Rule, threshold: float | str) -> str:
-    """Scored spans of one rule, at or above the threshold."""
-    x, y, z, w = var("x"), var("y"), var("z"), var("w")
-    base = f"{rule.score}D"
-    score = base if rule.rescore is None else rule.rescore.replace("{m}", f"{x}.m").replace("{s}", base)
-    start = f"{x}.start"
-    if rule.lead is not None:
-        start = f"{start} + length(regexp_extract({x}.m, {lit(rule.lead)}, 0))"
-    found = (f"transform({matches(text, rule.pattern)}, {x} -> named_struct('start', {start}, "
-             f"'end', {x}.start + length({x}.m), 'score', {score}))")
-    if rule.rescore is not None:
-        found = f"filter({found}, {y} -> {y}.score IS NOT NULL)"
-    final = f"{z}.score"
-    if rule.context:
-        final = (f"IF({has_context(text, f'{z}.start', rule.context)}, "
-                 f"{boosted(f'{z}.score')}, {z}.score)")
-    spans = (f"transform({found}, {z} -> named_struct('start', {z}.start, 'end', {z}.end, "
-             f"'entity', {lit(rule.entity)}, 'score', round({final}, 2), "
-             f"'priority', {rule.priority}, 'rule', {lit(rule.name)}))")
-    return f"filter({spans}, {w} -> {w}.score >= {threshold})"
-
-
 def may_match(text: str, rules: Iterable[R.Rule]) -> str:
     """Cheap necessary condition for any hit, in one scan; keeps every text that has one."""
     rules = tuple(rules)
@@ -89,17 +65,70 @@ def may_match(text: str, rules: Iterable[R.Rule]) -> str:
     return f"{text} RLIKE {lit('|'.join(tests))}"
 
 
+def _rule_matches(text: str, rule: R.Rule, number: int) -> str:
+    """Struct of one rule's matches and gaps, or NULL when there is none."""
+    rx = lit(rule.pattern)
+    row = let(f"regexp_extract_all({text}, {rx}, 0)", lambda m: (
+        f"IF(size({m}) > 0, named_struct('rule', {number}, 'm', {m}, "
+        f"'g', split({text}, {rx}, -1)), NULL)"))
+    if rule.needs is None:
+        return row
+    return f"IF({text} RLIKE {lit(rule.flags + rule.needs)}, {row}, NULL)"
+
+
+def _per_rule(rules: tuple[R.Rule, ...], number: str, value, default: str) -> str:
+    """CASE over the rule number; rules with the same value share a branch."""
+    branches: dict[str, list[str]] = {}
+    for i, rule in enumerate(rules):
+        branches.setdefault(value(rule), []).append(str(i))
+    branches.pop(default, None)
+    if not branches:
+        return default
+    whens = " ".join(f"WHEN {number} IN ({', '.join(ids)}) THEN {v}"
+                     for v, ids in branches.items())
+    return f"CASE {whens} ELSE {default} END"
+
+
 def candidate_spans(text: str, rules: Iterable[R.Rule],
                     threshold: float | str = R.DEFAULT_THRESHOLD) -> str:
-    """Spans of all rules in one text, unresolved. Rules are guarded by their cheap test."""
-    parts = [NO_SPANS]
-    for rule in rules:
-        found = rule_spans(text, rule, threshold)
-        if rule.needs is not None:
-            test = f"{text} RLIKE {lit(rule.flags + rule.needs)}"
-            found = f"IF({test}, {found}, {NO_SPANS})"
-        parts.append(found)
-    return f"concat({', '.join(parts)})"
+    """Scored spans of all rules in one text, at or above the threshold, unresolved.
+
+    Each rule only adds its guarded pattern; offsets, scores and context are worked out by
+    one expression for the rules that matched.
+    """
+    rules = tuple(rules)
+    if not rules:
+        return NO_SPANS
+    a, b, c, d, s, m, w, x, y, z = (var(n) for n in "abcdsmwxyz")
+    matched = (f"filter(array({', '.join(_rule_matches(text, r, i) for i, r in enumerate(rules))})"
+               f", {a} -> {a} IS NOT NULL)")
+    placed = (f"flatten(transform({matched}, {b} -> zip_with({match_starts(f'{b}.m', f'{b}.g')}, "
+              f"{b}.m, ({s}, {m}) -> named_struct('rule', {b}.rule, 'start', {s}, 'm', {m}))))")
+    base = _per_rule(rules, f"{c}.rule", lambda r: f"{r.score}D", "0D")
+    score = _per_rule(rules, f"{d}.rule", lambda r: (
+        f"{d}.base" if r.rescore is None
+        else r.rescore.replace("{m}", f"{d}.m").replace("{s}", f"{d}.base")), f"{d}.base")
+    lead = _per_rule(rules, f"{d}.rule", lambda r: (
+        "0" if r.lead is None else f"length(regexp_extract({d}.m, {lit(r.lead)}, 0))"), "0")
+    based = (f"transform({placed}, {c} -> named_struct('rule', {c}.rule, 'start', {c}.start, "
+             f"'m', {c}.m, 'base', {base}))")
+    scored = (f"filter(transform({based}, {d} -> named_struct('rule', {d}.rule, 'start', "
+              f"{d}.start + {lead}, 'end', {d}.start + length({d}.m), 'score', {score})), "
+              f"{x} -> {x}.score IS NOT NULL)")
+    words = _per_rule(rules, f"{y}.rule", lambda r: (
+        f"array({', '.join(lit(v) for v in r.context)})" if r.context else "NULL"), "NULL")
+    final = f"{y}.score"
+    if any(r.context for r in rules):
+        near = let(context_before(text, f"{y}.start"), lambda before: (
+            f"exists({words}, {w} -> contains({before}, {w}))"))
+        final = f"IF({words} IS NOT NULL AND {near}, {boosted(final)}, {final})"
+    entity = _per_rule(rules, f"{y}.rule", lambda r: lit(r.entity), "''")
+    priority = _per_rule(rules, f"{y}.rule", lambda r: str(r.priority), "0")
+    name = _per_rule(rules, f"{y}.rule", lambda r: lit(r.name), "''")
+    spans = (f"transform({scored}, {y} -> named_struct('start', {y}.start, 'end', {y}.end, "
+             f"'entity', {entity}, 'score', round({final}, 2), 'priority', {priority}, "
+             f"'rule', {name}))")
+    return f"filter({spans}, {z} -> {z}.score >= {threshold})"
 
 
 def dedupe(spans: str) -> str:

@@ -82,10 +82,10 @@ def rule_rows(rule: R.Rule, lines: str = "lines") -> str:
               f"chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM {lines}) AS r0")
     placed = (f"SELECT *, split_part(piece, chr(2), 1) AS m, coalesce(sum(length(replace(piece, "
               f"chr(2), ''))) OVER (PARTITION BY doc_id, chunk_ord ORDER BY i ROWS BETWEEN "
-              f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM ({pieces}) AS r1")
+              f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ({pieces}) AS r1")
     lead = f"length(regexp_extract(m, {q(rule.lead)}))" if rule.lead else "0"
-    scored = (f"SELECT doc_id, chunk_ord, text, CAST(at + {lead} AS INTEGER) AS s, "
-              f"CAST(at + length(m) AS INTEGER) AS e, {rescored(rule)} AS sc "
+    scored = (f"SELECT doc_id, chunk_ord, text, CAST(off + {lead} AS INTEGER) AS s, "
+              f"CAST(off + length(m) AS INTEGER) AS e, {rescored(rule)} AS sc "
               f"FROM ({placed}) AS r2 WHERE i > 1")
     score = "sc"
     if rule.context:

@@ -11,7 +11,6 @@ import email
 import email.policy
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +22,7 @@ from veilframe.functions.arrays import running_sum, var
 
 HEADERS = ("From", "To", "Cc", "Subject")
 BODY_TYPES = ("text/plain", "text/html")
-MAIL_TYPE = T.StructType([
+MAIL_FIELDS = [
     T.StructField("attachments", T.IntegerType()),
     T.StructField("chunks", T.ArrayType(T.StructType([
         T.StructField("ord", T.IntegerType()),
@@ -31,7 +30,7 @@ MAIL_TYPE = T.StructType([
         T.StructField("content_type", T.StringType()),
         T.StructField("text", T.StringType()),
     ]))),
-])
+]
 
 
 def _bodies(message):
@@ -64,11 +63,15 @@ def _parse(content: bytes) -> dict:
             "chunks": [{"ord": i, **c} for i, c in enumerate(chunks)]}
 
 
-@F.pandas_udf(MAIL_TYPE)
-def parse_mail(content: pd.Series) -> pd.DataFrame:
-    rows = [_parse(c) for c in content]
-    return pd.DataFrame({"attachments": [r["attachments"] for r in rows],
-                         "chunks": [r["chunks"] for r in rows]})
+def parse_mails(mails: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``attachments`` and ``chunks`` to a table of messages."""
+    def run(batches):
+        for pdf in batches:
+            parsed = [_parse(c) for c in pdf[content]]
+            yield pdf.assign(attachments=[p["attachments"] for p in parsed],
+                             chunks=[p["chunks"] for p in parsed])
+
+    return mails.mapInPandas(run, T.StructType(mails.schema.fields + MAIL_FIELDS))
 
 
 def _write(content: bytes, chunks) -> bytes:
@@ -84,18 +87,24 @@ def _write(content: bytes, chunks) -> bytes:
     return message.as_bytes(policy=email.policy.default)
 
 
-@F.pandas_udf(T.BinaryType())
-def write_mail(content: pd.Series, chunks: pd.Series) -> pd.Series:
-    return pd.Series([_write(c, parts) for c, parts in zip(content, chunks)])
+def write_mails(mails: DataFrame, content: str, chunks: str, target: str) -> DataFrame:
+    """Add the message of ``content`` with its parts replaced by ``chunks``."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{target: [_write(c, parts) for c, parts in
+                                         zip(pdf[content], pdf[chunks])]})
+
+    fields = [*mails.schema.fields, T.StructField(target, T.BinaryType())]
+    return mails.mapInPandas(run, T.StructType(fields)).drop(chunks)
 
 
 def mail_chunks(mails: DataFrame, doc: str, content: str = "content") -> DataFrame:
     """One row per header or body chunk with offsets; offsets run over all chunk texts."""
     c = var("c")
-    parsed = mails.select(doc, parse_mail(content).alias("mail"))
-    ends = running_sum(f"transform(mail.chunks, {c} -> length({c}.text))")
-    return (parsed.select(doc, F.col("mail.attachments").alias("attachment_count"),
-                          F.expr(ends).alias("ends"), F.col("mail.chunks").alias("chunks"))
+    parsed = parse_mails(mails.select(doc, content), content)
+    ends = running_sum(f"transform(chunks, {c} -> length({c}.text))")
+    return (parsed.select(doc, F.col("attachments").alias("attachment_count"),
+                          F.expr(ends).alias("ends"), "chunks")
             .selectExpr(doc, "attachment_count", "ends", "inline(chunks)")
             .select(doc, F.col("ord").alias("chunk_ord"), "part", "content_type",
                     F.expr("get(ends, ord) - length(text)").alias("char_offset_start"),
@@ -106,16 +115,21 @@ def mail_chunks(mails: DataFrame, doc: str, content: str = "content") -> DataFra
 def scrub_mails(mails: DataFrame, content: str = "content", *,
                 rules: Iterable[R.Rule] | None = None,
                 threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
-    """Redact headers and all text parts; adds ``scrubbed_content`` and ``hits``."""
+    """Redact headers and all text parts.
+
+    Adds ``attachments``, ``entity_counts`` as JSON text and ``scrubbed_content``.
+    """
     rules = R.default_rules() if rules is None else tuple(rules)
-    c, p, q = var("c"), var("p"), var("q")
-    parsed = mails.withColumn("_chunks", parse_mail(content)["chunks"])
+    c, p, x = var("c"), var("p"), var("x")
+    keep = mails.columns
+    parsed = parse_mails(mails, content).withColumnRenamed("chunks", "_chunks")
     plain = f"transform(_chunks, {c} -> named_struct('ord', {c}.ord, 'text', {c}.text))"
     found = parsed.withColumn("hits", F.expr(L.hits_of_chunks(plain, rules, threshold)))
     found = found.withColumn("_parts", F.expr(L.labelled(L.numbered("hits"))))
-    own = f"filter(_parts, {q} -> {q}.ord = {p}.ord)"
+    own = f"filter(_parts, {x} -> {x}.ord = {p}.ord)"
     scrubbed = (f"transform(_chunks, {p} -> named_struct('ord', {p}.ord, 'part', {p}.part, "
                 f"'content_type', {p}.content_type, 'text', {S.splice(f'{p}.text', own)}))")
-    return (found.withColumn("_chunks", F.expr(scrubbed))
-            .withColumn("scrubbed_content", write_mail(content, "_chunks"))
-            .drop("_chunks", "_parts"))
+    counts = f"to_json(map_from_entries({L.entity_counts('hits')}))"
+    ready = found.select(*keep, "attachments", F.expr(counts).alias("entity_counts"),
+                         F.expr(scrubbed).alias("_chunks"))
+    return write_mails(ready, content, "_chunks", "scrubbed_content")

@@ -37,7 +37,7 @@ def scrub_stream(source: DataFrame, doc: str, text: str, target: str, checkpoint
 def windowed_counts(events: DataFrame, time: str, kind: str, window: str = "1 hour",
                     delay: str = "1 hour") -> DataFrame:
     """Counts per tumbling window and kind; later rows than ``delay`` are dropped."""
-    return (events.withWatermark(time, delay)
+    return (events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
             .groupBy(F.window(time, window).alias("w"), kind)
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), kind, "n"))
