@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import let, lit, var
-from veilframe.session import join_checked
+from veilframe.session import BROADCAST_ROW_LIMIT, join_checked
 
 ATOM = r"(?U)\w+|[^\w\s]"
 SCORE = 0.85
@@ -63,10 +63,10 @@ def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case:
         f"{text} RLIKE r'(?U)\\s\\s|[^\\S ]'", lambda irregular: build(atoms, irregular)))
 
 
-def entry_widths(entries: DataFrame, phrase: str) -> list[int]:
-    """Distinct atom counts of the entries, at most a handful of numbers."""
-    rows = entries.select(F.expr(atom_count(phrase)).alias("n")).distinct().orderBy("n").collect()
-    return [r["n"] for r in rows if r["n"]]
+def entry_widths(entries: DataFrame, phrase: str) -> tuple[list[int], int]:
+    """Distinct atom counts of the entries, at most a handful, and the number of entries."""
+    rows = entries.groupBy(F.expr(atom_count(phrase)).alias("n")).count().collect()
+    return sorted(r["n"] for r in rows if r["n"]), sum(r["count"] for r in rows)
 
 
 def first_atoms(entries: DataFrame, phrase: str, ignore_case: bool,
@@ -79,20 +79,22 @@ def first_atoms(entries: DataFrame, phrase: str, ignore_case: bool,
 
 
 def find_entries(chunks: DataFrame, keys: list[str], text: str, entries: DataFrame,
-                 phrase: str, *, ignore_case: bool = True) -> DataFrame:
+                 phrase: str, *, ignore_case: bool = True,
+                 broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Rows ``(*keys, start, end, …entry columns)`` for every occurrence of an entry.
 
     Only keys and phrases travel to the join, not the texts. The entries are broadcast if
     counted small; if not, both sides are shuffled with salted phrases, because frequent
     words are hot keys. Few distinct first atoms prune the n-grams before the join.
     """
-    widths = entry_widths(entries, phrase) or [1]
+    widths, size = entry_widths(entries, phrase)
     firsts = first_atoms(entries, phrase, ignore_case)
     grams = chunks.select(*keys, F.expr(
-        f"inline({ngrams(text, widths, firsts, ignore_case)})"))
+        f"inline({ngrams(text, widths or [1], firsts, ignore_case)})"))
     table = (entries.withColumn("phrase", F.expr(folded(phrase, ignore_case)))
              .dropDuplicates(["phrase"]))
-    return join_checked(grams, table, ["phrase"], "inner").drop("phrase")
+    return join_checked(grams, table, ["phrase"], "inner",
+                        small=size <= broadcast_rows).drop("phrase")
 
 
 def gazetteer_spans(chunks: DataFrame, keys: list[str], text: str, entries: DataFrame,

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import checksums as C
 from veilframe.functions import layout as L
+from veilframe.functions import rules as R
 from veilframe.functions import spans as S
+from veilframe.functions import text as X
 from veilframe.functions.arrays import var
-from veilframe.operators.detect import chunk_span_rows, span_rows
+from veilframe.operators.detect import (chunk_span_rows, pick_rules, span_rows, with_hits,
+                                        with_spans)
 from veilframe.operators.gazetteer import find_entries
-from veilframe.session import join_hot_split
+from veilframe.session import join_hot_split, union_parts
 
 _PART = "struct(chunk_ord AS ord, start, end, fake_value AS value)"
 
@@ -27,28 +32,44 @@ def mapped_spans(spans: DataFrame, mapping: DataFrame) -> DataFrame:
     return join_hot_split(hashed, table, "original_hash", "occurrences")
 
 
-def pseudonymise_documents(found: DataFrame, doc: str, text: str,
-                           mapping: DataFrame) -> DataFrame:
-    """Add ``parts`` and ``scrubbed_text`` to a table with ``hits``.
+def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataFrame, *,
+                           rules: Iterable[R.Rule] | None = None,
+                           threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """Add ``scrubbed_text`` to a table with one document per row.
 
-    Only spans are shuffled to the mapping and back; a group is one document's spans.
+    Only spans are shuffled to the mapping; a group is one document's spans. Texts without
+    the signs of any rule are not shuffled at all.
     """
+    chosen = pick_rules(None, rules)
+    likely = S.may_match(text, chosen)
+    found = with_hits(texts.filter(likely), text, rules=chosen, threshold=threshold)
     parts = (mapped_spans(span_rows(found, doc), mapping)
-             .groupBy(doc).agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("parts")))
-    joined = found.drop("hits").join(parts, doc, "left").withColumn(
-        "parts", F.expr(f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
-    return joined.withColumn("scrubbed_text", F.expr(L.rebuilt(text, "parts")))
-
-
-def pseudonymise_chunks(found: DataFrame, doc: str, order: str, text: str,
-                        mapping: DataFrame) -> DataFrame:
-    """Add ``parts`` and ``scrubbed_text`` to a chunk table with ``spans``."""
+             .groupBy(doc).agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
+    changed = (texts.filter(likely).join(parts, doc, "left")
+               .withColumn("_parts", F.expr(
+                   f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
+               .withColumn("scrubbed_text", F.expr(L.rebuilt(text, "_parts"))).drop("_parts"))
+    rest = (texts.filter(f"NOT ({likely})")
+            .withColumn("scrubbed_text", F.expr(X.normalised(text))))
+    return union_parts(changed, rest)
+
+
+def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
+                        mapping: DataFrame, *, rules: Iterable[R.Rule] | None = None,
+                        threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """``pseudonymise_documents`` for a table in which each row is one chunk."""
+    chosen = pick_rules(None, rules)
+    likely = S.may_match(text, chosen)
+    found = with_spans(chunks.filter(likely), text, rules=chosen, threshold=threshold)
     rows = chunk_span_rows(found, doc, order, text=text).withColumn("chunk_ord", F.lit(0))
     parts = (mapped_spans(rows, mapping).groupBy(doc, order)
-             .agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("parts")))
-    joined = found.join(parts, [doc, order], "left").withColumn(
-        "parts", F.expr(f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
-    return joined.withColumn("scrubbed_text", F.expr(S.splice(text, "parts")))
+             .agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
+    changed = (chunks.filter(likely).join(parts, [doc, order], "left")
+               .withColumn("_parts", F.expr(
+                   f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
+               .withColumn("scrubbed_text", F.expr(S.splice(text, "_parts"))).drop("_parts"))
+    rest = chunks.filter(f"NOT ({likely})").withColumn("scrubbed_text", F.col(text))
+    return union_parts(changed, rest)
 
 
 def _fake_parts(chunks: DataFrame, keys: list[str], text: str, pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import var
 from veilframe.operators.detect import pick_rules, with_spans
+from veilframe.session import union_parts
 
 BLOCK = 4096
 
@@ -78,4 +79,4 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
             .withColumn("spans", F.expr(S.NO_SPANS))
             .withColumn("parts", F.expr(f"cast(array() AS {L.PARTS_TYPE})"))
             .withColumn("scrubbed_text", F.col(text)))
-    return changed.unionByName(rest)
+    return union_parts(changed, rest)

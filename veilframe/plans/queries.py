@@ -654,9 +654,10 @@ def crypto_roundtrip(spark, sf):
 
 
 def pseudonymised(spark, sf) -> tuple[DataFrame, DataFrame]:
-    found = docs(spark, sf, entities=MAPPED, threshold=LOW)
-    mapping = M.build_mapping(D.span_rows(found, "doc_id"), SESSION, KEY)
-    return P.pseudonymise_documents(found, "doc_id", "text", mapping), mapping
+    texts = Q.documents(spark, sf).select("doc_id", "text")
+    mapping = batch_mapping(spark, sf)
+    return P.pseudonymise_documents(texts, "doc_id", "text", mapping, rules=MAPPED_RULES,
+                                    threshold=LOW), mapping
 
 
 WITH_FAKES = (", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s JOIN mapping AS m ON "
@@ -675,7 +676,7 @@ def pseudo_consistent(spark, sf):
 def pseudo_cross_doc(spark, sf):
     """One session over all documents: each fake stands for one original everywhere."""
     spans = doc_spans(spark, sf, entities=MAPPED, threshold=LOW)
-    mapping = M.build_mapping(spans, SESSION, KEY)
+    mapping = batch_mapping(spark, sf)
     return (P.mapped_spans(spans, mapping).groupBy("fake_value")
             .agg(F.countDistinct("doc_id").alias("docs"),
                  F.count(F.lit(1)).alias("occurrences"),

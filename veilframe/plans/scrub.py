@@ -81,8 +81,9 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
                  .select("original_hash", "fake_value").join(counted, "original_hash"))
         session = fresh.select("original_hash", "fake_value", "occurrences").unionByName(
             known.select("original_hash", "fake_value", "occurrences"))
+    how = {"rules": chosen, "threshold": threshold}
     if order is None:
-        out = pseudonymise_documents(found, doc, text, session)
+        out = pseudonymise_documents(df, doc, text, session, **how)
     else:
-        out = pseudonymise_chunks(found, doc, order, text, session).drop("spans")
-    return Scrubbed(out.drop("parts"), fresh, session_id)
+        out = pseudonymise_chunks(df, doc, order, text, session, **how)
+    return Scrubbed(out, fresh, session_id)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 100_000
 HOT_KEY_SHARE = 2_000
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,37 +34,48 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` only when the scan yields fewer tasks than there are cores.
+    """Repartition by ``keys`` only when the input is too small to give every core a task.
 
-    A small single-file input would otherwise keep the regex work on one core. Large
-    inputs already have enough splits and keep their narrow plan.
+    A small single-file input would otherwise keep the regex work on one core. The size is
+    the optimizer's estimate, so nothing runs; large inputs keep their narrow plan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * SPLIT_BYTES:
         return df
     return df.repartition(cores, *keys)
 
 
+def union_parts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Union of two differently processed parts of one table.
+
+    Spark 4.1 may report the common hash partitioning of both sides for the union and then
+    fail when adaptive execution has given them different partition counts, so that
+    shortcut is switched off.
+    """
+    left.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return left.unionByName(right)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows (reads at most ``limit + 1`` of them)."""
     return df.limit(limit + 1).count() <= limit
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                 salts: int = 16, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                 salts: int = 16, small: bool | None = None) -> DataFrame:
     """Join ``left`` to the keyed table ``right`` without a hot key ending in one task.
 
-    ``right`` is broadcast when counted to at most ``limit`` rows. Otherwise its rows are
-    replicated over ``salts`` and the left rows spread over them, so one key that holds a
-    third of the left side is shared by ``salts`` tasks.
+    ``right`` is broadcast when it is counted to be small (``small`` gives a count made
+    before). Otherwise its rows are replicated over ``salts`` and the left rows spread over
+    them, so one key that holds a third of the left side is shared by ``salts`` tasks.
     """
-    if small_enough(right, limit):
+    if small_enough(right) if small is None else small:
         return left.join(F.broadcast(right), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if not _is_map(left, c)]),
-                  F.lit(salts))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (left.withColumn("_salt", salt.cast("int"))
-            .join(salted, [*on, "_salt"], how).drop("_salt"))
+    return (left.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt"))
 
 
 def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
@@ -92,7 +104,3 @@ def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) ->
               .filter("_hot IS NOT NULL OR _cold IS NOT NULL"))
     found = F.coalesce("_hot_values", "_cold_values")
     return joined.select(*left.columns, *[found[v].alias(v) for v in values])
-
-
-def _is_map(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() == "map"

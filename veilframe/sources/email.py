@@ -10,6 +10,7 @@ from __future__ import annotations
 import email
 import email.policy
 from collections.abc import Iterable
+from email.headerregistry import HeaderRegistry, UnstructuredHeader
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ MAIL_FIELDS = [
 ]
 
 
+def _policy():
+    """Address headers as plain text: a label is no address and would be dropped."""
+    registry = HeaderRegistry()
+    for name in HEADERS:
+        registry.map_to_type(name.lower(), UnstructuredHeader)
+    return email.policy.default.clone(header_factory=registry)
+
+
 def _bodies(message):
     """Text parts in order, attachments left out; undecodable parts give None."""
     for part in message.walk():
@@ -47,7 +56,7 @@ def _bodies(message):
 
 
 def _parse(content: bytes) -> dict:
-    message = email.message_from_bytes(content, policy=email.policy.default)
+    message = email.message_from_bytes(content, policy=_policy())
     chunks = []
     for name in HEADERS:
         value = str(message.get(name, "")).strip()
@@ -75,7 +84,7 @@ def parse_mails(mails: DataFrame, content: str = "content") -> DataFrame:
 
 
 def _write(content: bytes, chunks) -> bytes:
-    message = email.message_from_bytes(content, policy=email.policy.default)
+    message = email.message_from_bytes(content, policy=_policy())
     new = {c["part"]: c["text"] for c in chunks}
     for name in HEADERS:
         if name.lower() in new and message[name]:
@@ -84,7 +93,7 @@ def _write(content: bytes, chunks) -> bytes:
     for k, (part, _) in enumerate(list(_bodies(message))):
         if f"body{k}" in new:
             part.set_content(new[f"body{k}"], subtype=part.get_content_subtype())
-    return message.as_bytes(policy=email.policy.default)
+    return message.as_bytes()
 
 
 def write_mails(mails: DataFrame, content: str, chunks: str, target: str) -> DataFrame:
