@@ -20,7 +20,7 @@ from veilframe.session import join_hot_split, materialise
 KDF_ITERATIONS = 600_000
 KEY_BYTES = 32
 REHASH_ROUNDS = 2
-KEY_PATTERN = r"(?i)aes_(en|de)crypt\([^()]*(\([^()]*\)[^()]*)*\)"
+KEY_PATTERN = r"(?i)(0x|X')[0-9a-f]{64}"
 
 
 class MappingError(ValueError):
