@@ -7,6 +7,9 @@ where it starts and ends at an atom border.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from veilframe.session import BROADCAST_ROW_LIMIT, join_checked
 ATOM = r"(?U)\w+|[^\w\s]"
 SCORE = 0.85
 FIRST_ATOM_LIMIT = 2_000
+GATE_LIMIT = 200
 
 
 def atom_count(text: str) -> str:
@@ -63,10 +67,33 @@ def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case:
         f"{text} RLIKE r'(?U)\\s\\s|[^\\S ]'", lambda irregular: build(atoms, irregular)))
 
 
-def entry_widths(entries: DataFrame, phrase: str) -> tuple[list[int], int]:
-    """Distinct atom counts of the entries, at most a handful, and the number of entries."""
-    rows = entries.groupBy(F.expr(atom_count(phrase)).alias("n")).count().collect()
-    return sorted(r["n"] for r in rows if r["n"]), sum(r["count"] for r in rows)
+@dataclass(frozen=True)
+class EntryStats:
+    """``widths``: distinct atom counts, at most a handful; ``rows``: number of entries;
+    ``digits``: whether every entry has a digit."""
+
+    widths: list[int]
+    rows: int
+    digits: bool
+
+
+def entry_stats(entries: DataFrame, phrase: str) -> EntryStats:
+    rows = (entries.groupBy(F.expr(atom_count(phrase)).alias("n"))
+            .agg(F.count(F.lit(1)).alias("rows"),
+                 F.every(F.expr(f"{phrase} RLIKE r'\\p{{Nd}}'")).alias("digits")).collect())
+    return EntryStats(sorted(r["n"] for r in rows if r["n"]), sum(r["rows"] for r in rows),
+                      all(r["digits"] for r in rows))
+
+
+def entry_gate(text: str, stats: EntryStats, firsts: list[str] | None, ignore_case: bool) -> str:
+    """Cheap test that holds for every text with an entry."""
+    if stats.digits:
+        return f"{text} RLIKE r'\\p{{Nd}}'"
+    if ignore_case or firsts is None or not 0 < len(firsts) <= GATE_LIMIT:
+        return "true"
+    words = "|".join(re.escape(f) for f in firsts)
+    letters = "".join(sorted({re.escape(f[0]) for f in firsts}))
+    return f"{text} RLIKE {lit(f'(?=[{letters}])(?:{words})')}"
 
 
 def first_atoms(entries: DataFrame, phrase: str, ignore_case: bool,
@@ -86,15 +113,16 @@ def find_entries(chunks: DataFrame, keys: list[str], text: str, entries: DataFra
     Only keys and phrases travel to the join, not the texts. The entries are broadcast if
     counted small; if not, both sides are shuffled with salted phrases, because frequent
     words are hot keys. Few distinct first atoms prune the n-grams before the join.
+    ``entries`` is read a few times; materialise it if it is costly.
     """
-    widths, size = entry_widths(entries, phrase)
+    stats = entry_stats(entries, phrase)
     firsts = first_atoms(entries, phrase, ignore_case)
-    grams = chunks.select(*keys, F.expr(
-        f"inline({ngrams(text, widths or [1], firsts, ignore_case)})"))
+    grams = chunks.filter(entry_gate(text, stats, firsts, ignore_case)).select(*keys, F.expr(
+        f"inline({ngrams(text, stats.widths or [1], firsts, ignore_case)})"))
     table = (entries.withColumn("phrase", F.expr(folded(phrase, ignore_case)))
              .dropDuplicates(["phrase"]))
     return join_checked(grams, table, ["phrase"], "inner",
-                        small=size <= broadcast_rows).drop("phrase")
+                        small=stats.rows <= broadcast_rows).drop("phrase")
 
 
 def gazetteer_spans(chunks: DataFrame, keys: list[str], text: str, entries: DataFrame,

@@ -54,34 +54,40 @@ def originals(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
                  F.count(F.lit(1)).alias("occurrences")))
 
 
+def _with_fake(rows: DataFrame, salt: str, attempt: str) -> DataFrame:
+    """Fake of each row; a number that began with "+" gets one that does too."""
+    made = fakes.fake_value("entity_type", fakes.seeded(lit(salt), "original_hash", attempt))
+    return (rows.withColumn("_made", F.expr(made))
+            .withColumn("_made", F.expr("IF(plus AND entity_type = 'UK_PHONE', "
+                                        "regexp_replace(_made, '^0', '+44 '), _made)")))
+
+
 def assign_fakes(firsts: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
     """Add ``fake_value``, unique among ``firsts``, ``taken`` fakes and the real values.
 
     The first owner of a fake is the row with the lowest hash. Other rows get a new hash
     REHASH_ROUNDS times, then part of their own hash as a suffix, then all of it.
     """
-    made = fakes.fake_value("entity_type", fakes.seeded(lit(salt), "original_hash", "attempt"))
-    fake = (f"IF(original LIKE '+%' AND entity_type = 'UK_PHONE', "
-            f"regexp_replace({made}, '^0', '+44 '), {made})")
-    rows = (firsts.withColumn("attempt", F.lit(0)).withColumn("fake_value", F.expr(fake)))
-    rows = materialise(rows)
+    rows = materialise(_with_fake(firsts, salt, "0").withColumnRenamed("_made", "fake_value")
+                       .withColumn("attempt", F.lit(0)))
     for attempt in range(1, REHASH_ROUNDS + 3):
         losers = _losers(rows, taken)
         if losers.isEmpty():
             break
+        marked = rows.join(losers.withColumn("_lost", F.lit(True)), "original_hash", "left")
         if attempt <= REHASH_ROUNDS:
-            retry = F.expr(fake.replace("attempt", str(attempt)))
+            marked = _with_fake(marked, salt, str(attempt))
         elif attempt == REHASH_ROUNDS + 1:
-            retry = F.expr("concat(fake_value, '-', left(original_hash, 12))")
+            marked = marked.withColumn("_made", F.expr(
+                "concat(fake_value, '-', left(original_hash, 12))"))
         else:
-            retry = F.expr("concat(fake_value, '-', original_hash)")
-        marked = rows.join(losers.withColumn("_lost", F.lit(True)), "original_hash", "left")
+            marked = marked.withColumn("_made", F.expr("concat(fake_value, '-', original_hash)"))
+        lost = F.coalesce("_lost", F.lit(False))
         rows = materialise(
-            marked.withColumn("fake_value", F.when(F.col("_lost"), retry)
+            marked.withColumn("fake_value", F.when(lost, F.col("_made"))
                               .otherwise(F.col("fake_value")))
-            .withColumn("attempt", F.when(F.col("_lost"), F.lit(attempt))
-                        .otherwise(F.col("attempt")))
-            .drop("_lost"))
+            .withColumn("attempt", F.when(lost, F.lit(attempt)).otherwise(F.col("attempt")))
+            .drop("_lost", "_made"))
     return rows.drop("attempt")
 
 
@@ -119,7 +125,8 @@ def build_mapping(spans: DataFrame, session_id: str, key: bytes, *, salt: str =
                   existing: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """Rows to append for one session: originals that ``existing`` does not hold yet.
 
-    The result is written once to the checkpoint folder, because nonces are random.
+    Values are encrypted before anything is written to the checkpoint folder, and written
+    once, because nonces are random.
     """
     hide_keys(spans.sparkSession)
     firsts = originals(spans, doc)
@@ -127,11 +134,12 @@ def build_mapping(spans: DataFrame, session_id: str, key: bytes, *, salt: str =
     if existing is not None:
         taken = existing.filter(F.col("session_id") == session_id)
         firsts = firsts.join(taken.select("original_hash"), "original_hash", "left_anti")
-    rows = assign_fakes(firsts, session_id + salt, taken)
-    return materialise(rows.select(
+    sealed = firsts.select(
         F.lit(session_id).alias("session_id"), "entity_type", "original_hash",
-        F.expr(encrypt("original", key)).alias("real_value_encrypted"), "fake_value",
-        F.expr(C.hex_hash("first_doc")).alias("document_hash"), "occurrences"))
+        F.expr(encrypt("original", key)).alias("real_value_encrypted"),
+        F.expr(C.hex_hash("first_doc")).alias("document_hash"), "occurrences",
+        F.expr("original LIKE '+%'").alias("plus"))
+    return assign_fakes(sealed, session_id + salt, taken).drop("plus")
 
 
 def insert_if_absent(existing: DataFrame, rows: DataFrame) -> DataFrame:

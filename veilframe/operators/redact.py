@@ -11,8 +11,8 @@ from veilframe.functions import layout as L
 from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import var
-from veilframe.operators.detect import pick_rules, with_spans
-from veilframe.session import union_parts
+from veilframe.operators.detect import pick_rules
+from veilframe.session import materialise, union_parts
 
 BLOCK = 4096
 
@@ -32,7 +32,7 @@ def label_rows(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.expr(f"inline({rows})"))
 
 
-def label_bases(found: DataFrame, doc: str, order: str) -> DataFrame:
+def label_bases(spans: DataFrame, doc: str, order: str) -> DataFrame:
     """Per chunk, how many labels of each entity earlier chunks of the document used.
 
     A running count over a whole document would put a document with a third of all chunks
@@ -40,7 +40,7 @@ def label_bases(found: DataFrame, doc: str, order: str) -> DataFrame:
     only block totals are accumulated per document.
     """
     per_entity = L.entity_counts("array(named_struct('spans', spans))")
-    counts = (found.select(doc, order, F.expr(f"inline({per_entity})"))
+    counts = (spans.select(doc, order, F.expr(f"inline({per_entity})"))
               .withColumn("block", F.floor(F.col(order) / BLOCK)))
     before = Window.partitionBy(doc, "entity", "block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -64,19 +64,27 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
                   threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
     """Add ``spans``, ``parts`` and ``scrubbed_text`` to a table with many chunks per document.
 
-    Chunks without the signs of any rule pass through untouched; only the others are
-    joined, on the chunk key, to their label offsets.
+    Detection runs once: its spans, which are offsets without any text, are written to the
+    checkpoint folder and numbered from there. Chunks without the signs of any rule pass
+    through untouched; only the others are joined to their labels, on the chunk key.
     """
     chosen = pick_rules(entities, rules)
     likely = S.may_match(text, chosen)
-    found = with_spans(chunks.filter(likely), text, rules=chosen, threshold=threshold)
-    as_hits = f"array(named_struct('ord', 0, 'text', {text}, 'spans', spans))"
-    changed = (found.join(label_bases(found, doc, order), [doc, order], "left")
-               .withColumn("parts", F.expr(L.labelled(L.numbered(as_hits, "bases"))))
-               .withColumn("scrubbed_text", F.expr(S.splice(text, "parts")))
-               .drop("bases"))
+    some = var("s")
+    found = S.find_spans(text, chosen, threshold)
+    spans = materialise(chunks.filter(likely).select(doc, order, F.explode(F.expr(
+        f"filter(array({found}), {some} -> size({some}) > 0)")).alias("spans")))
+    as_hits = "array(named_struct('ord', 0, 'spans', spans))"
+    labels = (spans.join(label_bases(spans, doc, order), [doc, order])
+              .select(doc, order, "spans",
+                      F.expr(L.labelled(L.numbered(as_hits, "bases"))).alias("parts")))
+    no_parts = f"cast(array() AS {L.PARTS_TYPE})"
+    changed = (chunks.filter(likely).join(labels, [doc, order], "left")
+               .withColumn("spans", F.expr(f"coalesce(spans, {S.NO_SPANS})"))
+               .withColumn("parts", F.expr(f"coalesce(parts, {no_parts})"))
+               .withColumn("scrubbed_text", F.expr(S.splice(text, "parts"))))
     rest = (chunks.filter(f"NOT ({likely})")
             .withColumn("spans", F.expr(S.NO_SPANS))
-            .withColumn("parts", F.expr(f"cast(array() AS {L.PARTS_TYPE})"))
+            .withColumn("parts", F.expr(no_parts))
             .withColumn("scrubbed_text", F.col(text)))
     return union_parts(changed, rest)

@@ -30,7 +30,7 @@ from veilframe.operators import redact as RD
 from veilframe.operators import summary as U
 from veilframe.plans import corpora as Q
 from veilframe.plans import oracle as O
-from veilframe.session import shared_dir, spread
+from veilframe.session import materialise, shared_dir, spread
 from veilframe.sources import chunks as CH
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
@@ -687,8 +687,8 @@ def pseudo_cross_doc(spark, sf):
 def restore(spark, sf):
     texts, mapping = pseudonymised(spark, sf)
     pairs = M.replacements(mapping, SESSION, KEY)
-    return P.restore_documents(texts.select("doc_id", "scrubbed_text"), "doc_id", "scrubbed_text",
-                               pairs).select("doc_id", "restored_text")
+    stored = materialise(texts.select("doc_id", "scrubbed_text"))
+    return P.restore_documents(stored, "doc_id", "scrubbed_text", pairs).select("doc_id", "restored_text")
 
 
 # Aggregates and windows --------------------------------------------------------------
@@ -837,7 +837,7 @@ def leak_guard(spark, sf):
 def residual_pii(spark, sf):
     """Known values in the input and in the output; the output must have none."""
     found = docs(spark, sf, entities=MAPPED, threshold=LOW)
-    known = D.span_rows(found, "doc_id").select("original").distinct()
+    known = D.span_rows(found, "doc_id").select("original").distinct().persist()
     out = RD.redact_documents(found)
     stages = out.select("doc_id", F.expr("inline(array(named_struct('stage', 'before', 't', text), "
                                          "named_struct('stage', 'after', 't', scrubbed_text)))"))
