@@ -39,8 +39,10 @@ def audit_entries(scrubbed: DataFrame, *, source: str, output: str = "scrubbed_t
                   mode: str, threshold: float, duration_ms: int = 0,
                   operator: str | None = None, session_id: str | None = None,
                   timestamp: datetime | None = None, error: str | None = None,
-                  keys: tuple[str, ...] = ()) -> DataFrame:
-    """One entry per document of a table with ``hits``, a source and an output text.
+                  keys: tuple[str, ...] = (), counts: Column | None = None) -> DataFrame:
+    """One entry per document of a table with a source and an output, text or bytes.
+
+    ``counts`` is a ``map<entity, count>``, by default taken from ``hits``.
 
     ``error`` names an optional column with an error class; a failed document is logged
     with the flag set and the hash of the empty text as output.
@@ -48,7 +50,7 @@ def audit_entries(scrubbed: DataFrame, *, source: str, output: str = "scrubbed_t
     failed = F.lit(False) if error is None else F.col(error).isNotNull()
     message = F.lit("") if error is None else F.coalesce(F.col(error), F.lit(""))
     when = F.current_timestamp() if timestamp is None else F.lit(timestamp)
-    source_hash, output_hash = F.expr(C.hex_hash(source)), F.expr(C.hex_hash(output))
+    source_hash, output_hash = F.sha2(source, 256), F.sha2(output, 256)
     empty_hash = F.expr(C.hex_hash("''"))
     return scrubbed.select(
         *keys,
@@ -59,7 +61,7 @@ def audit_entries(scrubbed: DataFrame, *, source: str, output: str = "scrubbed_t
         F.lit(operator or operator_hash()).alias("operator_hash"),
         F.lit(VERSION).alias("engine_version"), F.lit(ENGINE).alias("detector"),
         F.lit(str(threshold)).alias("threshold"), F.lit(mode).alias("mode"),
-        count_map().alias("entity_type_counts"),
+        (count_map() if counts is None else counts).alias("entity_type_counts"),
         F.lit(duration_ms).alias("processing_duration_ms"), failed.alias("error_flag"),
         message.alias("error_message"),
         F.lit(session_id).cast("string").alias("session_id"))

@@ -12,13 +12,21 @@ HOT_KEY_SHARE = 2_000
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in a local session, a temporary folder takes its place.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="veilframe-")
+    return _own_dirs[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from veilframe.functions.arrays import running_sum, var
 HEADERS = ("From", "To", "Cc", "Subject")
 BODY_TYPES = ("text/plain", "text/html")
 MAIL_FIELDS = [
+    T.StructField("error", T.StringType()),
     T.StructField("attachments", T.IntegerType()),
     T.StructField("chunks", T.ArrayType(T.StructType([
         T.StructField("ord", T.IntegerType()),
@@ -56,6 +57,14 @@ def _bodies(message):
 
 
 def _parse(content: bytes) -> dict:
+    """Chunks of a message; a message that cannot be read gives its error class instead."""
+    try:
+        return {"error": None, **_chunks(content)}
+    except Exception as exc:  # noqa: BLE001 - one bad file must not stop the batch
+        return {"error": type(exc).__name__, "attachments": 0, "chunks": []}
+
+
+def _chunks(content: bytes) -> dict:
     message = email.message_from_bytes(content, policy=_policy())
     chunks = []
     for name in HEADERS:
@@ -73,11 +82,12 @@ def _parse(content: bytes) -> dict:
 
 
 def parse_mails(mails: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``attachments`` and ``chunks`` to a table of messages."""
+    """Add ``error``, ``attachments`` and ``chunks`` to a table of messages."""
     def run(batches):
         for pdf in batches:
             parsed = [_parse(c) for c in pdf[content]]
-            yield pdf.assign(attachments=[p["attachments"] for p in parsed],
+            yield pdf.assign(error=[p["error"] for p in parsed],
+                             attachments=[p["attachments"] for p in parsed],
                              chunks=[p["chunks"] for p in parsed])
 
     return mails.mapInPandas(run, T.StructType(mails.schema.fields + MAIL_FIELDS))
@@ -100,8 +110,8 @@ def write_mails(mails: DataFrame, content: str, chunks: str, target: str) -> Dat
     """Add the message of ``content`` with its parts replaced by ``chunks``."""
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(**{target: [_write(c, parts) for c, parts in
-                                         zip(pdf[content], pdf[chunks])]})
+            yield pdf.assign(**{target: [None if failed else _write(c, parts) for c, parts, failed
+                                         in zip(pdf[content], pdf[chunks], pdf["error"])]})
 
     fields = [*mails.schema.fields, T.StructField(target, T.BinaryType())]
     return mails.mapInPandas(run, T.StructType(fields)).drop(chunks)
@@ -126,7 +136,8 @@ def scrub_mails(mails: DataFrame, content: str = "content", *,
                 threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
     """Redact headers and all text parts.
 
-    Adds ``attachments``, ``entity_counts`` as JSON text and ``scrubbed_content``.
+    Adds ``error``, ``attachments``, ``entity_counts`` as JSON text and
+    ``scrubbed_content``, which is NULL for a message with an error.
     """
     rules = R.default_rules() if rules is None else tuple(rules)
     c, p, x = var("c"), var("p"), var("x")
@@ -139,6 +150,6 @@ def scrub_mails(mails: DataFrame, content: str = "content", *,
     scrubbed = (f"transform(_chunks, {p} -> named_struct('ord', {p}.ord, 'part', {p}.part, "
                 f"'content_type', {p}.content_type, 'text', {S.splice(f'{p}.text', own)}))")
     counts = f"to_json(map_from_entries({L.entity_counts('hits')}))"
-    ready = found.select(*keep, "attachments", F.expr(counts).alias("entity_counts"),
+    ready = found.select(*keep, "error", "attachments", F.expr(counts).alias("entity_counts"),
                          F.expr(scrubbed).alias("_chunks"))
     return write_mails(ready, content, "_chunks", "scrubbed_content")
