@@ -273,13 +273,27 @@ def gen(*entities: str) -> str:
 
 
 def mapped(session: str, source: str = DOCS, **kw) -> str:
-    """CTEs to ``mapping(original_hash, entity, original, fake_value, n)`` of one session."""
+    """CTEs to ``mapping(original_hash, entity, original, fake_value, n)`` of one session.
+
+    A fake that an earlier row holds, or that is a real value, is made anew from another
+    hash; two such rounds are enough for the given tables.
+    """
     kinds = sorted({r.entity for r in kw.get("rules", ALL_RULES)})
     cases = " ".join(f"WHEN {q(e)} THEN {fake(e, 'h')}" for e in kinds)
-    return (f"{spans_ctes(source, **kw)}, firsts AS (SELECT sha256(original) AS original_hash, "
-            f"any_value(original) AS original, arg_min(entity, (doc_id, chunk_ord, -s)) AS entity, "
-            f"arg_min(doc_id, (doc_id, chunk_ord, -s)) AS first_doc, count(*) AS n "
-            f"FROM spans GROUP BY 1), "
-            f"mapping AS MATERIALIZED (SELECT original_hash, original, entity, first_doc, n, "
-            f"CASE entity {cases} END AS fake_value FROM (SELECT *, "
-            f"sha256({q(session)} || original_hash) AS h FROM firsts) AS f)")
+    out = [spans_ctes(source, **kw),
+           "firsts AS MATERIALIZED (SELECT sha256(original) AS original_hash, any_value(original) AS "
+           "original, arg_min(entity, (doc_id, chunk_ord, -s)) AS entity, arg_min(doc_id, (doc_id, "
+           "chunk_ord, -s)) AS first_doc, count(*) AS n FROM spans GROUP BY 1)",
+           f"m0 AS MATERIALIZED (SELECT *, 0 AS attempt, CASE entity {cases} END AS fake_value FROM "
+           f"(SELECT *, sha256({q(session)} || original_hash) AS h FROM firsts) AS f)"]
+    for k in (1, 2):
+        out.append(
+            f"m{k} AS MATERIALIZED (SELECT * EXCLUDE (lost, made, fake_value, attempt), CASE WHEN lost "
+            f"THEN {k} ELSE attempt END AS attempt, CASE WHEN lost THEN made ELSE fake_value END AS "
+            f"fake_value FROM (SELECT * EXCLUDE (h), CASE entity {cases} END AS made FROM (SELECT "
+            f"* EXCLUDE (h), sha256({q(session)} || original_hash || '#{k}') AS h, "
+            f"row_number() OVER (PARTITION BY fake_value ORDER BY attempt, original_hash) > 1 OR "
+            f"sha256(fake_value) IN (SELECT original_hash FROM firsts) AS lost "
+            f"FROM m{k - 1}) AS a) AS b)".replace("EXCLUDE (h), CASE", "EXCLUDE (h), h, CASE"))
+    out.append("mapping AS MATERIALIZED (SELECT * FROM m2)")
+    return ", ".join(out)
