@@ -134,3 +134,49 @@ def test_performance_text_values(spark):
     out = scrub(docs(spark, [(1, " ".join(words))]), "doc_id").texts.first().scrubbed_text
     assert "EF345678E" in out and "AB123456C" not in out and out.count("[") == 4
     assert out.count("[") == out.count("]")
+
+
+PEOPLE = [(1, "Ann Lee wrote to York.\nyork and a@b.org"), (2, "nothing"), (3, "ANN  LEE\n\nYork")]
+
+
+def people(spark):
+    from veilframe import Gazetteer
+    names = spark.createDataFrame([("Ann Lee",)], "n string")
+    places = spark.createDataFrame([("York",)], "n string")
+    return [Gazetteer("PERSON", names, "n"), Gazetteer("LOCATION", places, "n", ignore_case=False)]
+
+
+def test_gazetteers_feed_redaction(spark):
+    out = scrub(docs(spark, PEOPLE), "doc_id", gazetteers=people(spark)).texts
+    assert {r.doc_id: r.scrubbed_text for r in out.collect()} == {
+        1: "[PERSON_1] wrote to [LOCATION_1].\nyork and [EMAIL_ADDRESS_1]", 2: "nothing",
+        3: "[PERSON_1]\n\n[LOCATION_1]"}
+    counts = {r.doc_id: r.entity_counts for r in out.collect()}
+    assert counts[1] == {"PERSON": 1, "LOCATION": 1, "EMAIL_ADDRESS": 1} and counts[2] == {}
+    only = scrub(docs(spark, PEOPLE), "doc_id", gazetteers=people(spark), entities="LOCATION")
+    assert "Ann Lee" in only.texts.filter("doc_id = 1").first().scrubbed_text
+
+
+def test_gazetteers_on_chunks_and_pseudonyms(spark):
+    turns = docs(spark, PEOPLE).select(F.lit(7).alias("conv"), F.col("doc_id").alias("turn"), "text")
+    out = scrub(turns, "conv", order="turn", gazetteers=people(spark)).texts
+    assert {r.turn: r.scrubbed_text for r in out.collect()}[3] == "[PERSON_2]\n\n[LOCATION_2]"
+    run = scrub(docs(spark, PEOPLE), "doc_id", mode="pseudonymise", key=KEY, session_id="g",
+                gazetteers=people(spark))
+    texts = {r.doc_id: r.scrubbed_text for r in run.texts.collect()}
+    assert "Ann" not in texts[1] and "York" not in texts[1] and texts[2] == "nothing"
+    pairs = M.replacements(run.mapping, "g", KEY)
+    back = P.restore_documents(run.texts.select("doc_id", "scrubbed_text"), "doc_id",
+                               "scrubbed_text", pairs)
+    assert {r.doc_id: r.restored_text for r in back.collect()} == dict(PEOPLE)
+    assert run.mapping.filter("entity_type = 'PERSON'").count() == 2
+
+
+def test_model_hook(spark):
+    def load():
+        def find(texts):
+            return [[("TITLE", t.index("wrote"), t.index("wrote") + 5, 0.9)] if "wrote" in t else []
+                    for t in texts]
+        return find
+    out = scrub(docs(spark, PEOPLE), "doc_id", model=load).texts.filter("doc_id = 1").first()
+    assert out.scrubbed_text == "Ann Lee [TITLE_1] to York.\nyork and [EMAIL_ADDRESS_1]"

@@ -61,13 +61,37 @@ def chunk_span_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.expr(f"inline({flat})"))
 
 
-def raw_spans(df: DataFrame, *keys: str, text: str = "text",
-              entities: Iterable[str] | None = None, rules: Iterable[R.Rule] | None = None,
-              threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
-    """Every rule's spans per line, before duplicates and overlaps are removed."""
+def line_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """One row per line: keys, ``chunk_ord`` and ``text``."""
+    return (df.select(*keys, F.expr(f"inline({L.chunks_of(text)})"))
+            .withColumnRenamed("ord", "chunk_ord"))
+
+
+def raw_chunk_spans(chunks: DataFrame, *keys: str, text: str = "text",
+                    entities: Iterable[str] | None = None,
+                    rules: Iterable[R.Rule] | None = None,
+                    threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """Every rule's spans per chunk, before duplicates and overlaps are removed."""
     chosen = pick_rules(entities, rules)
-    lines = (df.select(*keys, F.expr(f"inline({L.chunks_of(text)})"))
-             .withColumnRenamed("ord", "chunk_ord")
-             .filter(f"{S.may_match('text', chosen)} AND {X.not_blank('text')}"))
-    found = lines.withColumn("spans", F.expr(S.candidate_spans("text", chosen, threshold)))
-    return chunk_span_rows(found, *keys, "chunk_ord")
+    likely = chunks.filter(f"{S.may_match(text, chosen)} AND {X.not_blank(text)}")
+    found = likely.withColumn("spans", F.expr(S.candidate_spans(text, chosen, threshold)))
+    return chunk_span_rows(found, *keys, text=text)
+
+
+def raw_spans(df: DataFrame, *keys: str, text: str = "text", **options) -> DataFrame:
+    """``raw_chunk_spans`` of the lines of a table of documents."""
+    return raw_chunk_spans(line_table(df, *keys, text=text), *keys, "chunk_ord", **options)
+
+
+def resolved_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Span rows of several detectors without overlaps; a group is one chunk's spans."""
+    x, y, s = var("x"), var("y"), var("s")
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.expr(
+        "named_struct('span', named_struct('start', start, 'end', end, 'entity', entity_type, "
+        "'score', score, 'priority', IF(startswith(entity_type, 'UK_'), 0, 1), 'rule', rule), "
+        "'original', original)")).alias("_all"))
+    kept = S.resolve(f"transform(_all, {x} -> {x}.span)")
+    flat = (f"transform({kept}, {s} -> named_struct('entity_type', {s}.entity, 'start', {s}.start, "
+            f"'end', {s}.end, 'score', {s}.score, 'rule', {s}.rule, "
+            f"'original', get(filter(_all, {y} -> {y}.span = {s}), 0).original))")
+    return packed.select(*keys, F.expr(f"inline({flat})"))

@@ -34,7 +34,7 @@ def folded(text: str, ignore_case: bool) -> str:
 
 
 def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case: bool) -> str:
-    """``array<struct<start, end, phrase>>`` for all n-grams of the given atom counts.
+    """``array<struct<start, end, surface, phrase>>`` for all n-grams of the given atom counts.
 
     With ``firsts`` only n-grams that begin with one of these atoms are built. White space
     is folded only in texts that have more than single spaces.
@@ -48,10 +48,12 @@ def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case:
     def grams(atoms: str, irregular: str, index: str) -> str:
         last = f"get({atoms}, {index} + {w} - 1)"
         end = f"({last}.start + length({last}.m))"
-        phrase = fold(f"substring({text}, {a}.start + 1, {end} - {a}.start)", irregular)
-        return (f"filter(transform(array({', '.join(map(str, widths))}), {w} -> named_struct("
-                f"'start', {a}.start, 'end', {end}, 'phrase', {phrase})), "
-                f"{g} -> {g}.end IS NOT NULL)")
+        raw = (f"filter(transform(array({', '.join(map(str, widths))}), {w} -> named_struct("
+               f"'start', {a}.start, 'end', {end}, 'surface', "
+               f"substring({text}, {a}.start + 1, {end} - {a}.start))), "
+               f"{g} -> {g}.end IS NOT NULL)")
+        return (f"transform({raw}, {g} -> named_struct('start', {g}.start, 'end', {g}.end, "
+                f"'surface', {g}.surface, 'phrase', {fold(f'{g}.surface', irregular)}))")
 
     def build(atoms: str, irregular: str) -> str:
         if firsts is None:
@@ -108,7 +110,7 @@ def first_atoms(entries: DataFrame, phrase: str, ignore_case: bool,
 def find_entries(chunks: DataFrame, keys: list[str], text: str, entries: DataFrame,
                  phrase: str, *, ignore_case: bool = True,
                  broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Rows ``(*keys, start, end, …entry columns)`` for every occurrence of an entry.
+    """Rows ``(*keys, start, end, surface, …entry columns)`` for every occurrence.
 
     Only keys and phrases travel to the join, not the texts. The entries are broadcast if
     counted small; if not, both sides are shuffled with salted phrases, because frequent
@@ -125,26 +127,21 @@ def find_entries(chunks: DataFrame, keys: list[str], text: str, entries: DataFra
                         small=stats.rows <= broadcast_rows).drop("phrase")
 
 
-def gazetteer_spans(chunks: DataFrame, keys: list[str], text: str, entries: DataFrame,
-                    phrase: str, entity: str, *, score: float = SCORE,
-                    ignore_case: bool = True) -> DataFrame:
-    """Span rows of one entity from a table of its names."""
-    hits = find_entries(chunks, keys, text, entries.select(phrase), phrase,
-                        ignore_case=ignore_case)
-    return hits.select(*keys, F.lit(entity).alias("entity_type"), "start", "end",
-                       F.lit(score).alias("score"), F.lit("gazetteer").alias("rule"))
+@dataclass(frozen=True)
+class Gazetteer:
+    """Names of one entity: the column ``phrase`` of the table ``entries``."""
 
+    entity: str
+    entries: DataFrame
+    phrase: str
+    score: float = SCORE
+    ignore_case: bool = True
 
-def merge_spans(chunks: DataFrame, keys: list[str], text: str,
-                extra: DataFrame) -> DataFrame:
-    """Add ``extra`` span rows to the ``spans`` of a chunk table and resolve overlaps again.
 
-    ``chunks`` should carry unresolved or resolved ``spans``; the group per chunk is as
-    large as one text's spans at most.
-    """
-    packed = (extra.groupBy(*keys).agg(F.collect_list(F.expr(
-        "named_struct('start', start, 'end', end, 'entity', entity_type, 'score', score, "
-        "'priority', 1, 'rule', rule)")).alias("_extra")))
-    joined = chunks.join(packed, keys, "left")
-    both = f"concat(spans, coalesce(_extra, {S.NO_SPANS}))"
-    return joined.withColumn("spans", F.expr(S.resolve(both))).drop("_extra")
+def gazetteer_spans(chunks: DataFrame, keys: list[str], text: str, names: Gazetteer) -> DataFrame:
+    """Span rows of one entity from a table of its names."""
+    hits = find_entries(chunks, keys, text, names.entries.select(names.phrase), names.phrase,
+                        ignore_case=names.ignore_case)
+    return hits.select(*keys, F.lit(names.entity).alias("entity_type"), "start", "end",
+                       F.lit(names.score).alias("score"), F.lit("gazetteer").alias("rule"),
+                       F.col("surface").alias("original"))

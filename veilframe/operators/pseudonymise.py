@@ -34,16 +34,21 @@ def mapped_spans(spans: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataFrame, *,
                            rules: Iterable[R.Rule] | None = None,
-                           threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+                           threshold: float = R.DEFAULT_THRESHOLD,
+                           spans: DataFrame | None = None) -> DataFrame:
     """Add ``scrubbed_text`` to a table with one document per row.
 
     Only spans are shuffled to the mapping; a group is one document's spans. Texts without
-    the signs of any rule are not shuffled at all.
+    the signs of any rule are not shuffled at all. ``spans`` are resolved span rows of any
+    detector, used instead of the rules.
     """
-    chosen = pick_rules(None, rules)
-    likely = S.may_match(text, chosen)
-    found = with_hits(texts.filter(likely), text, rules=chosen, threshold=threshold)
-    parts = (mapped_spans(span_rows(found, doc), mapping)
+    likely = "true"
+    if spans is None:
+        chosen = pick_rules(None, rules)
+        likely = S.may_match(text, chosen)
+        spans = span_rows(with_hits(texts.filter(likely), text, rules=chosen,
+                                    threshold=threshold), doc)
+    parts = (mapped_spans(spans, mapping)
              .groupBy(doc).agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
     changed = (texts.filter(likely).join(parts, doc, "left")
                .withColumn("_parts", F.expr(
@@ -56,13 +61,16 @@ def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataF
 
 def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
                         mapping: DataFrame, *, rules: Iterable[R.Rule] | None = None,
-                        threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+                        threshold: float = R.DEFAULT_THRESHOLD,
+                        spans: DataFrame | None = None) -> DataFrame:
     """``pseudonymise_documents`` for a table in which each row is one chunk."""
-    chosen = pick_rules(None, rules)
-    likely = S.may_match(text, chosen)
-    found = with_spans(chunks.filter(likely), text, rules=chosen, threshold=threshold)
-    rows = chunk_span_rows(found, doc, order, text=text).withColumn("chunk_ord", F.lit(0))
-    parts = (mapped_spans(rows, mapping).groupBy(doc, order)
+    likely = "true"
+    if spans is None:
+        chosen = pick_rules(None, rules)
+        likely = S.may_match(text, chosen)
+        spans = chunk_span_rows(with_spans(chunks.filter(likely), text, rules=chosen,
+                                           threshold=threshold), doc, order, text=text)
+    parts = (mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping).groupBy(doc, order)
              .agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
     changed = (chunks.filter(likely).join(parts, [doc, order], "left")
                .withColumn("_parts", F.expr(

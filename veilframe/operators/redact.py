@@ -72,8 +72,14 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
     likely = S.may_match(text, chosen)
     some = var("s")
     found = S.find_spans(text, chosen, threshold)
-    spans = materialise(chunks.filter(likely).select(doc, order, F.explode(F.expr(
-        f"filter(array({found}), {some} -> size({some}) > 0)")).alias("spans")))
+    spans = chunks.filter(likely).select(doc, order, F.explode(F.expr(
+        f"filter(array({found}), {some} -> size({some}) > 0)")).alias("spans"))
+    return label_chunks(chunks, materialise(spans), doc, order, text, likely)
+
+
+def label_chunks(chunks: DataFrame, spans: DataFrame, doc: str, order: str, text: str,
+                 likely: str = "true") -> DataFrame:
+    """Label given ``spans`` per chunk; chunks for which ``likely`` is false have none."""
     as_hits = "array(named_struct('ord', 0, 'spans', spans))"
     labels = (spans.join(label_bases(spans, doc, order), [doc, order])
               .select(doc, order, "spans",
@@ -88,3 +94,26 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
             .withColumn("parts", F.expr(no_parts))
             .withColumn("scrubbed_text", F.col(text)))
     return union_parts(changed, rest)
+
+
+SPAN_OF_ROW = ("named_struct('start', start, 'end', end, 'entity', entity_type, 'score', score, "
+               "'priority', 0, 'rule', rule)")
+
+
+def redact_chunk_rows(chunks: DataFrame, rows: DataFrame, doc: str, order: str,
+                      text: str) -> DataFrame:
+    """Label resolved span rows of any detector in a chunk table."""
+    spans = rows.groupBy(doc, order).agg(F.collect_list(F.expr(SPAN_OF_ROW)).alias("spans"))
+    return label_chunks(chunks, materialise(spans), doc, order, text)
+
+
+def redact_document_rows(docs: DataFrame, rows: DataFrame, doc: str, text: str) -> DataFrame:
+    """Label resolved span rows ``(doc, chunk_ord, …)`` of any detector in whole documents.
+
+    Adds ``hits``, ``parts`` and ``scrubbed_text``; a group is one document's spans.
+    """
+    hit = f"named_struct('ord', chunk_ord, 'spans', array({SPAN_OF_ROW}))"
+    per_doc = rows.groupBy(doc).agg(F.collect_list(F.expr(hit)).alias("hits"))
+    joined = docs.join(per_doc, doc, "left").withColumn("hits", F.expr(
+        f"coalesce(hits, cast(array() AS array<struct<ord:int,spans:array<{S.SPAN_TYPE}>>>))"))
+    return redact_documents(joined, text)

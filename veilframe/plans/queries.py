@@ -30,6 +30,7 @@ from veilframe.operators import redact as RD
 from veilframe.operators import summary as U
 from veilframe.plans import corpora as Q
 from veilframe.plans import oracle as O
+from veilframe.plans.scrub import scrub
 from veilframe.session import materialise, shared_dir, spread
 from veilframe.sources import chunks as CH
 from veilframe.sources import email as EM
@@ -418,13 +419,10 @@ _detector("det_all_planted", "planted", R.ENTITIES)
 
 def _with_gazetteer(df: DataFrame, entity: str, names: DataFrame) -> DataFrame:
     """Rule spans of an entity merged with the occurrences of a table of names."""
-    lines = (df.select("doc_id", F.expr(f"inline({L.chunks_of('text')})"))
-             .withColumnRenamed("ord", "chunk_ord"))
-    keys = ["doc_id", "chunk_ord"]
-    ruled = D.with_spans(lines, entities=[entity])
-    extra = Z.gazetteer_spans(lines, keys, "text", names, "name", entity)
-    merged = Z.merge_spans(ruled, keys, "text", extra)
-    return D.chunk_span_rows(merged, *keys)
+    lines, keys = D.line_table(df, "doc_id"), ["doc_id", "chunk_ord"]
+    extra = Z.gazetteer_spans(lines, keys, "text", Z.Gazetteer(entity, names, "name"))
+    return D.resolved_rows(
+        D.raw_chunk_spans(lines, *keys, entities=[entity]).unionByName(extra), keys)
 
 
 def _gazetteer_sql(view: str, entity: str, token: str, names: str) -> str:
@@ -462,6 +460,24 @@ def det_org(spark, sf):
     return _with_gazetteer(spread(Q.view(spark, sf, Q.LETTERS), "doc_id"), "ORGANIZATION", names)
 
 
+PLACE = R.Rule("gazetteer", "LOCATION", r"\b(?:NATION_\d+|[A-Z]+ [A-Z]+|[A-Z]+)\b", 0.85,
+               ignore_case=False)
+
+
+@query("scrub_gazetteer", O.redacted(
+    LETTERS, rules=O.ALL_RULES + (PLACE,), extra=" AND (rule <> 'gazetteer' OR lower(substr(text, "
+    f"s + 1, e - s)) IN (SELECT lower(name) FROM ({PLACES}) AS g))") + " "
+    + O.WHOLE.format("scrubbed_text"))
+def scrub_gazetteer(spark, sf):
+    """All rules and a table of places together, through the public entry point."""
+    names = (Q.table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+             .union(Q.table(spark, sf, "region").select("r_name")))
+    letters = Q.view(spark, sf, Q.LETTERS)
+    return scrub(letters, "doc_id", rules=O.ALL_RULES,
+                 gazetteers=[Z.Gazetteer("LOCATION", names, "name")]).texts.select(
+        "doc_id", "scrubbed_text")
+
+
 # Scoring -----------------------------------------------------------------------------
 
 NUMBERS = ("SELECT c_custkey, lpad(CAST((c_custkey * 7919 + 943476591) % 10000000000 AS string), 10, "
@@ -501,8 +517,7 @@ def context_boost(spark, sf):
     """Every UK rule with and without its context words."""
     df = planted(spark, sf)
     plain = tuple(dataclasses.replace(r, context=()) for r in R.UK_RULES)
-    lines = (df.select("doc_id", F.expr(f"inline({L.chunks_of('text')})"))
-             .withColumnRenamed("ord", "chunk_ord"))
+    lines = D.line_table(df, "doc_id")
     both = lines.select("doc_id", "chunk_ord",
                         F.expr(S.candidate_spans("text", plain, 0.0)).alias("base"),
                         F.expr(S.candidate_spans("text", R.UK_RULES, 0.0)).alias("final"))
@@ -513,8 +528,7 @@ def context_boost(spark, sf):
 
 def _per_line(df: DataFrame, expression: str) -> DataFrame:
     """Span rows of an expression over the raw spans of each line."""
-    lines = (df.select("doc_id", F.expr(f"inline({L.chunks_of('text')})"))
-             .withColumnRenamed("ord", "chunk_ord"))
+    lines = D.line_table(df, "doc_id")
     raw = lines.withColumn("raw", F.expr(S.candidate_spans("text", O.ALL_RULES, 0.3)))
     found = raw.withColumn("spans", F.expr(expression))
     return D.chunk_span_rows(found, "doc_id", "chunk_ord").select(*RAW_COLUMNS)
@@ -536,8 +550,7 @@ def resolve_overlaps(spark, sf):
        "AND a.s < b.e AND b.entity <> a.entity GROUP BY ALL")
 def overlap_pairs(spark, sf):
     """Per span, how many spans of other entities it overlaps; no pairs are emitted."""
-    lines = (planted(spark, sf).select("doc_id", F.expr(f"inline({L.chunks_of('text')})"))
-             .withColumnRenamed("ord", "chunk_ord"))
+    lines = D.line_table(planted(spark, sf), "doc_id")
     raw = lines.select("doc_id", "chunk_ord",
                        F.expr(S.candidate_spans("text", O.ALL_RULES, 0.3)).alias("raw"))
     counted = ("inline(transform(raw, a -> named_struct('start', a.start, 'rule', a.rule, 'overlaps', "

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions import checksums as C
 from veilframe.functions import rules as R
+from veilframe.functions import text as X
 from veilframe.operators import mapping as M
 from veilframe.operators.audit import count_map
-from veilframe.operators.detect import (chunk_span_rows, pick_rules, span_rows, with_hits,
+from veilframe.operators.detect import (chunk_span_rows, line_table, pick_rules,
+                                        raw_chunk_spans, resolved_rows, span_rows, with_hits,
                                         with_spans)
+from veilframe.operators.gazetteer import Gazetteer, gazetteer_spans
+from veilframe.operators.model import Model, model_spans
 from veilframe.operators.pseudonymise import pseudonymise_chunks, pseudonymise_documents
-from veilframe.operators.redact import redact_chunks, redact_documents
-from veilframe.session import spread
+from veilframe.operators.redact import (redact_chunk_rows, redact_chunks, redact_document_rows,
+                                        redact_documents)
+from veilframe.session import materialise, spread, union_parts
 
 REDACT, PSEUDONYMISE = "redact", "pseudonymise"
 
@@ -33,13 +39,16 @@ class Scrubbed:
 def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = None,
           mode: str = REDACT, threshold: float = R.DEFAULT_THRESHOLD,
           entities: Iterable[str] | str | None = None, rules: Iterable[R.Rule] | None = None,
+          gazetteers: Iterable[Gazetteer] = (), model: Callable[[], Model] | None = None,
           session_id: str | None = None, key: bytes | None = None,
           mapping: DataFrame | None = None) -> Scrubbed:
     """Scrub ``text`` of a table keyed by ``doc``, or by ``(doc, order)`` with ``order`` given.
 
     Without ``order`` each row is a whole document, worked on line by line in place; with
-    it each row is one chunk of a document. Pseudonymise mode needs ``key``; ``mapping`` is
-    what earlier runs of the session stored.
+    it each row is one chunk of a document. ``gazetteers`` and ``model`` add detectors to
+    the rules; their spans travel as rows, so documents are then joined once to their
+    spans. Pseudonymise mode needs ``key``; ``mapping`` is what earlier runs of the session
+    stored.
     """
     if mode not in (REDACT, PSEUDONYMISE):
         raise ValueError(f"unknown mode {mode!r}")
@@ -49,41 +58,66 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
         raise ValueError("pseudonymise mode needs a key, see derive_key")
     if isinstance(entities, str):
         entities = R.parse_entities(entities)
-    chosen = pick_rules(entities, rules)
+    how = {"rules": pick_rules(entities, rules), "threshold": threshold}
     df = spread(df, doc)
+    rows = None
+    if gazetteers or model is not None:
+        rows = _all_spans(df, doc, text, order, tuple(gazetteers), model,
+                          None if entities is None else set(entities), how)
 
     if mode == REDACT:
-        if order is None:
-            found = with_hits(df, text, rules=chosen, threshold=threshold)
-            out = (redact_documents(found, text).withColumn("entity_counts", count_map())
-                   .drop("hits", "parts"))
-        else:
-            out = redact_chunks(df, doc, order, text, rules=chosen,
-                                threshold=threshold).drop("spans", "parts")
-        return Scrubbed(out)
+        if order is not None:
+            out = (redact_chunks(df, doc, order, text, **how) if rows is None
+                   else redact_chunk_rows(df, rows, doc, order, text))
+            return Scrubbed(out.drop("spans", "parts"))
+        out = (redact_documents(with_hits(df, text, **how), text) if rows is None
+               else redact_document_rows(df, rows, doc, text))
+        return Scrubbed(out.withColumn("entity_counts", count_map()).drop("hits", "parts"))
 
     session_id = session_id or str(uuid.uuid4())
-    if order is None:
-        found = with_hits(df, text, rules=chosen, threshold=threshold)
-        spans = span_rows(found, doc)
-    else:
-        found = with_spans(df, text, rules=chosen, threshold=threshold)
-        spans = (chunk_span_rows(found, doc, order, text=text)
-                 .withColumn("chunk_ord", F.col(order)))
-    fresh = M.build_mapping(spans, session_id, key, existing=mapping, doc=doc)
-    if mapping is None:
-        session = fresh
+    if rows is not None:
+        spans = rows
+    elif order is None:
+        spans = span_rows(with_hits(df, text, **how), doc)
     else:
-        counted = (spans.groupBy(F.sha2(F.encode("original", "UTF-8"), 256)
-                                 .alias("original_hash"))
-                   .agg(F.count(F.lit(1)).alias("occurrences")))
-        known = (mapping.filter(F.col("session_id") == session_id)
-                 .select("original_hash", "fake_value").join(counted, "original_hash"))
-        session = fresh.select("original_hash", "fake_value", "occurrences").unionByName(
-            known.select("original_hash", "fake_value", "occurrences"))
-    how = {"rules": chosen, "threshold": threshold}
+        spans = chunk_span_rows(with_spans(df, text, **how), doc, order, text=text)
+    placed = spans if order is None else spans.withColumn("chunk_ord", F.col(order))
+    fresh = M.build_mapping(placed, session_id, key, existing=mapping, doc=doc)
+    session = _session_fakes(fresh, mapping, session_id, spans)
     if order is None:
-        out = pseudonymise_documents(df, doc, text, session, **how)
+        out = pseudonymise_documents(df, doc, text, session, spans=rows, **how)
     else:
-        out = pseudonymise_chunks(df, doc, order, text, session, **how)
+        out = pseudonymise_chunks(df, doc, order, text, session, spans=rows, **how)
     return Scrubbed(out, fresh, session_id)
+
+
+def _all_spans(df: DataFrame, doc: str, text: str, order: str | None,
+               gazetteers: tuple[Gazetteer, ...], model: Callable[[], Model] | None,
+               entities: set[str] | None, how: dict) -> DataFrame:
+    """Resolved span rows of the rules, the gazetteers and the model together."""
+    chunks = (line_table(df, doc, text=text).withColumnRenamed("text", "_text")
+              if order is None else df.select(doc, order, F.col(text).alias("_text")))
+    keys = [doc, "chunk_ord" if order is None else order]
+    rows = raw_chunk_spans(chunks, *keys, text="_text", **how)
+    more = [gazetteer_spans(chunks, keys, "_text", g) for g in gazetteers]
+    if model is not None:
+        more.append(model_spans(chunks.filter(X.not_blank("_text")), keys, "_text", model))
+    for extra in more:
+        extra = extra.filter(F.col("score") >= how["threshold"])
+        if entities is not None:
+            extra = extra.filter(F.col("entity_type").isin(*entities))
+        rows = union_parts(rows, extra)
+    return resolved_rows(rows, keys)
+
+
+def _session_fakes(fresh: DataFrame, mapping: DataFrame | None, session_id: str,
+                   spans: DataFrame) -> DataFrame:
+    """Fakes of this run: the new ones and, with their counts here, those of earlier runs."""
+    columns = ["original_hash", "fake_value", "occurrences"]
+    if mapping is None:
+        return fresh.select(*columns)
+    counted = (spans.groupBy(F.expr(C.hex_hash("original")).alias("original_hash"))
+               .agg(F.count(F.lit(1)).alias("occurrences")))
+    known = (mapping.filter(F.col("session_id") == session_id)
+             .select("original_hash", "fake_value").join(counted, "original_hash"))
+    return materialise(union_parts(fresh.select(*columns), known.select(*columns)))
