@@ -182,7 +182,7 @@ SIGNED_CHUNKS = f"SELECT conv_id AS doc_id, turn AS chunk_ord, text FROM ({Q.por
 
 
 def conversations(spark, sf) -> DataFrame:
-    return spread(Q.view(spark, sf, Q.SIGNED), "conv_id")
+    return spread(Q.view(spark, sf, Q.SIGNED), "conv_id", "turn")
 
 
 @query("scrub_conversations", O.redacted("", chunks=SIGNED_CHUNKS)
@@ -874,7 +874,8 @@ def _run_dir(spark: SparkSession, name: str) -> str:
 def stream_scrub(spark, sf):
     base = _run_dir(spark, "stream_scrub")
     source = J.read_stream(spark, sf, Q.table(spark, sf, "documents").schema, "documents.parquet")
-    J.scrub_stream(source, "doc_id", "text", f"{base}/out", f"{base}/state").awaitTermination()
+    J.scrub_stream(source, "doc_id", "text", f"{base}/out", f"{base}/state",
+                   partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 

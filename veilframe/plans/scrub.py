@@ -59,7 +59,7 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
     if isinstance(entities, str):
         entities = R.parse_entities(entities)
     how = {"rules": pick_rules(entities, rules), "threshold": threshold}
-    df = spread(df, doc)
+    df = spread(df, *([doc] if order is None else [doc, order]))
     rows = None
     if gazetteers or model is not None:
         rows = _all_spans(df, doc, text, order, tuple(gazetteers), model,

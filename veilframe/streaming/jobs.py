@@ -22,12 +22,15 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
 
 
 def scrub_stream(source: DataFrame, doc: str, text: str, target: str, checkpoint: str,
-                 threshold: float = R.DEFAULT_THRESHOLD):
+                 threshold: float = R.DEFAULT_THRESHOLD, partitions: int | None = None):
     """Redact every document not seen before and append it to ``target``.
 
     A document lies in one row, so its labels need no state across batches and the plain
-    file sink keeps its exactly-once commit log.
+    file sink keeps its exactly-once commit log. ``partitions`` spreads batches of few
+    small files over more tasks; leave it out for large batches.
     """
+    if partitions is not None:
+        source = source.repartition(partitions, doc)
     scrubbed = redact_documents(with_hits(source, text, threshold=threshold), text)
     return (scrubbed.select(doc, "scrubbed_text").writeStream.format("parquet")
             .option("path", target).option("checkpointLocation", checkpoint)
