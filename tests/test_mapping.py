@@ -80,7 +80,10 @@ def test_write_and_append(spark, tmp_path):
     path = str(tmp_path / "mapping")
     for s in ("s1", "s2"):
         M.write_mapping(M.build_mapping(spans(spark, ["a"]), s, KEY), path)
-    assert spark.read.parquet(path).count() == 2
+    stored = spark.read.parquet(path)
+    assert stored.count() == 2 and stored.select("record_id").distinct().count() == 2
+    assert M.purge_to(stored, "s1", str(tmp_path / "kept")) == 1
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 1
 
 
 def test_iterations():

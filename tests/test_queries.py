@@ -11,7 +11,7 @@ from tools.check import rows
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-SAMPLE = ("redact_documents", "det_all_planted", "scrub_conversations", "rebuild_table",
+SAMPLE = ("redact_documents", "detect_planted", "scrub_conversations", "rebuild_table",
           "pseudo_consistent", "map_upsert", "det_person", "chunk_lines", "gen_nhs",
           "audit_export", "rebuild_email", "overlap_pairs", "stream_counts")
 

@@ -48,6 +48,23 @@ def line_starts(lines: str) -> str:
     return f"zip_with({ends}, {lines}, ({e}, {n}) -> {e} - length({n}))"
 
 
+def joined_lines(text: str, separator: str) -> str:
+    """Non-blank lines of a text joined by a separator."""
+    x = var("x")
+    return (f"array_join(filter(split({text}, '\\n', -1), {x} -> {not_blank(x)}), "
+            f"{lit(separator)})")
+
+
+def preview(text: str) -> str:
+    """The first 600 characters of the lines joined by spaces."""
+    return f"left({joined_lines(text, ' ')}, {PREVIEW_CHARS})"
+
+
+def snippet(text: str) -> str:
+    """The first 800 characters of the text as it is."""
+    return f"left({text}, {SNIPPET_CHARS})"
+
+
 def masked(value: str) -> str:
     return f"IF(length({value}) > 3, concat(left({value}, 3), '***'), '***')"
 

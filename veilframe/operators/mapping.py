@@ -1,8 +1,8 @@
 """Pseudonym mapping: original hash → fake value per session, with encrypted originals.
 
 MAPPING has one row per ``(session_id, original_hash)``:
-``session_id, entity_type, original_hash, real_value_encrypted, fake_value, document_hash,
-occurrences``.
+``record_id, session_id, entity_type, original_hash, real_value_encrypted, fake_value,
+created_utc, document_hash, occurrences``.
 """
 
 from __future__ import annotations
@@ -134,7 +134,9 @@ def build_mapping(spans: DataFrame, session_id: str, key: bytes, *, salt: str =
     if existing is not None:
         taken = existing.filter(F.col("session_id") == session_id)
         firsts = firsts.join(taken.select("original_hash"), "original_hash", "left_anti")
+    record = F.sha2(F.concat_ws("|", F.lit(session_id), "original_hash"), 256)
     sealed = firsts.select(
+        record.alias("record_id"), F.current_timestamp().alias("created_utc"),
         F.lit(session_id).alias("session_id"), "entity_type", "original_hash",
         F.expr(encrypt("original", key)).alias("real_value_encrypted"),
         F.expr(C.hex_hash("first_doc")).alias("document_hash"), "occurrences",
@@ -185,6 +187,12 @@ def purge(mapping: DataFrame, session_id: str) -> DataFrame:
     return mapping.filter(F.col("session_id") != session_id)
 
 
+def purge_to(mapping: DataFrame, session_id: str, path: str) -> int:
+    """Store the mapping without one session in a new folder; returns how many rows it had."""
+    write_mapping(purge(mapping, session_id), path)
+    return mapping.filter(F.col("session_id") == session_id).count()
+
+
 def write_mapping(mapping: DataFrame, path: str) -> None:
     """Append to a parquet table partitioned by session."""
     mapping.write.mode("append").partitionBy("session_id").parquet(path)

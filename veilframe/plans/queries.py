@@ -235,26 +235,22 @@ def spans_text(spark, sf):
     return doc_spans(spark, sf).select("doc_id", "chunk_ord", "start", "original")
 
 
-def _scrubbed_lines(df: DataFrame, name: str, separator: str) -> DataFrame:
-    """Non-blank scrubbed chunks of each document joined with a separator."""
-    kept = f"filter(split(scrubbed_text, '\\n', -1), l -> {X.not_blank('l')})"
-    return df.select("doc_id", F.expr(f"array_join({kept}, {lit(separator)})").alias(name))
-
-
 NOT_BLANK = "regexp_matches(new, '\\S')"
 
 
 @query("full_text", O.redacted() + " SELECT doc_id, coalesce(string_agg(new, chr(10) ORDER BY "
        f"chunk_ord) FILTER (WHERE {NOT_BLANK}), '') AS full_text FROM done GROUP BY doc_id")
 def full_text(spark, sf):
-    return _scrubbed_lines(redacted(spark, sf), "full_text", "\n")
+    return redacted(spark, sf).select("doc_id", F.expr(
+        X.joined_lines("scrubbed_text", "\n")).alias("full_text"))
 
 
 @query("preview", O.redacted() + " SELECT doc_id, substr(coalesce(string_agg(new, ' ' ORDER BY "
-       f"chunk_ord) FILTER (WHERE {NOT_BLANK}), ''), 1, 600) AS preview FROM done GROUP BY doc_id")
+       f"chunk_ord) FILTER (WHERE {NOT_BLANK}), ''), 1, 600) AS preview, substr(string_agg(new, "
+       "chr(10) ORDER BY chunk_ord), 1, 800) AS snippet FROM done GROUP BY doc_id")
 def preview(spark, sf):
-    joined = _scrubbed_lines(redacted(spark, sf), "joined", " ")
-    return joined.select("doc_id", F.expr(f"left(joined, {X.PREVIEW_CHARS})").alias("preview"))
+    return redacted(spark, sf).select("doc_id", F.expr(X.preview("scrubbed_text")).alias("preview"),
+                                      F.expr(X.snippet("scrubbed_text")).alias("snippet"))
 
 
 @query("masked_example", O.found() + " SELECT doc_id, chunk_ord, s AS start, CASE WHEN "
@@ -413,8 +409,8 @@ _detector("det_iban", "planted", ("IBAN_CODE",))
 _detector("det_ip", "documents", ("IP_ADDRESS",))
 _detector("det_date", "notes", ("DATE_TIME",))
 _detector("det_nrp", "letters", ("NRP",))
-_detector("det_all", "documents", R.ENTITIES, 0.3)
-_detector("det_all_planted", "planted", R.ENTITIES)
+_detector("detect_all", "documents", R.ENTITIES, 0.3)
+_detector("detect_planted", "planted", R.ENTITIES)
 
 
 def _with_gazetteer(df: DataFrame, entity: str, names: DataFrame) -> DataFrame:
