@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from veilframe.functions import rules as R
-from veilframe.functions.arrays import let, lit, running_sum, var
+from veilframe.functions.arrays import let, lit, running_max, running_sum, var
 
 SPAN_TYPE = "struct<start:int,end:int,entity:string,score:double,priority:int,rule:string>"
 NO_SPANS = f"cast(array() AS array<{SPAN_TYPE}>)"
@@ -159,24 +159,23 @@ def resolve(spans: str) -> str:
     """Non-overlapping spans in text order.
 
     Spans are first cut into runs that overlap each other, mostly of one or two spans;
-    the pairwise comparisons stay inside a run.
+    the pairwise comparisons stay inside a run. A run begins where no earlier span reaches.
     """
-    acc, s, r = var("acc"), var("s"), var("r")
-    zero = (f"named_struct('reach', -1, 'run', {NO_SPANS}, "
-            f"'runs', cast(array() AS array<array<{SPAN_TYPE}>>))")
-    grown = (f"named_struct('reach', greatest({acc}.reach, {s}.end), "
-             f"'run', array_append({acc}.run, {s}), 'runs', {acc}.runs)")
-    opened = (f"named_struct('reach', {s}.end, 'run', array({s}), "
-              f"'runs', array_append({acc}.runs, {acc}.run))")
+    s, i, p, j, r = var("s"), var("i"), var("p"), var("j"), var("r")
+
+    def runs(a: str, reach: str) -> str:
+        starts = (f"filter(sequence(0, size({a}) - 1), {i} -> {i} = 0 OR "
+                  f"get({a}, {i}).start >= get({reach}, {i} - 1))")
+        return let(starts, lambda ps: (
+            f"transform({ps}, ({p}, {j}) -> slice({a}, {p} + 1, "
+            f"coalesce(get({ps}, {j} + 1), size({a})) - {p}))"))
 
     def several(a: str) -> str:
-        runs = (f"aggregate(array_sort({a}), {zero}, ({acc}, {s}) -> "
-                f"IF({s}.start < {acc}.reach, {grown}, {opened}), "
-                f"{acc} -> array_append({acc}.runs, {acc}.run))")
-        return (f"array_sort(flatten(transform({runs}, {r} -> "
-                f"IF(size({r}) <= 1, {r}, {greedy(dedupe(r))}))))")
+        cut = let(running_max(f"transform({a}, {s} -> {s}.end)"), lambda reach: runs(a, reach))
+        return f"flatten(transform({cut}, {r} -> IF(size({r}) <= 1, {r}, {greedy(dedupe(r))})))"
 
-    return let(spans, lambda a: f"IF(size({a}) <= 1, {a}, {several(a)})")
+    return let(spans, lambda a: (
+        f"IF(size({a}) <= 1, {a}, array_sort({let(f'array_sort({a})', several)}))"))
 
 
 def find_spans(text: str, rules: Iterable[R.Rule],
