@@ -115,3 +115,34 @@ def test_display_helpers(spark):
     assert [(r["text"], r["is_label"]) for r in row.r] == [
         ("<b>\"O'Neil\" & ", False), ("[UK_NI_12]", True), ("\nALL CAPS LINE", False)]
     assert (row.m, row.yes, row.no, row.dot) == ("<b>***", True, False, False)
+
+
+def test_splice_and_rebuild_with_many_parts(spark):
+    """More parts than a segment holds, on one line and over lines, against plain slicing."""
+    rng = random.Random(11)
+    rows = []
+    for case in range(12):
+        lines = ["".join(rng.choice("abcé😀 ") for _ in range(rng.choice([3, 40, 900]))) + "\n"
+                 for _ in range(rng.choice([1, 2, 9]))]
+        parts, want = [], []
+        for k, line in enumerate(lines):
+            pos, out = 0, ""
+            while pos < len(line) - 3 and rng.random() < 0.995:
+                start = pos + rng.randrange(3)
+                end = min(start + rng.randrange(1, 4), len(line) - 1)
+                if end <= start:
+                    break
+                parts.append((k, start, end, f"<{len(parts)}>"))
+                out += line[pos:start] + parts[-1][3]
+                pos = end
+            want.append(out + line[pos:])
+        first = [p for p in parts if p[0] == 0]
+        rows.append(("".join(lines), parts, "".join(want), lines[0], first, want[0]))
+    kind = f"{L.PARTS_TYPE}"
+    df = spark.createDataFrame(
+        rows, f"text string, parts {kind}, want string, line string, first {kind}, one string")
+    got = df.select("want", "one", F.expr(L.rebuilt("text", "parts")).alias("r"),
+                    F.expr(S.splice("line", "first")).alias("s")).collect()
+    assert max(len(r[1]) for r in rows) > 3 * S.SEGMENT
+    for r in got:
+        assert r.r == r.want and r.s == r.one

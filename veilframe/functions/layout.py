@@ -81,16 +81,16 @@ def rebuilt(text: str, parts: str) -> str:
     p, i, o, x, q = (var(c) for c in "pioxq")
 
     def pieces(lines: str, a: str) -> str:
-        line = f"get({lines}, {p}.ord)"
-        before = f"IF(get({a}, {i} - 1).ord = {p}.ord, get({a}, {i} - 1).end, 0)"
+        gaps = S.texts_before(a, lambda x: f"get({lines}, {x}.ord)",
+                              lambda x, y: f"({x}.ord = {y}.ord)")
         tail = (f"IF(coalesce(get({a}, {i} + 1).ord, -1) = {p}.ord, '', "
-                f"substring({line}, {p}.end + 1))")
-        changed = (f"transform({a}, ({p}, {i}) -> named_struct('ord', {p}.ord, "
-                   f"'start', {p}.start, 'text', concat(substring({line}, {before} + 1, "
-                   f"{p}.start - {before}), {p}.value, {tail})))")
+                f"substring(get({lines}, {p}.ord), {p}.end + 1))")
         others = (f"transform(array_except(sequence(0, size({lines}) - 1), "
                   f"transform({a}, {q} -> {q}.ord)), {o} -> named_struct('ord', {o}, "
                   f"'start', 0, 'text', get({lines}, {o})))")
+        changed = let(gaps, lambda g: (
+            f"transform({a}, ({p}, {i}) -> named_struct('ord', {p}.ord, 'start', {p}.start, "
+            f"'text', concat(get({g}, {i}), {p}.value, {tail})))"))
         return (f"array_join(transform(array_sort(concat({changed}, {others})), "
                 f"{x} -> {x}.text), '')")
 

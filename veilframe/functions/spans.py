@@ -13,6 +13,7 @@ from veilframe.functions import rules as R
 from veilframe.functions.arrays import let, lit, running_max, running_sum, var
 
 SPAN_TYPE = "struct<start:int,end:int,entity:string,score:double,priority:int,rule:string>"
+SEGMENT = 64
 NO_SPANS = f"cast(array() AS array<{SPAN_TYPE}>)"
 
 
@@ -188,15 +189,50 @@ def span_text(text: str, s: str) -> str:
     return f"substring({text}, {s}.start + 1, {s}.end - {s}.start)"
 
 
+def texts_before(parts: str, line, same) -> str:
+    """``array<string>``: the text between each part and the previous one on its line.
+
+    ``line(p)`` is the line of a part and ``same(p, q)`` tells whether two parts share it.
+    A substring walks its text from the start, so long lines are first cut into segments
+    of SEGMENT parts.
+    """
+    b, i, p = var("b"), var("i"), var("p")
+
+    def at(index: str) -> str:
+        return f"get({parts}, {index})"
+
+    def end_before(index: str) -> str:
+        return f"IF({same(at(f'{index} - 1'), at(index))}, {at(f'{index} - 1')}.end, 0)"
+
+    head = f"({b} * {SEGMENT})"
+    last = at(f"least({head} + {SEGMENT - 1}, size({parts}) - 1)")
+    start = end_before(head)
+    segments = (f"transform(sequence(0, cast((size({parts}) - 1) div {SEGMENT} AS int)), {b} -> "
+                f"named_struct('from', {start}, 'text', IF({same(last, at(head))}, "
+                f"substring({line(at(head))}, {start} + 1, {last}.end - {start}), "
+                f"substring({line(at(head))}, {start} + 1))))")
+    block = f"cast({i} div {SEGMENT} AS int)"
+    before = end_before(i)
+
+    def cut(segs: str) -> str:
+        seg = f"get({segs}, {block})"
+        return (f"transform({parts}, ({p}, {i}) -> IF({same(at(f'{block} * {SEGMENT}'), p)}, "
+                f"substring({seg}.text, {before} - {seg}.from + 1, {p}.start - {before}), "
+                f"substring({line(p)}, {before} + 1, {p}.start - {before})))")
+
+    return let(segments, cut)
+
+
 def splice(text: str, parts: str) -> str:
     """Replace spans of ``text``; ``parts`` is ``array<struct<start,end,value>>`` in text order."""
     p, i = var("p"), var("i")
 
     def spliced(a: str) -> str:
-        before = f"coalesce(get({a}, {i} - 1).end, 0)"
-        return (f"concat(array_join(transform({a}, ({p}, {i}) -> concat(substring({text}, "
-                f"{before} + 1, {p}.start - {before}), {p}.value)), ''), "
-                f"substring({text}, element_at({a}, -1).end + 1))")
+        gaps = texts_before(a, lambda _: text, lambda x, y: f"({x} IS NOT NULL)")
+        return let(gaps, lambda g: (
+            f"concat(array_join(transform({a}, ({p}, {i}) -> "
+            f"concat(get({g}, {i}), {p}.value)), ''), "
+            f"substring({text}, element_at({a}, -1).end + 1))"))
 
     return let(parts, lambda a: f"IF(size({a}) = 0, {text}, {spliced(a)})")
 
