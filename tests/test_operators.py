@@ -68,7 +68,7 @@ def test_hot_split_join(spark):
     right = spark.createDataFrame([("hot", 200, "H")] + [(f"k{j}", 10, f"v{j}") for j in range(8)],
                                   "k string, n int, v string")
     got = {(r.i, r.v) for r in join_hot_split(left, right, "k", "n").collect()}
-    want = {(r.i, r.v) for r in left.join(right, "k").collect()}
+    want = {(r.i, r.v) for r in left.join(right, "k", "left").collect()}
     assert got == want and len(got) > 200
 
 
@@ -202,7 +202,7 @@ def test_folder(spark, tmp_path):
 
 def test_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text('name,email,ni\nAnn,a@b.org,AB123456C\n"B, b",b@b.org,\n')
-    rows = B.scrub_csv(spark, str(tmp_path / "t.csv")).orderBy("row_id").collect()
+    rows = B.scrub_csv(spark, str(tmp_path / "t.csv")).orderBy(FI.ROW).collect()
     assert [(r.name, r.email, r.ni) for r in rows] == [
         ("Ann", "[EMAIL_ADDRESS_1]", "[UK_NI_1]"), ("B, b", "[EMAIL_ADDRESS_2]", None)]
 

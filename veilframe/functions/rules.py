@@ -6,6 +6,7 @@ Patterns run with Unicode classes, like the Python ``re`` module on ``str``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -26,11 +27,12 @@ ENTITIES = (
 # Coarse gates: a text with none of these characters or words is skipped after one scan.
 DIGIT = r"\p{Nd}"
 AT = "@"
+COLON = ":"
 
 
 def initials(words: Iterable[str]) -> str:
     """Look-ahead for the first letters of ``words``; it fails fast at most positions."""
-    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
+    return "(?=[" + "".join(sorted({re.escape(w[0]) for w in words})) + "])"
 
 
 @dataclass(frozen=True)
@@ -151,7 +153,10 @@ GENERIC_RULES = (
     Rule("ipv6", "IP_ADDRESS",
          r"\b(?:(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}"
          r"|(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6})\b", 0.6,
-         gate=DIGIT, needs=r":[0-9A-F]{0,4}:"),
+         gate=COLON, needs=r":[0-9A-F]{0,4}:"),
+    Rule("ipv6_short", "IP_ADDRESS",
+         r"(?:^|[^0-9A-Za-z:.])::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4}\b|\bfe80::", 0.6,
+         gate=COLON, needs=r"::", lead=r"^[^:f]+"),
     Rule("date_iso", "DATE_TIME", r"\b\d{4}-\d{2}-\d{2}\b", 0.6,
          gate=DIGIT, needs=r"\d{4}-\d{2}-\d{2}"),
     Rule("date_numeric", "DATE_TIME", r"\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b", 0.6,

@@ -7,6 +7,7 @@ use them with ``F.expr``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from veilframe.functions import rules as R
@@ -59,10 +60,13 @@ def may_match(text: str, rules: Iterable[R.Rule]) -> str:
     if any(r.gate is None and not r.gate_words for r in rules):
         return "true"
     chars = "".join(sorted({r.gate for r in rules if r.gate}))
-    words = sorted({w for r in rules for w in r.gate_words})
     tests = [f"[{chars}]"] if chars else []
-    if words:
-        tests.append(f"{R.initials(words)}(?:{'|'.join(words)})")
+    for flags, folds in (("", False), ("(?iu)", True)):
+        words = sorted({w for r in rules for w in r.gate_words if r.ignore_case is folds})
+        if words:
+            listed = "|".join(map(re.escape, words))
+            head = "" if folds else R.initials(words)
+            tests.append(f"{head}(?:{listed})" if not flags else f"(?:{flags}(?:{listed}))")
     return f"{text} RLIKE {lit('|'.join(tests))}"
 
 

@@ -35,14 +35,17 @@ def count_map(hits: str = "hits") -> Column:
     return F.map_from_entries(F.expr(L.entity_counts(hits)))
 
 
-def audit_entries(scrubbed: DataFrame, *, source: str, output: str = "scrubbed_text",
+def audit_entries(scrubbed: DataFrame, *, source: str | None, output: str = "scrubbed_text",
                   mode: str, threshold: float, duration_ms: int = 0,
                   operator: str | None = None, session_id: str | None = None,
                   timestamp: datetime | None = None, error: str | None = None,
-                  keys: tuple[str, ...] = (), counts: Column | None = None) -> DataFrame:
+                  keys: tuple[str, ...] = (), counts: Column | None = None,
+                  document: str | None = None) -> DataFrame:
     """One entry per document of a table with a source and an output, text or bytes.
 
-    ``counts`` is a ``map<entity, count>``, by default taken from ``hits``.
+    ``counts`` is a ``map<entity, count>``, by default taken from ``hits``. Without
+    ``source`` the table has ``source_hash``. ``document`` is the document's key (by default
+    the first of ``keys``); it makes the event ids of equal texts differ.
 
     ``error`` names an optional column with an error class; a failed document is logged
     with the flag set and the hash of the empty text as output.
@@ -50,12 +53,15 @@ def audit_entries(scrubbed: DataFrame, *, source: str, output: str = "scrubbed_t
     failed = F.lit(False) if error is None else F.col(error).isNotNull()
     message = F.lit("") if error is None else F.coalesce(F.col(error), F.lit(""))
     when = F.current_timestamp() if timestamp is None else F.lit(timestamp)
-    source_hash, output_hash = F.sha2(source, 256), F.sha2(output, 256)
+    source_hash = F.col("source_hash") if source is None else F.sha2(source, 256)
+    output_hash = F.sha2(output, 256)
+    document = document or (keys[0] if keys else None)
+    own = F.lit("") if document is None else F.coalesce(F.col(document).cast("string"), F.lit(""))
     empty_hash = F.expr(C.hex_hash("''"))
     return scrubbed.select(
         *keys,
         F.sha2(F.concat_ws("|", source_hash, F.lit(mode), F.lit(session_id or ""),
-                           when.cast("string")), 256).alias("event_id"),
+                           when.cast("string"), own), 256).alias("event_id"),
         when.alias("timestamp_utc"), source_hash.alias("source_hash"),
         F.when(failed, empty_hash).otherwise(output_hash).alias("output_hash"),
         F.lit(operator or operator_hash()).alias("operator_hash"),

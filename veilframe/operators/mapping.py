@@ -35,9 +35,12 @@ def derive_key(passphrase: str, salt: bytes, iterations: int = KDF_ITERATIONS) -
 
 
 def hide_keys(spark: SparkSession) -> None:
-    """Keep key literals out of plan texts, unless the session redacts plans already."""
-    if not spark.conf.get("spark.sql.redaction.string.regex", None):
+    """Keep key literals out of plan texts, besides what the session redacts already."""
+    own = spark.conf.get("spark.sql.redaction.string.regex", None)
+    if not own:
         spark.conf.set("spark.sql.redaction.string.regex", KEY_PATTERN)
+    elif KEY_PATTERN not in own:
+        spark.conf.set("spark.sql.redaction.string.regex", f"{own}|{KEY_PATTERN}")
 
 
 def originals(spans: DataFrame, doc: str = "doc_id") -> DataFrame:

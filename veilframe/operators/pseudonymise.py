@@ -16,7 +16,8 @@ from veilframe.functions.arrays import var
 from veilframe.operators.detect import (chunk_span_rows, pick_rules, span_rows, with_hits,
                                         with_spans)
 from veilframe.operators.gazetteer import find_entries
-from veilframe.session import join_hot_split, union_parts
+from veilframe.operators.redact import CHUNK, text_hash
+from veilframe.session import join_hot_split, join_null_safe, union_parts
 
 _PART = "struct(chunk_ord AS ord, start, end, fake_value AS value)"
 
@@ -25,11 +26,14 @@ def mapped_spans(spans: DataFrame, mapping: DataFrame) -> DataFrame:
     """Span rows with the fake of their original.
 
     A value with very many occurrences, known from the mapping, is joined by broadcast;
-    all others by a shuffle.
+    all others by a shuffle. A value that the mapping does not know, for example because a
+    model answered differently this time, becomes ``[TYPE_FAKE]`` and never stays in clear.
     """
     table = mapping.select("original_hash", "fake_value", "occurrences")
     hashed = spans.withColumn("original_hash", F.expr(C.hex_hash("original")))
-    return join_hot_split(hashed, table, "original_hash", "occurrences")
+    unknown = F.concat(F.lit("["), F.coalesce("entity_type", F.lit("UNKNOWN")), F.lit("_FAKE]"))
+    return join_hot_split(hashed, table, "original_hash", "occurrences").withColumn(
+        "fake_value", F.coalesce("fake_value", unknown))
 
 
 def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataFrame, *,
@@ -40,21 +44,24 @@ def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataF
 
     Only spans are shuffled to the mapping; a group is one document's spans. Texts without
     the signs of any rule are not shuffled at all. ``spans`` are resolved span rows of any
-    detector, used instead of the rules.
+    detector, keyed by ``(doc, CHUNK)`` and used instead of the rules. Every row comes out:
+    a null text stays null, and rows with a null or repeated ``doc`` are told apart by
+    their text.
     """
     likely = "true"
     if spans is None:
         chosen = pick_rules(None, rules)
         likely = S.may_match(text, chosen)
-        spans = span_rows(with_hits(texts.filter(likely), text, rules=chosen,
-                                    threshold=threshold), doc)
-    parts = (mapped_spans(spans, mapping)
-             .groupBy(doc).agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
-    changed = (texts.filter(likely).join(parts, doc, "left")
+        spans = span_rows(with_hits(texts.filter(likely).select("*", text_hash(text)), text,
+                                    rules=chosen, threshold=threshold), doc, CHUNK)
+    parts = (mapped_spans(spans, mapping).groupBy(doc, CHUNK)
+             .agg(F.array_sort(F.collect_set(F.expr(_PART))).alias("_parts")))
+    some = texts.filter(likely).select("*", text_hash(text))
+    changed = (join_null_safe(some, parts, [doc, CHUNK]).drop(CHUNK)
                .withColumn("_parts", F.expr(
                    f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
                .withColumn("scrubbed_text", F.expr(L.rebuilt(text, "_parts"))).drop("_parts"))
-    rest = (texts.filter(f"NOT ({likely})")
+    rest = (texts.filter(f"NOT coalesce({likely}, false)")
             .withColumn("scrubbed_text", F.expr(X.normalised(text))))
     return union_parts(changed, rest)
 
@@ -68,15 +75,18 @@ def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
     if spans is None:
         chosen = pick_rules(None, rules)
         likely = S.may_match(text, chosen)
-        spans = chunk_span_rows(with_spans(chunks.filter(likely), text, rules=chosen,
-                                           threshold=threshold), doc, order, text=text)
-    parts = (mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping).groupBy(doc, order)
-             .agg(F.array_sort(F.collect_list(F.expr(_PART))).alias("_parts")))
-    changed = (chunks.filter(likely).join(parts, [doc, order], "left")
+        spans = chunk_span_rows(
+            with_spans(chunks.filter(likely).select("*", text_hash(text)), text, rules=chosen,
+                       threshold=threshold), doc, order, CHUNK, text=text)
+    keys = [doc, order, CHUNK]
+    parts = (mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping).groupBy(*keys)
+             .agg(F.array_sort(F.collect_set(F.expr(_PART))).alias("_parts")))
+    some = chunks.filter(likely).select("*", text_hash(text))
+    changed = (join_null_safe(some, parts, keys).drop(CHUNK)
                .withColumn("_parts", F.expr(
                    f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
                .withColumn("scrubbed_text", F.expr(S.splice(text, "_parts"))).drop("_parts"))
-    rest = chunks.filter(f"NOT ({likely})").withColumn("scrubbed_text", F.col(text))
+    rest = chunks.filter(f"NOT coalesce({likely}, false)").withColumn("scrubbed_text", F.col(text))
     return union_parts(changed, rest)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import layout as L
@@ -12,9 +12,10 @@ from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import var
 from veilframe.operators.detect import pick_rules
-from veilframe.session import materialise, union_parts
+from veilframe.session import join_null_safe, materialise, union_parts
 
 BLOCK = 4096
+CHUNK = "_chunk_hash"
 
 
 def redact_documents(found: DataFrame, text: str = "text") -> DataFrame:
@@ -32,27 +33,34 @@ def label_rows(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.expr(f"inline({rows})"))
 
 
+def text_hash(text: str) -> Column:
+    """Third part of a chunk's key, so that repeated keys never mix their spans."""
+    return F.xxhash64(text).alias(CHUNK)
+
+
 def label_bases(spans: DataFrame, doc: str, order: str) -> DataFrame:
     """Per chunk, how many labels of each entity earlier chunks of the document used.
 
+    Chunks are told apart by ``(doc, order, CHUNK)``; null documents are one document.
+
     A running count over a whole document would put a document with a third of all chunks
     into one task. Chunks are therefore numbered inside blocks of BLOCK positions, and
     only block totals are accumulated per document.
     """
     per_entity = L.entity_counts("array(named_struct('spans', spans))")
-    counts = (spans.select(doc, order, F.expr(f"inline({per_entity})"))
+    counts = (spans.select(doc, order, CHUNK, F.expr(f"inline({per_entity})"))
               .withColumn("block", F.floor(F.col(order) / BLOCK)))
-    before = Window.partitionBy(doc, "entity", "block").orderBy(order).rowsBetween(
+    before = Window.partitionBy(doc, "entity", "block").orderBy(order, CHUNK).rowsBetween(
         Window.unboundedPreceding, -1)
     blocks_before = Window.partitionBy(doc, "entity").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
     totals = counts.groupBy(doc, "entity", "block").agg(F.sum("n").alias("total"))
     starts = totals.select(doc, "entity", "block", F.coalesce(
         F.sum("total").over(blocks_before), F.lit(0)).alias("block_base"))
-    inside = counts.select(doc, order, "entity", "block", F.coalesce(
+    inside = counts.select(doc, order, CHUNK, "entity", "block", F.coalesce(
         F.sum("n").over(before), F.lit(0)).alias("chunk_base"))
-    return (inside.join(starts, [doc, "entity", "block"])
-            .groupBy(doc, order)
+    return (join_null_safe(inside, starts, [doc, "entity", "block"])
+            .groupBy(doc, order, CHUNK)
             .agg(F.map_from_entries(F.collect_list(F.struct(
                 "entity", (F.col("chunk_base") + F.col("block_base")).cast("int").alias("base"))))
                 .alias("bases")))
@@ -67,29 +75,36 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
     Detection runs once: its spans, which are offsets without any text, are written to the
     checkpoint folder and numbered from there. Chunks without the signs of any rule pass
     through untouched; only the others are joined to their labels, on the chunk key.
+
+    Every row comes out: a null text stays null, rows with a null ``doc`` are one document,
+    rows that repeat a key and its text share their labels.
     """
     chosen = pick_rules(entities, rules)
     likely = S.may_match(text, chosen)
     some = var("s")
     found = S.find_spans(text, chosen, threshold)
-    spans = chunks.filter(likely).select(doc, order, F.explode(F.expr(
+    spans = chunks.filter(likely).select(doc, order, text_hash(text), F.explode(F.expr(
         f"filter(array({found}), {some} -> size({some}) > 0)")).alias("spans"))
     return label_chunks(chunks, materialise(spans), doc, order, text, likely)
 
 
 def label_chunks(chunks: DataFrame, spans: DataFrame, doc: str, order: str, text: str,
                  likely: str = "true") -> DataFrame:
-    """Label given ``spans`` per chunk; chunks for which ``likely`` is false have none."""
+    """Label given ``spans`` per chunk, keyed by ``(doc, order, CHUNK)``; chunks for which
+    ``likely`` is false or null have none."""
     as_hits = "array(named_struct('ord', 0, 'spans', spans))"
-    labels = (spans.join(label_bases(spans, doc, order), [doc, order])
-              .select(doc, order, "spans",
+    keys = [doc, order, CHUNK]
+    spans = spans.dropDuplicates(keys)
+    labels = (join_null_safe(spans, label_bases(spans, doc, order), keys)
+              .select(*keys, "spans",
                       F.expr(L.labelled(L.numbered(as_hits, "bases"))).alias("parts")))
     no_parts = f"cast(array() AS {L.PARTS_TYPE})"
-    changed = (chunks.filter(likely).join(labels, [doc, order], "left")
+    some = chunks.filter(likely).select("*", text_hash(text))
+    changed = (join_null_safe(some, labels, keys).drop(CHUNK)
                .withColumn("spans", F.expr(f"coalesce(spans, {S.NO_SPANS})"))
                .withColumn("parts", F.expr(f"coalesce(parts, {no_parts})"))
                .withColumn("scrubbed_text", F.expr(S.splice(text, "parts"))))
-    rest = (chunks.filter(f"NOT ({likely})")
+    rest = (chunks.filter(f"NOT coalesce({likely}, false)")
             .withColumn("spans", F.expr(S.NO_SPANS))
             .withColumn("parts", F.expr(no_parts))
             .withColumn("scrubbed_text", F.col(text)))
@@ -103,17 +118,19 @@ SPAN_OF_ROW = ("named_struct('start', start, 'end', end, 'entity', entity_type,
 def redact_chunk_rows(chunks: DataFrame, rows: DataFrame, doc: str, order: str,
                       text: str) -> DataFrame:
     """Label resolved span rows of any detector in a chunk table."""
-    spans = rows.groupBy(doc, order).agg(F.collect_list(F.expr(SPAN_OF_ROW)).alias("spans"))
+    spans = rows.groupBy(doc, order, CHUNK).agg(
+        F.collect_list(F.expr(SPAN_OF_ROW)).alias("spans"))
     return label_chunks(chunks, materialise(spans), doc, order, text)
 
 
 def redact_document_rows(docs: DataFrame, rows: DataFrame, doc: str, text: str) -> DataFrame:
-    """Label resolved span rows ``(doc, chunk_ord, …)`` of any detector in whole documents.
+    """Label resolved span rows ``(doc, CHUNK, chunk_ord, …)`` of any detector in documents.
 
     Adds ``hits``, ``parts`` and ``scrubbed_text``; a group is one document's spans.
     """
     hit = f"named_struct('ord', chunk_ord, 'spans', array({SPAN_OF_ROW}))"
-    per_doc = rows.groupBy(doc).agg(F.collect_list(F.expr(hit)).alias("hits"))
-    joined = docs.join(per_doc, doc, "left").withColumn("hits", F.expr(
+    per_doc = rows.groupBy(doc, CHUNK).agg(F.collect_list(F.expr(hit)).alias("hits"))
+    keyed = docs.select("*", text_hash(text))
+    joined = join_null_safe(keyed, per_doc, [doc, CHUNK]).drop(CHUNK).withColumn("hits", F.expr(
         f"coalesce(hits, cast(array() AS array<struct<ord:int,spans:array<{S.SPAN_TYPE}>>>))"))
     return redact_documents(joined, text)

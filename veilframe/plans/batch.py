@@ -2,63 +2,157 @@
 
 from __future__ import annotations
 
+import hmac
+import time
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions import layout as L
 from veilframe.functions import rules as R
+from veilframe.functions import spans as S
+from veilframe.functions import text as X
+from veilframe.functions.arrays import var
 from veilframe.operators import audit as A
-from veilframe.operators.detect import with_hits
+from veilframe.operators import mapping as M
+from veilframe.operators.detect import pick_rules, span_rows
+from veilframe.operators.gazetteer import Gazetteer
 from veilframe.operators.guard import assert_no_private_columns
-from veilframe.operators.redact import redact_chunks, redact_documents
-from veilframe.session import spread, union_parts
-from veilframe.sources import chunks as CH
+from veilframe.operators.model import Model
+from veilframe.operators.pseudonymise import mapped_spans
+from veilframe.operators.redact import CHUNK, SPAN_OF_ROW, label_bases
+from veilframe.plans.scrub import (PSEUDONYMISE, REDACT, detector_spans, session_fakes,
+                                   written_once)
+from veilframe.session import join_null_safe, materialise, spread, union_parts
+from veilframe.sources import csvfile as CSV
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
 
 
 @dataclass(frozen=True)
 class Batch:
-    """``outputs``: path, output path and new bytes; ``entries``: the audit rows;
-    ``rejects``: files of a format that is not handled, with the reason."""
+    """``done``: a row per file that has a reader: path, format, output_path, content (the new
+    bytes, null after an error), source_hash, counts, error. ``rejects``: files of a format
+    that is not handled, with the reason. ``mapping``: rows to append, in pseudonymise mode.
+    """
 
-    outputs: DataFrame
-    entries: DataFrame
+    done: DataFrame
     rejects: DataFrame
-
-
-def scrub_folder(spark: SparkSession, folder: str,
-                 threshold: float = R.DEFAULT_THRESHOLD) -> Batch:
-    """Redact all text and mail files below ``folder``; sub-folders are kept in the names.
-
-    A file that fails becomes an audit entry with an error class and no output.
+    mode: str
+    threshold: float
+    session_id: str | None = None
+    mapping: DataFrame | None = None
+
+    @property
+    def outputs(self) -> DataFrame:
+        return self.done.filter("error IS NULL").select("path", "output_path", "content")
+
+    @property
+    def entries(self) -> DataFrame:
+        return batch_entries(self, self.done)
+
+
+def batch_entries(batch: Batch, done: DataFrame, duration_ms: int = 0) -> DataFrame:
+    """One audit entry for each row of ``done``."""
+    return A.audit_entries(
+        done, source=None, output="content", mode=batch.mode, threshold=batch.threshold,
+        counts=F.coalesce("counts", F.expr("cast(map() AS map<string,bigint>)")), error="error",
+        session_id=batch.session_id, document="path", duration_ms=duration_ms)
+
+
+def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_THRESHOLD, *,
+                 mode: str = REDACT, entities: Iterable[str] | str | None = None,
+                 rules: Iterable[R.Rule] | None = None, gazetteers: Iterable[Gazetteer] = (),
+                 model: Callable[[], Model] | None = None, session_id: str | None = None,
+                 key: bytes | None = None, mapping: DataFrame | None = None) -> Batch:
+    """Scrub all text, CSV and mail files below ``folder``; sub-folders are kept in the names.
+
+    A file is one row with an array of chunks: lines, cells, or headers and bodies. In
+    pseudonymise mode all files share one session and its mapping. A file that cannot be
+    read or written becomes an audit entry with an error class and has no output.
     """
+    if mode not in (REDACT, PSEUDONYMISE):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == PSEUDONYMISE and key is None:
+        raise ValueError("pseudonymise mode needs a key, see derive_key")
+    if isinstance(entities, str):
+        entities = R.parse_entities(entities)
+    how = {"rules": pick_rules(entities, rules), "threshold": threshold}
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = raw.select("path", "content")
     known = FI.discover(files)
-    texts = (known.filter("format = 'txt'")
-             .withColumn("text", F.expr(FI.X.utf8("content"))))
-    done = redact_documents(with_hits(texts, threshold=threshold))
-    from_texts = done.select(
-        "path", "content", F.encode("scrubbed_text", "UTF-8").alias("scrubbed_content"),
-        A.count_map().alias("counts"), F.lit(None).cast("string").alias("error"))
-    mails = EM.scrub_mails(known.filter("format = 'eml'").select("path", "content"),
-                           threshold=threshold)
-    from_mails = mails.select("path", "content", "scrubbed_content",
-                              F.from_json("entity_counts", "map<string,bigint>").alias("counts"),
-                              "error")
-    both = union_parts(from_texts, from_mails)
-    outputs = both.filter("error IS NULL").select(
-        "path", FI.output_name("path").alias("output_path"),
-        F.col("scrubbed_content").alias("content"))
-    entries = A.audit_entries(both, source="content", output="scrubbed_content", mode="redact",
-                              threshold=threshold, counts=F.col("counts"), error="error")
+    found, spans = _detect(_parsed(known), tuple(gazetteers), model, entities, how)
+
+    fresh = None
+    if mode == REDACT:
+        found = found.withColumn("parts", F.expr(L.labelled(L.numbered("hits"))))
+    else:
+        session_id = session_id or str(uuid.uuid4())
+        secret = hmac.new(key, session_id.encode(), "sha256").hexdigest()
+        fresh = M.build_mapping(spans, session_id, key, salt=secret, existing=mapping, doc="path")
+        fakes = session_fakes(fresh, mapping, session_id, spans)
+        parts = mapped_spans(spans, fakes).groupBy("path").agg(F.array_sort(F.collect_list(F.expr(
+            "struct(chunk_ord AS ord, start, end, fake_value AS value)"))).alias("parts"))
+        found = join_null_safe(found, parts, ["path"]).withColumn("parts", F.expr(
+            f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
+
+    keep = ["path", "format", "content", "counts", "error"]
+    ready = found.withColumn("counts", A.count_map()).drop("hits")
+    texts = ready.filter("format = 'txt'").select(*keep, F.encode(F.expr(
+        L.rebuilt(FI.X.utf8("content"), "parts")), "UTF-8").alias("new"))
+    parts = [texts]
+    for kind, write in (("eml", EM._write), ("csv", CSV.write)):
+        rows = ready.filter(F.col("format") == kind).select(
+            *keep, F.expr(EM.spliced_chunks()).alias("_chunks"))
+        parts.append(EM.write_mails(rows, "content", "_chunks", "new", write))
+    done = reduce(union_parts, parts).select(
+        "path", "format", FI.output_name("path").alias("output_path"), F.col("new").alias("content"),
+        F.sha2("content", 256).alias("source_hash"), "counts", "error")
     rejects = (FI.format_errors(files.select("path"))
                .withColumn("error", F.expr(
                    f"coalesce(error, IF(format NOT IN ({_handled()}), 'no reader here', NULL))"))
                .filter("error IS NOT NULL"))
-    return Batch(outputs, entries, rejects)
+    return Batch(done, rejects, mode, threshold, session_id if mode == PSEUDONYMISE else None, fresh)
+
+
+def _parsed(known: DataFrame) -> DataFrame:
+    """``path, content, format, error, chunks`` of the files that have a reader."""
+    columns = ["path", "content", "format", "error", "chunks"]
+    x = var("x")
+    lines = (f"transform({L.chunks_of(FI.X.utf8('content'))}, {x} -> named_struct('ord', {x}.ord, "
+             f"'part', cast(NULL AS string), 'content_type', cast(NULL AS string), "
+             f"'text', {x}.text))")
+    out = known.filter("format = 'txt'").select(
+        "path", "content", "format", F.lit(None).cast("string").alias("error"),
+        F.expr(lines).alias("chunks"))
+    for kind, parse in (("eml", EM._parse), ("csv", CSV.parse)):
+        rows = known.filter(F.col("format") == kind).select("path", "content", "format")
+        out = union_parts(out, EM.parse_mails(rows, "content", parse).select(*columns))
+    return out
+
+
+def _detect(parsed: DataFrame, gazetteers: tuple[Gazetteer, ...], model, entities,
+            how: dict) -> tuple[DataFrame, DataFrame]:
+    """``parsed`` with ``hits``, and the same spans as rows ``(path, chunk_ord, …)``."""
+    if not gazetteers and model is None:
+        found = EM.hits_of_parsed(parsed, how["rules"], how["threshold"])
+        return found, span_rows(found, "path")
+    chunks = parsed.select("path", F.lit(0).alias(CHUNK), F.expr("inline(chunks)")).select(
+        "path", CHUNK, F.col("ord").alias("chunk_ord"), F.col("text").alias("_text"))
+    keys = ["path", CHUNK, "chunk_ord"]
+    rows = detector_spans(chunks, keys, gazetteers, model,
+                          None if entities is None else set(entities), how)
+    if model is not None:
+        rows = written_once(rows, chunks, keys)
+    hit = f"named_struct('ord', chunk_ord, 'text', '', 'spans', array({SPAN_OF_ROW}))"
+    per_file = rows.groupBy("path").agg(F.collect_list(F.expr(hit)).alias("hits"))
+    found = join_null_safe(parsed, per_file, ["path"]).withColumn("hits", F.expr(
+        f"coalesce(hits, cast(array() AS array<{L.HIT_TYPE}>))"))
+    return found, rows
 
 
 def _handled() -> str:
@@ -66,33 +160,65 @@ def _handled() -> str:
 
 
 def write_outputs(batch: Batch, outputs: str, log: str) -> None:
-    """Store outputs as parquet and append the audit entries."""
-    assert_no_private_columns(batch.outputs).write.mode("errorifexists").parquet(outputs)
-    A.append_entries(batch.entries, log)
+    """Store outputs as parquet and append the audit entries.
+
+    Files are scrubbed once: the entries are made from the stored rows, so a logged hash is
+    that of the stored bytes. The logged duration is each file's share of the time taken.
+    """
+    begun = time.monotonic()
+    assert_no_private_columns(batch.done).write.mode("errorifexists").parquet(outputs)
+    spent = (time.monotonic() - begun) * 1000
+    stored = batch.done.sparkSession.read.parquet(outputs)
+    A.append_entries(batch_entries(batch, stored, int(spent / max(stored.count(), 1))), log)
 
 
 def scrub_table(df: DataFrame, row: str, columns: list[str], table: str | None = None,
-                threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+                threshold: float = R.DEFAULT_THRESHOLD,
+                rules: Iterable[R.Rule] | None = None) -> DataFrame:
     """Redact the cells of ``columns``, numbered over the whole table (or per ``table``).
 
-    ``row`` is a whole number that orders the rows. Empty cells come back as NULL.
+    ``row`` is a whole number that orders the rows; a row is one chunk with an array of cells,
+    so cells are neither exploded nor pivoted. Every row comes out, with cells as text
+    without outer white space; null and blank cells stay as they are.
     """
-    keyed = df.withColumn("_table", F.lit("") if table is None else F.col(table))
-    keyed = spread(keyed, row)
-    cells = CH.cell_chunks(keyed, row, [*columns, "_table"])
-    owner = keyed.select(F.col(row).alias("row_id"), "_table")
-    if table is None:
-        placed = cells.withColumn("_table", F.lit(""))
-    else:
-        placed = cells.join(owner, "row_id")
-    placed = (placed.filter("col_name != '_table'")
-              .withColumn("position", F.col("row_id") * len(columns) + F.col("col")))
-    done = redact_chunks(placed, "_table", "position", threshold=threshold)
-    return CH.rebuild_table(done, columns, "scrubbed_text").withColumnRenamed("row_id", row)
+    chosen = pick_rules(None, rules)
+    keyed = spread(df.select(
+        (F.lit("") if table is None else F.col(f"`{table}`")).alias("_table"),
+        F.col(f"`{row}`").alias("_row"),
+        F.array(*[F.col(f"`{c}`").cast("string") for c in columns]).alias("_cells")), "_row")
+    x, i, h, y = var("x"), var("i"), var("h"), var("y")
+    clean = F.expr(f"transform(_cells, {x} -> IF({x} IS NULL OR NOT {X.not_blank(x)}, {x}, "
+                   f"{X.stripped(x)}))")
+    keyed = keyed.withColumn("_cells", clean).withColumn(CHUNK, F.xxhash64("_cells"))
+    likely = f"coalesce({S.may_match(f'array_join(_cells, {chr(39)} {chr(39)})', chosen)}, false)"
+    cells = (f"filter(transform(_cells, ({x}, {i}) -> named_struct('ord', {i}, 'text', {x})), "
+             f"{y} -> {y}.text IS NOT NULL)")
+    hits = L.hits_of_chunks(cells, chosen, threshold)
+    offsets = f"transform({hits}, {h} -> named_struct('ord', {h}.ord, 'text', '', 'spans', {h}.spans))"
+    keys = ["_table", "_row", CHUNK]
+    spans = materialise(
+        keyed.filter(likely).select(*keys, F.expr(offsets).alias("hits")).filter("size(hits) > 0")
+        .dropDuplicates(keys))
+    flat = spans.select(*keys, F.expr(f"flatten(transform(hits, {h} -> {h}.spans))").alias("spans"))
+    labels = join_null_safe(spans, label_bases(flat, "_table", "_row"), keys).select(
+        *keys, F.expr(L.labelled(L.numbered("hits", "bases"))).alias("parts"))
+    changed = join_null_safe(keyed.filter(likely), labels, keys).withColumn("parts", F.expr(
+        f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
+    rest = keyed.filter(f"NOT {likely}").withColumn(
+        "parts", F.expr(f"cast(array() AS {L.PARTS_TYPE})"))
+
+    def cell(k: int) -> str:
+        own = f"filter(parts, {x} -> {x}.ord = {k})"
+        return f"IF(_cells[{k}] IS NULL, NULL, {S.splice(f'_cells[{k}]', own)})"
+
+    names = [F.col("_row").alias(row), *([] if table is None else [F.col("_table").alias(table)])]
+    return union_parts(changed, rest).select(
+        *names, *[F.expr(cell(k)).alias(c) for k, c in enumerate(columns)])
 
 
 def scrub_csv(spark: SparkSession, path: str, threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
-    """Redact every cell of CSV files; each file has its own numbering."""
+    """Redact every cell of large CSV files with one header, split over many tasks; each file
+    has its own numbering. Adds ``FI.PATH`` and ``FI.ROW``."""
     rows = FI.read_csv(spark, path)
-    columns = [c for c in rows.columns if c not in ("path", "row_id")]
-    return scrub_table(rows, "row_id", columns, "path", threshold)
+    columns = [c for c in rows.columns if c not in (FI.PATH, FI.ROW)]
+    return scrub_table(rows, FI.ROW, columns, FI.PATH, threshold)

@@ -28,6 +28,7 @@ from veilframe.operators import mapping as M
 from veilframe.operators import pseudonymise as P
 from veilframe.operators import redact as RD
 from veilframe.operators import summary as U
+from veilframe.plans import batch as B
 from veilframe.plans import corpora as Q
 from veilframe.plans import oracle as O
 from veilframe.plans.scrub import scrub
@@ -208,11 +209,59 @@ CELL_CHUNKS = " UNION ALL ".join(
        "max(new) FILTER (WHERE chunk_ord % 3 = 1) AS variant, "
        "max(new) FILTER (WHERE chunk_ord % 3 = 2) AS text FROM done GROUP BY 1")
 def rebuild_table(spark, sf):
-    cells = (CH.cell_chunks(planted(spark, sf), "doc_id", ["doc_id", "variant", "text"])
-             .withColumn("table", F.lit("planted"))
-             .withColumn("position", F.col("row_id") * 3 + F.col("col")))
-    done = RD.redact_chunks(cells, "table", "position")
-    return CH.rebuild_table(done, ["doc_id", "variant", "text"], "scrubbed_text")
+    rows = planted(spark, sf).withColumn("row_id", F.col("doc_id"))
+    return B.scrub_table(rows, "row_id", ["doc_id", "variant", "text"])
+
+
+BLANK_TABLE = """SELECT c_custkey AS row_id,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN ' ' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE
+    'c' || cast(c_custkey AS string) || '@example.com' END AS mail FROM {customer}"""
+BLANK_CELLS = " UNION ALL ".join(
+    f"SELECT 1 AS doc_id, CAST(row_id * 2 + {i} AS BIGINT) AS chunk_ord, {c} AS text FROM "
+    f"({Q.portable(BLANK_TABLE)}) AS b{i} WHERE trim({c}) <> ''" for i, c in enumerate(("name", "mail")))
+
+
+@query("rebuild_blanks", O.redacted("", chunks=BLANK_CELLS) + f" SELECT b.row_id, coalesce(n.new, "
+       f"b.name) AS name, coalesce(m.new, b.mail) AS mail FROM ({Q.portable(BLANK_TABLE)}) AS b "
+       "LEFT JOIN done AS n ON n.chunk_ord = b.row_id * 2 LEFT JOIN done AS m ON m.chunk_ord = "
+       "b.row_id * 2 + 1")
+def rebuild_blanks(spark, sf):
+    """Blank cells and rows of blanks come back as they were."""
+    return B.scrub_table(Q.view(spark, sf, BLANK_TABLE), "row_id", ["name", "mail"])
+
+
+NULL_CHUNKS = f"""SELECT CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id END AS conv,
+  conv_id * 1000 + turn AS place, CASE WHEN turn % 4 = 3 THEN NULL ELSE text END AS text
+FROM ({Q.SIGNED}) AS g"""
+
+
+@query("scrub_nulls", O.redacted("", chunks="SELECT coalesce(conv, -1) AS doc_id, place AS chunk_ord, "
+       f"text FROM ({Q.portable(NULL_CHUNKS)}) AS n") + " SELECT nullif(doc_id, -1) AS conv, chunk_ord "
+       "AS place, new AS scrubbed_text FROM done")
+def scrub_nulls(spark, sf):
+    """Null texts stay, and rows with a null key are one document that is scrubbed as well."""
+    chunks = spread(Q.view(spark, sf, NULL_CHUNKS), "place")
+    return RD.redact_chunks(chunks, "conv", "place").select("conv", "place", "scrubbed_text")
+
+
+NULL_DOCS = """SELECT doc_id AS n, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 50 END AS doc,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS text FROM {documents}"""
+
+
+@query("pseudo_nulls", "WITH " + O.mapped(
+    SESSION, source="SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0", rules=MAPPED_RULES,
+    threshold=LOW) + ", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s JOIN mapping "
+    "AS m ON m.original_hash = sha256(s.original)), " + O.spliced() + ", whole AS ("
+    + O.WHOLE.format("t") + ") SELECT d.doc_id AS n, t AS scrubbed_text FROM documents AS d LEFT JOIN "
+    "whole AS w USING (doc_id)")
+def pseudo_nulls(spark, sf):
+    """Null texts, null keys and repeated keys in pseudonymise mode: every row comes out."""
+    rows = spread(Q.view(spark, sf, NULL_DOCS), "n")
+    spans = D.span_rows(D.with_hits(rows, entities=MAPPED, threshold=LOW), "n")
+    mapping = M.build_mapping(spans, SESSION, KEY, doc="n")
+    return P.pseudonymise_documents(rows, "doc", "text", mapping, rules=MAPPED_RULES,
+                                    threshold=LOW).select("n", "scrubbed_text")
 
 
 @query("output_name",
@@ -300,7 +349,7 @@ COUNTS = ("counts AS (SELECT doc_id, entity, count(*) AS n FROM spans GROUP BY 1
           f"per_doc AS (SELECT d.doc_id, any_value(d.text) AS text, {JSON_COUNTS} AS "
           "entity_type_counts FROM documents AS d LEFT JOIN counts AS c ON c.doc_id = d.doc_id "
           "GROUP BY d.doc_id)")
-EVENT_ID = "sha256(sha256(text) || '|redact||2024-01-01 00:00:00')"
+EVENT_ID = "sha256(sha256(text) || '|redact||2024-01-01 00:00:00|' || CAST(doc_id AS VARCHAR))"
 
 
 def entries(spark, sf) -> DataFrame:
@@ -846,7 +895,7 @@ def leak_guard(spark, sf):
 def residual_pii(spark, sf):
     """Known values in the input and in the output; the output must have none."""
     found = docs(spark, sf, entities=MAPPED, threshold=LOW)
-    known = D.span_rows(found, "doc_id").select("original").distinct().persist()
+    known = D.span_rows(found, "doc_id").select("original").distinct()
     out = RD.redact_documents(found)
     stages = out.select("doc_id", F.expr("inline(array(named_struct('stage', 'before', 't', text), "
                                          "named_struct('stage', 'after', 't', scrubbed_text)))"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -20,9 +21,9 @@ from veilframe.operators.detect import (chunk_span_rows, line_table, pick_rules,
 from veilframe.operators.gazetteer import Gazetteer, gazetteer_spans
 from veilframe.operators.model import Model, model_spans
 from veilframe.operators.pseudonymise import pseudonymise_chunks, pseudonymise_documents
-from veilframe.operators.redact import (redact_chunk_rows, redact_chunks, redact_document_rows,
-                                        redact_documents)
-from veilframe.session import materialise, spread, union_parts
+from veilframe.operators.redact import (CHUNK, redact_chunk_rows, redact_chunks,
+                                        redact_document_rows, redact_documents, text_hash)
+from veilframe.session import join_null_safe, materialise, spread, union_parts
 
 REDACT, PSEUDONYMISE = "redact", "pseudonymise"
 
@@ -62,8 +63,14 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
     df = spread(df, *([doc] if order is None else [doc, order]))
     rows = None
     if gazetteers or model is not None:
-        rows = _all_spans(df, doc, text, order, tuple(gazetteers), model,
-                          None if entities is None else set(entities), how)
+        keyed = df.select("*", text_hash(text))
+        chunks = (line_table(keyed, doc, CHUNK, text=text).withColumnRenamed("text", "_text")
+                  if order is None else keyed.select(doc, order, CHUNK, F.col(text).alias("_text")))
+        keys = [doc, CHUNK, "chunk_ord"] if order is None else [doc, order, CHUNK]
+        rows = detector_spans(chunks, keys, tuple(gazetteers), model,
+                              None if entities is None else set(entities), how)
+        if model is not None:
+            rows = written_once(rows, chunks, keys)
 
     if mode == REDACT:
         if order is not None:
@@ -82,8 +89,9 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
     else:
         spans = chunk_span_rows(with_spans(df, text, **how), doc, order, text=text)
     placed = spans if order is None else spans.withColumn("chunk_ord", F.col(order))
-    fresh = M.build_mapping(placed, session_id, key, existing=mapping, doc=doc)
-    session = _session_fakes(fresh, mapping, session_id, spans)
+    secret = hmac.new(key, session_id.encode(), "sha256").hexdigest()
+    fresh = M.build_mapping(placed, session_id, key, salt=secret, existing=mapping, doc=doc)
+    session = session_fakes(fresh, mapping, session_id, spans)
     if order is None:
         out = pseudonymise_documents(df, doc, text, session, spans=rows, **how)
     else:
@@ -91,13 +99,10 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
     return Scrubbed(out, fresh, session_id)
 
 
-def _all_spans(df: DataFrame, doc: str, text: str, order: str | None,
-               gazetteers: tuple[Gazetteer, ...], model: Callable[[], Model] | None,
-               entities: set[str] | None, how: dict) -> DataFrame:
-    """Resolved span rows of the rules, the gazetteers and the model together."""
-    chunks = (line_table(df, doc, text=text).withColumnRenamed("text", "_text")
-              if order is None else df.select(doc, order, F.col(text).alias("_text")))
-    keys = [doc, "chunk_ord" if order is None else order]
+def detector_spans(chunks: DataFrame, keys: list[str], gazetteers: tuple[Gazetteer, ...],
+                   model: Callable[[], Model] | None, entities: set[str] | None,
+                   how: dict) -> DataFrame:
+    """Resolved span rows of the rules, the gazetteers and the model over ``_text``."""
     rows = raw_chunk_spans(chunks, *keys, text="_text", **how)
     more = [gazetteer_spans(chunks, keys, "_text", g) for g in gazetteers]
     if model is not None:
@@ -110,8 +115,19 @@ def _all_spans(df: DataFrame, doc: str, text: str, order: str | None,
     return resolved_rows(rows, keys)
 
 
-def _session_fakes(fresh: DataFrame, mapping: DataFrame | None, session_id: str,
-                   spans: DataFrame) -> DataFrame:
+def written_once(rows: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Span rows through the checkpoint folder, so that a model runs once.
+
+    Only offsets are written; the originals are cut from the texts again.
+    """
+    stored = materialise(rows.drop("original"))
+    cut = join_null_safe(stored, chunks.dropDuplicates(keys), keys)
+    return cut.withColumn("original", F.expr(
+        "substring(_text, start + 1, end - start)")).drop("_text")
+
+
+def session_fakes(fresh: DataFrame, mapping: DataFrame | None, session_id: str,
+                  spans: DataFrame) -> DataFrame:
     """Fakes of this run: the new ones and, with their counts here, those of earlier runs."""
     columns = ["original_hash", "fake_value", "occurrences"]
     if mapping is None:

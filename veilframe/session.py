@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 100_000
 HOT_KEY_SHARE = 2_000
-SPLIT_BYTES = 128 * 1024 * 1024
+SPLIT_BYTES = 4 * 1024 * 1024
 
 
 _own_dirs: dict[str, str] = {}
@@ -18,11 +18,16 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local session, a temporary folder takes its place.
+    Only in a local session, where driver and executors are one process, a temporary folder
+    takes its place. On a cluster each executor would write to its own disk, so an unset
+    folder is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="veilframe-")
@@ -41,18 +46,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` only when the input is too small to give every core a task.
+def spread(df: DataFrame, *keys: str, splits: int | None = None) -> DataFrame:
+    """Repartition by ``keys`` only when the scan has fewer splits than there are cores.
 
-    A small single-file input would otherwise keep the regex work on one core. The size is
-    the optimizer's estimate, so nothing runs; large inputs keep their narrow plan.
+    A small single-file input would otherwise keep the regex work on one core; the texts of
+    any larger input stay where they are. Without ``splits`` their number follows from the
+    optimizer's size estimate: Spark cuts files down to SPLIT_BYTES (its cost of opening a
+    file) to give every core a split. Nothing runs for it.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if splits is None:
+        splits = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SPLIT_BYTES
+    return df if splits >= cores else df.repartition(cores, *keys)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
+                   how: str = "left") -> DataFrame:
+    """Equi-join in which null keys meet null keys; key columns come from ``left``."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def union_parts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -87,7 +100,7 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
 
 
 def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join on the text column ``key``, of which ``right`` has each value once.
+    """Left join on the text column ``key``, of which ``right`` has each value once.
 
     ``weight`` counts the left rows of a key. Keys with more than 1/HOT_KEY_SHARE of all
     rows number at most HOT_KEY_SHARE, so they are broadcast. Their rows then carry a
@@ -108,7 +121,6 @@ def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) ->
     joined = (left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
               .withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key))
                           .otherwise(spread_key))
-              .join(cold, F.col("_key") == F.col("_cold"), "left")
-              .filter("_hot IS NOT NULL OR _cold IS NOT NULL"))
+              .join(cold, F.col("_key") == F.col("_cold"), "left"))
     found = F.coalesce("_hot_values", "_cold_values")
     return joined.select(*left.columns, *[found[v].alias(v) for v in values])

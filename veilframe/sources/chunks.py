@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 from veilframe.functions.arrays import let, lit, var
+from veilframe.session import join_null_safe
 
 BLOCK = 4096
 
@@ -54,9 +55,17 @@ def sheet_chunks(sheets: list[tuple[str, DataFrame, str]]) -> DataFrame:
     return out
 
 
-def rebuild_table(cells: DataFrame, columns: list[str], value: str) -> DataFrame:
-    """Cells back to one row per ``row_id``; cells of other columns are ignored."""
-    return cells.groupBy("row_id").pivot("col_name", columns).agg(F.first(value))
+def rebuild_table(cells: DataFrame, columns: list[str], value: str,
+                  rows: DataFrame | None = None) -> DataFrame:
+    """Cells back to one row per ``row_id``; cells of other columns are ignored.
+
+    Blank cells are no chunks, so a row of blanks is only known from ``rows(row_id)``; its
+    cells, like every blank one, come back as null.
+    """
+    table = cells.groupBy("row_id").pivot("col_name", columns).agg(F.first(value))
+    if rows is None:
+        return table
+    return join_null_safe(rows.select("row_id").distinct(), table, ["row_id"])
 
 
 def transitions(chunks: DataFrame, doc: str, order: str, column: str,

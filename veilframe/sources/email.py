@@ -21,7 +21,8 @@ from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import running_sum, var
 
-HEADERS = ("From", "To", "Cc", "Subject")
+# The last two are our own addition: they hold addresses as well.
+HEADERS = ("From", "To", "Cc", "Subject", "Reply-To", "Bcc")
 BODY_TYPES = ("text/plain", "text/html")
 MAIL_FIELDS = [
     T.StructField("error", T.StringType()),
@@ -44,15 +45,19 @@ def _policy():
 
 
 def _bodies(message):
-    """Text parts in order, attachments left out; undecodable parts give None."""
+    """Text parts in order with their texts; attachments are left out.
+
+    A part in a character set that is unknown, or that its bytes do not fit, is read as
+    UTF-8 with U+FFFD for what cannot be read, so that it is scrubbed like any other.
+    """
     for part in message.walk():
-        if "attachment" in str(part.get("Content-Disposition", "")):
+        if part.is_multipart() or part.get_content_disposition() == "attachment":
             continue
         if part.get_content_type() in BODY_TYPES:
             try:
                 text = part.get_content()
             except (LookupError, KeyError, ValueError):
-                text = None
+                text = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
             yield part, text
 
 
@@ -68,24 +73,27 @@ def _chunks(content: bytes) -> dict:
     message = email.message_from_bytes(content, policy=_policy())
     chunks = []
     for name in HEADERS:
-        value = str(message.get(name, "")).strip()
-        if value:
-            chunks.append({"part": name.lower(), "content_type": None, "text": value})
+        for k, value in enumerate(message.get_all(name, [])):
+            if str(value).strip():
+                chunks.append({"part": name.lower() + (f"-#{k}" if k else ""), "content_type": None,
+                               "text": str(value).strip()})
     for k, (part, text) in enumerate(_bodies(message)):
         if text and text.strip():
             chunks.append({"part": f"body{k}", "content_type": part.get_content_type(),
                            "text": text})
-    attachments = sum("attachment" in str(p.get("Content-Disposition", ""))
-                      for p in message.walk())
+    attachments = sum(p.get_content_disposition() == "attachment" for p in message.walk())
     return {"attachments": attachments,
             "chunks": [{"ord": i, **c} for i, c in enumerate(chunks)]}
 
 
-def parse_mails(mails: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``error``, ``attachments`` and ``chunks`` to a table of messages."""
+def parse_mails(mails: DataFrame, content: str = "content", parse=_parse) -> DataFrame:
+    """Add ``error``, ``attachments`` and ``chunks`` to a table of messages.
+
+    ``parse`` turns the bytes of one file into these three fields.
+    """
     def run(batches):
         for pdf in batches:
-            parsed = [_parse(c) for c in pdf[content]]
+            parsed = [parse(c) for c in pdf[content]]
             yield pdf.assign(error=[p["error"] for p in parsed],
                              attachments=[p["attachments"] for p in parsed],
                              chunks=[p["chunks"] for p in parsed])
@@ -94,24 +102,42 @@ def parse_mails(mails: DataFrame, content: str = "content") -> DataFrame:
 
 
 def _write(content: bytes, chunks) -> bytes:
+    """The message with new texts. A header keeps its place; one that is repeated, which the
+    format does not allow, becomes a single one at the end."""
     message = email.message_from_bytes(content, policy=_policy())
     new = {c["part"]: c["text"] for c in chunks}
     for name in HEADERS:
-        if name.lower() in new and message[name]:
+        parts = [p for p in new if p == name.lower() or p.startswith(f"{name.lower()}-#")]
+        value = ", ".join(" ".join(new[p].split()) for p in parts)
+        if len(parts) == 1:
+            message.replace_header(name, value)
+        elif parts:
             del message[name]
-            message[name] = " ".join(new[name.lower()].split())
+            message[name] = value
     for k, (part, _) in enumerate(list(_bodies(message))):
         if f"body{k}" in new:
             part.set_content(new[f"body{k}"], subtype=part.get_content_subtype())
     return message.as_bytes()
 
 
-def write_mails(mails: DataFrame, content: str, chunks: str, target: str) -> DataFrame:
-    """Add the message of ``content`` with its parts replaced by ``chunks``."""
+def write_mails(mails: DataFrame, content: str, chunks: str, target: str,
+                write=_write) -> DataFrame:
+    """Add the file of ``content`` with its parts replaced by ``chunks``.
+
+    A file that cannot be written gets its error class and no output.
+    """
+    def one(raw, parts, failed):
+        if failed:
+            return None, failed
+        try:
+            return write(raw, parts), None
+        except Exception as exc:  # noqa: BLE001 - one bad file must not stop the batch
+            return None, type(exc).__name__
+
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(**{target: [None if failed else _write(c, parts) for c, parts, failed
-                                         in zip(pdf[content], pdf[chunks], pdf["error"])]})
+            done = [one(*row) for row in zip(pdf[content], pdf[chunks], pdf["error"], strict=True)]
+            yield pdf.assign(**{target: [d[0] for d in done], "error": [d[1] for d in done]})
 
     fields = [*mails.schema.fields, T.StructField(target, T.BinaryType())]
     return mails.mapInPandas(run, T.StructType(fields)).drop(chunks)
@@ -131,6 +157,22 @@ def mail_chunks(mails: DataFrame, doc: str, content: str = "content") -> DataFra
                     "attachment_count"))
 
 
+def hits_of_parsed(parsed: DataFrame, rules: Iterable[R.Rule],
+                   threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """Add ``hits`` of the parsed ``chunks``."""
+    c = var("c")
+    plain = f"transform(chunks, {c} -> named_struct('ord', {c}.ord, 'text', {c}.text))"
+    return parsed.withColumn("hits", F.expr(L.hits_of_chunks(plain, rules, threshold)))
+
+
+def spliced_chunks(parts: str = "parts") -> str:
+    """``chunks`` with their texts replaced by ``parts``."""
+    p, x = var("p"), var("x")
+    own = f"filter({parts}, {x} -> {x}.ord = {p}.ord)"
+    return (f"transform(chunks, {p} -> named_struct('ord', {p}.ord, 'part', {p}.part, "
+            f"'content_type', {p}.content_type, 'text', {S.splice(f'{p}.text', own)}))")
+
+
 def scrub_mails(mails: DataFrame, content: str = "content", *,
                 rules: Iterable[R.Rule] | None = None,
                 threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
@@ -140,16 +182,10 @@ def scrub_mails(mails: DataFrame, content: str = "content", *,
     ``scrubbed_content``, which is NULL for a message with an error.
     """
     rules = R.default_rules() if rules is None else tuple(rules)
-    c, p, x = var("c"), var("p"), var("x")
     keep = mails.columns
-    parsed = parse_mails(mails, content).withColumnRenamed("chunks", "_chunks")
-    plain = f"transform(_chunks, {c} -> named_struct('ord', {c}.ord, 'text', {c}.text))"
-    found = parsed.withColumn("hits", F.expr(L.hits_of_chunks(plain, rules, threshold)))
-    found = found.withColumn("_parts", F.expr(L.labelled(L.numbered("hits"))))
-    own = f"filter(_parts, {x} -> {x}.ord = {p}.ord)"
-    scrubbed = (f"transform(_chunks, {p} -> named_struct('ord', {p}.ord, 'part', {p}.part, "
-                f"'content_type', {p}.content_type, 'text', {S.splice(f'{p}.text', own)}))")
+    found = hits_of_parsed(parse_mails(mails, content), rules, threshold)
+    found = found.withColumn("parts", F.expr(L.labelled(L.numbered("hits"))))
     counts = f"to_json(map_from_entries({L.entity_counts('hits')}))"
     ready = found.select(*keep, "error", "attachments", F.expr(counts).alias("entity_counts"),
-                         F.expr(scrubbed).alias("_chunks"))
+                         F.expr(spliced_chunks()).alias("_chunks"))
     return write_mails(ready, content, "_chunks", "scrubbed_content")

@@ -13,6 +13,8 @@ SUPPORTED = ("csv", "docx", "eml", "pdf", "txt", "xlsx")
 READABLE = ("csv", "eml", "txt")
 OUTPUT_EXTENSION = {"pdf": "docx", "eml": "txt"}
 SUFFIX = "_scrubbed"
+# Columns that ``read_csv`` adds.
+PATH, ROW = "_source_path", "_source_row"
 
 
 def extension(path: str) -> str:
@@ -51,15 +53,18 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with a header, every column as text; adds ``path`` and a row number.
+    """CSV files with one header, every column as text; adds PATH and ROW, names that no
+    column of a file should have (a file that has one is refused).
 
-    The number rises with the rows of a file but has gaps, and is the same whenever the
-    same files are read with the same splits.
+    The row number rises with the rows of a file but has gaps, and is the same whenever the
+    same files are read with the same splits. Rows without any value are kept.
     """
     rows = (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
-    return rows.withColumns({"path": F.col("_metadata.file_path"),
-                             "row_id": F.monotonically_increasing_id()})
+            .option("escape", '"').option("enforceSchema", False).csv(path))
+    if taken := {PATH, ROW} & set(rows.columns):
+        raise ValueError(f"a CSV file has columns named {sorted(taken)}")
+    return rows.withColumns({PATH: F.col("_metadata.file_path"),
+                             ROW: F.monotonically_increasing_id()})
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
