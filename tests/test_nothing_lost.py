@@ -17,6 +17,7 @@ from veilframe.plans import batch as B
 from veilframe.session import shared_dir, spread
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
+from veilframe.streaming import jobs as J
 
 KEY = derive_key("k", b"\x02" * 32, iterations=1_000)
 ROWS = [(1, 0, "mail a@b.org"), (1, 1, None), (None, 0, "mail c@d.org"), (None, 1, "nothing"),
@@ -41,6 +42,8 @@ def test_every_row_comes_out_scrubbed(spark, chunks, how):
         how["gazetteers"] = [Gazetteer("PERSON", names, "name")]
     df, done = run(spark, chunks, **how)
     rows = done.texts.collect()
+    for r in rows:
+        assert r.entity_counts.get("EMAIL_ADDRESS", 0) == len(MAIL.findall(r.text or ""))
     assert sorted(((r.doc, r.ord, r.text) for r in rows), key=repr) == sorted(ROWS, key=repr)
     for r in rows:
         assert (r.scrubbed_text is None) == (r.text is None)
@@ -175,6 +178,25 @@ def test_csv_columns_are_not_overwritten(spark, tmp_path):
     assert [(r.path, r.row_id) for r in rows] == [("[EMAIL_ADDRESS_1]", "7"), (None, None)]
 
 
+@pytest.mark.parametrize("mode", ["redact", "pseudonymise"])
+def test_stream_with_audit(spark, tmp_path, mode):
+    source, out, log, store, state = (str(tmp_path / n) for n in ("in", "out", "log", "store", "state"))
+    how = {} if mode == "redact" else {"mode": mode, "key": KEY, "session_id": "s", "store": store}
+    for k in range(2):
+        rows = [(k, f"a@b.org and c{k}@d.org"), (10 + k, "nothing"), (20 + k, None)]
+        spark.createDataFrame(rows, "doc int, text string").coalesce(1).write.mode("append").parquet(source)
+        stream = J.read_stream(spark, source, spark.read.parquet(source).schema)
+        J.scrub_batches(stream, "doc", "text", out, log, state, **how).awaitTermination()
+    texts = {r.doc: r.scrubbed_text for r in spark.read.parquet(out).collect()}
+    assert len(texts) == 6 and texts[20] is None and "@b.org" not in (texts[0] if mode == "redact" else "")
+    assert texts[0].split(" and ")[0] == texts[1].split(" and ")[0] != "a@b.org"
+    entries = spark.read.parquet(log).collect()
+    assert len(entries) == 6 == len({r.event_id for r in entries})
+    assert sorted(r.entity_type_counts.get("EMAIL_ADDRESS", 0) for r in entries) == [0, 0, 0, 0, 2, 2]
+    if mode != "redact":
+        assert spark.read.parquet(store).count() == 3
+
+
 def test_fakes_depend_on_the_key(spark):
     df = spark.createDataFrame([(1, "mail a@b.org")], "doc int, text string")
     other = derive_key("other", b"\x02" * 32, iterations=1_000)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from veilframe.functions.arrays import let, lit, var
 
-# Decimal digit blocks that a Unicode digit class also matches: Arabic-Indic,
-# extended Arabic-Indic, Devanagari, fullwidth.
-_DIGIT_BLOCKS = (0x0660, 0x06F0, 0x0966, 0xFF10)
-_FOREIGN = "".join(chr(b + i) for b in _DIGIT_BLOCKS for i in range(10))
+# Decimal digits of all scripts, which a Unicode digit class matches, and their values.
+_FOREIGN = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _FOREIGN)
 
 
 def digits_of(value: str) -> str:
     """Only the decimal digits of ``value``, as ASCII."""
-    ascii_form = f"translate({value}, '{_FOREIGN}', '{'0123456789' * len(_DIGIT_BLOCKS)}')"
+    plain = f"translate({value}, '{_FOREIGN}', '{_VALUES}')"
+    ascii_form = f"IF(octet_length({value}) = length({value}), {value}, {plain})"
     return f"regexp_replace({ascii_form}, '[^0-9]', '')"
 
 

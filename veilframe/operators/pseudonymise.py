@@ -20,6 +20,29 @@ from veilframe.operators.redact import CHUNK, text_hash
 from veilframe.session import join_hot_split, join_null_safe, union_parts
 
 _PART = "struct(chunk_ord AS ord, start, end, fake_value AS value)"
+_KIND = "struct(chunk_ord, start, entity_type)"
+_COUNTS = "map<string,bigint>"
+
+
+def _grouped(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``_parts`` and ``entity_counts`` per key; sets, because repeated rows repeat spans."""
+    k, e, f = var("k"), var("e"), var("f")
+    kinds = f"transform(_kinds, {k} -> {k}.entity_type)"
+    counts = (f"map_from_entries(transform(array_sort(array_distinct({kinds})), {e} -> struct({e}, "
+              f"cast(size(filter({kinds}, {f} -> {f} = {e})) AS bigint))))")
+    return (spans.groupBy(*keys)
+            .agg(F.array_sort(F.collect_set(F.expr(_PART))).alias("_parts"),
+                 F.collect_set(F.expr(_KIND)).alias("_kinds"))
+            .withColumn("entity_counts", F.expr(counts)).drop("_kinds"))
+
+
+def _no_counts(df: DataFrame) -> DataFrame:
+    return df.withColumn("entity_counts", F.expr(f"cast(map() AS {_COUNTS})"))
+
+
+def _or_empty(df: DataFrame) -> DataFrame:
+    return df.withColumn("_parts", F.expr(f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))")).withColumn(
+        "entity_counts", F.expr(f"coalesce(entity_counts, cast(map() AS {_COUNTS}))"))
 
 
 def mapped_spans(spans: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -40,7 +63,7 @@ def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataF
                            rules: Iterable[R.Rule] | None = None,
                            threshold: float = R.DEFAULT_THRESHOLD,
                            spans: DataFrame | None = None) -> DataFrame:
-    """Add ``scrubbed_text`` to a table with one document per row.
+    """Add ``entity_counts`` and ``scrubbed_text`` to a table with one document per row.
 
     Only spans are shuffled to the mapping; a group is one document's spans. Texts without
     the signs of any rule are not shuffled at all. ``spans`` are resolved span rows of any
@@ -54,14 +77,11 @@ def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataF
         likely = S.may_match(text, chosen)
         spans = span_rows(with_hits(texts.filter(likely).select("*", text_hash(text)), text,
                                     rules=chosen, threshold=threshold), doc, CHUNK)
-    parts = (mapped_spans(spans, mapping).groupBy(doc, CHUNK)
-             .agg(F.array_sort(F.collect_set(F.expr(_PART))).alias("_parts")))
+    parts = _grouped(mapped_spans(spans, mapping), [doc, CHUNK])
     some = texts.filter(likely).select("*", text_hash(text))
-    changed = (join_null_safe(some, parts, [doc, CHUNK]).drop(CHUNK)
-               .withColumn("_parts", F.expr(
-                   f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
+    changed = (_or_empty(join_null_safe(some, parts, [doc, CHUNK]).drop(CHUNK))
                .withColumn("scrubbed_text", F.expr(L.rebuilt(text, "_parts"))).drop("_parts"))
-    rest = (texts.filter(f"NOT coalesce({likely}, false)")
+    rest = (_no_counts(texts.filter(f"NOT coalesce({likely}, false)"))
             .withColumn("scrubbed_text", F.expr(X.normalised(text))))
     return union_parts(changed, rest)
 
@@ -79,14 +99,11 @@ def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
             with_spans(chunks.filter(likely).select("*", text_hash(text)), text, rules=chosen,
                        threshold=threshold), doc, order, CHUNK, text=text)
     keys = [doc, order, CHUNK]
-    parts = (mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping).groupBy(*keys)
-             .agg(F.array_sort(F.collect_set(F.expr(_PART))).alias("_parts")))
+    parts = _grouped(mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping), keys)
     some = chunks.filter(likely).select("*", text_hash(text))
-    changed = (join_null_safe(some, parts, keys).drop(CHUNK)
-               .withColumn("_parts", F.expr(
-                   f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
+    changed = (_or_empty(join_null_safe(some, parts, keys).drop(CHUNK))
                .withColumn("scrubbed_text", F.expr(S.splice(text, "_parts"))).drop("_parts"))
-    rest = chunks.filter(f"NOT coalesce({likely}, false)").withColumn("scrubbed_text", F.col(text))
+    rest = _no_counts(chunks.filter(f"NOT coalesce({likely}, false)")).withColumn("scrubbed_text", F.col(text))
     return union_parts(changed, rest)
 
 

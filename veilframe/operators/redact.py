@@ -25,11 +25,15 @@ def redact_documents(found: DataFrame, text: str = "text") -> DataFrame:
 
 
 def label_rows(found: DataFrame, *keys: str) -> DataFrame:
-    """One row per labelled span of a table with ``hits``."""
-    n = var("n")
-    rows = (f"transform({L.numbered('hits')}, {n} -> named_struct('chunk_ord', {n}.ord, "
-            f"'start', {n}.start, 'end', {n}.end, 'entity_type', {n}.entity, "
-            f"'label', {S.label(f'{n}.entity', f'{n}.n')}))")
+    """One row per labelled span of a table with ``hits``, with its original text."""
+    n, h, s, o = var("n"), var("h"), var("s"), var("o")
+    # both arrays hold the same spans in the same order
+    originals = (f"array_sort(flatten(transform(hits, {h} -> transform({h}.spans, {s} -> named_struct("
+                 f"'ord', {h}.ord, 'start', {s}.start, 'end', {s}.end, "
+                 f"'text', {S.span_text(f'{h}.text', s)})))))")
+    rows = (f"zip_with(array_sort({L.numbered('hits')}), {originals}, ({n}, {o}) -> named_struct("
+            f"'chunk_ord', {n}.ord, 'start', {n}.start, 'end', {n}.end, 'entity_type', {n}.entity, "
+            f"'label', {S.label(f'{n}.entity', f'{n}.n')}, 'original', {o}.text))")
     return found.select(*keys, F.expr(f"inline({rows})"))
 
 

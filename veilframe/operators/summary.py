@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
+from veilframe.session import materialise
 
 ACTIONS = {"redact": "Redacted", "pseudonymise": "Pseudonymised"}
 
@@ -35,7 +36,8 @@ def detection_summary(spans: DataFrame, doc: str) -> DataFrame:
 
 def scrub_summary(spans: DataFrame, mode: str) -> DataFrame:
     """Type, count and action, sorted by type; one "no PII" row when nothing was found."""
-    counted = spans.groupBy("entity_type").agg(F.count(F.lit(1)).alias("count"))
+    # a row per entity, written once: it is used twice
+    counted = materialise(spans.groupBy("entity_type").agg(F.count(F.lit(1)).alias("count")))
     rows = counted.withColumn("action", F.lit(ACTIONS[mode]))
     empty = (counted.agg(F.count(F.lit(1)).alias("kinds")).filter("kinds = 0")
              .select(F.lit("no PII").alias("entity_type"), F.lit(0).cast("bigint").alias("count"),

@@ -370,9 +370,7 @@ def audit_list(spark, sf):
 @query("replacement_map", O.found() + f", {O.LABELLED} SELECT doc_id, chunk_ord, original, "
        "arg_min(label, s) AS replacement FROM labelled GROUP BY 1, 2, 3")
 def replacement_map(spark, sf):
-    rows = RD.label_rows(docs(spark, sf), "doc_id", "hits").withColumn(
-        "original", F.expr("substring(get(filter(hits, h -> h.ord = chunk_ord), 0).text, "
-                           "start + 1, end - start)"))
+    rows = RD.label_rows(docs(spark, sf), "doc_id")
     return (rows.groupBy("doc_id", "chunk_ord", "original")
             .agg(F.min_by("label", "start").alias("replacement")))
 
@@ -807,7 +805,7 @@ def extract_stats(spark, sf):
 @query("redact_labels", O.found(O.PLANTED) + f", {O.LABELLED} SELECT doc_id, chunk_ord, s AS start, "
        "e AS \"end\", entity AS entity_type, label FROM labelled")
 def redact_labels(spark, sf):
-    return RD.label_rows(D.with_hits(planted(spark, sf)), "doc_id")
+    return RD.label_rows(D.with_hits(planted(spark, sf)), "doc_id").drop("original")
 
 
 @query("redact_text", O.redacted(O.PLANTED) + " " + O.WHOLE.format("scrubbed_text"))
@@ -905,6 +903,32 @@ def residual_pii(spark, sf):
             .groupBy("stage", "original").agg(F.count(F.lit(1)).alias("chunks")))
 
 
+@query("residual_detect", "WITH " + O.spans_ctes("", chunks="SELECT doc_id, chunk_ord, new AS text FROM ("
+       + O.redacted() + " SELECT * FROM done) AS r") + " SELECT d.doc_id, count(s.s) AS n_left FROM "
+       "documents AS d LEFT JOIN spans AS s USING (doc_id) GROUP BY 1")
+def residual_detect(spark, sf):
+    """All rules once more on the redacted texts: how much they still find in each."""
+    again = D.with_hits(redacted(spark, sf).select("doc_id", "scrubbed_text"), "scrubbed_text")
+    return again.select("doc_id", F.expr(
+        "aggregate(hits, 0L, (a, h) -> a + size(h.spans))").alias("n_left"))
+
+
+@query("audit_pseudonymised", _mapped() + ", counted AS (SELECT doc_id, entity, count(*) AS n FROM spans "
+       "GROUP BY 1, 2), per AS (SELECT doc_id, sum(n) AS n, count(*) AS kinds FROM counted GROUP BY 1)"
+       + WITH_FAKES + ", " + O.spliced() + ", whole AS (" + O.WHOLE.format("t") + ") SELECT w.doc_id, "
+       "sha256(d.text) AS source_hash, sha256(t) AS output_hash, 'pseudonymise' AS mode, "
+       "CAST(coalesce(n, 0) AS BIGINT) AS found, CAST(coalesce(kinds, 0) AS INTEGER) AS kinds FROM whole "
+       "AS w JOIN documents AS d USING (doc_id) LEFT JOIN per USING (doc_id)")
+def audit_pseudonymised(spark, sf):
+    """Audit rows with counts of pseudonymised documents."""
+    done, _ = pseudonymised(spark, sf)
+    rows = A.audit_entries(done, source="text", mode="pseudonymise", threshold=LOW, keys=("doc_id",),
+                           session_id=SESSION, counts=F.col("entity_counts"))
+    return rows.select("doc_id", "source_hash", "output_hash", "mode", F.expr(
+        "aggregate(map_values(entity_type_counts), 0L, (a, n) -> a + n)").alias("found"),
+        F.size("entity_type_counts").alias("kinds"))
+
+
 # Streaming ---------------------------------------------------------------------------
 
 def _run_dir(spark: SparkSession, name: str) -> str:

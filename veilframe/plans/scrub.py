@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import checksums as C
+from veilframe.functions import layout as L
 from veilframe.functions import rules as R
 from veilframe.functions import text as X
 from veilframe.operators import mapping as M
@@ -30,7 +31,8 @@ REDACT, PSEUDONYMISE = "redact", "pseudonymise"
 
 @dataclass(frozen=True)
 class Scrubbed:
-    """``texts``: the input with ``scrubbed_text``; ``mapping``: rows to append, or None."""
+    """``texts``: the input with ``scrubbed_text`` and ``entity_counts``, a map per row;
+    ``mapping``: rows to append, or None."""
 
     texts: DataFrame
     mapping: DataFrame | None = None
@@ -76,7 +78,9 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
         if order is not None:
             out = (redact_chunks(df, doc, order, text, **how) if rows is None
                    else redact_chunk_rows(df, rows, doc, order, text))
-            return Scrubbed(out.drop("spans", "parts"))
+            counts = F.map_from_entries(F.expr(
+                L.entity_counts("array(named_struct('spans', spans))")))
+            return Scrubbed(out.withColumn("entity_counts", counts).drop("spans", "parts"))
         out = (redact_documents(with_hits(df, text, **how), text) if rows is None
                else redact_document_rows(df, rows, doc, text))
         return Scrubbed(out.withColumn("entity_counts", count_map()).drop("hits", "parts"))

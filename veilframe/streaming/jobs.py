@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veilframe.functions import rules as R
+from veilframe.operators.audit import audit_entries
 from veilframe.operators.detect import with_hits
+from veilframe.operators.guard import assert_no_private_columns
 from veilframe.operators.redact import redact_documents
+from veilframe.plans.scrub import REDACT, scrub
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None,
@@ -52,3 +55,40 @@ def counts_stream(events: DataFrame, time: str, kind: str, target: str, checkpoi
     return (windowed_counts(events, time, kind, window, delay).writeStream.format("parquet")
             .option("path", target).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
+
+
+def scrub_batches(source: DataFrame, doc: str, text: str, target: str, log: str, checkpoint: str, *,
+                  store: str | None = None, **how):
+    """Scrub new documents with all options of ``scrub`` and log each of them.
+
+    Every micro-batch writes its texts, its audit entries and, in pseudonymise mode, its new
+    mapping rows (below ``store``) into folders ``batch=N``. A batch that is run again after
+    a failure replaces its own folders, so nothing is stored or logged twice. The entries
+    are made from the stored rows. Later batches take the fakes of earlier ones.
+    """
+    how.setdefault("threshold", R.DEFAULT_THRESHOLD)
+    mode = how.get("mode", REDACT)
+    if mode != REDACT and (store is None or "session_id" not in how):
+        raise ValueError("pseudonymise mode needs a store and a session_id")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = None
+        if store is not None and number:
+            earlier = [f"{store}/batch={n}" for n in range(number)]
+            known = spark.read.parquet(*earlier)
+        done = scrub(batch, doc, text, mapping=known, **how)
+        rows = done.texts.select(doc, "scrubbed_text", F.sha2(text, 256).alias("source_hash"),
+                                 "entity_counts")
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if store is not None:
+            assert_no_private_columns(done.mapping).write.mode("overwrite").parquet(
+                f"{store}/batch={number}")
+        stored = spark.read.parquet(f"{target}/batch={number}")
+        entries = audit_entries(
+            stored, source=None, mode=mode, threshold=how["threshold"], document=doc,
+            counts=F.col("entity_counts"), session_id=how.get("session_id"))
+        entries.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return (source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
