@@ -99,6 +99,14 @@ def test_own_gate_words(spark):
     assert {r.scrubbed_text for r in scrub(df, "i", rules=[rule]).texts.collect()} == {"[STAFF_ID_1]"}
 
 
+def test_what_a_winner_does_not_cover_is_replaced_too(spark):
+    rules = [R.Rule("a", "AAA", r"alpha beta", 0.7, ignore_case=False), R.Rule("b", "BBB", r"beta gamma", 0.9),
+             R.Rule("c", "CCC", r"x alpha beta gamma y", 0.65)]
+    df = spark.createDataFrame([(1, "so alpha beta gamma."), (2, "so x alpha beta gamma y.")], "i int, text string")
+    done = {r.i: r.scrubbed_text for r in scrub(df, "i", rules=rules).texts.collect()}
+    assert done == {1: "so [AAA_1][BBB_1].", 2: "so [CCC_2][AAA_1][BBB_1][CCC_1]."}
+
+
 def test_table_keeps_blank_rows(spark):
     rows = [(1, "a@b.org", " "), (2, None, None), (3, "", "\t"), (4, " c@d.org ", "x"), (None, "e@f.org", None)]
     df = spark.createDataFrame(rows, "r int, a string, b string")

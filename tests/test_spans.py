@@ -57,11 +57,18 @@ def brute_resolve(cand):
         o[2] == s[2] and o[0] <= s[0] and s[1] <= o[1] and
         (o[3] > s[3] or (o[3] == s[3] and (o[1] - o[0] > s[1] - s[0] or (
             o[1] - o[0] == s[1] - s[0] and o[5] < s[5])))) for o in cand)]
-    out = []
+    owner = {}
     for s in sorted(kept, key=lambda s: (-s[3], s[0] - s[1], s[4], s[0], s[2], s)):
-        if not any(k[0] < s[1] and s[0] < k[1] for k in out):
-            out.append(s)
-    return sorted(out)
+        for place in range(s[0], s[1]):
+            owner.setdefault(place, s)
+    out = []
+    for place in sorted(owner):
+        s = owner[place]
+        if out and out[-1][0] == s and out[-1][2] == place:
+            out[-1][2] = place + 1
+        else:
+            out.append([s, place, place + 1])
+    return sorted((a, b, *s[2:]) for s, a, b in out)
 
 
 def test_resolve_random_intervals(spark):

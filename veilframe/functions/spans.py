@@ -149,19 +149,42 @@ def dedupe(spans: str) -> str:
     return let(spans, lambda a: f"filter({a}, {s} -> NOT exists({a}, {o} -> {beats}))")
 
 
-def greedy(spans: str) -> str:
-    """Keep spans that overlap no better one: score, length, priority, start, entity."""
-    s, r, k, acc = var("s"), var("r"), var("k"), var("acc")
+def claimed(spans: str) -> str:
+    """Non-overlapping parts of spans: every place belongs to the best span that covers it.
+
+    The best is decided by score, length, priority, start, entity. A span that loses a place
+    keeps the rest, so nothing that any span covers stays in clear.
+    """
+    s, b, i, r, acc, c = (var(x) for x in "sbirac")
+    c = f"c{c}"
     ranked = (f"array_sort(transform({spans}, {s} -> struct(-{s}.score AS a, "
               f"{s}.start - {s}.end AS b, {s}.priority AS c, {s}.start AS d, "
               f"{s}.entity AS e, {s} AS span)))")
-    clash = f"exists({acc}, {k} -> {k}.start < {r}.span.end AND {r}.span.start < {k}.end)"
-    return (f"aggregate({ranked}, {NO_SPANS}, ({acc}, {r}) -> "
-            f"IF({clash}, {acc}, array_append({acc}, {r}.span)))")
+    borders = (f"array_sort(array_distinct(flatten(transform({spans}, {b} -> "
+               f"array({b}.start, {b}.end)))))")
+
+    def pieces(best: str, at: str) -> str:
+        owner = (f"get(filter({best}, {r} -> {r}.span.start <= get({at}, {i}) AND "
+                 f"{r}.span.end > get({at}, {i})), 0).span")
+        cells = (f"filter(transform({at}, ({b}, {i}) -> named_struct('from', {b}, "
+                 f"'to', get({at}, {i} + 1), 'own', {owner})), {b} -> {b}.own IS NOT NULL)")
+        last = f"element_at({acc}, -1)"
+        piece = (f"named_struct('start', {c}.from, 'end', {c}.to, 'entity', {c}.own.entity, 'score', "
+                 f"{c}.own.score, 'priority', {c}.own.priority, 'rule', {c}.own.rule)")
+        longer = (f"named_struct('start', {last}.span.start, 'end', {c}.to, 'entity', {c}.own.entity, "
+                  f"'score', {c}.own.score, 'priority', {c}.own.priority, 'rule', {c}.own.rule)")
+        entry = f"named_struct('own', {c}.own, 'span', {{}})"
+        same = f"size({acc}) > 0 AND {last}.own = {c}.own AND {last}.span.end = {c}.from"
+        none = f"cast(array() AS array<struct<own:{SPAN_TYPE},span:{SPAN_TYPE}>>)"
+        joined = (f"aggregate({cells}, {none}, ({acc}, {c}) -> IF({same}, array_append(slice({acc}, 1, "
+                  f"size({acc}) - 1), {entry.format(longer)}), array_append({acc}, {entry.format(piece)})))")
+        return f"transform({joined}, {s} -> {s}.span)"
+
+    return let(ranked, lambda best: let(borders, lambda at: pieces(best, at)))
 
 
 def resolve(spans: str) -> str:
-    """Non-overlapping spans in text order.
+    """Non-overlapping spans in text order; a beaten span keeps what is left of it.
 
     Spans are first cut into runs that overlap each other, mostly of one or two spans;
     the pairwise comparisons stay inside a run. A run begins where no earlier span reaches.
@@ -177,7 +200,7 @@ def resolve(spans: str) -> str:
 
     def several(a: str) -> str:
         cut = let(running_max(f"transform({a}, {s} -> {s}.end)"), lambda reach: runs(a, reach))
-        return f"flatten(transform({cut}, {r} -> IF(size({r}) <= 1, {r}, {greedy(dedupe(r))})))"
+        return f"flatten(transform({cut}, {r} -> IF(size({r}) <= 1, {r}, {let(dedupe(r), claimed)})))"
 
     return let(spans, lambda a: (
         f"IF(size({a}) <= 1, {a}, array_sort({let(f'array_sort({a})', several)}))"))

@@ -1,7 +1,7 @@
 """Reference SQL for the registered queries, written as plain relational steps.
 
 Texts become a line table, each rule marks its matches with control characters, offsets
-are running sums over the pieces, overlaps are removed by anti-joins in rounds, labels are
+are running sums over the pieces, overlaps are split between elementary intervals, labels are
 row numbers and rewriting is an ordered string aggregate. Only the rule patterns and
 scores are shared with the Spark side.
 """
@@ -14,7 +14,6 @@ from veilframe.operators import guard as G
 from veilframe.plans import corpora as Q
 
 ALL_RULES = R.UK_RULES + R.GENERIC_RULES
-ROUNDS = 4
 DOCS = "SELECT doc_id, text FROM documents"
 PLANTED = Q.portable(Q.PLANTED)
 
@@ -100,9 +99,6 @@ def rule_rows(rule: R.Rule, lines: str = "lines") -> str:
             f"round(sc, 2) AS base FROM ({ctx}) AS r5")
 
 
-OVERLAP = "b.doc_id = a.doc_id AND b.chunk_ord = a.chunk_ord AND b.s < a.e AND a.s < b.e"
-
-
 def spans_ctes(source: str, rules=ALL_RULES, threshold: float = R.DEFAULT_THRESHOLD, *,
                chunks: str | None = None, extra: str = "") -> str:
     """CTEs ``lines``, ``cand``, ``best`` and ``spans`` (resolved) of a document source."""
@@ -118,16 +114,20 @@ def spans_ctes(source: str, rules=ALL_RULES, threshold: float = R.DEFAULT_THRESH
         "AND (b.score > a.score OR (b.score = a.score AND (b.e - b.s > a.e - a.s OR "
         "(b.e - b.s = a.e - a.s AND b.rule < a.rule))))))",
     ]
-    left = "best"
-    for k in range(ROUNDS):
-        out.append(f"keep{k} AS MATERIALIZED (SELECT * FROM {left} AS a WHERE NOT EXISTS "
-                   f"(SELECT 1 FROM {left} AS b WHERE {OVERLAP} AND b.rk < a.rk))")
-        out.append(f"left{k} AS MATERIALIZED (SELECT * FROM {left} AS a WHERE NOT EXISTS "
-                   f"(SELECT 1 FROM keep{k} AS b WHERE {OVERLAP}))")
-        left = f"left{k}"
-    union = " UNION ALL ".join(f"SELECT * FROM keep{k}" for k in range(ROUNDS))
-    out.append(f"spans AS MATERIALIZED (SELECT *, substr(text, s + 1, e - s) AS original "
-               f"FROM ({union}) AS u)")
+    # every place belongs to the best span that covers it
+    chunk = "doc_id, chunk_ord"
+    out += [
+        f"cells AS (SELECT {chunk}, p, lead(p) OVER (PARTITION BY {chunk} ORDER BY p) AS q FROM (SELECT "
+        f"{chunk}, s AS p FROM best UNION SELECT {chunk}, e FROM best) AS b0)",
+        f"owned AS (SELECT {chunk}, p, q, min(rk) AS rk FROM cells JOIN best USING ({chunk}) "
+        f"WHERE s <= p AND q <= e GROUP BY ALL)",
+        f"islands AS (SELECT *, sum(fresh) OVER (PARTITION BY {chunk} ORDER BY p) AS island FROM (SELECT *, "
+        f"CASE WHEN lag(rk) OVER w = rk AND lag(q) OVER w = p THEN 0 ELSE 1 END AS fresh FROM owned "
+        f"WINDOW w AS (PARTITION BY {chunk} ORDER BY p)) AS o0)",
+        f"span_parts AS (SELECT {chunk}, rk, min(p) AS s2, max(q) AS e2 FROM islands GROUP BY {chunk}, rk, island)",
+        f"spans AS MATERIALIZED (SELECT b.* REPLACE (CAST(s2 AS INTEGER) AS s, CAST(e2 AS INTEGER) AS e), "
+        f"substr(text, s2 + 1, e2 - s2) AS original FROM span_parts JOIN best AS b USING ({chunk}, rk))",
+    ]
     return ", ".join(out)
 
 
