@@ -10,7 +10,7 @@ def water_fill(budget, children):
     share, open_ = {}, dict(children)
     while open_:
         total = sum(w for w, _ in open_.values())
-        full = {n: c for n, (w, c) in open_.items() if total and c * total <= budget * w}
+        full = {n: c for n, (w, c) in open_.items() if w and c * total <= budget * w}
         if not full:
             for n, (w, c) in open_.items():
                 share[n] = min(budget * w // total, c) if total else 0
@@ -32,6 +32,8 @@ def brute(rows, mix):
         leaves[domain, lang or "", source or ""].append((i, n))
     cap = {k: mix.max_epochs * sum(n for _, n in v) for k, v in leaves.items()}
     budget = sum(cap.values()) // mix.max_epochs * mix.percent // 100
+    tables = (mix.domain_weights, mix.language_weights, mix.source_weights)
+    cap = {k: c if all(t.get(n, mix.other) for t, n in zip(tables, k, strict=True)) else 0 for k, c in cap.items()}
     weight = [lambda k: mix.domain_weights.get(k, mix.other), lambda k: mix.language_weights.get(k, mix.other),
               lambda k: mix.source_weights.get(k, mix.other)]
 
@@ -85,6 +87,16 @@ def test_against_brute_force(spark):
         assert got == brute(rows, mix), mix
 
 
+def test_shortage_goes_to_siblings_first(spark):
+    """src1 is short: its share goes to src4 of the same language, not to the other domain."""
+    rows = [(i, "w " * 10, "en", "src4") for i in range(100)] + [(200, "w " * 10, "en", "src1")]
+    rows += [(i, "w " * 10, "en", "src2") for i in range(300, 500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    mix = Mix(percent=40, max_epochs=1, domain_weights={"books": 1, "code": 1})
+    got = Counter(r.source for r in mixing.mix_sources(df, mix).select("source").collect())
+    assert got == {"src1": 1, "src4": 59, "src2": 60}
+
+
 def test_awkward_rows(awkward, no_docs):
     out = mixing.mix_sources(awkward, Mix(percent=200))
     assert out.select("row.*").columns == awkward.columns

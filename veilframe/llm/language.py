@@ -115,7 +115,7 @@ def build(counts: dict[str, Counter]) -> Trees:
             table.append(bits)
         escapes[context] = len(table)
         table.append(escape)
-    return Trees(languages, rows, escapes, np.array(table, dtype=np.float32).reshape(-1, size))
+    return Trees(languages, rows, escapes, np.array(table, dtype=np.float32).reshape(len(table), size))
 
 
 class Scorer:

@@ -88,7 +88,7 @@ def share_out(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
         "left_w": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     })
     full = (F.col("capacity").cast("decimal(38,0)") * F.col("left_w")
-            <= F.col("left_b").cast("decimal(38,0)") * F.col("weight"))
+            <= F.col("left_b").cast("decimal(38,0)") * F.col("weight")) & (F.col("weight") > 0)
     # from the first child that is not full, all that follow share what is left there
     state = left.withColumn("full", full).withColumn("open", ~full)
     upto = (Window.partitionBy(*parent).orderBy(*order)
@@ -105,21 +105,25 @@ def share_out(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
 
 def leaf_budgets(totals: DataFrame, mix: Mix) -> DataFrame:
     """``domain, language, source, tokens, share`` for ``totals(domain, language, source, tokens)``."""
-    leaves = totals.select(*LEVELS, "tokens", (F.col("tokens") * mix.max_epochs).alias("capacity"))
-    langs = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity"))
-    doms = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    doms = (doms.withColumn("budget", F.sum("capacity").over(Window.partitionBy()))
-            .withColumn("budget", F.expr(f"budget div {mix.max_epochs} * {mix.percent} div 100"))
-            .withColumns({"weight": _weight("domain", mix.domain_weights, mix.other),
-                          "language": F.lit(""), "source": F.lit("")}))
+    def weighed(rows: DataFrame, name: str, weights: dict[str, int]) -> DataFrame:
+        """A child of weight 0 can take nothing, so its parent does not count on it."""
+        return rows.withColumn("weight", _weight(name, weights, mix.other)).withColumn(
+            "capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0)))
+
+    sums = [F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens")]
+    leaves = weighed(totals.select(*LEVELS, "tokens", (F.col("tokens") * mix.max_epochs).alias("capacity")),
+                     "source", mix.source_weights)
+    langs = weighed(leaves.groupBy("domain", "language").agg(*sums), "language", mix.language_weights)
+    doms = weighed(langs.groupBy("domain").agg(*sums), "domain", mix.domain_weights)
+
+    doms = (doms.withColumn("budget", F.sum("tokens").over(Window.partitionBy()))
+            .withColumn("budget", F.expr(f"budget * {mix.percent} div 100"))
+            .withColumns({"language": F.lit(""), "source": F.lit("")}))
     doms = share_out(doms, [], "budget").select("domain", F.col("share").alias("d_share"))
-    langs = (langs.join(doms, "domain")
-             .withColumns({"weight": _weight("language", mix.language_weights, mix.other),
-                           "source": F.lit("")}))
+    langs = langs.join(doms, "domain").withColumn("source", F.lit(""))
     langs = share_out(langs, ["domain"], "d_share").select(
         "domain", "language", F.col("share").alias("l_share"))
-    leaves = leaves.join(langs, ["domain", "language"]).withColumn(
-        "weight", _weight("source", mix.source_weights, mix.other))
+    leaves = leaves.join(langs, ["domain", "language"])
     return share_out(leaves, ["domain", "language"], "l_share").select(*LEVELS, "tokens", "share")
 
 
@@ -208,7 +212,7 @@ def _share_sql(source: str, keys: str, parent: str, budget: str) -> str:
    FROM (SELECT *,
        first_value(CASE WHEN open THEN left_b END IGNORE NULLS) OVER v AS b0,
        first_value(CASE WHEN open THEN left_w END IGNORE NULLS) OVER v AS w0
-     FROM (SELECT *, CAST(capacity AS HUGEINT) * left_w > CAST(left_b AS HUGEINT) * weight AS open
+     FROM (SELECT *, CAST(capacity AS HUGEINT) * left_w > CAST(left_b AS HUGEINT) * weight OR weight = 0 AS open
        FROM (SELECT *,
            {budget} - coalesce(sum(capacity) OVER u, 0) AS left_b,
            sum(weight) OVER ({part}) - coalesce(sum(weight) OVER u, 0) AS left_w
@@ -228,15 +232,18 @@ WITH rows_ AS (
       ELSE CAST({digits} AS INTEGER) % {len(mix.domains)} + 1 END] AS domain,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
   FROM documents),
-leaves AS (SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS tokens,
+leaves AS (SELECT * REPLACE (CASE WHEN weight > 0 THEN capacity ELSE 0 END AS capacity) FROM (
+  SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS tokens,
     CAST(sum(tokens) * {mix.max_epochs} AS BIGINT) AS capacity,
-    {_case('source', mix.source_weights, mix.other)} AS weight FROM rows_ GROUP BY ALL),
-langs AS (SELECT domain, language, CAST(sum(capacity) AS BIGINT) AS capacity,
-    {_case('language', mix.language_weights, mix.other)} AS weight FROM leaves GROUP BY ALL),
-doms AS (SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity,
+    {_case('source', mix.source_weights, mix.other)} AS weight FROM rows_ GROUP BY ALL)),
+langs AS (SELECT * REPLACE (CASE WHEN weight > 0 THEN capacity ELSE 0 END AS capacity) FROM (
+  SELECT domain, language, CAST(sum(capacity) AS BIGINT) AS capacity,
+    {_case('language', mix.language_weights, mix.other)} AS weight FROM leaves GROUP BY ALL)),
+doms AS (SELECT * REPLACE (CASE WHEN weight > 0 THEN capacity ELSE 0 END AS capacity) FROM (
+  SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity,
     {_case('domain', mix.domain_weights, mix.other)} AS weight,
     (SELECT CAST(sum(tokens) * {mix.percent} // 100 AS BIGINT) FROM leaves) AS budget
-  FROM langs GROUP BY domain),
+  FROM langs GROUP BY domain)),
 d AS (SELECT domain, share AS d_share FROM {_share_sql('doms', 'domain', '', 'budget')}),
 l AS (SELECT domain, language, share AS l_share
   FROM {_share_sql('(SELECT * FROM langs JOIN d USING (domain))', 'domain, language', 'domain', 'd_share')}),
