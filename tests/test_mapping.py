@@ -15,13 +15,22 @@ def spans(spark, values, entity="LOCATION"):
 
 
 def test_fakes_stay_unique_in_a_small_pool(spark):
-    """200 places share 24 city names, and an unknown entity has only one fake."""
+    """An unknown entity has only one fake."""
     for entity in ("LOCATION", "STAFF_ID"):
         rows = M.build_mapping(spans(spark, [f"Place {i}" for i in range(200)], entity), "s", KEY)
         fakes = [r.fake_value for r in rows.collect()]
         assert len(set(fakes)) == len(fakes) == 200
 
 
+def test_many_people_and_places_get_plain_fakes(spark):
+    for entity, n in (("PERSON", 100_000), ("LOCATION", 400)):
+        df = spark.range(n).selectExpr("cast(id AS int) AS doc_id", "0 AS chunk_ord", "0 AS start",
+                                       f"'{entity}' AS entity_type", "concat('v', id) AS original")
+        rows = M.build_mapping(df, "s", KEY)
+        assert rows.select("fake_value").distinct().count() == n
+        assert rows.filter("fake_value RLIKE '-[0-9a-f]{12}'").count() == 0
+
+
 def test_fake_never_equals_a_real_value(spark):
     cities = ["Bath", "York", "Derby", "Leeds", "Perth", "Truro", "Exeter"] * 3
     rows = M.build_mapping(spans(spark, cities), "s", KEY).collect()

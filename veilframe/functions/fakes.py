@@ -22,11 +22,21 @@ LAST_NAMES = (
     "Hughes", "Jenkins", "Kaur", "Knight", "Lawson", "Marsh", "Mason", "Norris", "Osborne",
     "Palmer", "Patel", "Quinn", "Reid", "Shaw", "Turner", "Vaughan", "Walsh", "Wright",
 )
-CITIES = (
-    "Bath", "Belfast", "Birmingham", "Bradford", "Brighton", "Bristol", "Cambridge", "Cardiff",
-    "Derby", "Dundee", "Durham", "Exeter", "Glasgow", "Leeds", "Leicester", "Lincoln",
-    "Norwich", "Oxford", "Perth", "Plymouth", "Preston", "Swansea", "Truro", "York",
+# Surnames and places are composed of three parts, so that many values find plain fakes.
+HEADS = (
+    "Ald", "Ash", "Bar", "Beck", "Ben", "Brad", "Bram", "Bur", "Carl", "Chal", "Cor", "Cran",
+    "Dal", "Den", "Dun", "Ed", "Elm", "Fair", "Farn", "Gar", "Glen", "Hal", "Harl", "Hart",
+    "Hol", "Kel", "Ken", "Lang", "Lin", "Marl", "Mel", "Mor", "Nor", "Oak", "Pem", "Pres",
+    "Ral", "Red", "Ros", "Sel", "Stan", "Strat", "Thorn", "Tor", "Wal", "Wes", "Wil", "Win",
 )
+MIDDLES = ("", "a", "ber", "den", "der", "e", "en", "er", "for", "i", "ing", "ken", "ling", "man",
+           "mer", "ner", "o", "ren", "ring", "sen", "ter", "ton", "ver", "wen")
+ENDINGS = ("ley", "ton", "ford", "wick", "well", "ham", "son", "man", "field", "worth", "stone", "more",
+           "by", "den", "ridge", "stead", "wood", "brook", "land", "dale", "grove", "mont",
+           "croft", "ster")
+PLACE_ENDINGS = ("bury", "borough", "minster", "mouth", "haven", "bridge", "chester", "hampton", "ford",
+                 "stead", "thorpe", "wick", "combe", "dale", "leigh", "market")
+PLACE_KINDS = ("", "Great ", "Little ", "Upper ", "Lower ", "North ", "South ", "Old ")
 COMPANY_ENDINGS = ("Ltd", "plc", "LLP", "Group", "and Sons")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NI_PREFIX_LETTERS = "ABCEGHJKLMNOPRSTW"
@@ -58,17 +68,33 @@ def digits(number: str, n: int) -> str:
     return f"lpad(cast({number} % {10 ** n} AS string), {n}, '0')"
 
 
+def composed(number: str, *pools: tuple[str, ...]) -> str:
+    """One part of each pool, all chosen by one number."""
+    parts, below = [], 1
+    for pool in pools:
+        parts.append(pick(pool, f"({number} div {below})"))
+        below *= len(pool)
+    return f"concat({', '.join(parts)})"
+
+
+def surname(number: str) -> str:
+    return composed(number, HEADS, MIDDLES, ENDINGS)
+
+
 def person(h: str) -> str:
-    return f"concat({pick(FIRST_NAMES, word(h, 0))}, ' ', {pick(LAST_NAMES, word(h, 1))})"
+    """First name, middle name and surname: 36 * 36 * 27,648 different ones."""
+    return (f"concat({pick(FIRST_NAMES, word(h, 0))}, ' ', {pick(FIRST_NAMES, word(h, 3))}, ' ', "
+            f"{surname(word(h, 1))})")
 
 
 def company(h: str) -> str:
-    return (f"concat({pick(LAST_NAMES, word(h, 0))}, ' ', {pick(LAST_NAMES, word(h, 1))}, ' ', "
+    return (f"concat({surname(word(h, 0))}, ' ', {surname(word(h, 1))}, ' ', "
             f"{pick(COMPANY_ENDINGS, word(h, 2))})")
 
 
-def city(h: str) -> str:
-    return pick(CITIES, word(h, 0))
+def place(h: str) -> str:
+    """147,456 different ones, none of which is meant to exist."""
+    return composed(word(h, 0), PLACE_KINDS, HEADS, MIDDLES, PLACE_ENDINGS)
 
 
 def email(h: str) -> str:
@@ -150,7 +176,7 @@ def driving_licence(h: str) -> str:
 
 
 GENERATORS = {
-    "PERSON": person, "ORGANIZATION": company, "LOCATION": city, "EMAIL_ADDRESS": email,
+    "PERSON": person, "ORGANIZATION": company, "LOCATION": place, "EMAIL_ADDRESS": email,
     "PHONE_NUMBER": phone, "UK_PHONE": phone, "UK_POSTCODE": postcode, "DATE_TIME": date,
     "IBAN_CODE": iban, "UK_IBAN": iban, "CREDIT_CARD": card, "IP_ADDRESS": ip, "NRP": nrp,
     "UK_NI": ni, "UK_NHS": nhs, "UK_DRIVING_LICENCE": driving_licence,

@@ -181,6 +181,18 @@ def pick(pool, n: str) -> str:
     return "[" + ", ".join(q(p) for p in pool) + f"][{n} % {len(pool)} + 1]"
 
 
+def composed(n: str, *pools) -> str:
+    below, parts = 1, []
+    for pool in pools:
+        parts.append(pick(pool, f"({n} // {below})"))
+        below *= len(pool)
+    return "(" + " || ".join(parts) + ")"
+
+
+def surname(n: str) -> str:
+    return composed(n, K.HEADS, K.MIDDLES, K.ENDINGS)
+
+
 def letter(alphabet: str, n: str) -> str:
     return f"substr('{alphabet}', {n} % {len(alphabet)} + 1, 1)"
 
@@ -230,12 +242,12 @@ def fake_licence(h: str) -> str:
 def fake(entity: str, h: str) -> str:
     first, last = pick(K.FIRST_NAMES, word(h, 0)), pick(K.LAST_NAMES, word(h, 1))
     if entity == "PERSON":
-        return f"{first} || ' ' || {last}"
+        return f"{first} || ' ' || {pick(K.FIRST_NAMES, word(h, 3))} || ' ' || {surname(word(h, 1))}"
     if entity == "ORGANIZATION":
-        return (f"{pick(K.LAST_NAMES, word(h, 0))} || ' ' || {last} || ' ' || "
+        return (f"{surname(word(h, 0))} || ' ' || {surname(word(h, 1))} || ' ' || "
                 f"{pick(K.COMPANY_ENDINGS, word(h, 2))}")
     if entity == "LOCATION":
-        return pick(K.CITIES, word(h, 0))
+        return composed(word(h, 0), K.PLACE_KINDS, K.HEADS, K.MIDDLES, K.PLACE_ENDINGS)
     if entity == "EMAIL_ADDRESS":
         return f"lower({first}) || '.' || lower({last}) || {digits(word(h, 2), 6)} || '@example.com'"
     if entity in ("PHONE_NUMBER", "UK_PHONE"):
