@@ -17,6 +17,7 @@ CONTEXT_BOOST = 0.35
 CONTEXT_FLOOR = 0.4
 CONTEXT_WINDOW = 5
 
+# The entities.
 ENTITIES = (
     "PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS",
     "LOCATION", "DATE_TIME", "NRP", "ORGANIZATION", "UK_NI", "UK_NHS", "UK_POSTCODE",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import checksums as C
 from veilframe.functions import layout as L
+from veilframe.operators.guard import assert_no_private_columns
 
 VERSION = "0.1.0"
 ENGINE = "rules"
@@ -92,7 +93,7 @@ def append_entries(entries: DataFrame, path: str) -> None:
     bad = invalid_field()
     guard = F.when(bad.isNull(), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("audit entry rejected, field: "), bad)).cast("boolean"))
-    entries.filter(guard).write.mode("append").parquet(path)
+    assert_no_private_columns(entries).filter(guard).write.mode("append").parquet(path)
 
 
 def query_log(log: DataFrame, since: datetime | None = None, until: datetime | None = None,

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from veilframe.functions.arrays import lit
 from veilframe.operators.gazetteer import find_entries
 
+# The length up to which a text is not tested, and the patterns of the guard.
 SAFE_LENGTH = 200
-
-# The patterns of the guard.
 GUARD_PATTERNS = {
     "ni": r"(?i)[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]",
     "nhs": r"(?U)\b\d{3}\s\d{3}\s\d{4}\b",

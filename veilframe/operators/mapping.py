@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import checksums as C
 from veilframe.functions import fakes
 from veilframe.functions.arrays import lit
+from veilframe.operators.guard import assert_no_private_columns
 from veilframe.session import join_hot_split, materialise
 
 KDF_ITERATIONS = 600_000
@@ -198,4 +199,4 @@ def purge_to(mapping: DataFrame, session_id: str, path: str) -> int:
 
 def write_mapping(mapping: DataFrame, path: str) -> None:
     """Append to a parquet table partitioned by session."""
-    mapping.write.mode("append").partitionBy("session_id").parquet(path)
+    assert_no_private_columns(mapping).write.mode("append").partitionBy("session_id").parquet(path)

@@ -48,19 +48,27 @@ def label_bases(spans: DataFrame, doc: str, order: str) -> DataFrame:
     Chunks are told apart by ``(doc, order, CHUNK)``; null documents are one document.
 
     A running count over a whole document would put a document with a third of all chunks
-    into one task. Chunks are therefore numbered inside blocks of BLOCK positions, and
-    only block totals are accumulated per document.
+    into one task. Chunks are therefore numbered inside blocks of BLOCK positions, block
+    totals inside groups of BLOCK blocks, and only group totals are accumulated per document.
     """
     per_entity = L.entity_counts("array(named_struct('spans', spans))")
     counts = (spans.select(doc, order, CHUNK, F.expr(f"inline({per_entity})"))
               .withColumn("block", F.floor(F.col(order) / BLOCK)))
     before = Window.partitionBy(doc, "entity", "block").orderBy(order, CHUNK).rowsBetween(
         Window.unboundedPreceding, -1)
-    blocks_before = Window.partitionBy(doc, "entity").orderBy("block").rowsBetween(
+    totals = (counts.groupBy(doc, "entity", "block").agg(F.sum("n").alias("total"))
+              .withColumn("group", F.floor(F.col("block") / BLOCK)))
+    in_group = Window.partitionBy(doc, "entity", "group").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    totals = counts.groupBy(doc, "entity", "block").agg(F.sum("n").alias("total"))
-    starts = totals.select(doc, "entity", "block", F.coalesce(
-        F.sum("total").over(blocks_before), F.lit(0)).alias("block_base"))
+    groups_before = Window.partitionBy(doc, "entity").orderBy("group").rowsBetween(
+        Window.unboundedPreceding, -1)
+    groups = totals.groupBy(doc, "entity", "group").agg(F.sum("total").alias("total")).select(
+        doc, "entity", "group", F.coalesce(
+            F.sum("total").over(groups_before), F.lit(0)).alias("group_base"))
+    in_groups = totals.select(doc, "entity", "block", "group", F.coalesce(
+        F.sum("total").over(in_group), F.lit(0)).alias("in_group"))
+    starts = join_null_safe(in_groups, groups, [doc, "entity", "group"]).select(
+        doc, "entity", "block", (F.col("in_group") + F.col("group_base")).alias("block_base"))
     inside = counts.select(doc, order, CHUNK, "entity", "block", F.coalesce(
         F.sum("n").over(before), F.lit(0)).alias("chunk_base"))
     return (join_null_safe(inside, starts, [doc, "entity", "block"])
