@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilframe import Gazetteer, derive_key, scrub
 from veilframe.functions import rules as R
 from veilframe.functions import spans as S
+from veilframe.operators import guard as G
 from veilframe.operators import mapping as M
 from veilframe.operators import pseudonymise as P
 from veilframe.plans import batch as B
@@ -205,6 +206,15 @@ def test_stream_with_audit(spark, tmp_path, mode):
         assert spark.read.parquet(store).count() == 3
 
 
+def test_residual_values_inside_words(spark):
+    texts = spark.createDataFrame([(1, "xalice@example.comx"), (2, "tel+44 20"), (None, "Bé"), (3, "clean"), (4, None),
+                                   (5, ""), (6, "a😀\n😀b")], "i int, t string")
+    known = spark.createDataFrame([("alice@example.com",), ("+44",), ("Bé",), ("",), (None,), ("zz",), ("😀b",)], "v string")
+    got = {(r.i, r.v) for r in G.residual_values(texts, ["i"], "t", known, "v").collect()}
+    assert got == {(1, "alice@example.com"), (2, "+44"), (None, "Bé"), (6, "😀b")}
+    assert G.residual_values(texts, ["i"], "t", known.limit(0), "v").count() == 0
+
+
 def test_fakes_depend_on_the_key(spark):
     df = spark.createDataFrame([(1, "mail a@b.org")], "doc int, text string")
     other = derive_key("other", b"\x02" * 32, iterations=1_000)
