@@ -21,13 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``doc_id, text, y`` of the documents with a 0/1 label; labels fit into few columns,
-    texts are only read where a label exists."""
-    marks = (labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("y"))
-             .filter("doc_id IS NOT NULL AND y IN (0, 1)")
-             .groupBy("doc_id").agg(F.max("y").alias("y")))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int,
+             known: Column | None = None) -> DataFrame:
+    """``doc_id, text, y`` of at most ``most`` labelled documents, the first by a hash of
+    their id; ``known`` restricts the labels.
+
+    The chosen ids are bounded by ``most``, so they are broadcast and no text is shuffled.
+    """
+    marks = (labels.select("doc_id", F.col(column).cast("int").alias("y"))
+             .filter("doc_id IS NOT NULL AND y IN (0, 1)"))
+    if known is not None:
+        marks = marks.filter(known)
+    marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

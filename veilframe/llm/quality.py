@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veilframe.llm.common import labelled, map_texts, pieces, utf8
 
@@ -192,9 +191,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Forest:
     At most LABEL_ROWS rows, the first by a hash of their id. Only their
     statistics, a few numbers each, reach the driver.
     """
-    known = labels.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS)
-    rows = labelled(docs, labels.join(chosen, "doc_id", "left_semi"), "quality")
+    rows = labelled(docs, labels, "quality", LABEL_ROWS)
     counted = map_texts(rows, ["doc_id", "y"], "text",
                         ",".join(f"{s} bigint" for s in STATISTICS), _stats_factory)
     got = counted.toPandas().sort_values(["doc_id", *STATISTICS])

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import crc_mod, labelled, map_texts, utf8
 
-#: Bounds of the fit: labelled rows used at most, and terms kept of each of them at most
-#: after the rarest are dropped. Scoring has no such bound.
-TRAIN_ROWS = 6_000
+#: Documented bounds of the fit: labelled rows used at most, and bytes of such a row's text.
+#: Scoring has no such bound.
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 65_536
 BUCKETS = 1 << 16
 MIN_ROWS = 5
 FACTORS = 4
@@ -144,9 +144,8 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 7) -> Machine:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """At most TRAIN_ROWS labelled rows that are not held out, in the order of a hash of
     their id: every lang and source is met in its own share."""
-    known = labels.select("doc_id").filter(crc_mod(F.col("doc_id"), 5) != 0).distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    return labelled(docs, labels.join(chosen, "doc_id", "left_semi"), "toxic")
+    rows = labelled(docs, labels, "toxic", TRAIN_ROWS, crc_mod(F.col("doc_id"), 5) != 0)
+    return rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
