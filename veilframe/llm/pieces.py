@@ -44,7 +44,7 @@ class Encoder:
         self.pieces = list(self.ids)            # own numbers, in the order of the model
         number = {p: n for n, p in enumerate(self.pieces)}
         self.size = [len(p) for p in self.pieces]
-        self.model_id = [self.ids[p] for p in self.pieces]
+        self.decimal = [str(self.ids[p]) for p in self.pieces]
         self.shorter = [next((number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in number),
                              NONE) for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
@@ -60,8 +60,10 @@ class Encoder:
     def _chunk_pattern(self):
         """Chunks that no piece reaches across, so that they are encoded on their own; the
         whole text is one chunk if a piece has a space after another character."""
+        self.words_alone = False
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return regex.compile(r"(?s).+")
+        self.words_alone = not any("\n" in p for p in self.ids)
         inner = "" if any("\n" in p for p in self.ids) else "\n"
         alone = f"|{inner}" if inner else ""
         return regex.compile(f"{SPACE}+[^{SPACE}{inner}]*|[^{SPACE}{inner}]+{alone}")
@@ -94,8 +96,23 @@ class Encoder:
         self.fits[left][piece] = known
         return known
 
+    def _longest_in_a_row(self, text: str) -> list[int] | None:
+        """The longest pieces one after the other, if they cover the text and all fit."""
+        size, fits = self.size, self.fits
+        out: list[int] = []
+        pos, left = 0, NONE
+        for end, n in self.automaton.iter_long(text):
+            fit = fits[left].get(n)
+            if end - size[n] + 1 != pos or not (self.compatible(left, n) if fit is None else fit):
+                return None
+            out.append(n)
+            left, pos = n, end + 1
+        return out if pos == len(text) else None
+
     def segments(self, text: str) -> list[int | str]:
         """The pieces of ``text`` by number; a character that is no piece stands for itself."""
+        if (easy := self._longest_in_a_row(text)) is not None:
+            return easy
         length = len(text)
         size, shorter, fits, compatible = self.size, self.shorter, self.fits, self.compatible
         longest = [NONE] * length
@@ -133,36 +150,51 @@ class Encoder:
             fresh = False       # its end has failed now, so a shorter one is tried
         return out
 
-    def _chunk(self, chunk: str) -> str:
-        made = self.older.get(chunk)
+    def _joined(self, chunk: str) -> str:
+        """Ids of one chunk in decimal, joined."""
+        decimal, byte_ids = self.decimal, self.byte_ids
+        parts: list[str] = []
+        for piece in self.segments(chunk):
+            if not isinstance(piece, str):
+                parts.append(decimal[piece])
+            elif byte_ids:
+                parts.extend(str(byte_ids[b]) for b in piece.encode("utf-8", "replace"))
+            else:
+                parts.append(str(self.unknown))
+        return ",".join(parts)
+
+    def _fresh(self, key: str) -> str:
+        """Ids of a chunk that is not among the newest ones: ``word`` stands for a space and
+        the word, a newline and a word for both without a space, and a blank in front for
+        any other chunk."""
+        made = self.older.get(key)
         if made is None:
-            ids: list[int] = []
-            for piece in self.segments(chunk):
-                if not isinstance(piece, str):
-                    ids.append(self.model_id[piece])
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
-                else:
-                    ids.append(self.unknown)
-            made = ",".join(map(str, ids))
-        if len(chunk) <= CACHED_CHARS:
+            if key[:1] == " ":
+                made = self._joined(key[1:])
+            else:
+                made = self._joined(key if key[:1] == "\n" else SPACE + key)
+        if len(key) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:    # what was not used since the last change is dropped
                 self.older, self.cache = self.cache, {}
-            self.cache[chunk] = made
+            self.cache[key] = made
         return made
 
     def joined_ids(self, text: str | None) -> str:
         """The ids of a text in decimal, joined by commas; empty for a null or empty text."""
         if not text:
             return ""
-        known, chunk_ids = self.cache, self._chunk
-        parts = []
-        for chunk in self.chunks.findall(self.model.normalize(text)):
-            made = known.get(chunk)
-            if made is None:
-                made = chunk_ids(chunk)
-                known = self.cache
-            parts.append(made)
+        plain = self.model.normalize(text)
+        marked = plain.replace("\n", SPACE + "\n") if self.words_alone else ""
+        if marked[:1] == SPACE and SPACE * 2 not in marked and marked[-1] != SPACE:
+            keys = marked[1:].split(SPACE)
+        else:
+            keys = [" " + chunk for chunk in self.chunks.findall(plain)]
+        parts = list(map(self.cache.get, keys))
+        if None in parts:
+            fresh = self._fresh
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = fresh(keys[i])
         return ",".join(parts)
 
     def encode(self, text: str | None) -> list[int]:
