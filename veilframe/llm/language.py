@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import crc_mod, map_texts, pieces, utf8
 
-#: Documented bound of the fit: whole documents per language, first by a hash of their id.
-TRAIN_DOCS = 400
+#: Documented bounds of the fit: whole documents per language (the first by a hash of their
+#: id), bytes of such a document, and languages (those with the most documents).
+TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 400, 65_536, 50
 ORDER = 4
 UNKNOWN = "und"
 CACHE, CACHED_BYTES, SLICE = 200_000, 48, 50_000
@@ -169,12 +170,18 @@ def training_words(docs: DataFrame) -> DataFrame:
     """``lang, word, n`` over the bounded sample of documents that are not held out."""
     usable = docs.select("doc_id", "lang").filter(
         F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (usable.withColumn("place", F.row_number().over(order))
-           .filter(F.col("place") <= TRAIN_DOCS)
-           .select(F.col("doc_id").alias("id"), F.col("lang").alias("of")))
+    largest = (usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+               .orderBy(F.desc("n"), "of").limit(LANGUAGES))
+    # of a large language only the lowest hashes are ranked, about eight times those needed
+    share = F.lit(8.0 * TRAIN_DOCS) / F.col("n")
+    low = F.xxhash64("doc_id").cast("double") <= (2.0 * share - 1.0) * 2.0 ** 63
+    near = usable.join(F.broadcast(largest), F.col("lang") == F.col("of")).filter(low)
+    order = Window.partitionBy("of").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = (near.withColumn("place", F.row_number().over(order))
+           .filter(F.col("place") <= TRAIN_DOCS).select(F.col("doc_id").alias("id"), "of"))
     rows = docs.select("doc_id", "lang", "text").join(
         F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")))
+    rows = rows.filter(F.octet_length("text") <= TRAIN_BYTES)
 
     def run(batches):
         for batch in batches:
