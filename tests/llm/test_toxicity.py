@@ -35,6 +35,28 @@ def test_learns_pairs_on_held_out_rows():
     assert np.mean(hits) > 0.97
 
 
+def neutral_rows(n, seed):
+    """Both words have the base share of 0.2 alone; only the pair, or a third word, is toxic."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 60))]
+        insult, group = rng.random() < .2, rng.random() < .2
+        slur = not insult and not group and rng.random() < .25
+        words += ["insult"] * insult + ["group"] * group + ["slur"] * slur
+        rng.shuffle(words)
+        out.append((" ".join(words), int(insult and group or slur)))
+    return out
+
+
+def test_learns_pairs_of_terms_that_are_neutral_alone():
+    terms = toxicity.Terms((machine := toxicity.fit(neutral_rows(4_000, 1))).index)
+    test = neutral_rows(1_500, 2)
+    hits = [((machine.logit(terms(t)) >= 0) == bool(y), {"insult", "group"} <= set(t.split())) for t, y in test]
+    assert sum(pair for _, pair in hits) > 40
+    assert np.mean([hit for hit, pair in hits if pair]) > 0.95 and np.mean([hit for hit, _ in hits]) > 0.97
+
+
 def test_rows_and_held_out(spark, make_docs, awkward, no_docs):
     data = rows_of(400, 9)
     docs = make_docs([t for t, _ in data])

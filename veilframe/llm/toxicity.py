@@ -29,6 +29,9 @@ EPOCHS = 10
 PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 STEM = 4
 CACHE = 200_000
+#: Pairs without meaning that pass for telling ones, expected in a fit at most, and terms a
+#: side when pairs are counted.
+CHANCE_PAIRS, PAIR_BLOCK = 0.01, 1_000
 
 
 @dataclass
@@ -82,6 +85,60 @@ class Terms:
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
+def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Column sums of the rows of ``values`` by their group ``of``."""
+    return np.stack([np.bincount(of, column, n) for column in values.T], axis=1)
+
+
+def _in_pairs(sets: list[np.ndarray], y: np.ndarray, count: np.ndarray,
+              ones: np.ndarray) -> np.ndarray:
+    """Whether a bucket is in a pair whose share of ones is beyond those of both terms and of
+    all rows, so far that among all pairs at most CHANCE_PAIRS would be by chance alone.
+
+    A pair with k ones of n rows is as far from a share e by chance with at most
+    exp(-n KL(k/n, e)) (Chernoff). The terms left out at first are in too few rows for any
+    pair of theirs to get there. All others are met with each other, in blocks.
+    """
+    usual = count >= MIN_ROWS
+    need = max(np.log(usual.sum() ** 2 / (2 * CHANCE_PAIRS)), 1.0) if usual.any() else 1.0
+    share = y.mean()
+    able = (ones * -np.log(share) >= need) | (count * -np.log1p(-share) >= need)
+    terms = np.flatnonzero(usual & able)
+    place = np.full(BUCKETS, -1)
+    place[terms] = np.arange(terms.size)
+    row = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    column = place[np.concatenate(sets)]
+    order = np.argsort(column, kind="stable")[np.count_nonzero(column < 0):]
+    row, column = row[order], column[order]
+    own = ones[terms] / count[terms]
+    found = np.zeros(terms.size, dtype=bool)
+
+    def dense(start: int) -> np.ndarray:
+        low, high = np.searchsorted(column, [start, start + PAIR_BLOCK])
+        block = np.zeros((len(sets), min(PAIR_BLOCK, terms.size - start)), dtype=np.float32)
+        block[row[low:high], column[low:high] - start] = 1
+        return block
+
+    for i in range(0, terms.size, PAIR_BLOCK):
+        left = dense(i)
+        for j in range(i, terms.size, PAIR_BLOCK):
+            right = left if i == j else dense(j)
+            n, k = left.T @ right, left[y == 1].T @ right[y == 1]
+            a, b = np.nonzero((n >= MIN_ROWS) & ((k * -np.log(share) >= need)
+                                                 | ((n - k) * -np.log1p(-share) >= need)))
+            n, k = n[a, b].astype(float), k[a, b].astype(float)
+            sides = np.stack([own[i + a], own[j + b], np.full(a.size, share)])
+            of = k / n
+            e = np.clip(np.clip(of, sides.min(axis=0), sides.max(axis=0)), 1e-9, 1 - 1e-9)
+            far = n * (of * np.log(np.maximum(of, 1e-300) / e)
+                       + (1 - of) * np.log(np.maximum(1 - of, 1e-300) / (1 - e))) >= need
+            far &= i + a != j + b
+            found[i + a[far]] = found[j + b[far]] = True
+    out = np.zeros(BUCKETS, dtype=bool)
+    out[terms[found]] = True
+    return out
+
+
 def fit(rows: list[tuple[str | None, int]], seed: int = 7) -> Machine:
     """Fit on ``(text, label)`` rows by mini-batch gradient steps with per-weight rates.
 
@@ -99,13 +156,15 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 7) -> Machine:
     count = np.bincount(np.concatenate(sets), minlength=BUCKETS)
     ones = np.bincount(np.concatenate([s for s, t in zip(sets, y, strict=True) if t]),
                        minlength=BUCKETS)
-    # a term in at least MIN_ROWS rows whose share of ones is clearly not the base share
+    # a term in at least MIN_ROWS rows whose share of ones, or that of a pair it is in, is
+    # clearly not what it would be by chance
     spread = np.sqrt(share * (1 - share) / np.maximum(count, 1))
-    kept = np.flatnonzero((count >= MIN_ROWS)
-                          & (np.abs(ones / np.maximum(count, 1) - share) > 3 * spread))
+    telling = np.abs(ones / np.maximum(count, 1) - share) > 3 * spread
+    kept = np.flatnonzero((count >= MIN_ROWS) & (telling | _in_pairs(sets, y, count, ones)))
     index = np.full(BUCKETS, kept.size, dtype=np.int64)
     index[kept] = np.arange(kept.size)
     sets = [np.sort(r[r < kept.size]) for r in (index[s] for s in sets)]
+    sizes = np.array([r.size for r in sets])
 
     rng = np.random.default_rng(seed)
     bias, w = base, np.zeros(kept.size + 1)
@@ -116,26 +175,23 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 7) -> Machine:
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(EPOCHS):
         for start in range(0, len(rows), 64):
-            batch = np.arange(start, min(start + 64, len(rows)))
-            db, dw, dv = 0.0, {}, {}
-            for i in batch:
-                r = sets[i]
-                vr = v[r]
-                sums = vr.sum(axis=0)
-                z = bias + w[r].sum() + 0.5 * (sums @ sums - (vr * vr).sum())
-                g = weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / batch.size
-                db += g
-                for j, row in enumerate(r):
-                    dw[row] = dw.get(row, 0.0) + g
-                    dv[row] = dv.get(row, 0.0) + g * (sums - vr[j])
-            gb += db * db
-            bias -= rate * db / np.sqrt(gb)
-            if dw:
-                at = np.fromiter(dw, dtype=np.int64)
-                gr = np.fromiter(dw.values(), dtype=float) + decay * w[at]
+            batch = slice(start, min(start + 64, len(rows)))
+            n = batch.stop - batch.start
+            of = np.repeat(np.arange(n), sizes[batch])
+            flat = np.concatenate(sets[batch])
+            vr = v[flat]
+            sums = _sums(of, vr, n)
+            z = (bias + np.bincount(of, w[flat], n)
+                 + 0.5 * ((sums * sums).sum(axis=1) - _sums(of, vr * vr, n).sum(axis=1)))
+            g = weight[batch] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / n
+            gb += g.sum() ** 2
+            bias -= rate * g.sum() / np.sqrt(gb)
+            if flat.size:
+                at, place = np.unique(flat, return_inverse=True)
+                gr = np.bincount(place, g[of], at.size) + decay * w[at]
                 gw[at] += gr * gr
                 w[at] -= rate * gr / np.sqrt(gw[at])
-                gr = np.stack(list(dv.values())) + decay * v[at]
+                gr = _sums(place, g[of, None] * (sums[of] - vr), at.size) + decay * v[at]
                 gv[at] += gr * gr
                 v[at] -= rate * gr / np.sqrt(gv[at])
     return Machine(bias, index, w, v)
