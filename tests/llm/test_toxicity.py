@@ -70,3 +70,13 @@ def test_rows_and_held_out(spark, make_docs, awkward, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
     unlabelled = toxicity.toxicity(awkward, labels.filter("false")).collect()
     assert {r.predicted for r in unlabelled} == {0}
+
+
+def test_one_training_row_of_a_repeated_id(spark, make_docs):
+    rows = [(1, f"text {i}") for i in range(300)] + [(2, None), (2, None), (3, "x"), (6, "y" * 70_000), (6, "short")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3, 4, 6)], "doc_id bigint, quality int, toxic int")
+    free = {i for i in (1, 2, 3, 6) if zlib.crc32(str(i).encode()) % 5}
+    kept = toxicity.training_rows(make_docs(rows), labels).collect()
+    got = {r.doc_id: (r.text, r.y) for r in kept}
+    assert len(kept) == len(got) and set(got) == free and 1 in free
+    assert all(t == {2: None, 3: "x", 6: "short"}.get(i, t) and y == i % 2 for i, (t, y) in got.items())
