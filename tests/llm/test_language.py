@@ -71,3 +71,19 @@ def test_awkward_rows(awkward, no_docs):
     assert language.language(no_docs).count() == 0
     unlearned = language.language(awkward.withColumn("lang", awkward.lang.substr(9, 1)).replace("", None, "lang"))
     assert {r.lang_pred for r in unlearned.collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than one table holds; the rare ones, last by name, are found too."""
+    rows = [(i * 100 + k, f"word{i:02d}x other{i:02d}y more{i:02d}z", f"l{i:02d}")
+            for i in range(60) for k in range(12 if i < 50 else 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(2)
+    trees = language.train(df)
+    assert [lang for t in trees for lang in t.languages] == [f"l{i:02d}" for i in range(60)] and len(trees) == 2
+    want = {i: lang for i, _, lang in rows}
+    got = language.identify(df, trees).collect()
+    assert all(r.lang_pred == want[r.doc_id] for r in got) and len(got) == len(rows)
+    # blocks give what one table gives
+    monkeypatch.setattr(language, "LANGUAGES", 100)
+    one = {r.doc_id: r for r in language.language(df).collect()}
+    assert all(r.lang_pred == one[r.doc_id].lang_pred and abs(r.score - one[r.doc_id].score) < 1e-3 for r in got)

@@ -17,11 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import crc_mod, map_texts, pieces, utf8
+from veilframe.llm.common import crc_mod, map_texts, materialise, pieces, utf8
 
 #: Documented bounds of the fit: whole documents per language (the first by a hash of their
-#: id), bytes of such a document, and languages (those with the most documents).
-TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 400, 65_536, 50
+#: id), and bytes of such a document. Every language is learned.
+TRAIN_DOCS, TRAIN_BYTES = 400, 65_536
+#: Languages in one joint table; its rows grow with its languages too, so more go to further
+#: tables, and the shortest code of all tables wins.
+LANGUAGES = 50
+#: Languages up to which their counts and chosen ids are broadcast, else joined by a shuffle.
+BROADCAST_LANGUAGES = 2_000
 ORDER = 4
 UNKNOWN = "und"
 CACHE, CACHED_BYTES, SLICE = 200_000, 48, 50_000
@@ -122,10 +127,11 @@ def build(counts: dict[str, Counter]) -> Trees:
 class Scorer:
     """Code lengths of whole texts; words met before are looked up, in bounded memory."""
 
-    def __init__(self, trees: Trees):
+    def __init__(self, trees: Trees, most: int | None = None):
         self.trees = trees
+        self.most = CACHE if most is None else most
         self.known: dict[bytes, int] = {}
-        self.bits = np.zeros((CACHE, len(trees.languages)), dtype=np.float32)
+        self.bits = np.zeros((self.most, len(trees.languages)), dtype=np.float32)
 
     def _add(self, fresh: list[bytes]) -> None:
         paths = [self.trees.path(u) for u in fresh]
@@ -148,7 +154,7 @@ class Scorer:
                 if unit in long:
                     total += self.trees.code_length(unit)
             fresh -= long
-            if fresh and len(known) + len(fresh) > CACHE:
+            if fresh and len(known) + len(fresh) > self.most:
                 known.clear()
                 fresh = set(part) - long
             if fresh:
@@ -158,29 +164,38 @@ class Scorer:
                 total += self.bits[rows].sum(axis=0, dtype=np.float64)
         return total
 
+
+class Blocks:
+    """Code lengths over all tables; what the scorers keep of words is shared among them."""
+
+    def __init__(self, trees: list[Trees]):
+        self.languages = [lang for t in trees for lang in t.languages]
+        self.scorers = [Scorer(t, max(min(SLICE, CACHE), CACHE // len(trees))) for t in trees]
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.trees.languages or not any(map(str.isalpha, text)):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        bits = self(text)
+        bits = np.concatenate([s(text) for s in self.scorers])
         best = int(np.argmin(bits))
-        return self.trees.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -500)).sum())
+        return self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -500)).sum())
 
 
 def training_words(docs: DataFrame) -> DataFrame:
     """``lang, word, n`` over the bounded sample of documents that are not held out."""
     usable = docs.select("doc_id", "lang").filter(
         F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).distinct()
-    largest = (usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-               .orderBy(F.desc("n"), "of").limit(LANGUAGES))
+    sizes = materialise(usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    sized = F.broadcast if few else lambda df: df
     # of a large language only the lowest hashes are ranked, about eight times those needed
     share = F.lit(8.0 * TRAIN_DOCS) / F.col("n")
     low = F.xxhash64("doc_id").cast("double") <= (2.0 * share - 1.0) * 2.0 ** 63
-    near = usable.join(F.broadcast(largest), F.col("lang") == F.col("of")).filter(low)
+    near = usable.join(sized(sizes), F.col("lang") == F.col("of")).filter(low)
     order = Window.partitionBy("of").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (near.withColumn("place", F.row_number().over(order))
            .filter(F.col("place") <= TRAIN_DOCS).select(F.col("doc_id").alias("id"), "of"))
     rows = docs.select("doc_id", "lang", "text").join(
-        F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")))
+        sized(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")))
     rows = rows.filter(F.octet_length("text") <= TRAIN_BYTES)
 
     def run(batches):
@@ -200,16 +215,25 @@ def training_words(docs: DataFrame) -> DataFrame:
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame) -> Trees:
-    counts: dict[str, Counter] = defaultdict(Counter)
-    got = training_words(docs).toArrow()
-    for lang, word, n in zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n")),
-                             strict=True):
-        counts[lang][word] += n
-    return build(counts)
-
-
-def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+def train(docs: DataFrame) -> list[Trees]:
+    """Tables of at most LANGUAGES languages each, in the order of their names. The driver holds
+    the word counts of one table's languages at a time."""
+    words = materialise(training_words(docs))
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
+    found = []
+    for start in range(0, len(languages), LANGUAGES):
+        block = languages[start:start + LANGUAGES]
+        part = words.filter(F.col("lang").isin(block)) if len(languages) > LANGUAGES else words
+        counts: dict[str, Counter] = defaultdict(Counter)
+        got = part.toArrow()
+        for lang, word, n in zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n")),
+                                 strict=True):
+            counts[lang][word] += n
+        found.append(build(counts))
+    return found
+
+
+def identify(docs: DataFrame, trees: list[Trees]) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     The whole text is scored; the score is the share of the predicted language among the
@@ -218,7 +242,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     language by name; repeated rows get equal results; an empty table an empty result.
     """
     def make():
-        scorer = Scorer(trees)
+        scorer = Blocks(trees)
 
         def run(texts):
             found = [scorer.predict(t) for t in texts]
