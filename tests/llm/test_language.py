@@ -87,3 +87,20 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES", 100)
     one = {r.doc_id: r for r in language.language(df).collect()}
     assert all(r.lang_pred == one[r.doc_id].lang_pred and abs(r.score - one[r.doc_id].score) < 1e-3 for r in got)
+
+
+def test_unusable_texts_take_no_place(spark, monkeypatch):
+    """Null, blank and long texts leave their places to others; only long texts are taken whole."""
+    monkeypatch.setattr(language, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(language, "TRAIN_BYTES", 40)
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = [None, "", " \n", "y " * 30]
+    rows = [(i, f"en{i}" if k % 10 == 0 else bad[k % 4], "en") for k, i in enumerate(free[:100])]
+    rows += [(i, f"fr{i} " * 20, "fr") for i in free[100:110]] + [(i, f"de{i}" + " z" * 30 * (i % 2), "de") for i in free[110:114]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    words = defaultdict(set)
+    for r in language.training_words(df).collect():
+        words[r.lang].add((bytes(r.word), r.n))
+    assert len(words["en"]) == 5 and all(w.startswith(b"en") and n == 1 for w, n in words["en"])
+    assert len(words["fr"]) == 5 and all(n == 20 for _, n in words["fr"])
+    assert {w for w, _ in words["de"]} - {b"z"} == {f"de{i}".encode() for i in free[110:114]}

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import crc_mod, map_texts, materialise, pieces, utf8
 
 #: Documented bounds of the fit: whole documents per language (the first by a hash of their
-#: id), and bytes of such a document. Every language is learned.
+#: id), and bytes of such a document; longer ones are taken, whole, only where a language has
+#: fewer documents than that. Every language is learned.
 TRAIN_DOCS, TRAIN_BYTES = 400, 65_536
 #: Languages in one joint table; its rows grow with its languages too, so more go to further
 #: tables, and the shortest code of all tables wins.
@@ -182,21 +183,25 @@ class Blocks:
 
 def training_words(docs: DataFrame) -> DataFrame:
     """``lang, word, n`` over the bounded sample of documents that are not held out."""
-    usable = docs.select("doc_id", "lang").filter(
-        F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).distinct()
-    sizes = materialise(usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    long = F.octet_length("text") > TRAIN_BYTES
+    texts = docs.select("doc_id", "lang", "text", long.alias("long")).filter(
+        F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    usable = (texts.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
+              .groupBy("doc_id", "lang").agg(F.min("long").alias("long")))
+    sizes = materialise(usable.groupBy(F.col("lang").alias("of")).agg(
+        F.count_if("long").alias("n_long"), F.count_if(~F.col("long")).alias("n_short")))
     few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     sized = F.broadcast if few else lambda df: df
     # of a large language only the lowest hashes are ranked, about eight times those needed
-    share = F.lit(8.0 * TRAIN_DOCS) / F.col("n")
+    share = F.lit(8.0 * TRAIN_DOCS) / F.when(F.col("long"), F.col("n_long")).otherwise(F.col("n_short"))
+    wanted = ~F.col("long") | (F.col("n_short") < TRAIN_DOCS)
     low = F.xxhash64("doc_id").cast("double") <= (2.0 * share - 1.0) * 2.0 ** 63
-    near = usable.join(sized(sizes), F.col("lang") == F.col("of")).filter(low)
-    order = Window.partitionBy("of").orderBy(F.xxhash64("doc_id"), "doc_id")
+    near = usable.join(sized(sizes), F.col("lang") == F.col("of")).filter(low & wanted)
+    order = Window.partitionBy("of").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     ids = (near.withColumn("place", F.row_number().over(order))
-           .filter(F.col("place") <= TRAIN_DOCS).select(F.col("doc_id").alias("id"), "of"))
-    rows = docs.select("doc_id", "lang", "text").join(
-        sized(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")))
-    rows = rows.filter(F.octet_length("text") <= TRAIN_BYTES)
+           .filter(F.col("place") <= TRAIN_DOCS).select(F.col("doc_id").alias("id"), "of", F.col("long").alias("of_long")))
+    rows = texts.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("id"))
+                      & (F.col("lang") == F.col("of")) & (F.col("long") == F.col("of_long")))
 
     def run(batches):
         for batch in batches:
