@@ -19,13 +19,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def test_registered():
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for view in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     df = registry.QUERIES[name](spark, FOLDER)
     cur = con.execute(registry.ORACLE[name])
     columns = [d[0] for d in cur.description]

@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilframe.llm import (
+    covertree,
     exact,
+    infill,
     language,
     lines,
     mixing,
+    negatives,
     pieces,
     quality,
     simhash,
@@ -69,8 +72,23 @@ def op10_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark, sf_dir):
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_exact_dedup, op4_token_counts, op5_mixing, op6_quality_rules,
-    op7_line_dedup, op8_language_id, op9_warc, op10_sentencepiece)}
+    op7_line_dedup, op8_language_id, op9_warc, op10_sentencepiece, op11_hard_negatives,
+    op12_embedding_dedup, op13_fill_in_middle)}
 
-ORACLE = {"op3_exact_dedup": exact.SQL, "op5_mixing": mixing.sql(), "op7_line_dedup": lines.SQL}
+ORACLE = {"op3_exact_dedup": exact.SQL, "op5_mixing": mixing.sql(), "op7_line_dedup": lines.SQL,
+          "op11_hard_negatives": negatives.SQL, "op12_embedding_dedup": covertree.SQL,
+          "op13_fill_in_middle": infill.SQL}
