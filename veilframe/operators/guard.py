@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.arrays import let, lit, var
-from veilframe.session import join_checked, join_null_safe
+from veilframe.functions.arrays import lit
+from veilframe.operators.substrings import values_in, with_occurrences
 
 # The length up to which a text is not tested, and the patterns of the guard.
 SAFE_LENGTH = 200
@@ -18,8 +18,6 @@ GUARD_PATTERNS = {
     "email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
     "card": r"(?U)\b(?:\d[ -]?){13,16}\b",
 }
-# Characters of a value's beginning that the residual check looks up.
-ANCHOR = 8
 PRIVATE_COLUMNS = ("original", "original_text", "real_value", "hits", "spans")
 
 
@@ -54,26 +52,12 @@ def assert_no_private_columns(df: DataFrame) -> DataFrame:
 
 def residual_values(texts: DataFrame, keys: list[str], text: str, known: DataFrame,
                     value: str) -> DataFrame:
-    """Known values that still occur in ``text``, also inside longer words; empty for a clean
-    output.
+    """``(*keys, value)`` for known values that still occur in ``text``, also inside longer words;
+    empty for a clean output.
 
-    No text meets every value: the hashes of a text's distinct grams of a few characters are
-    joined to those of the values' beginnings, and only the pairs that meet are compared. The
-    beginnings are broadcast if counted small. Empty values are ignored.
+    No text meets every value: values are found by their anchors, see ``substrings``. A row gives
+    each value once; empty values are ignored.
     """
-    values = known.filter(F.length(value) > 0).select(F.col(value).alias("_value")).distinct()
-    shortest = values.agg(F.min(F.length("_value"))).first()[0]
-    width = min(shortest or 1, ANCHOR)
-    c, i = var("c"), var("i")
-
-    def hashed(chars: str) -> str:
-        return (f"IF(size({chars}) < {width}, array(), array_distinct(transform(sequence(1, "
-                f"size({chars}) - {width - 1}), {i} -> xxhash64(array_join(slice({chars}, {i}, {width}), '')))))")
-
-    chars = f"regexp_extract_all({text}, '(?s).', 0)"     # whole code points
-    grams = texts.select(*keys, F.expr(f"explode({let(chars, hashed)})").alias("_gram"))
-    anchors = values.withColumn("_gram", F.expr(f"xxhash64(left(_value, {width}))"))
-    met = join_checked(grams, anchors, ["_gram"], "inner").select(*keys, "_value").distinct()
-    found = join_null_safe(met, texts.select(*keys, F.col(text).alias("_text")), keys, "inner")
-    return (found.filter("contains(_text, _value)")
-            .select(*keys, F.col("_value").alias(value)).distinct())
+    found = with_occurrences(texts.select(*keys, F.col(text).alias("_text")), "_text", known, value, value,
+                             values_in, "array<string>", "_values")
+    return found.select(*keys, F.explode("_values").alias(value))

@@ -15,8 +15,8 @@ from veilframe.functions import text as X
 from veilframe.functions.arrays import var
 from veilframe.operators.detect import (chunk_span_rows, pick_rules, span_rows, with_hits,
                                         with_spans)
-from veilframe.operators.gazetteer import find_entries
 from veilframe.operators.redact import CHUNK, text_hash
+from veilframe.operators.substrings import replaced, with_occurrences
 from veilframe.session import join_hot_split, join_null_safe, union_parts
 
 _PART = "struct(chunk_ord AS ord, start, end, fake_value AS value)"
@@ -107,41 +107,17 @@ def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
     return union_parts(changed, rest)
 
 
-def _fake_parts(chunks: DataFrame, keys: list[str], text: str, pairs: DataFrame) -> DataFrame:
-    """``(*keys, found)``: per chunk the fakes to replace, longest first, not overlapping."""
-    s = var("s")
-    found = find_entries(chunks, keys, text, pairs, "fake_value", ignore_case=False)
-    grouped = found.groupBy(*keys).agg(F.collect_list(F.expr(
-        "named_struct('start', start, 'end', end, 'entity', real_value, 'score', "
-        "cast(end - start AS double), 'priority', 0, 'rule', '')")).alias("found"))
-    value = (f"transform({S.resolve('found')}, {s} -> named_struct('start', {s}.start, "
-             f"'end', {s}.end, 'value', {s}.entity))")
-    return grouped.withColumn("found", F.expr(value))
-
-
 def restore_documents(texts: DataFrame, doc: str, text: str, pairs: DataFrame) -> DataFrame:
     """Replace every fake in ``text`` by its real value, in one pass, longest fake first.
 
-    ``pairs`` has ``fake_value`` and ``real_value``, each fake once. Fakes are found line by
-    line with the n-gram join, so the size of the mapping is not limited. Adds
-    ``restored_text``.
+    ``pairs`` has ``fake_value`` and ``real_value``, each fake once. A fake is found wherever its
+    characters stand, also glued to others. Each row is restored by itself: rows with a null
+    or repeated ``doc`` never mix, a null text stays null. The size of the mapping is not
+    limited; see ``substrings``. Adds ``restored_text``.
     """
-    p = var("p")
-    lines = texts.select(doc, F.expr(f"inline({L.chunks_of(text)})"))
-    flat = (f"flatten(transform(collected, {p} -> transform({p}.found, q -> named_struct("
-            f"'ord', {p}.ord, 'start', q.start, 'end', q.end, 'value', q.value))))")
-    parts = (_fake_parts(lines, [doc, "ord"], "text", pairs).groupBy(doc)
-             .agg(F.array_sort(F.collect_list(F.struct("ord", "found"))).alias("collected"))
-             .select(doc, F.expr(flat).alias("_parts")))
-    return (texts.join(parts, doc, "left")
-            .withColumn("_parts", F.expr(f"coalesce(_parts, cast(array() AS {L.PARTS_TYPE}))"))
-            .withColumn("restored_text", F.expr(L.rebuilt(text, "_parts"))).drop("_parts"))
+    return with_occurrences(texts, text, pairs, "fake_value", "real_value", replaced, "string", "restored_text")
 
 
 def restore_chunks(chunks: DataFrame, keys: list[str], text: str, pairs: DataFrame) -> DataFrame:
     """``restore_documents`` for a table in which each row is one chunk."""
-    empty = "cast(array() AS array<struct<start:int,end:int,value:string>>)"
-    parts = _fake_parts(chunks, keys, text, pairs)
-    return (chunks.join(parts, keys, "left")
-            .withColumn("found", F.expr(f"coalesce(found, {empty})"))
-            .withColumn("restored_text", F.expr(S.splice(text, "found"))).drop("found"))
+    return restore_documents(chunks, keys[0], text, pairs)
