@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import checksums as C
 from veilframe.functions import fakes
-from veilframe.functions.arrays import lit
+from veilframe.functions.arrays import let, lit
 from veilframe.operators.guard import assert_no_private_columns
 from veilframe.session import join_hot_split, materialise
 
@@ -66,6 +66,12 @@ def _with_fake(rows: DataFrame, salt: str, attempt: str) -> DataFrame:
                                         "regexp_replace(_made, '^0', '+44 '), _made)")))
 
 
+def usual_fake(entity: str, value_hash: str, plus: str, salt: str) -> str:
+    """SQL expression of the fake that ``assign_fakes`` tries first for a value."""
+    made = let(fakes.seeded(lit(salt), value_hash), lambda h: fakes.fake_value(entity, h))
+    return let(made, lambda m: f"IF({plus} AND {entity} = 'UK_PHONE', regexp_replace({m}, '^0', '+44 '), {m})")
+
+
 def assign_fakes(firsts: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
     """Add ``fake_value``, unique among ``firsts``, ``taken`` fakes and the real values.
 

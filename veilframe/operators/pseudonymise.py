@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from veilframe.functions import layout as L
 from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions import text as X
-from veilframe.functions.arrays import var
+from veilframe.functions.arrays import let, var
+from veilframe.operators import mapping as M
 from veilframe.operators.detect import (chunk_span_rows, pick_rules, span_rows, with_hits,
                                         with_spans)
 from veilframe.operators.redact import CHUNK, text_hash
 from veilframe.operators.substrings import replaced, with_occurrences
-from veilframe.session import join_hot_split, join_null_safe, union_parts
+from veilframe.session import (join_checked, join_hot_split, join_null_safe, materialise,
+                               union_parts)
 
 _PART = "struct(chunk_ord AS ord, start, end, fake_value AS value)"
 _KIND = "struct(chunk_ord, start, entity_type)"
@@ -107,6 +110,117 @@ def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
     return union_parts(changed, rest)
 
 
+# One detection pass ------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Detected:
+    """A table after its only detection pass.
+
+    ``stored`` are the rows with signs of a match, written once: their text sealed, offsets, hashes
+    and usual fakes of their spans, and the originals sealed. ``rest`` are all others.
+    """
+
+    stored: DataFrame
+    rest: DataFrame
+    text: str
+    columns: list[str]
+    key: bytes
+    whole: bool
+
+    def span_rows(self, *keys: str) -> DataFrame:
+        """One row per span with its original; without keys of a chunk's own, chunks are lines."""
+        s, o = var("s"), var("o")
+        originals = f"from_json({M.decrypt('_originals', self.key)}, 'array<string>')"
+        rows = (f"zip_with(_spans, {originals}, ({s}, {o}) -> named_struct('chunk_ord', {s}.ord, 'entity_type', "
+                f"{s}.entity, 'start', {s}.start, 'end', {s}.end, 'score', {s}.score, 'rule', {s}.rule, "
+                f"'original', {o}))")
+        return self.stored.select(*keys, F.expr(f"inline({rows})"))
+
+    def exceptions(self, mapping: DataFrame) -> DataFrame:
+        """``_row, _own``: spans whose fake in ``mapping(original_hash, fake_value)`` is not the usual one.
+
+        A value is an exception if its fake was made anew or comes from an earlier run, if its
+        entity differs from place to place, or if the mapping does not hold it.
+        """
+        s = var("s")
+        spans = self.stored.select("_row", F.expr("inline(_spans)"))
+        usual = spans.groupBy(F.col("hash").alias("original_hash")).agg(
+            F.min("fake").alias("low"), F.max("fake").alias("high"), F.count(F.lit(1)).alias("n"))
+        odd = materialise(usual.join(mapping.select("original_hash", "fake_value"), "original_hash", "left")
+                          .filter("fake_value IS NULL OR low <> high OR low <> fake_value")
+                          .select("original_hash", "fake_value", "n", F.lit(True).alias("odd")))
+        if odd.isEmpty():
+            return odd.select(F.lit(0).cast("bigint").alias("_row"), F.expr(f"cast(array() AS {_OWN})").alias("_own")).limit(0)
+        met = join_hot_split(spans.withColumnRenamed("hash", "original_hash"), odd, "original_hash", "n").filter("odd")
+        return materialise(met.groupBy("_row").agg(F.collect_list(F.struct(
+            "ord", "start", F.coalesce("fake_value", F.concat(F.lit("["), "entity", F.lit("_FAKE]"))).alias("fake")))
+            .alias("_own")))
+
+    def pseudonymised(self, mapping: DataFrame) -> DataFrame:
+        """All rows with ``entity_counts`` and ``scrubbed_text``. Fakes are worked out in place; only
+        exceptions are joined, and no text is shuffled while these are few."""
+        own = self.exceptions(mapping)
+        rows = self.stored
+        if not own.isEmpty():
+            rows = join_checked(rows, own, ["_row"])
+        else:
+            rows = rows.withColumn("_own", F.expr(f"cast(NULL AS {_OWN})"))
+        s, x = var("s"), var("x")
+        fake = (f"IF(_own IS NULL, {s}.fake, coalesce(get(filter(_own, {x} -> {x}.ord = {s}.ord AND "
+                f"{x}.start = {s}.start), 0).fake, {s}.fake))")
+        parts = (f"array_sort(transform(_spans, {s} -> named_struct('ord', {s}.ord, 'start', {s}.start, 'end', "
+                 f"{s}.end, 'value', {fake})))")
+        counts = F.map_from_entries(F.expr(L.entity_counts("array(named_struct('spans', _spans))")))
+        new = L.rebuilt if self.whole else S.splice
+        opened = rows.withColumns({self.text: F.expr(M.decrypt("_sealed", self.key)), "_parts": F.expr(parts)})
+        changed = opened.select(*self.columns, counts.alias("entity_counts"),
+                                F.expr(new(f"`{self.text}`", "_parts")).alias("scrubbed_text"))
+        plain = X.normalised(f"`{self.text}`") if self.whole else f"`{self.text}`"
+        rest = _no_counts(self.rest).withColumn("scrubbed_text", F.expr(plain))
+        return union_parts(changed, rest.select(*changed.columns))
+
+
+_OWN = "array<struct<ord:int,start:int,fake:string>>"
+
+
+def detect_once(df: DataFrame, text: str, key: bytes, salt: str, *, chunk: bool = False,
+                rules: Iterable[R.Rule] | None = None,
+                threshold: float = R.DEFAULT_THRESHOLD) -> Detected:
+    """Detect in a table of documents, or with ``chunk`` of single chunks, for ``salt``'s fakes.
+
+    Rows need no key: each is worked on by itself, so null and repeated keys are no matter.
+    """
+    M.hide_keys(df.sparkSession)
+    chosen = pick_rules(None, rules)
+    likely = S.may_match(text, chosen)
+    if chunk:
+        spans = f"IF({X.not_blank(text)}, {S.find_spans(text, chosen, threshold)}, {S.NO_SPANS})"
+        hits = f"array(named_struct('ord', 0, 'text', {text}, 'spans', {spans}))"
+    else:
+        hits = L.hits_of_text(text, chosen, threshold)
+    h, s, f, g = var("h"), var("s"), var("f"), var("g")
+    flat = (f"flatten(transform({hits}, {h} -> transform({h}.spans, {s} -> named_struct('ord', {h}.ord, 'start', "
+            f"{s}.start, 'end', {s}.end, 'entity', {s}.entity, 'score', {s}.score, 'rule', {s}.rule, "
+            f"'original', {S.span_text(f'{h}.text', s)}))))")
+
+    def with_fake(value_hash: str) -> str:
+        plus = f"{f}.original LIKE '+%'"
+        return (f"named_struct('ord', {f}.ord, 'start', {f}.start, 'end', {f}.end, 'entity', {f}.entity, 'score', "
+                f"{f}.score, 'rule', {f}.rule, 'hash', {value_hash}, 'fake', "
+                f"{M.usual_fake(f'{f}.entity', value_hash, plus, salt)})")
+
+    found = df.filter(likely).withColumn("_flat", F.expr(flat))
+    others = [c for c in df.columns if c != text]
+    stored = materialise(found.select(
+        *others, F.monotonically_increasing_id().alias("_row"), F.expr(M.encrypt(f"`{text}`", key)).alias("_sealed"),
+        F.expr(f"transform(_flat, {f} -> {let(C.hex_hash(f'{f}.original'), with_fake)})").alias("_spans"),
+        F.expr(M.encrypt(f"to_json(transform(_flat, {g} -> {g}.original))", key)).alias("_originals")))
+    rest = df.filter(f"NOT coalesce({likely}, false)")
+    return Detected(stored, rest, text, df.columns, key, not chunk)
+
+
+# Restore -----------------------------------------------------------------------------
+
 def restore_documents(texts: DataFrame, doc: str, text: str, pairs: DataFrame) -> DataFrame:
     """Replace every fake in ``text`` by its real value, in one pass, longest fake first.
 

@@ -191,7 +191,8 @@ def with_occurrences(df: DataFrame, text: str, values: DataFrame, value: str, pa
     """
     if is_small(values, value):
         rows = [tuple(r) for r in anchors(values, value, payload).collect()]
-        return df.withColumn(name, _in_place(rows, finish, kind)(F.col(text)))
+        # called nondeterministic, it is not pushed into a union, where Spark 4.1 fails to extract it
+        return df.withColumn(name, _in_place(rows, finish, kind).asNondeterministic()(F.col(text)))
     return _joined(df, text, anchors(values, value, payload), finish, kind, name)
 
 

@@ -106,9 +106,8 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
         L.rebuilt(FI.X.utf8("content"), "parts")), "UTF-8").alias("new"))
     parts = [texts]
     for kind, write in (("eml", EM._write), ("csv", CSV.write)):
-        rows = ready.filter(F.col("format") == kind).select(
-            *keep, F.expr(EM.spliced_chunks()).alias("_chunks"))
-        parts.append(EM.write_mails(rows, "content", "_chunks", "new", write))
+        rows = ready.filter(F.col("format") == kind).select(*keep, "chunks", "parts")
+        parts.append(EM.write_mails(rows, "content", "new", write))
     done = reduce(union_parts, parts).select(
         "path", "format", FI.output_name("path").alias("output_path"), F.col("new").alias("content"),
         F.sha2("content", 256).alias("source_hash"), "counts", "error")

@@ -86,6 +86,13 @@ SELECT doc_id, 'From: c' || cast(doc_id AS string) || '@example.com' || chr(10)
 FROM ({PLANTED}) AS p"""
 
 
+# Documents, planted identifiers and letters in one table, so that every rule finds something.
+MIXED = f"""
+SELECT doc_id, lang, text FROM {{documents}}
+UNION ALL SELECT 1000000000 + doc_id, 'planted', text FROM ({PLANTED}) AS p
+UNION ALL SELECT 2000000000 + doc_id, 'letter', text FROM ({LETTERS}) AS l"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -45,8 +45,7 @@ ORACLE: dict[str, str] = {}
 KEY = M.derive_key("registered queries", b"\x00" * 32, iterations=1_000)
 SESSION = "batch"
 FIXED_TIME = datetime(2024, 1, 1)
-MAPPED = ("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER")
-MAPPED_RULES = O.rules_for(*MAPPED)
+MIXED = Q.portable(Q.MIXED)
 LOW = 0.4
 RD_MODE = "redact"
 HOST = hashlib.sha256(b"host").hexdigest()
@@ -245,23 +244,36 @@ def scrub_nulls(spark, sf):
     return RD.redact_chunks(chunks, "conv", "place").select("conv", "place", "scrubbed_text")
 
 
-NULL_DOCS = """SELECT doc_id AS n, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 50 END AS doc,
-  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS text FROM {documents}"""
+NULL_DOCS = f"""SELECT doc_id AS n, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 50 END AS doc,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS text FROM ({Q.MIXED}) AS m"""
+
+
+def pseudonymised(rows: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Pseudonymised rows of a table ``(doc, text)`` and their mapping, from one detection pass."""
+    found = P.detect_once(rows, "text", KEY, SESSION, rules=O.ALL_RULES, threshold=LOW)
+    mapping = M.build_mapping(found.span_rows(doc), SESSION, KEY, doc=doc)
+    return found.pseudonymised(mapping), mapping
+
+
+def mixed(spark, sf) -> DataFrame:
+    return spread(Q.view(spark, sf, Q.MIXED), "doc_id")
+
+
+def mixed_spans(spark, sf, **kw) -> DataFrame:
+    found = D.with_hits(mixed(spark, sf), threshold=LOW, **kw)
+    return D.span_rows(found, "doc_id", "lang")
 
 
 @query("pseudo_nulls", "WITH " + O.mapped(
-    SESSION, source="SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0", rules=MAPPED_RULES,
-    threshold=LOW) + ", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s JOIN mapping "
+    SESSION, source=f"SELECT doc_id, text FROM ({MIXED}) AS m WHERE doc_id % 7 <> 0", threshold=LOW)
+    + ", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s JOIN mapping "
     "AS m ON m.original_hash = sha256(s.original)), " + O.spliced() + ", whole AS ("
-    + O.WHOLE.format("t") + ") SELECT d.doc_id AS n, t AS scrubbed_text FROM documents AS d LEFT JOIN "
+    + O.WHOLE.format("t") + f") SELECT d.doc_id AS n, t AS scrubbed_text FROM ({MIXED}) AS d LEFT JOIN "
     "whole AS w USING (doc_id)")
 def pseudo_nulls(spark, sf):
     """Null texts, null keys and repeated keys in pseudonymise mode: every row comes out."""
     rows = spread(Q.view(spark, sf, NULL_DOCS), "n")
-    spans = D.span_rows(D.with_hits(rows, entities=MAPPED, threshold=LOW), "n")
-    mapping = M.build_mapping(spans, SESSION, KEY, doc="n")
-    return P.pseudonymise_documents(rows, "doc", "text", mapping, rules=MAPPED_RULES,
-                                    threshold=LOW).select("n", "scrubbed_text")
+    return pseudonymised(rows, "n")[0].select("n", "scrubbed_text")
 
 
 @query("output_name",
@@ -614,13 +626,12 @@ def scrub_left_join(spark, sf):
     return done.select("doc_id", "chunk_ord", "scrubbed_text", F.size("spans").alias("n_spans"))
 
 
-def batch_mapping(spark, sf, session: str = SESSION, entities=MAPPED, **kw) -> DataFrame:
-    spans = doc_spans(spark, sf, entities=entities, threshold=LOW)
-    return M.build_mapping(spans, session, KEY, **kw)
+def batch_mapping(spark, sf, session: str = SESSION, entities=None, **kw) -> DataFrame:
+    return M.build_mapping(mixed_spans(spark, sf, entities=entities), session, KEY, **kw)
 
 
-def _mapped(session: str = SESSION, rules=MAPPED_RULES) -> str:
-    return "WITH " + O.mapped(session, rules=rules, threshold=LOW)
+def _mapped(session: str = SESSION, rules=O.ALL_RULES) -> str:
+    return "WITH " + O.mapped(session, source=MIXED, rules=rules, threshold=LOW)
 
 
 EMAIL_RULES = O.rules_for("EMAIL_ADDRESS")
@@ -629,25 +640,24 @@ EMAIL_RULES = O.rules_for("EMAIL_ADDRESS")
 @query("map_first", _mapped() + " SELECT original_hash, entity AS entity_type, n AS occurrences, "
        "CAST(first_doc AS VARCHAR) AS first_doc FROM mapping")
 def map_first(spark, sf):
-    return M.originals(doc_spans(spark, sf, entities=MAPPED, threshold=LOW)).select(
+    return M.originals(mixed_spans(spark, sf)).select(
         "original_hash", "entity_type", "occurrences", "first_doc")
 
 
-@query("map_lookup", "WITH " + O.mapped(SESSION, rules=EMAIL_RULES)
+@query("map_lookup", _mapped(rules=EMAIL_RULES)
        + ", other AS (SELECT DISTINCT sha256(original) AS original_hash FROM ("
-       + O.found(rules=MAPPED_RULES, threshold=LOW) + " SELECT * FROM spans) AS z) "
+       + O.found(MIXED, threshold=LOW) + " SELECT * FROM spans) AS z) "
        "SELECT original_hash, fake_value FROM other LEFT JOIN mapping USING (original_hash)")
 def map_lookup(spark, sf):
     """All values against a session that holds only the mail addresses."""
-    hashes = (doc_spans(spark, sf, entities=MAPPED, threshold=LOW)
+    hashes = (mixed_spans(spark, sf)
               .select(F.expr(C.hex_hash("original")).alias("original_hash")).distinct())
     mapping = batch_mapping(spark, sf, entities=("EMAIL_ADDRESS",))
     return M.lookup(hashes, mapping, SESSION)
 
 
-@query("map_upsert", "WITH old AS (SELECT * FROM (WITH "
-       + O.mapped(SESSION + "old", rules=EMAIL_RULES) + " SELECT * FROM mapping) AS a), "
-       "fresh AS (SELECT * FROM (WITH " + O.mapped(SESSION, rules=MAPPED_RULES, threshold=LOW)
+@query("map_upsert", "WITH old AS (SELECT * FROM (" + _mapped(SESSION + "old", EMAIL_RULES)
+       + " SELECT * FROM mapping) AS a), fresh AS (SELECT * FROM (" + _mapped()
        + " SELECT * FROM mapping) AS b) SELECT original_hash, entity AS entity_type, fake_value FROM "
        "old UNION ALL SELECT original_hash, entity, fake_value FROM fresh WHERE original_hash NOT IN "
        "(SELECT original_hash FROM old)")
@@ -659,15 +669,14 @@ def map_upsert(spark, sf):
 
 
 def _lang_sessions(spark, sf) -> DataFrame:
-    langs = Q.table(spark, sf, "documents").select("doc_id", "lang")
-    return (doc_spans(spark, sf, entities=MAPPED, threshold=LOW).join(langs, "doc_id")
-            .select(F.col("lang").alias("session_id"), "entity_type",
-                    F.expr(C.hex_hash("original")).alias("original_hash")).distinct())
+    return mixed_spans(spark, sf).select(
+        F.col("lang").alias("session_id"), "entity_type",
+        F.expr(C.hex_hash("original")).alias("original_hash")).distinct()
 
 
-LANG_SESSIONS = (O.found(rules=MAPPED_RULES, threshold=LOW) + ", ls AS (SELECT DISTINCT lang AS "
+LANG_SESSIONS = (O.found(MIXED, threshold=LOW) + ", ls AS (SELECT DISTINCT lang AS "
                  "session_id, entity AS entity_type, sha256(original) AS original_hash FROM spans "
-                 "JOIN documents USING (doc_id))")
+                 f"JOIN (SELECT doc_id, lang FROM ({MIXED}) AS m) AS l USING (doc_id))")
 
 
 @query("map_sessions", LANG_SESSIONS + " SELECT DISTINCT session_id FROM ls")
@@ -709,13 +718,6 @@ def crypto_roundtrip(spark, sf):
                         F.expr(M.decrypt("blob", other)).isNull().alias("wrong_key_is_null"))
 
 
-def pseudonymised(spark, sf) -> tuple[DataFrame, DataFrame]:
-    texts = Q.documents(spark, sf).select("doc_id", "text")
-    mapping = batch_mapping(spark, sf)
-    return P.pseudonymise_documents(texts, "doc_id", "text", mapping, rules=MAPPED_RULES,
-                                    threshold=LOW), mapping
-
-
 WITH_FAKES = (", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s JOIN mapping AS m ON "
               "m.original_hash = sha256(s.original))")
 
@@ -723,7 +725,7 @@ WITH_FAKES = (", labelled AS (SELECT s.*, m.fake_value AS label FROM spans AS s
 @query("pseudo_consistent", _mapped() + WITH_FAKES + ", " + O.spliced() + " "
        + O.WHOLE.format("scrubbed_text"))
 def pseudo_consistent(spark, sf):
-    return pseudonymised(spark, sf)[0].select("doc_id", "scrubbed_text")
+    return pseudonymised(mixed(spark, sf), "doc_id")[0].select("doc_id", "scrubbed_text")
 
 
 @query("pseudo_cross_doc", _mapped() + WITH_FAKES + " SELECT label AS fake_value, count(DISTINCT "
@@ -731,20 +733,22 @@ def pseudo_consistent(spark, sf):
        "GROUP BY 1")
 def pseudo_cross_doc(spark, sf):
     """One session over all documents: each fake stands for one original everywhere."""
-    spans = doc_spans(spark, sf, entities=MAPPED, threshold=LOW)
-    mapping = batch_mapping(spark, sf)
+    spans = mixed_spans(spark, sf)
+    mapping = M.build_mapping(spans, SESSION, KEY)
     return (P.mapped_spans(spans, mapping).groupBy("fake_value")
             .agg(F.countDistinct("doc_id").alias("docs"),
                  F.count(F.lit(1)).alias("occurrences"),
                  F.countDistinct("original").alias("originals")))
 
 
-@query("restore", "SELECT doc_id, text AS restored_text FROM documents")
+@query("restore", "SELECT doc_id AS n, CASE WHEN doc_id % 7 <> 0 THEN text END AS restored_text "
+       f"FROM ({MIXED}) AS m")
 def restore(spark, sf):
-    texts, mapping = pseudonymised(spark, sf)
+    """Null texts, null and repeated ids: every row gets its own values back."""
+    texts, mapping = pseudonymised(spread(Q.view(spark, sf, NULL_DOCS), "n"), "n")
     pairs = M.replacements(mapping, SESSION, KEY)
-    stored = materialise(texts.select("doc_id", "scrubbed_text"))
-    return P.restore_documents(stored, "doc_id", "scrubbed_text", pairs).select("doc_id", "restored_text")
+    return P.restore_documents(texts.select("n", "doc", "scrubbed_text"), "doc", "scrubbed_text", pairs).select(
+        "n", "restored_text")
 
 
 # Aggregates and windows --------------------------------------------------------------
@@ -885,14 +889,14 @@ def leak_guard(spark, sf):
     return G.leaks(Q.documents(spark, sf), "doc_id")
 
 
-@query("residual_pii", O.redacted(rules=MAPPED_RULES, threshold=LOW) + ", known AS (SELECT DISTINCT "
+@query("residual_pii", O.redacted(MIXED, threshold=LOW) + ", known AS (SELECT DISTINCT "
        "original FROM spans), stages AS (SELECT 'before' AS stage, doc_id, chunk_ord, text AS t FROM "
        "lines UNION ALL SELECT 'after', doc_id, chunk_ord, new FROM done) SELECT stage, original, "
        "count(DISTINCT (doc_id, chunk_ord)) AS chunks FROM stages JOIN known ON contains(t, original) "
        "GROUP BY 1, 2")
 def residual_pii(spark, sf):
-    """Known values in the input and in the output; the output must have none."""
-    found = docs(spark, sf, entities=MAPPED, threshold=LOW)
+    """Known values in the input and in the output, which keeps only what no rule sees there."""
+    found = D.with_hits(mixed(spark, sf), threshold=LOW)
     known = D.span_rows(found, "doc_id").select("original").distinct()
     out = RD.redact_documents(found)
     stages = out.select("doc_id", F.expr("inline(array(named_struct('stage', 'before', 't', text), "
@@ -918,10 +922,10 @@ def residual_detect(spark, sf):
        + WITH_FAKES + ", " + O.spliced() + ", whole AS (" + O.WHOLE.format("t") + ") SELECT w.doc_id, "
        "sha256(d.text) AS source_hash, sha256(t) AS output_hash, 'pseudonymise' AS mode, "
        "CAST(coalesce(n, 0) AS BIGINT) AS found, CAST(coalesce(kinds, 0) AS INTEGER) AS kinds FROM whole "
-       "AS w JOIN documents AS d USING (doc_id) LEFT JOIN per USING (doc_id)")
+       f"AS w JOIN ({MIXED}) AS d USING (doc_id) LEFT JOIN per USING (doc_id)")
 def audit_pseudonymised(spark, sf):
     """Audit rows with counts of pseudonymised documents."""
-    done, _ = pseudonymised(spark, sf)
+    done, _ = pseudonymised(mixed(spark, sf), "doc_id")
     rows = A.audit_entries(done, source="text", mode="pseudonymise", threshold=LOW, keys=("doc_id",),
                            session_id=SESSION, counts=F.col("entity_counts"))
     return rows.select("doc_id", "source_hash", "output_hash", "mode", F.expr(

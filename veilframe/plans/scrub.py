@@ -16,12 +16,12 @@ from veilframe.functions import rules as R
 from veilframe.functions import text as X
 from veilframe.operators import mapping as M
 from veilframe.operators.audit import count_map
-from veilframe.operators.detect import (chunk_span_rows, line_table, pick_rules,
-                                        raw_chunk_spans, resolved_rows, span_rows, with_hits,
-                                        with_spans)
+from veilframe.operators.detect import (line_table, pick_rules, raw_chunk_spans, resolved_rows,
+                                        with_hits)
 from veilframe.operators.gazetteer import Gazetteer, gazetteer_spans
 from veilframe.operators.model import Model, model_spans
-from veilframe.operators.pseudonymise import pseudonymise_chunks, pseudonymise_documents
+from veilframe.operators.pseudonymise import (detect_once, pseudonymise_chunks,
+                                              pseudonymise_documents)
 from veilframe.operators.redact import (CHUNK, redact_chunk_rows, redact_chunks,
                                         redact_document_rows, redact_documents, text_hash)
 from veilframe.session import join_null_safe, materialise, spread, union_parts
@@ -86,16 +86,17 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
         return Scrubbed(out.withColumn("entity_counts", count_map()).drop("hits", "parts"))
 
     session_id = session_id or str(uuid.uuid4())
-    if rows is not None:
-        spans = rows
-    elif order is None:
-        spans = span_rows(with_hits(df, text, **how), doc)
-    else:
-        spans = chunk_span_rows(with_spans(df, text, **how), doc, order, text=text)
-    placed = spans if order is None else spans.withColumn("chunk_ord", F.col(order))
     secret = hmac.new(key, session_id.encode(), "sha256").hexdigest()
+    once = None
+    if rows is None:
+        once = detect_once(df, text, key, session_id + secret, chunk=order is not None, **how)
+        rows = once.span_rows(doc, *([] if order is None else [order]))
+    placed = rows if order is None else rows.withColumn("chunk_ord", F.col(order))
     fresh = M.build_mapping(placed, session_id, key, salt=secret, existing=mapping, doc=doc)
-    session = session_fakes(fresh, mapping, session_id, spans)
+    if once is not None:
+        out = once.pseudonymised(known_fakes(fresh, mapping, session_id))
+        return Scrubbed(out, fresh, session_id)
+    session = session_fakes(fresh, mapping, session_id, rows)
     if order is None:
         out = pseudonymise_documents(df, doc, text, session, spans=rows, **how)
     else:
@@ -103,6 +104,15 @@ def scrub(df: DataFrame, doc: str, text: str = "text", *, order: str | None = No
     return Scrubbed(out, fresh, session_id)
 
 
+def known_fakes(fresh: DataFrame, mapping: DataFrame | None, session_id: str) -> DataFrame:
+    """``original_hash, fake_value`` of a session: new rows and those of earlier runs."""
+    rows = fresh.select("original_hash", "fake_value")
+    if mapping is None:
+        return rows
+    return union_parts(rows, mapping.filter(F.col("session_id") == session_id)
+                       .select("original_hash", "fake_value"))
+
+
 def detector_spans(chunks: DataFrame, keys: list[str], gazetteers: tuple[Gazetteer, ...],
                    model: Callable[[], Model] | None, entities: set[str] | None,
                    how: dict) -> DataFrame:

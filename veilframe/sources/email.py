@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from veilframe.functions import layout as L
 from veilframe.functions import rules as R
-from veilframe.functions import spans as S
 from veilframe.functions.arrays import running_sum, var
 
 # The last two are our own addition: they hold addresses as well.
@@ -120,27 +119,42 @@ def _write(content: bytes, chunks) -> bytes:
     return message.as_bytes()
 
 
-def write_mails(mails: DataFrame, content: str, chunks: str, target: str,
-                write=_write) -> DataFrame:
-    """Add the file of ``content`` with its parts replaced by ``chunks``.
+def spliced(chunks, parts) -> list[dict]:
+    """``chunks`` with the ``parts(ord, start, end, value)`` of each put in; linear in both."""
+    own: dict[int, list] = {}
+    for p in parts:
+        own.setdefault(p["ord"], []).append(p)
+    out = []
+    for c in chunks:
+        text, at, pieces = c["text"], 0, []
+        for p in sorted(own.get(c["ord"], ()), key=lambda p: p["start"]):
+            pieces += [text[at:p["start"]], p["value"]]
+            at = p["end"]
+        out.append({**c, "text": "".join([*pieces, text[at:]])})
+    return out
+
+
+def write_mails(mails: DataFrame, content: str, target: str, write=_write) -> DataFrame:
+    """Add the file of ``content`` with the ``parts`` of its ``chunks`` replaced.
 
     A file that cannot be written gets its error class and no output.
     """
-    def one(raw, parts, failed):
+    def one(raw, chunks, parts, failed):
         if failed:
             return None, failed
         try:
-            return write(raw, parts), None
+            return write(raw, spliced(chunks, parts)), None
         except Exception as exc:  # noqa: BLE001 - one bad file must not stop the batch
             return None, type(exc).__name__
 
     def run(batches):
         for pdf in batches:
-            done = [one(*row) for row in zip(pdf[content], pdf[chunks], pdf["error"], strict=True)]
-            yield pdf.assign(**{target: [d[0] for d in done], "error": [d[1] for d in done]})
+            done = [one(*row) for row in zip(pdf[content], pdf["chunks"], pdf["parts"], pdf["error"], strict=True)]
+            yield pdf.drop(columns=["chunks", "parts"]).assign(
+                **{target: [d[0] for d in done], "error": [d[1] for d in done]})
 
-    fields = [*mails.schema.fields, T.StructField(target, T.BinaryType())]
-    return mails.mapInPandas(run, T.StructType(fields)).drop(chunks)
+    kept = [f for f in mails.schema.fields if f.name not in ("chunks", "parts")]
+    return mails.mapInPandas(run, T.StructType([*kept, T.StructField(target, T.BinaryType())]))
 
 
 def mail_chunks(mails: DataFrame, doc: str, content: str = "content") -> DataFrame:
@@ -165,14 +179,6 @@ def hits_of_parsed(parsed: DataFrame, rules: Iterable[R.Rule],
     return parsed.withColumn("hits", F.expr(L.hits_of_chunks(plain, rules, threshold)))
 
 
-def spliced_chunks(parts: str = "parts") -> str:
-    """``chunks`` with their texts replaced by ``parts``."""
-    p, x = var("p"), var("x")
-    own = f"filter({parts}, {x} -> {x}.ord = {p}.ord)"
-    return (f"transform(chunks, {p} -> named_struct('ord', {p}.ord, 'part', {p}.part, "
-            f"'content_type', {p}.content_type, 'text', {S.splice(f'{p}.text', own)}))")
-
-
 def scrub_mails(mails: DataFrame, content: str = "content", *,
                 rules: Iterable[R.Rule] | None = None,
                 threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
@@ -186,6 +192,5 @@ def scrub_mails(mails: DataFrame, content: str = "content", *,
     found = hits_of_parsed(parse_mails(mails, content), rules, threshold)
     found = found.withColumn("parts", F.expr(L.labelled(L.numbered("hits"))))
     counts = f"to_json(map_from_entries({L.entity_counts('hits')}))"
-    ready = found.select(*keep, "error", "attachments", F.expr(counts).alias("entity_counts"),
-                         F.expr(spliced_chunks()).alias("_chunks"))
-    return write_mails(ready, content, "_chunks", "scrubbed_content")
+    ready = found.select(*keep, "error", "attachments", F.expr(counts).alias("entity_counts"), "chunks", "parts")
+    return write_mails(ready, content, "scrubbed_content")
