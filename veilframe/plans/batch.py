@@ -33,6 +33,9 @@ from veilframe.sources import email as EM
 from veilframe.sources import files as FI
 
 
+FILE_TOO_LARGE = "FileTooLarge"
+
+
 @dataclass(frozen=True)
 class Batch:
     """``done``: a row per file that has a reader: path, format, output_path, content (the new
@@ -73,7 +76,8 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
 
     A file is one row with an array of chunks: lines, cells, or headers and bodies. In
     pseudonymise mode all files share one session and its mapping. A file that cannot be
-    read or written becomes an audit entry with an error class and has no output.
+    read or written becomes an audit entry with an error class and has no output, and so does
+    one over Spark's limit for whole files; ``scrub_csv`` reads CSV files of any size.
     """
     if mode not in (REDACT, PSEUDONYMISE):
         raise ValueError(f"unknown mode {mode!r}")
@@ -83,8 +87,10 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
         entities = R.parse_entities(entities)
     how = {"rules": pick_rules(entities, rules), "threshold": threshold}
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = raw.select("path", "content")
-    known = FI.discover(files)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    files = raw.select("path", "length")
+    # the reader tests the length before it reads a file
+    known = FI.discover(raw.filter(F.col("length") <= most).select("path", "content"))
     found, spans = _detect(_parsed(known), tuple(gazetteers), model, entities, how)
 
     fresh = None
@@ -111,6 +117,11 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
     done = reduce(union_parts, parts).select(
         "path", "format", FI.output_name("path").alias("output_path"), F.col("new").alias("content"),
         F.sha2("content", 256).alias("source_hash"), "counts", "error")
+    large = FI.discover(files.filter(F.col("length") > most)).filter(F.col("format").isin(*FI.READABLE)).select(
+        "path", "format", FI.output_name("path").alias("output_path"),
+        F.lit(None).cast("binary").alias("content"), F.sha2(F.lit(""), 256).alias("source_hash"),
+        F.expr("cast(map() AS map<string,bigint>)").alias("counts"), F.lit(FILE_TOO_LARGE).alias("error"))
+    done = union_parts(done, large)
     rejects = (FI.format_errors(files.select("path"))
                .withColumn("error", F.expr(
                    f"coalesce(error, IF(format NOT IN ({_handled()}), 'no reader here', NULL))"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 from veilframe.functions.arrays import lit
+from veilframe.sources import csvsplit
 
 # Formats and the extension of their output.
 SUPPORTED = ("csv", "docx", "eml", "pdf", "txt", "xlsx")
@@ -56,15 +57,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files with one header, every column as text; adds PATH and ROW, names that no
     column of a file should have (a file that has one is refused).
 
-    The row number rises with the rows of a file but has gaps, and is the same whenever the
-    same files are read with the same splits. Rows without any value are kept.
+    Files are split, also where cells hold line breaks, see ``csvsplit``. Quotes stand only
+    around cells and, doubled, inside quoted ones. Rows count from 1 whatever the splits; rows
+    without any value are kept.
     """
-    rows = (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("enforceSchema", False).csv(path))
-    if taken := {PATH, ROW} & set(rows.columns):
-        raise ValueError(f"a CSV file has columns named {sorted(taken)}")
-    return rows.withColumns({PATH: F.col("_metadata.file_path"),
-                             ROW: F.monotonically_increasing_id()})
+    return csvsplit.read(spark, path, PATH, ROW)
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
