@@ -70,3 +70,29 @@ def luhn_valid(value: str) -> str:
 
 def hex_hash(value: str) -> str:
     return f"sha2(encode({value}, {lit('UTF-8')}), 256)"
+
+
+# Groups of an IPv4 address at the end of an IPv6 one.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4_TAIL = rf"(?:{_OCTET}\.){{3}}{_OCTET}$"
+
+
+def ipv6_tests(address: str, like, replace, groups) -> str:
+    """SQL test of a run of hexadecimal digits, colons and dots, in the words of an engine.
+
+    ``like(x, regex)``, ``replace(x, regex, text)`` and ``groups(x)``, the number of non-empty parts
+    between colons, are given. An IPv4 tail counts as two groups. At most one pair of colons stands
+    for missing groups; without it there are eight, with it at most seven.
+    """
+    plain = replace(address, f":{IPV4_TAIL}", ":0:0")
+    wrong = (r":::", r"::.*::", r"^:[^:]", r"[^:]:$", r"[0-9A-Fa-f]{5}", r"\.")
+    fits = " AND ".join(f"NOT {like(plain, w)}" for w in wrong)
+    many = f"CASE WHEN {like(plain, '::')} THEN {groups(plain)} <= 7 ELSE {groups(plain)} = 8 END"
+    return f"({fits} AND {many})"
+
+
+def ipv6_valid(address: str) -> str:
+    x = var("x")
+    return let(address, lambda a: ipv6_tests(
+        a, lambda v, rx: f"{v} RLIKE {lit(rx)}", lambda v, rx, new: f"regexp_replace({v}, {lit(rx)}, {lit(new)})",
+        lambda v: f"size(filter(split({v}, ':'), {x} -> {x} != ''))"))

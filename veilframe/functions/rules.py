@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from veilframe.functions import checksums
+from veilframe.functions.arrays import lit
 
 DEFAULT_THRESHOLD = 0.6
 CONTEXT_BOOST = 0.35
@@ -79,6 +80,10 @@ NHS_RESCORE = (f"CASE WHEN {checksums.nhs_valid('{m}')} THEN least({{s}} + 0.45D
                "WHEN {s} >= 0.5D THEN {s} END")
 UK_IBAN_RESCORE = f"CASE WHEN {checksums.iban_valid('{m}', 22)} THEN {{s}} END"
 IBAN_RESCORE = f"CASE WHEN {checksums.iban_valid('{m}')} THEN {{s}} END"
+# One permissive pattern finds a run of groups; the test on the run without what leads it decides.
+IPV6_LEAD = r"^[^0-9A-Fa-f:]"
+IPV6_RESCORE = (f"CASE WHEN {checksums.ipv6_valid(f'regexp_replace({{m}}, {lit(IPV6_LEAD)}, {chr(39) * 2})')} "
+                "THEN {s} END")
 LUHN_RESCORE = f"CASE WHEN {checksums.luhn_valid('{m}')} THEN {{s}} END"
 
 # Patterns, scores and context words of the UK rules.
@@ -152,12 +157,8 @@ GENERIC_RULES = (
          r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b", 0.6,
          gate=DIGIT, needs=r"\d\.\d{1,3}\.\d"),
     Rule("ipv6", "IP_ADDRESS",
-         r"\b(?:(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}"
-         r"|(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6})\b", 0.6,
-         gate=COLON, needs=r":[0-9A-F]{0,4}:"),
-    Rule("ipv6_short", "IP_ADDRESS",
-         r"(?:^|[^0-9A-Za-z:.])::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4}\b|\bfe80::", 0.6,
-         gate=COLON, needs=r"::", lead=r"^[^:f]+"),
+         r"(?:^|[^0-9A-Za-z:.])[0-9A-F:]*(?:::\B|:[0-9A-F]{1,4}(?:\.[0-9]{1,3}){3}\b|:[0-9A-F]{1,4}\b)", 0.6,
+         rescore=IPV6_RESCORE, gate=COLON, needs=r":[0-9A-F]{0,4}:", lead=IPV6_LEAD),
     Rule("date_iso", "DATE_TIME", r"\b\d{4}-\d{2}-\d{2}\b", 0.6,
          gate=DIGIT, needs=r"\d{4}-\d{2}-\d{2}"),
     Rule("date_numeric", "DATE_TIME", r"\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b", 0.6,

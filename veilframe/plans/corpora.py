@@ -86,6 +86,17 @@ SELECT doc_id, 'From: c' || cast(doc_id AS string) || '@example.com' || chr(10)
 FROM ({PLANTED}) AS p"""
 
 
+ADDRESSES = """
+SELECT c_custkey AS doc_id, 'at ' || CASE c_custkey % 12
+    WHEN 0 THEN '2001:db8::' WHEN 1 THEN '::' WHEN 2 THEN cast(c_custkey AS string) || '::2'
+    WHEN 3 THEN '::ffff:10.1.2.' || cast(c_custkey % 250 AS string)
+    WHEN 4 THEN '1::2::' || cast(c_custkey % 9 AS string) WHEN 5 THEN '12:30:' || cast(c_custkey % 50 + 10 AS string)
+    WHEN 6 THEN '2001:0db8:0:0:0:0:0:' || cast(c_custkey % 9 AS string) WHEN 7 THEN 'fe80::1%eth0'
+    WHEN 8 THEN 'aa:bb:cc:dd:ee:ff' WHEN 9 THEN '1:2:3:4:5:6:7:8:9' WHEN 10 THEN 'std::vector or ::1.'
+    ELSE '64:ff9b::192.0.2.' || cast(c_custkey % 300 AS string) || '/96' END || ' and [::1], 2001:DB8::'
+  || cast(c_custkey % 10 AS string) || ': end' AS text
+FROM {customer}"""
+
 # Documents, planted identifiers and letters in one table, so that every rule finds something.
 MIXED = f"""
 SELECT doc_id, lang, text FROM {{documents}}

@@ -8,6 +8,7 @@ scores are shared with the Spark side.
 
 from __future__ import annotations
 
+from veilframe.functions import checksums as C
 from veilframe.functions import fakes as K
 from veilframe.functions import rules as R
 from veilframe.operators import guard as G
@@ -71,6 +72,12 @@ def rescored(rule: R.Rule) -> str:
         return f"CASE WHEN {valid_iban(compact)} THEN {base} END"
     if rule.entity == "CREDIT_CARD":
         return f"CASE WHEN {valid_luhn(digits)} THEN {base} END"
+    if rule.name == "ipv6":
+        run = f"regexp_replace(m, {q(rule.lead)}, '')"
+        valid = C.ipv6_tests(run, lambda v, rx: f"regexp_matches({v}, {q(rx)})",
+                             lambda v, rx, new: f"regexp_replace({v}, {q(rx)}, {q(new)})",
+                             lambda v: f"len(list_filter(string_split({v}, ':'), lambda g: g <> ''))")
+        return f"CASE WHEN {valid} THEN {base} END"
     return base
 
 

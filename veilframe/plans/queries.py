@@ -442,8 +442,9 @@ def audit_query(spark, sf):
 def _detector(name: str, corpus: str, entities: tuple[str, ...],
               threshold: float = R.DEFAULT_THRESHOLD) -> None:
     views = {"documents": O.DOCS, "planted": O.PLANTED, "notes": Q.portable(Q.ORDER_NOTES),
-             "letters": Q.portable(Q.LETTERS)}
-    portable = {"planted": Q.PLANTED, "notes": Q.ORDER_NOTES, "letters": Q.LETTERS}
+             "letters": Q.portable(Q.LETTERS), "addresses": Q.portable(Q.ADDRESSES)}
+    portable = {"planted": Q.PLANTED, "notes": Q.ORDER_NOTES, "letters": Q.LETTERS,
+                "addresses": Q.ADDRESSES}
 
     def run(spark, sf):
         df = (Q.documents(spark, sf) if corpus == "documents"
@@ -466,6 +467,8 @@ _detector("det_phone", "documents", ("PHONE_NUMBER",), LOW)
 _detector("det_card", "documents", ("CREDIT_CARD",))
 _detector("det_iban", "planted", ("IBAN_CODE",))
 _detector("det_ip", "documents", ("IP_ADDRESS",))
+_detector("det_ipv6", "addresses", ("IP_ADDRESS",))
+_detector("scan_ipv6", "addresses", R.ENTITIES)
 _detector("det_date", "notes", ("DATE_TIME",))
 _detector("det_nrp", "letters", ("NRP",))
 _detector("detect_all", "documents", R.ENTITIES, 0.3)
@@ -829,6 +832,18 @@ def transition_flag(spark, sf):
         "conv_id", "turn", "changed")
 
 
+NULL_TURNS = """SELECT CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id END AS conv, conv_id * 1000 + turn AS place,
+  CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS role FROM {conversations}"""
+
+
+@query("transition_nulls", "SELECT place, coalesce(role <> lag(role) OVER (PARTITION BY conv ORDER BY place), "
+       f"false) AS changed FROM ({Q.portable(NULL_TURNS)}) AS t")
+def transition_nulls(spark, sf):
+    """Null documents are one document and keep all their rows."""
+    turns = Q.view(spark, sf, NULL_TURNS)
+    return CH.transitions(turns, "conv", "place", "role").select("place", "changed")
+
+
 # Fakes -------------------------------------------------------------------------------
 
 def _generator(name: str, *entities: str) -> None:
@@ -962,3 +977,27 @@ def stream_counts(spark, sf):
     J.counts_stream(events, "ts", "event_type", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+EVENT_TEXT = ("props || CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN ' by u' || cast(user_id AS string) || "
+              "'@example.com' ELSE ' from 10.0.0.' || cast(user_id % 250 AS string) || ' by u' || "
+              "cast(user_id AS string) || '@example.com or u@example.com' END")
+
+
+@query("stream_detections", O.found("", chunks=f"SELECT event_id AS doc_id, 0 AS chunk_ord, {EVENT_TEXT} AS text "
+       "FROM events") + " SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, entity_type, n FROM (SELECT "
+       "time_bucket(INTERVAL '1 hour', ts) AS w, entity AS entity_type, CAST(count(*) AS BIGINT) AS n FROM spans "
+       "JOIN events ON event_id = doc_id GROUP BY 1, 2) AS c WHERE w + INTERVAL '1 hour' <= (SELECT max(ts) - "
+       "INTERVAL '1 hour' FROM events)")
+def stream_detections(spark, sf):
+    """Detections per hour and entity over a stream in which every tenth event comes twice."""
+    base = _run_dir(spark, "stream_detections")
+    schema = Q.table(spark, sf, "events").schema
+
+    def events():
+        return J.read_stream(spark, sf, schema, "events.parquet").withColumn("text", F.expr(EVENT_TEXT))
+
+    twice = events().unionByName(events().filter("event_id % 10 = 0"))
+    J.detections_stream(twice, "event_id", "ts", "text", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

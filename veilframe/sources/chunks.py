@@ -74,15 +74,17 @@ def transitions(chunks: DataFrame, doc: str, order: str, column: str,
 
     The previous chunk is found inside blocks of positions, so that a document with very
     many chunks is shared by many tasks. Only the last value of a block goes to the first
-    chunk of the next.
+    chunk of the next. Every row comes out: null documents are one document, and a chunk
+    without a value, or after one, is not a change.
     """
     rows = chunks.withColumn("_block", F.floor(F.col(order) / block))
     inside = Window.partitionBy(doc, "_block").orderBy(order)
     blocks = Window.partitionBy(doc).orderBy("_block")
-    lasts = (rows.groupBy(doc, "_block").agg(F.max_by(column, order).alias("_last"))
+    last = F.max(F.struct(order, F.col(column).alias("_value")))
+    lasts = (rows.groupBy(doc, "_block").agg(last["_value"].alias("_last"))
              .select(doc, "_block", F.lag("_last").over(blocks).alias("_carried")))
-    before = F.coalesce(F.lag(column).over(inside), F.col("_carried"))
-    return (rows.join(lasts, [doc, "_block"])
+    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(column).over(inside))
+    return (join_null_safe(rows, lasts, [doc, "_block"])
             .withColumn("changed", F.coalesce(F.col(column) != before, F.lit(False)))
             .drop("_block", "_carried"))
 

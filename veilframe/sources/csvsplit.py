@@ -83,7 +83,7 @@ def fields(recs: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str, path_name: str, row_name: str) -> DataFrame:
     """The rows of files with one common header as text columns, and their file and row number.
 
-    Rows count from 1. A missing cell is null; a row with more cells than the header is refused, as
+    Rows count from 1. An empty or missing cell is null; a row with more cells than the header is refused, as
     are files with different headers or names that repeat.
     """
     cells = fields(records(spark, path))
@@ -98,5 +98,5 @@ def read(spark: SparkSession, path: str, path_name: str, row_name: str) -> DataF
     fits = F.when(F.size("cells") <= len(names), True).otherwise(
         F.raise_error(F.lit("a CSV row has more cells than the header")).cast("boolean"))
     return cells.filter("record > 0").filter(fits).select(
-        *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)],
+        *[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
         F.col("file").alias(path_name), F.col("record").alias(row_name))

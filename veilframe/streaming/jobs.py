@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from veilframe.functions import layout as L
 from veilframe.functions import rules as R
 from veilframe.operators.audit import audit_entries
 from veilframe.operators.detect import with_hits
@@ -57,6 +58,29 @@ def counts_stream(events: DataFrame, time: str, kind: str, target: str, checkpoi
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def windowed_detections(events: DataFrame, event: str, time: str, text: str, window: str = "1 hour",
+                        delay: str = "1 hour", threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """Detections per tumbling window and entity, each event once.
+
+    Texts are scanned as they come. An event that comes again within ``delay`` is dropped by its
+    key, one that is later than ``delay`` is dropped with its window; the state holds the keys and
+    counts of open windows, no texts.
+    """
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    once = timed.select(event, time, text).dropDuplicatesWithinWatermark([event])
+    found = with_hits(once, text, threshold=threshold).select(
+        time, F.expr(f"inline({L.entity_counts('hits')})"))
+    return (found.groupBy(F.window(time, window).alias("w"), F.col("entity").alias("entity_type"))
+            .agg(F.sum("n").alias("n")).select(F.col("w.start").alias("window_start"), "entity_type", "n"))
+
+
+def detections_stream(events: DataFrame, event: str, time: str, text: str, target: str, checkpoint: str, **how):
+    """Append the detections of windows to ``target`` once the watermark has passed them."""
+    return (windowed_detections(events, event, time, text, **how).writeStream.format("parquet")
+            .option("path", target).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+
+
 def scrub_batches(source: DataFrame, doc: str, text: str, target: str, log: str, checkpoint: str, *,
                   store: str | None = None, **how):
     """Scrub new documents with all options of ``scrub`` and log each of them.
