@@ -102,6 +102,22 @@ def test_a_short_value_adds_no_pairs_of_others(spark):
     assert max(shared.values()) <= 20
 
 
+def test_few_values_are_anchored_like_many(spark):
+    rng = np.random.default_rng(5)
+    values = sorted({"".join(rng.choice(list("ab1é"), n)) for n in rng.integers(1, 60, 300)})
+    table = Z.anchors(spark.createDataFrame([(v,) for v in values], "v string"), "v", "v").collect()
+    assert sorted(Z.anchored(values)) == sorted((r.value, r["class"], r.gram, r.offset) for r in table)
+    assert Z.anchored([]) == []
+
+
+def test_long_values_take_the_joins(spark):
+    long = "ab" * 600
+    texts = spark.createDataFrame([(1, f"x{long}y"), (2, "ab")], "n int, text string")
+    known = spark.createDataFrame([(long,), ("xa",)], "v string")
+    assert Z.few_values(known, "v", "v") is None
+    assert sorted(tuple(r) for r in residual_values(texts, ["n"], "text", known, "v").collect()) == [(1, long), (1, "xa")]
+
+
 def test_density():
     """Selected grams of longer classes are a small share of the characters."""
     points = np.random.default_rng(0).integers(97, 123, 100_000).astype(np.uint32)

@@ -29,6 +29,8 @@ VALUE_LIMIT, CHAR_LIMIT = 100_000, 4_000_000
 SEGMENT, REACH = 1 << 20, 64
 FILTER_BITS = 20
 FEW = 8
+#: Longest value that goes to every task.
+LONGEST = 1000
 Occurrence = tuple[int, str, str | None]      # start, value, payload
 _SEPARATOR = "\U0010ffff"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -63,13 +65,19 @@ def _sliding(values: np.ndarray, width: int, combine) -> np.ndarray:
     return out
 
 
-def selected(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Which grams are the lowest of some run of ``run`` grams; equal ones all are."""
+def selected(hashes: np.ndarray, run: int, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Which grams are the lowest of some run of ``run`` grams; equal ones all are.
+
+    ``allowed`` tells which runs count, by their first gram.
+    """
     if len(hashes) < run:
         return np.zeros(len(hashes), bool)
     lows = _sliding(hashes, run, np.minimum)
-    padded = np.concatenate([np.zeros(run - 1, np.uint64), lows, np.zeros(run - 1, np.uint64)])
-    return hashes == _sliding(padded, run, np.maximum)
+    seen = np.ones(len(lows), bool) if allowed is None else allowed
+    none = np.zeros(run - 1, np.uint64)
+    lows = np.concatenate([none, np.where(seen, lows, 0).astype(np.uint64), none])
+    covered = np.concatenate([none, seen, none]).astype(bool)
+    return (hashes == _sliding(lows, run, np.maximum)) & _sliding(covered, run, np.logical_or)
 
 
 def minimisers(value: str) -> list[tuple[int, int, int]]:
@@ -175,11 +183,43 @@ def anchors(values: DataFrame, value: str, payload: str) -> DataFrame:
             .select("value", "m.payload", "m.class", "m.gram", "m.offset"))
 
 
-def is_small(values: DataFrame, value: str) -> bool:
-    """Whether the values may be sent to every task; reads at most one more than may be."""
-    rows, chars = (values.select(F.length(value).alias("n")).limit(VALUE_LIMIT + 1)
-                   .agg(F.count(F.lit(1)), F.sum("n")).first())
-    return rows <= VALUE_LIMIT and (chars or 0) <= CHAR_LIMIT
+def few_values(values: DataFrame, value: str, payload: str) -> list[tuple[str, str | None]] | None:
+    """Distinct values with their lowest payloads, or None if there are too many for every task.
+
+    The table is read once; at most VALUE_LIMIT + 1 values of bounded length reach the driver.
+    """
+    rows = (values.filter(F.length(value) > 0).groupBy(F.col(value).alias("value"))
+            .agg(F.min(payload).alias("payload")).limit(VALUE_LIMIT + 1)
+            .select(F.when(F.length("value") <= LONGEST, F.col("value")), "payload").collect())
+    if len(rows) > VALUE_LIMIT or any(r[0] is None for r in rows) or sum(len(r[0]) for r in rows) > CHAR_LIMIT:
+        return None
+    return [tuple(r) for r in rows]
+
+
+def anchored(values: list[str]) -> list[tuple[str, int, int, int]]:
+    """``anchors`` of few values: ``(value, class, gram, offset)``."""
+    if not values:
+        return []
+    lengths = np.array([len(v) for v in values], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    owner = np.repeat(np.arange(len(values)), lengths + 1)
+    owner[starts + lengths] = -1                          # separators
+    points = code_points(_SEPARATOR.join([*values, ""]))
+    found = []
+    for number, (least, k, run) in enumerate(CLASSES):
+        hashes = gram_hashes(points, k)
+        if len(hashes) < run:
+            continue
+        inside = (owner[:len(owner) - least + 1] >= 0) & (owner[:len(owner) - least + 1] == owner[least - 1:])
+        at = np.flatnonzero(selected(hashes, run, inside))
+        grams = hashes[at].view(np.int64)
+        _, which, shared = np.unique(grams, return_inverse=True, return_counts=True)
+        found.append(np.stack([owner[at], np.maximum(shared[which], FEW), np.full(len(at), number), at - starts[owner[at]],
+                               grams], axis=1))
+    table = np.concatenate(found)
+    table = table[np.lexsort(table[:, 3::-1].T)]
+    first = np.concatenate([[True], table[1:, 0] != table[:-1, 0]])
+    return [(values[v], c, g, o) for v, _, c, o, g in table[first].tolist()]
 
 
 def with_occurrences(df: DataFrame, text: str, values: DataFrame, value: str, payload: str,
@@ -189,16 +229,17 @@ def with_occurrences(df: DataFrame, text: str, values: DataFrame, value: str, pa
     Every row is looked at by itself, so keys play no part and may be null or repeated. With
     few values nothing is shuffled.
     """
-    if is_small(values, value):
-        rows = [tuple(r) for r in anchors(values, value, payload).collect()]
-        # called nondeterministic, it is not pushed into a union, where Spark 4.1 fails to extract it
-        return df.withColumn(name, _in_place(rows, finish, kind).asNondeterministic()(F.col(text)))
-    return _joined(df, text, anchors(values, value, payload), finish, kind, name)
+    few = few_values(values, value, payload)
+    if few is None:
+        return _joined(df, text, anchors(values, value, payload), finish, kind, name)
+    # called nondeterministic, it is not pushed into a union, where Spark 4.1 fails to extract it
+    return df.withColumn(name, _in_place(few, finish, kind).asNondeterministic()(F.col(text)))
 
 
 def _in_place(rows: list[tuple], finish, kind: str):
-    matcher = Matcher([(value, *rest) for value, _, *rest in rows])
-    payloads = [r[1] for r in rows]
+    matcher = Matcher(anchored([v for v, _ in rows]))
+    known = dict(rows)
+    payloads = [known[v] for v in matcher.values]
 
     @F.pandas_udf(kind)
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

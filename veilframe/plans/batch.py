@@ -23,7 +23,7 @@ from veilframe.operators.detect import pick_rules, span_rows
 from veilframe.operators.gazetteer import Gazetteer
 from veilframe.operators.guard import assert_no_private_columns
 from veilframe.operators.model import Model
-from veilframe.operators.pseudonymise import mapped_spans
+from veilframe.operators.pseudonymise import mapped_spans, restore_documents
 from veilframe.operators.redact import CHUNK, SPAN_OF_ROW, label_bases
 from veilframe.plans.scrub import (PSEUDONYMISE, REDACT, detector_spans, session_fakes,
                                    written_once)
@@ -87,7 +87,7 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
         entities = R.parse_entities(entities)
     how = {"rules": pick_rules(entities, rules), "threshold": threshold}
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    most = _most_bytes(spark)
     files = raw.select("path", "length")
     # the reader tests the length before it reads a file
     known = FI.discover(raw.filter(F.col("length") <= most).select("path", "content"))
@@ -129,6 +129,38 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
     return Batch(done, rejects, mode, threshold, session_id if mode == PSEUDONYMISE else None, fresh)
 
 
+def restore_contents(contents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Files ``(path, content)`` with every fake of ``pairs`` replaced by its real value.
+
+    Files are taken as UTF-8 text, whatever their format; fakes are found as in
+    ``restore_documents``. Gives ``path, output_path, content``.
+    """
+    texts = contents.select("path", F.expr(X.utf8("content")).alias("_text"))
+    done = restore_documents(texts, "path", "_text", pairs)
+    return done.select("path", FI.output_name("path", FI.RESTORED, keep_format=True).alias("output_path"),
+                       F.encode("restored_text", "UTF-8").alias("content"))
+
+
+def restore_folder(spark: SparkSession, folder: str, mapping: DataFrame, session_id: str, key: bytes) -> DataFrame:
+    """The counterpart of ``scrub_folder``: all text, CSV and mail files below ``folder`` restored.
+
+    ``mapping`` holds the stored rows of the session; outputs of an earlier restore are left out. A
+    wrong key, or a session without rows, is an error; a file over Spark's limit for whole files
+    is left out as well, see ``scrub_folder``.
+    """
+    if mapping.filter(F.col("session_id") == session_id).isEmpty():
+        raise M.MappingError(f"the mapping has no rows of session {session_id!r}")
+    M.check_key(mapping, session_id, key)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = FI.discover(raw.filter(F.col("length") <= _most_bytes(spark)).select("path", "content"), suffix=FI.RESTORED)
+    return restore_contents(files.filter(F.col("format").isin(*FI.READABLE)), M.replacements(mapping, session_id, key))
+
+
+def _most_bytes(spark: SparkSession) -> int:
+    """Length up to which the reader takes a file as one row."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+
+
 def _parsed(known: DataFrame) -> DataFrame:
     """``path, content, format, error, chunks`` of the files that have a reader."""
     columns = ["path", "content", "format", "error", "chunks"]

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from veilframe.plans import oracle as O
 from veilframe.plans.scrub import scrub
 from veilframe.session import materialise, shared_dir, spread
 from veilframe.sources import chunks as CH
+from veilframe.sources import csvfile as CSV
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
 from veilframe.streaming import jobs as J
@@ -948,6 +950,50 @@ def audit_pseudonymised(spark, sf):
         F.size("entity_type_counts").alias("kinds"))
 
 
+# Files -------------------------------------------------------------------------------
+
+FILE_CELLS = " UNION ALL ".join(
+    f"SELECT variant AS doc_id, CAST(doc_id * 2 + {i} AS BIGINT) AS chunk_ord, {c} AS text FROM ({O.PLANTED}) AS f{i}"
+    for i, c in enumerate(("CAST(doc_id AS VARCHAR)", "text")))
+
+
+def _csv_folder(spark, sf) -> str:
+    """Planted texts as CSV files, one per variant, whose cells hold line breaks."""
+    base = _run_dir(spark, "csv_folder")
+    rows = Q.view(spark, sf, Q.PLANTED).repartition("variant").sortWithinPartitions("variant", "doc_id")
+    rows.write.partitionBy("variant").option("header", True).option("escape", '"').csv(f"{base}/in")
+    return f"{base}/in"
+
+
+def _csv_rows(contents: DataFrame) -> DataFrame:
+    """``variant, row_id, doc_id, text`` of CSV files ``(path, content)``."""
+    def run(batches):
+        for pdf in batches:
+            rows = [(int(path.split("variant=")[1][0]), n, *row) for path, content in zip(pdf["path"], pdf["content"])
+                    for n, row in enumerate(CSV._rows(content)[1:])]
+            yield pd.DataFrame(rows, columns=["variant", "row_id", "doc_id", "text"])
+
+    return contents.select("path", "content").mapInPandas(run, "variant int, row_id int, doc_id string, text string")
+
+
+@query("batch_folder", O.redacted("", chunks=FILE_CELLS) + " SELECT CAST(doc_id AS INTEGER) AS variant, CAST("
+       "dense_rank() OVER (PARTITION BY doc_id ORDER BY chunk_ord // 2) - 1 AS INTEGER) AS row_id, max(new) FILTER ("
+       "WHERE chunk_ord % 2 = 0) AS doc_id, max(new) FILTER (WHERE chunk_ord % 2 = 1) AS text FROM done "
+       "GROUP BY done.doc_id, chunk_ord // 2")
+def batch_folder(spark, sf):
+    """A folder job over CSV files; each file has its own numbering."""
+    return _csv_rows(B.scrub_folder(spark, _csv_folder(spark, sf)).outputs)
+
+
+@query("batch_restore", "SELECT CAST(variant AS INTEGER) AS variant, CAST(row_number() OVER (PARTITION BY variant "
+       f"ORDER BY doc_id) - 1 AS INTEGER) AS row_id, CAST(doc_id AS VARCHAR) AS doc_id, text FROM ({O.PLANTED}) AS p")
+def batch_restore(spark, sf):
+    """The same files pseudonymised and restored."""
+    done = B.scrub_folder(spark, _csv_folder(spark, sf), mode="pseudonymise", key=KEY, session_id=SESSION)
+    pairs = M.replacements(done.mapping, SESSION, KEY)
+    return _csv_rows(B.restore_contents(done.outputs, pairs))
+
+
 # Streaming ---------------------------------------------------------------------------
 
 def _run_dir(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,7 @@ from veilframe.sources import csvsplit
 SUPPORTED = ("csv", "docx", "eml", "pdf", "txt", "xlsx")
 READABLE = ("csv", "eml", "txt")
 OUTPUT_EXTENSION = {"pdf": "docx", "eml": "txt"}
-SUFFIX = "_scrubbed"
+SUFFIX, RESTORED = "_scrubbed", "_restored"
 # Columns that ``read_csv`` adds.
 PATH, ROW = "_source_path", "_source_row"
 
@@ -38,9 +38,11 @@ def format_errors(files: DataFrame, path: str = "path") -> DataFrame:
             F.lit("unsupported format ."), F.col("format"), F.lit("; supported: " + listed))))
 
 
-def output_name(path: str, suffix: str = SUFFIX) -> Column:
-    """Path of the output: same folder and stem with a suffix, extension by format."""
+def output_name(path: str, suffix: str = SUFFIX, keep_format: bool = False) -> Column:
+    """Path of the output: same folder and stem with a suffix, extension by format or kept."""
     ext = extension(path)
+    if keep_format:
+        return F.regexp_replace(path, "([.][^./]+)$", f"{suffix}$1")
     cases = " ".join(f"WHEN {ext} = {lit(a)} THEN {lit(b)}" for a, b in OUTPUT_EXTENSION.items())
     stem = f"regexp_replace({path}, {lit('[.][^./]+$')}, '')"
     return F.expr(f"concat({stem}, {lit(suffix + '.')}, CASE {cases} ELSE {ext} END)")
