@@ -29,8 +29,9 @@ def brute(rows, mix):
         n = len((text or "").split())
         digits = source[len(source.rstrip("0123456789")):] if source else ""
         domain = mix.domains[int(digits) % len(mix.domains)] if digits else mix.domains[0]
-        leaves[domain, lang or "", source or ""].append((i, n))
-    cap = {k: mix.max_epochs * sum(n for _, n in v) for k, v in leaves.items()}
+        tie = hashlib.md5((text or "").encode()).hexdigest()
+        leaves[domain, lang or "", source or ""].append((i, n, tie))
+    cap = {k: mix.max_epochs * sum(n for _, n, _ in v) for k, v in leaves.items()}
     budget = sum(cap.values()) // mix.max_epochs * mix.percent // 100
     tables = (mix.domain_weights, mix.language_weights, mix.source_weights)
     cap = {k: c if all(t.get(n, mix.other) for t, n in zip(tables, k, strict=True)) else 0 for k, c in cap.items()}
@@ -54,13 +55,13 @@ def brute(rows, mix):
     chosen = Counter()
     for leaf, share in fill((), budget).items():
         docs, epoch = leaves[leaf], 0
-        total = sum(n for _, n in docs)
+        total = sum(n for _, n, _ in docs)
         while total and share >= total:
-            chosen.update((i, epoch) for i, n in docs if n)
+            chosen.update((i, epoch) for i, n, _ in docs if n)
             share, epoch = share - total, epoch + 1
         used = 0
-        key = lambda d: hashlib.md5(f"{mix.seed}:{epoch}:{'' if d[0] is None else d[0]}".encode()).hexdigest()  # noqa: E731, B023
-        for i, n in sorted((d for d in docs if d[1]), key=key):
+        key = lambda d: hashlib.md5(f"{mix.seed}:{epoch}:{'' if d[0] is None else d[0]}".encode()).hexdigest() + d[2]  # noqa: E731, B023
+        for i, n, _ in sorted((d for d in docs if d[1]), key=key):
             used += n
             if used > share:
                 break
@@ -101,5 +102,25 @@ def test_awkward_rows(awkward, no_docs):
     out = mixing.mix_sources(awkward, Mix(percent=200))
     assert out.select("row.*").columns == awkward.columns
     texts = [r.text for r in out.select("row.text").collect()]
-    assert all(t and t.split() for t in texts) and texts.count("one") in (0, 3, 6)
+    assert all(t and t.split() for t in texts) and len(texts) > 5
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in awkward.collect()]
+    for percent in (30, 50, 70, 120):
+        mix = Mix(percent=percent)
+        got = Counter((r.doc_id, r.epoch) for r in mixing.mix_sources(awkward, mix).selectExpr(
+            "row.doc_id", "epoch").collect())
+        assert got == brute(rows, mix), percent
     assert mixing.mix_sources(no_docs).count() == 0
+
+
+def test_rows_without_ids_fill_their_share(spark):
+    """No ids, one id for all, and equal rows: the budget is used to the last row that fits."""
+    schema = "doc_id bigint, text string, lang string, source string, key string"
+    for ids, texts in (([None] * 50, [f"w{i} " * 10 for i in range(50)]), ([7] * 50, [f"w{i} " * 10 for i in range(50)]),
+                       ([None] * 50, ["w " * 10] * 50), ([7] * 25 + [None] * 25, ["w " * 10] * 50)):
+        rows = [(i, t, "en", "src1") for i, t in zip(ids, texts, strict=True)]
+        df = spark.createDataFrame([(*r, str(n)) for n, r in enumerate(rows)], schema)
+        for percent, want in ((60, 300), (25, 120), (130, 650)):
+            done = mixing.mix_sources(df, Mix(percent=percent))
+            assert done.groupBy().sum("tokens").first()[0] == want
+            got = Counter((r.doc_id, r.epoch) for r in done.selectExpr("row.doc_id", "epoch").collect())
+            assert got == brute(rows, Mix(percent=percent))

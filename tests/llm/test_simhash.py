@@ -92,5 +92,15 @@ def test_awkward_rows(awkward, no_docs):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
     assert kept.filter("doc_id IN (6, 7)").count() == 1
-    assert kept.filter(F.col("doc_id").isNull()).count() == 2
+    assert [r.text for r in kept.filter(F.col("doc_id").isNull()).collect()] == ["no id"]
+    assert kept.filter("doc_id = 3").count() == 1
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_copies_without_ids_go(make_docs):
+    """One row of each component stays, whatever their ids."""
+    text = "some words that many rows share and that make a fingerprint " * 3
+    other = "quite another text with other words in it so that it stands alone " * 3
+    rows = [(None, text)] * 50 + [(9, text)] * 20 + [(4, text)] * 5 + [(None, other)] * 30
+    kept = simhash.keep_one(make_docs(rows, extra=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(4, text), (None, other)], key=repr)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import materialise
+from veilframe.llm.vectors import ranked
 
 #: Buckets of the seeded order per leaf and epoch; only the bucket in which a leaf's budget
 #: ends is ordered row by row.
@@ -64,6 +65,11 @@ def order_key(mix: Mix, epoch: Column, doc_id: Column) -> Column:
                           F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _tie(text: str = "text") -> Column:
+    """Orders rows that share an id, or have none; only equal rows stay equal."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def _weight(name: str, weights: dict[str, int], other: int) -> Column:
     out = F.lit(other)
     for key, value in weights.items():
@@ -128,12 +134,13 @@ def leaf_budgets(totals: DataFrame, mix: Mix) -> DataFrame:
 
 
 def plan(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
-    """Per leaf: budget, full epochs, and the order key where its last epoch ends.
+    """Per leaf: budget, full epochs, the order key where its last epoch ends, and how many rows of
+    the key after that, which are equal, still fit.
 
     ``tokens`` counts a row's tokens (default: words of ``text``).
     """
     counted = materialise(docs.select(
-        "doc_id", *leaf_columns(mix),
+        "doc_id", *leaf_columns(mix), _tie().alias("tie"),
         (word_tokens(F.col("text")) if tokens is None else tokens).alias("tokens")))
     totals = materialise(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
     leaves = materialise(
@@ -144,7 +151,8 @@ def plan(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
 
     on = [F.col(k) == F.col(f"p_{k}") for k in LEVELS]
     keyed = (counted.join(_sized(leaves), on).filter("left > 0 AND tokens > 0")
-             .select(*LEVELS, "left", "tokens", order_key(mix, F.col("epochs"), F.col("doc_id")).alias("key")))
+             .select(*LEVELS, "left", "tokens", F.concat(
+                 order_key(mix, F.col("epochs"), F.col("doc_id")), "tie").alias("key")))
     bucket = F.substring("key", 1, BUCKET_DIGITS)
     sums = (keyed.groupBy(*LEVELS, "left", bucket.alias("bucket"))
             .agg(F.sum("tokens").alias("held")))
@@ -157,16 +165,34 @@ def plan(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
                 "before"))
     inside = keyed.join(_sized(last), [*(F.col(k) == F.col(f"l_{k}") for k in LEVELS),
                                        bucket == F.col("l_bucket")])
-    peers = (Window.partitionBy(*LEVELS).orderBy("key")
-             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = (inside.withColumn("upto", F.col("before") + F.sum("tokens").over(peers))
-           .filter(F.col("upto") <= F.col("left"))
-           .groupBy(*LEVELS).agg(F.max("key").alias("end_key")))
+    equal = (inside.groupBy(*LEVELS, "left", "before", "key", "tokens").agg(F.count("*").alias("n"))
+             .withColumn("held", F.col("n") * F.col("tokens")))
+    upto = F.col("before") + F.col("upto")
+    some = F.expr("greatest((left - before - upto + held) div tokens, 0)")
+    cut = (_running(equal, "key", "held").withColumn("fits", upto <= F.col("left"))
+           .groupBy(*LEVELS).agg(
+               F.max(F.when(F.col("fits"), F.col("key"))).alias("end_key"),
+               F.min(F.when(~F.col("fits"), F.struct("key", some.alias("copies")))).alias("edge")))
     ends = last.join(cut, [F.col(k) == F.col(f"l_{k}") for k in LEVELS], "left").select(
-        *[F.col(f"l_{k}") for k in LEVELS], F.coalesce("end_key", "l_bucket").alias("end_key"))
+        *[F.col(f"l_{k}") for k in LEVELS], F.coalesce("end_key", "l_bucket").alias("end_key"), "edge")
     return leaves.join(ends, [F.col(f"p_{k}") == F.col(f"l_{k}") for k in LEVELS], "left").select(
         *[F.col(f"p_{k}") for k in LEVELS], F.col("p_tokens").alias("p_available"), "share",
-        "epochs", F.coalesce("end_key", F.lit("")).alias("end_key"))
+        "epochs", F.coalesce("end_key", F.lit("")).alias("end_key"), F.col("edge.key").alias("edge_key"),
+        F.coalesce("edge.copies", F.lit(0)).alias("edge_copies"))
+
+
+def _running(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """Adds ``upto``, the sum of ``value`` in a leaf up to each row; a leaf is shared by many tasks.
+
+    Rows are range partitioned and written; sums per leaf and partition lead to each row's own.
+    """
+    placed = materialise(rows.repartitionByRange(*LEVELS, order).withColumn("_part", F.spark_partition_id()))
+    whole = Window.partitionBy(*LEVELS).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (placed.groupBy(*LEVELS, "_part").agg(F.sum(value).alias("_sum"))
+             .withColumn("_base", F.coalesce(F.sum("_sum").over(whole), F.lit(0))).drop("_sum"))
+    own = Window.partitionBy(*LEVELS, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (placed.join(bases, [*LEVELS, "_part"])
+            .withColumn("upto", F.col("_base") + F.sum(value).over(own)).drop("_part", "_base"))
 
 
 def _sized(leaves: DataFrame) -> DataFrame:
@@ -178,22 +204,30 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None)
     """All columns of ``docs`` as struct ``row``, its leaf, and ``epoch``: one row for each
     time a document is selected.
 
-    Epochs count from 0. A document without a token is selected in no epoch. Documents with
-    equal order keys (repeated ids) are taken together or not at all, so a leaf never
-    exceeds its share. Null lang and source are names of their own; an empty table gives
-    an empty result. Texts stay where they are: the plan of a leaf, a few values, is
-    joined to them.
+    Epochs count from 0. A document without a token is selected in no epoch. Rows without an
+    id, and rows that share one, are ordered by their texts; of equal rows as many are taken as
+    fit, so a leaf falls short of its share by less than its next row. Null lang and source
+    are names of their own; an empty table gives an empty result. Texts stay where they are: the
+    plan of a leaf, a few values, is joined to them. Only where some of several equal rows
+    are taken are these rows put in order.
     """
     leaves = materialise(plan(docs, mix, tokens))
     count = word_tokens(F.col("text")) if tokens is None else tokens
     rows = docs.select(F.struct("*").alias("row"), *leaf_columns(mix), F.col("doc_id").alias("id"),
-                       count.alias("tokens")).filter("tokens > 0")
-    joined = rows.join(_sized(leaves), [F.col(k) == F.col(f"p_{k}") for k in LEVELS])
-    more = order_key(mix, F.col("epochs"), F.col("id")) <= F.col("end_key")
-    times = F.col("epochs").cast("int") + F.when(more, 1).otherwise(0)
-    return (joined.withColumn("times", times).filter("times > 0")
-            .select("row", *LEVELS, "tokens",
-                    F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch")))
+                       _tie().alias("tie"), count.alias("tokens")).filter("tokens > 0")
+    joined = rows.join(_sized(leaves), [F.col(k) == F.col(f"p_{k}") for k in LEVELS]).withColumn(
+        "key", F.concat(order_key(mix, F.col("epochs"), F.col("id")), "tie"))
+    times = F.col("epochs").cast("int") + F.when(F.col("key") <= F.col("end_key"), 1).otherwise(0)
+    out = (joined.withColumn("times", times).filter("times > 0")
+           .select("row", *LEVELS, "tokens",
+                   F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch")))
+    if leaves.filter("edge_copies > 0").isEmpty():
+        return out
+    equal = ranked(joined.filter("edge_copies > 0 AND key = edge_key").withColumn("_hash", F.xxhash64("row")),
+                   *LEVELS, "_hash")
+    first = equal.groupBy(*[F.col(k).alias(f"f_{k}") for k in LEVELS]).agg(F.min("rank").alias("first"))
+    taken = equal.join(first, [F.col(k) == F.col(f"f_{k}") for k in LEVELS]).filter("rank - first < edge_copies")
+    return out.unionByName(taken.select("row", *LEVELS, "tokens", F.col("epochs").cast("int").alias("epoch")))
 
 
 def _case(name: str, weights: dict[str, int], other: int) -> str:
@@ -227,7 +261,7 @@ def sql(mix: Mix = Mix()) -> str:  # noqa: B008
     digits = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
     return f"""
 WITH rows_ AS (
-  SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+  SELECT doc_id, md5(coalesce(text, '')) AS tie, coalesce(lang, '') AS language, coalesce(source, '') AS source,
     {names}[CASE WHEN {digits} = '' THEN 1
       ELSE CAST({digits} AS INTEGER) % {len(mix.domains)} + 1 END] AS domain,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
@@ -253,10 +287,10 @@ s AS (SELECT domain, language, source, tokens AS available, share
 times AS (SELECT *, CASE WHEN available > 0 THEN share // available ELSE 0 END AS epochs,
     share - epochs * available AS remainder FROM s),
 keyed AS (SELECT doc_id, domain, language, source, tokens, epochs, remainder,
-    md5('{mix.seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    md5('{mix.seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) || tie AS key
   FROM rows_ JOIN times USING (domain, language, source) WHERE tokens > 0),
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY key
-    RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed)
 SELECT doc_id, domain, language, source, tokens, CAST(unnest(range(0,
     CAST(epochs + CASE WHEN upto <= remainder THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS epoch
 FROM summed

@@ -132,28 +132,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null. Repeated rows come out repeated; an empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs))
+    of = _classes(prints)
+    return (prints.join(of, prints["fp"] == of["node"])
+            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                    "component_id", "n_links"))
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """``node, component, component_id, n_links`` for every fingerprint of ``prints(doc_id, fp)``."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = materialise(components(links(nodes.select("fp"))))
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
     ids = member.groupBy("component").agg(F.min("first_id").alias("component_id"),
                                           (F.count("*") - 1).alias("n_links"))
-    of = materialise(member.join(ids, "component").select(
-        F.col("fp").alias("node"), "component_id", "n_links"))
-    return (prints.join(of, prints["fp"] == of["node"])
-            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                    "component_id", "n_links"))
+    return materialise(member.join(ids, "component").select(
+        F.col("fp").alias("node"), "component", "component_id", "n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id.
+    """One row of ``docs`` for each component: that of the smallest doc_id, of rows that share it, or of
+    a component without ids, that of the smallest text hash, and of equal rows any one.
 
-    Repeated rows of one doc_id are one document and stay or go together; rows without an
-    id stay. Columns are unchanged, whatever their names.
+    Rows without an id go like any other where their component has another row. An empty table
+    gives none. Columns are unchanged, whatever their names.
     """
-    stay = near_duplicates(docs).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_stay")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
-    kept = packed.join(stay, packed["key"] == stay["_stay"], "left_semi")
-    lone = packed.filter("key IS NULL")
-    return kept.unionByName(lone).select("row.*")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    prints = materialise(map_texts(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "digest"], "text",
+                                   "fp bigint", _fingerprint_factory))
+    of = _classes(prints)
+    rows = (prints.join(of, prints["fp"] == of["node"]).groupBy("component", "doc_id", "digest")
+            .agg(F.count("*").alias("n")))
+    stay = materialise(rows.groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("w")).select(
+        F.col("w.doc_id").alias("_id"), F.col("w.digest").alias("_digest"), F.col("w.n").alias("_n")))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), digest.alias("digest"))
+    kept = packed.join(stay, packed["key"].eqNullSafe(stay["_id"]) & (packed["digest"] == stay["_digest"]))
+    if not stay.filter("_n > 1").isEmpty():
+        kept = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["key", "digest"]))
+    return kept.select("row.*")
