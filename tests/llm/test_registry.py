@@ -25,7 +25,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for view in ("documents", "embeddings"):
+    for view in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     df = registry.QUERIES[name](spark, FOLDER)
     cur = con.execute(registry.ORACLE[name])

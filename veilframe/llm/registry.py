@@ -90,5 +90,6 @@ QUERIES = {f.__name__: f for f in (
     op12_embedding_dedup, op13_fill_in_middle)}
 
 ORACLE = {"op3_exact_dedup": exact.SQL, "op5_mixing": mixing.sql(), "op7_line_dedup": lines.SQL,
+          "op9_warc": warc.SQL,
           "op11_hard_negatives": negatives.SQL, "op12_embedding_dedup": covertree.SQL,
           "op13_fill_in_middle": infill.SQL}

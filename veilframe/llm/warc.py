@@ -286,3 +286,24 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 "refers_to bigint, archive string, offset bigint, indexed boolean")
     normalise(spark, f"{base}/streams", f"{base}/members")
     return read_archives(spark, f"{base}/members")
+
+
+def _base32(h: str) -> str:
+    """SQL of 40 hexadecimal digits in base 32: five digits give four characters."""
+    parts = []
+    for k in range(8):
+        number = f"CAST('0x' || substr({h}, {5 * k + 1}, 5) AS BIGINT)"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({number} // {32 ** e} % 32 AS INTEGER) + 1, 1)"
+                  for e in (3, 2, 1, 0)]
+    return " || ".join(parts)
+
+
+#: The same rows for DuckDB; every record is at its place in the index.
+SQL = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY n, h) AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_base32('h')} AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to, true AS indexed
+FROM g"""
