@@ -27,7 +27,7 @@ _KIND = "struct(chunk_ord, start, entity_type)"
 _COUNTS = "map<string,bigint>"
 
 
-def _grouped(spans: DataFrame, keys: list[str]) -> DataFrame:
+def grouped_parts(spans: DataFrame, keys: list[str]) -> DataFrame:
     """``_parts`` and ``entity_counts`` per key; sets, because repeated rows repeat spans."""
     k, e, f = var("k"), var("e"), var("f")
     kinds = f"transform(_kinds, {k} -> {k}.entity_type)"
@@ -80,7 +80,7 @@ def pseudonymise_documents(texts: DataFrame, doc: str, text: str, mapping: DataF
         likely = S.may_match(text, chosen)
         spans = span_rows(with_hits(texts.filter(likely).select("*", text_hash(text)), text,
                                     rules=chosen, threshold=threshold), doc, CHUNK)
-    parts = _grouped(mapped_spans(spans, mapping), [doc, CHUNK])
+    parts = grouped_parts(mapped_spans(spans, mapping), [doc, CHUNK])
     some = texts.filter(likely).select("*", text_hash(text))
     changed = (_or_empty(join_null_safe(some, parts, [doc, CHUNK]).drop(CHUNK))
                .withColumn("scrubbed_text", F.expr(L.rebuilt(text, "_parts"))).drop("_parts"))
@@ -102,7 +102,7 @@ def pseudonymise_chunks(chunks: DataFrame, doc: str, order: str, text: str,
             with_spans(chunks.filter(likely).select("*", text_hash(text)), text, rules=chosen,
                        threshold=threshold), doc, order, CHUNK, text=text)
     keys = [doc, order, CHUNK]
-    parts = _grouped(mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping), keys)
+    parts = grouped_parts(mapped_spans(spans.withColumn("chunk_ord", F.lit(0)), mapping), keys)
     some = chunks.filter(likely).select("*", text_hash(text))
     changed = (_or_empty(join_null_safe(some, parts, keys).drop(CHUNK))
                .withColumn("scrubbed_text", F.expr(S.splice(text, "_parts"))).drop("_parts"))

@@ -12,7 +12,7 @@ from veilframe.functions import rules as R
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import var
 from veilframe.operators.detect import pick_rules
-from veilframe.session import join_null_safe, materialise, union_parts
+from veilframe.session import join_null_safe, join_sparse, materialise
 
 BLOCK = 4096
 CHUNK = "_chunk_hash"
@@ -85,8 +85,8 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
     """Add ``spans``, ``parts`` and ``scrubbed_text`` to a table with many chunks per document.
 
     Detection runs once: its spans, which are offsets without any text, are written to the
-    checkpoint folder and numbered from there. Chunks without the signs of any rule pass
-    through untouched; only the others are joined to their labels, on the chunk key.
+    checkpoint folder and numbered from there. Labels go to the chunks that have spans; other
+    texts are never shuffled, see ``join_sparse``.
 
     Every row comes out: a null text stays null, rows with a null ``doc`` are one document,
     rows that repeat a key and its text share their labels.
@@ -97,30 +97,21 @@ def redact_chunks(chunks: DataFrame, doc: str, order: str, text: str = "text", *
     found = S.find_spans(text, chosen, threshold)
     spans = chunks.filter(likely).select(doc, order, text_hash(text), F.explode(F.expr(
         f"filter(array({found}), {some} -> size({some}) > 0)")).alias("spans"))
-    return label_chunks(chunks, materialise(spans), doc, order, text, likely)
+    return label_chunks(chunks, materialise(spans), doc, order, text)
 
 
-def label_chunks(chunks: DataFrame, spans: DataFrame, doc: str, order: str, text: str,
-                 likely: str = "true") -> DataFrame:
-    """Label given ``spans`` per chunk, keyed by ``(doc, order, CHUNK)``; chunks for which
-    ``likely`` is false or null have none."""
+def label_chunks(chunks: DataFrame, found: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """Label the materialised spans ``found`` per chunk, keyed by ``(doc, order, CHUNK)``."""
     as_hits = "array(named_struct('ord', 0, 'spans', spans))"
     keys = [doc, order, CHUNK]
-    spans = spans.dropDuplicates(keys)
+    spans = found.dropDuplicates(keys)
     labels = (join_null_safe(spans, label_bases(spans, doc, order), keys)
               .select(*keys, "spans",
                       F.expr(L.labelled(L.numbered(as_hits, "bases"))).alias("parts")))
-    no_parts = f"cast(array() AS {L.PARTS_TYPE})"
-    some = chunks.filter(likely).select("*", text_hash(text))
-    changed = (join_null_safe(some, labels, keys).drop(CHUNK)
-               .withColumn("spans", F.expr(f"coalesce(spans, {S.NO_SPANS})"))
-               .withColumn("parts", F.expr(f"coalesce(parts, {no_parts})"))
-               .withColumn("scrubbed_text", F.expr(S.splice(text, "parts"))))
-    rest = (chunks.filter(f"NOT coalesce({likely}, false)")
-            .withColumn("spans", F.expr(S.NO_SPANS))
-            .withColumn("parts", F.expr(no_parts))
-            .withColumn("scrubbed_text", F.col(text)))
-    return union_parts(changed, rest)
+    return (join_sparse(chunks.select("*", text_hash(text)), labels, keys, found, "size(spans)").drop(CHUNK)
+            .withColumn("spans", F.expr(f"coalesce(spans, {S.NO_SPANS})"))
+            .withColumn("parts", F.expr(f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
+            .withColumn("scrubbed_text", F.expr(S.splice(text, "parts"))))
 
 
 SPAN_OF_ROW = ("named_struct('start', start, 'end', end, 'entity', entity_type, 'score', score, "

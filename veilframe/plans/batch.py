@@ -23,11 +23,11 @@ from veilframe.operators.detect import pick_rules, span_rows
 from veilframe.operators.gazetteer import Gazetteer
 from veilframe.operators.guard import assert_no_private_columns
 from veilframe.operators.model import Model
-from veilframe.operators.pseudonymise import mapped_spans, restore_documents
+from veilframe.operators.pseudonymise import grouped_parts, mapped_spans, restore_documents
 from veilframe.operators.redact import CHUNK, SPAN_OF_ROW, label_bases
-from veilframe.plans.scrub import (PSEUDONYMISE, REDACT, detector_spans, session_fakes,
+from veilframe.plans.scrub import (PSEUDONYMISE, REDACT, Scrubbed, detector_spans, session_fakes,
                                    written_once)
-from veilframe.session import join_null_safe, materialise, spread, union_parts
+from veilframe.session import join_null_safe, join_sparse, materialise, spread, union_parts
 from veilframe.sources import csvfile as CSV
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
@@ -217,50 +217,109 @@ def write_outputs(batch: Batch, outputs: str, log: str) -> None:
 def scrub_table(df: DataFrame, row: str, columns: list[str], table: str | None = None,
                 threshold: float = R.DEFAULT_THRESHOLD,
                 rules: Iterable[R.Rule] | None = None) -> DataFrame:
-    """Redact the cells of ``columns``, numbered over the whole table (or per ``table``).
-
-    ``row`` is a whole number that orders the rows; a row is one chunk with an array of cells,
-    so cells are neither exploded nor pivoted. Every row comes out, with cells as text
-    without outer white space; null and blank cells stay as they are.
+    """The redacted cells of ``columns``, see ``scrub_cells``."""
+    return scrub_cells(df, row, columns, table, threshold=threshold, rules=rules).texts.drop("entity_counts")
+
+
+def scrub_cells(df: DataFrame, row: str, columns: list[str], table: str | None = None, *,
+                mode: str = REDACT, threshold: float = R.DEFAULT_THRESHOLD,
+                entities: Iterable[str] | str | None = None, rules: Iterable[R.Rule] | None = None,
+                gazetteers: Iterable[Gazetteer] = (), model: Callable[[], Model] | None = None,
+                session_id: str | None = None, key: bytes | None = None,
+                mapping: DataFrame | None = None) -> Scrubbed:
+    """Scrub the cells of ``columns``, numbered over the whole table (or per ``table``).
+
+    ``row`` is a whole number that orders the rows; a row is one chunk with an array of cells.
+    Every row comes out, with cells as text without outer white space and ``entity_counts``;
+    null and blank cells stay as they are. Rows with a null or repeated number are told apart
+    by their cells. Detection runs once; its spans are written (without originals, or with sealed
+    ones in pseudonymise mode) and joined to the rows that have them.
     """
-    chosen = pick_rules(None, rules)
+    if mode not in (REDACT, PSEUDONYMISE):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == PSEUDONYMISE and key is None:
+        raise ValueError("pseudonymise mode needs a key, see derive_key")
+    if isinstance(entities, str):
+        entities = R.parse_entities(entities)
+    chosen = pick_rules(entities, rules)
+    keyed = _keyed_cells(df, row, columns, table)
+    x = var("x")
+    keys = ["_table", "_row", CHUNK]
+    if gazetteers or model is not None:
+        cells = keyed.select(*keys, F.posexplode("_cells").alias("chunk_ord", "_text")).filter("_text IS NOT NULL")
+        rows = detector_spans(cells, [*keys, "chunk_ord"], tuple(gazetteers), model,
+                              None if entities is None else set(entities),
+                              {"rules": chosen, "threshold": threshold})
+        hit = f"named_struct('ord', chunk_ord, 'text', '', 'spans', array({SPAN_OF_ROW}))"
+        hits = rows.groupBy(*keys).agg(F.collect_list(F.expr(hit)).alias("hits"))
+    else:
+        hits = _cell_hits(keyed, keys, chosen, threshold)
+        rows = span_rows(hits, *keys)
+
+    fresh = None
+    if mode == REDACT:
+        h = var("h")
+        offsets = f"transform(hits, {h} -> named_struct('ord', {h}.ord, 'text', '', 'spans', {h}.spans))"
+        found = materialise(hits.withColumn("hits", F.expr(offsets)).dropDuplicates(keys))
+        flat = found.select(*keys, F.expr(f"flatten(transform(hits, {h} -> {h}.spans))").alias("spans"))
+        changes = join_null_safe(found, label_bases(flat, "_table", "_row"), keys).select(
+            *keys, F.expr(L.labelled(L.numbered("hits", "bases"))).alias("_parts"),
+            A.count_map().alias("entity_counts"))
+        items = f"size(flatten(transform(hits, {h} -> {h}.spans)))"
+    else:
+        M.hide_keys(df.sparkSession)
+        session_id = session_id or str(uuid.uuid4())
+        secret = hmac.new(key, session_id.encode(), "sha256").hexdigest()
+        found = materialise(rows.withColumn("original", F.expr(M.encrypt("original", key))))
+        spans = found.withColumn("original", F.expr(M.decrypt("original", key)))
+        placed = spans.withColumn("chunk_ord", F.struct("_row", "chunk_ord"))
+        fresh = M.build_mapping(placed, session_id, key, salt=secret, existing=mapping, doc="_table")
+        changes = grouped_parts(mapped_spans(spans, session_fakes(fresh, mapping, session_id, spans)), keys)
+        items = "1"
+
+    def cell(k: int) -> str:
+        own = f"filter(_parts, {x} -> {x}.ord = {k})"
+        return (f"IF(_cells[{k}] IS NULL OR _parts IS NULL, _cells[{k}], "
+                f"{S.splice(f'_cells[{k}]', own)})")
+
+    names = [F.col("_row").alias(row), *([] if table is None else [F.col("_table").alias(table)])]
+    texts = join_sparse(keyed, changes, keys, found, items).select(
+        *names, *[F.expr(cell(k)).alias(c) for k, c in enumerate(columns)],
+        F.expr("coalesce(entity_counts, cast(map() AS map<string,bigint>))").alias("entity_counts"))
+    return Scrubbed(texts, fresh, session_id if mode == PSEUDONYMISE else None)
+
+
+def _keyed_cells(df: DataFrame, row: str, columns: list[str], table: str | None) -> DataFrame:
+    """``_table, _row, CHUNK, _cells`` with cells stripped; blank and null ones as they are."""
     keyed = spread(df.select(
         (F.lit("") if table is None else F.col(f"`{table}`")).alias("_table"),
         F.col(f"`{row}`").alias("_row"),
         F.array(*[F.col(f"`{c}`").cast("string") for c in columns]).alias("_cells")), "_row")
-    x, i, h, y = var("x"), var("i"), var("h"), var("y")
+    x = var("x")
     clean = F.expr(f"transform(_cells, {x} -> IF({x} IS NULL OR NOT {X.not_blank(x)}, {x}, "
                    f"{X.stripped(x)}))")
-    keyed = keyed.withColumn("_cells", clean).withColumn(CHUNK, F.xxhash64("_cells"))
-    likely = f"coalesce({S.may_match(f'array_join(_cells, {chr(39)} {chr(39)})', chosen)}, false)"
+    return keyed.withColumn("_cells", clean).withColumn(CHUNK, F.xxhash64("_cells"))
+
+
+def _cell_hits(keyed: DataFrame, keys: list[str], chosen: tuple[R.Rule, ...], threshold: float) -> DataFrame:
+    """``keys, hits`` of the rows with spans."""
+    x, i, y = var("x"), var("i"), var("y")
+    likely = S.may_match("array_join(_cells, ' ')", chosen)
     cells = (f"filter(transform(_cells, ({x}, {i}) -> named_struct('ord', {i}, 'text', {x})), "
              f"{y} -> {y}.text IS NOT NULL)")
     hits = L.hits_of_chunks(cells, chosen, threshold)
-    offsets = f"transform({hits}, {h} -> named_struct('ord', {h}.ord, 'text', '', 'spans', {h}.spans))"
-    keys = ["_table", "_row", CHUNK]
-    spans = materialise(
-        keyed.filter(likely).select(*keys, F.expr(offsets).alias("hits")).filter("size(hits) > 0")
-        .dropDuplicates(keys))
-    flat = spans.select(*keys, F.expr(f"flatten(transform(hits, {h} -> {h}.spans))").alias("spans"))
-    labels = join_null_safe(spans, label_bases(flat, "_table", "_row"), keys).select(
-        *keys, F.expr(L.labelled(L.numbered("hits", "bases"))).alias("parts"))
-    changed = join_null_safe(keyed.filter(likely), labels, keys).withColumn("parts", F.expr(
-        f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
-    rest = keyed.filter(f"NOT {likely}").withColumn(
-        "parts", F.expr(f"cast(array() AS {L.PARTS_TYPE})"))
+    return (keyed.filter(f"coalesce({likely}, false)")
+            .select(*keys, F.expr(f"inline(filter(array(named_struct('hits', {hits})), {x} -> size({x}.hits) > 0))")))
 
-    def cell(k: int) -> str:
-        own = f"filter(parts, {x} -> {x}.ord = {k})"
-        return f"IF(_cells[{k}] IS NULL, NULL, {S.splice(f'_cells[{k}]', own)})"
 
-    names = [F.col("_row").alias(row), *([] if table is None else [F.col("_table").alias(table)])]
-    return union_parts(changed, rest).select(
-        *names, *[F.expr(cell(k)).alias(c) for k, c in enumerate(columns)])
+def scrub_csv(spark: SparkSession, path: str, threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """Every cell of large CSV files redacted, see ``scrub_csv_files``."""
+    return scrub_csv_files(spark, path, threshold=threshold).texts.drop("entity_counts")
 
 
-def scrub_csv(spark: SparkSession, path: str, threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
-    """Redact every cell of large CSV files with one header, split over many tasks; each file
-    has its own numbering. Adds ``FI.PATH`` and ``FI.ROW``."""
+def scrub_csv_files(spark: SparkSession, path: str, **how) -> Scrubbed:
+    """Scrub every cell of large CSV files with one header, split over many tasks, with all options
+    of ``scrub_cells``; each file has its own numbering. Adds ``FI.PATH`` and ``FI.ROW``."""
     rows = FI.read_csv(spark, path)
     columns = [c for c in rows.columns if c not in (FI.PATH, FI.ROW)]
-    return scrub_table(rows, FI.ROW, columns, FI.PATH, threshold)
+    return scrub_cells(rows, FI.ROW, columns, FI.PATH, **how)

@@ -232,6 +232,26 @@ def rebuild_blanks(spark, sf):
     return B.scrub_table(Q.view(spark, sf, BLANK_TABLE), "row_id", ["name", "mail"])
 
 
+def _stripped(column: str) -> str:
+    """Reference SQL of a cell without outer white space; blank cells stay."""
+    space = r"[\s]"
+    bare = f"regexp_replace(regexp_replace({column}, '^{space}+', ''), '{space}+$', '')"
+    return f"CASE WHEN {bare} = '' THEN {column} ELSE {bare} END"
+
+
+@query("pseudo_table", f"SELECT doc_id AS row_id, {_stripped('text')} AS text, "
+       "CAST(variant AS VARCHAR) AS variant, true AS replaced FROM "
+       f"({O.PLANTED}) AS p WHERE text IS NOT NULL")
+def pseudo_table(spark, sf):
+    """Cells pseudonymised and restored: the table comes back, and no value stood in the output."""
+    rows = planted(spark, sf).withColumn("row_id", F.col("doc_id"))
+    done = B.scrub_cells(rows, "row_id", ["variant", "text"], mode="pseudonymise", key=KEY, session_id=SESSION)
+    given = done.texts.withColumn("_given", F.col("text"))
+    back = P.restore_documents(given, "row_id", "text", M.replacements(done.mapping, SESSION, KEY))
+    changed = (F.col("_given") != F.col("restored_text")) == (F.size(F.map_keys("entity_counts")) > 0)
+    return back.select("row_id", F.col("restored_text").alias("text"), "variant", changed.alias("replaced"))
+
+
 NULL_CHUNKS = f"""SELECT CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id END AS conv,
   conv_id * 1000 + turn AS place, CASE WHEN turn % 4 = 3 THEN NULL ELSE text END AS text
 FROM ({Q.SIGNED}) AS g"""

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 100_000
 HOT_KEY_SHARE = 2_000
 SPLIT_BYTES = 4 * 1024 * 1024
+#: Array elements that ``join_sparse`` broadcasts, and the size of its table of bits beyond.
+SPARSE_ITEMS = 500_000
+BITS_PER_KEY = 16
+BIT_WORDS = 1 << 20
 
 
 _own_dirs: dict[str, str] = {}
@@ -99,6 +103,33 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
     return (left.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt"))
 
 
+def join_sparse(left: DataFrame, right: DataFrame, keys: list[str], present: DataFrame,
+                items: str = "1") -> DataFrame:
+    """Null-safe left join of wide rows to ``right``, which has partners for some of them only.
+
+    ``present`` is materialised and holds the keys of ``right``; ``items`` counts what one of its
+    rows brings. Up to BROADCAST_ROW_LIMIT rows and SPARSE_ITEMS are broadcast. For more, a table of bits of their key hashes is (at most
+    BIT_WORDS numbers): left rows whose bit is not set have no partner and pass through where
+    they are, and only the others are shuffled. A bit set by chance costs a shuffle, no row.
+    """
+    many, brought = present.agg(F.count(F.lit(1)), F.expr(f"coalesce(sum({items}), 0)")).first()
+    if many <= BROADCAST_ROW_LIMIT and brought <= SPARSE_ITEMS:
+        return join_null_safe(left, F.broadcast(right), keys)
+    words = min(max(many * BITS_PER_KEY // 64, 1), BIT_WORDS)
+
+    bit = F.pmod(F.xxhash64(*keys), F.lit(words * 64)).alias("_bit")
+    word = F.expr("_bit div 64").alias("_word")
+    bits = (present.select(bit).groupBy(word)
+            .agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 AS int)))").alias("_bits")))
+    tagged = (left.select("*", bit).select("*", word)
+              .join(F.broadcast(materialise(bits)), "_word", "left")
+              .withColumn("_met", F.expr("coalesce(shiftright(_bits, cast(_bit % 64 AS int)) & 1L, 0L) = 1"))
+              .drop("_word", "_bit", "_bits"))
+    met = join_null_safe(tagged.filter("_met").drop("_met"), right, keys)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in keys]
+    return union_parts(met, tagged.filter("NOT _met").drop("_met").select("*", *none))
+
+
 def join_hot_split(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join on the text column ``key``, of which ``right`` has each value once.
 
