@@ -13,6 +13,7 @@ from veilframe.operators.detect import with_hits
 from veilframe.operators.guard import assert_no_private_columns
 from veilframe.operators.redact import redact_documents
 from veilframe.plans.scrub import REDACT, scrub
+from veilframe.streaming import runs as RU
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None,
@@ -88,7 +89,8 @@ def scrub_batches(source: DataFrame, doc: str, text: str, target: str, log: str,
     Every micro-batch writes its texts, its audit entries and, in pseudonymise mode, its new
     mapping rows (below ``store``) into folders ``batch=N``. A batch that is run again after
     a failure replaces its own folders, so nothing is stored or logged twice. The entries
-    are made from the stored rows. Later batches take the fakes of earlier ones.
+    are made from the stored rows. Later batches take the fakes of earlier ones, which they read
+    from the few runs of ``runs``, however many batches there were.
     """
     how.setdefault("threshold", R.DEFAULT_THRESHOLD)
     mode = how.get("mode", REDACT)
@@ -97,17 +99,13 @@ def scrub_batches(source: DataFrame, doc: str, text: str, target: str, log: str,
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = None
-        if store is not None and number:
-            earlier = [f"{store}/batch={n}" for n in range(number)]
-            known = spark.read.parquet(*earlier)
+        known = None if store is None else RU.read_before(spark, store, number)
         done = scrub(batch, doc, text, mapping=known, **how)
         rows = done.texts.select(doc, "scrubbed_text", F.sha2(text, 256).alias("source_hash"),
                                  "entity_counts")
         rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if store is not None:
-            assert_no_private_columns(done.mapping).write.mode("overwrite").parquet(
-                f"{store}/batch={number}")
+            RU.add_batch(assert_no_private_columns(done.mapping), store, number)
         stored = spark.read.parquet(f"{target}/batch={number}")
         entries = audit_entries(
             stored, source=None, mode=mode, threshold=how["threshold"], document=doc,
