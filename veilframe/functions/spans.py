@@ -15,6 +15,7 @@ from veilframe.functions.arrays import let, lit, running_max, running_sum, var
 
 SPAN_TYPE = "struct<start:int,end:int,entity:string,score:double,priority:int,rule:string>"
 SEGMENT = 64
+CONTEXT_BLOCK = 512
 NO_SPANS = f"cast(array() AS array<{SPAN_TYPE}>)"
 
 
@@ -39,11 +40,29 @@ def matches(text: str, pattern: str) -> str:
         f"({s}, {m}) -> named_struct('start', {s}, 'm', {m})))"))
 
 
-def context_before(text: str, start: str) -> str:
-    """The last five tokens before ``start`` in lower case, joined by spaces."""
+def context_blocks(text: str) -> str:
+    """Blocks of CONTEXT_BLOCK characters of a long line, cut in one walk; NULL for others."""
+    rx = lit(f"(?s).{{1,{CONTEXT_BLOCK}}}+")
+    return f"IF(length({text}) > {2 * CONTEXT_BLOCK}, regexp_extract_all({text}, {rx}, 0), NULL)"
+
+
+def context_before(text: str, start: str, blocks: str = "NULL") -> str:
+    """The last five tokens before ``start`` in lower case, joined by spaces.
+
+    With the ``context_blocks`` of a long line only the block of ``start`` and the one before it are
+    read, as long as five whole tokens lie in them; else the line up to ``start`` is.
+    """
     t = var("t")
     n = R.CONTEXT_WINDOW
-    tokens = f"filter(split(lower(left({text}, {start})), r'\\s+'), {t} -> {t} != '')"
+    lead = f"left({text}, {start})"
+    if blocks != "NULL":
+        at = f"cast({start} div {CONTEXT_BLOCK} AS int)"
+        close = (f"concat(coalesce(get({blocks}, {at} - 1), ''), "
+                 f"left(coalesce(get({blocks}, {at}), ''), {start} % {CONTEXT_BLOCK}))")
+        # the first token may be cut, the last may be empty
+        near = let(close, lambda c: f"IF({at} <= 1 OR size(split({c}, r'\\s+')) > {n + 1}, {c}, {lead})")
+        lead = f"IF({blocks} IS NULL, {lead}, {near})"
+    tokens = f"filter(split(lower({lead}), r'\\s+'), {t} -> {t} != '')"
     return let(tokens, lambda a: (
         f"array_join(slice({a}, greatest(size({a}) - {n - 1}, 1), {n}), ' ')"))
 
@@ -122,17 +141,22 @@ def candidate_spans(text: str, rules: Iterable[R.Rule],
               f"{x} -> {x}.score IS NOT NULL)")
     words = _per_rule(rules, f"{y}.rule", lambda r: (
         f"array({', '.join(lit(v) for v in r.context)})" if r.context else "NULL"), "NULL")
-    final = f"{y}.score"
-    if any(r.context for r in rules):
-        near = let(context_before(text, f"{y}.start"), lambda before: (
-            f"exists({words}, {w} -> contains({before}, {w}))"))
-        final = f"IF({words} IS NOT NULL AND {near}, {boosted(final)}, {final})"
     entity = _per_rule(rules, f"{y}.rule", lambda r: lit(r.entity), "''")
     priority = _per_rule(rules, f"{y}.rule", lambda r: str(r.priority), "0")
     name = _per_rule(rules, f"{y}.rule", lambda r: lit(r.name), "''")
-    spans = (f"transform({scored}, {y} -> named_struct('start', {y}.start, 'end', {y}.end, "
-             f"'entity', {entity}, 'score', round({final}, 2), 'priority', {priority}, "
-             f"'rule', {name}))")
+
+    def finished(final: str) -> str:
+        return (f"transform({scored}, {y} -> named_struct('start', {y}.start, 'end', {y}.end, "
+                f"'entity', {entity}, 'score', round({final}, 2), 'priority', {priority}, "
+                f"'rule', {name}))")
+
+    def in_context(blocks: str) -> str:
+        near = let(context_before(text, f"{y}.start", blocks), lambda before: (
+            f"exists({words}, {w} -> contains({before}, {w}))"))
+        return finished(f"IF({words} IS NOT NULL AND {near}, {boosted(f'{y}.score')}, {y}.score)")
+
+    spans = (let(context_blocks(text), in_context) if any(r.context for r in rules)
+             else finished(f"{y}.score"))
     return f"filter({spans}, {z} -> {z}.score >= {threshold})"
 
 
