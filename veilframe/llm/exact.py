@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import materialise
 
 PREFIX = 32
-#: A text with more than this many rows is split over SALTS ranges before it is sorted. The
-#: number of such texts is at most rows / HOT_ROWS, and they are broadcast only up to HOT_MAX.
+#: A text with more than this many rows is split over SALTS parts before it is sorted, or over as
+#: many as keep a part near PART_ROWS rows. The number of such texts is at most rows / HOT_ROWS,
+#: and they are broadcast only up to HOT_MAX.
 HOT_ROWS = 500
 SALTS = 64
+PART_ROWS = 20_000
 HOT_MAX = 100_000
 
 
@@ -29,20 +31,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     smallest). An empty table gives an empty result; other columns are not read.
 
     A text that holds a large share of the rows is first sorted in salted parts; only the
-    largest row of each part and its count meet in the second step.
+    largest row of each part and its count meet in the second step. Parts are told by doc_id; the
+    rows of a text in which one id (or no id) stands very often are numbered instead, and
+    written once so that a task that is run again finds the same numbers.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    hot = (rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
-           .select(F.col("hash").alias("hot_hash")))
+    hot = (rows.groupBy("hash", "doc_id").agg(F.count("*").alias("same"))
+           .groupBy("hash").agg(F.sum("same").alias("n"), F.max("same").alias("most")).filter(F.col("n") > HOT_ROWS)
+           .select(F.col("hash").alias("hot_hash"), (F.col("most") > HOT_ROWS).alias("repeats"),
+                   F.greatest(F.lit(SALTS), F.ceil(F.col("n") / PART_ROWS)).alias("parts")))
     hot = materialise(hot)
     many = hot.limit(HOT_MAX + 1).count()
     if many:
-        joined = rows.join(F.broadcast(hot) if many <= HOT_MAX else hot,
-                           F.col("hash") == F.col("hot_hash"), "left")
-        salt = F.when(F.col("hot_hash").isNotNull(),
-                      F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0))
-        rows = joined.withColumn("salt", salt.cast("int")).drop("hot_hash")
+        rows = rows.join(F.broadcast(hot) if many <= HOT_MAX else hot,
+                         F.col("hash") == F.col("hot_hash"), "left")
+        rows = _salted(rows, not hot.filter("repeats").isEmpty()).drop("hot_hash", "repeats", "parts")
     else:
         rows = rows.withColumn("salt", F.lit(0))
 
@@ -84,6 +88,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return cold.unionByName(warm)
 
 
+def _salted(rows: DataFrame, repeats: bool) -> DataFrame:
+    """``rows`` with ``salt``: 0, or from 1 to ``parts`` for a row of a hot text."""
+    def part(value):
+        return (F.pmod(F.xxhash64(value), F.col("parts")) + 1).cast("int")
+
+    by_id = F.when(F.col("hot_hash").isNotNull(), part("doc_id")).otherwise(F.lit(0))
+    if not repeats:
+        return rows.withColumn("salt", by_id)
+    numbered = materialise(rows.filter("repeats").withColumn("salt", part(F.monotonically_increasing_id())))
+    return rows.filter("NOT coalesce(repeats, false)").withColumn("salt", by_id).unionByName(numbered)
+
+
 SQL = """
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
