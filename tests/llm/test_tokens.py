@@ -27,3 +27,10 @@ def test_many_blocks_and_nothing(spark, no_docs):
     for r in rows[::97]:
         assert r.truncated_tokens == sum(min(v, r.context_limit) for v in values)
     assert tokens.histogram(tokens.lengths(no_docs, *ARGS)).count() == 0
+
+
+def test_texts_are_encoded_once(spark, make_docs, monkeypatch):
+    """The answer's plan starts from the written histogram."""
+    rows = tokens.histogram(tokens.lengths(make_docs(["a b", "c"]), *ARGS))
+    plan = rows._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "ExistingRDD" in plan

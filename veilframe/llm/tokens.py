@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_texts, utf8
+from veilframe.llm.common import map_texts, materialise, utf8
 
 #: Histogram rows whose sums are taken in one task; blocks are then summed over each other.
 BLOCK = 1024
@@ -27,7 +27,8 @@ def load(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens`` of every whole text; null and empty texts have 0 tokens.
+    """``doc_id, n_tokens`` of every whole text; null and empty texts have 0 tokens, repeated rows
+    are counted each, an empty table gives an empty result.
 
     ``path`` names a byte-level BPE rank file that every worker can read, ``pattern`` its
     pre-splitting pattern; strings of special tokens are ordinary text.
@@ -60,10 +61,11 @@ def histogram(counted: DataFrame) -> DataFrame:
     truncated_tokens + (L - context_limit) * docs_longer. No rows give an empty result;
     null counts are ignored.
     """
-    hist = (counted.filter("n_tokens IS NOT NULL").groupBy("n_tokens")
-            .agg(F.count("*").alias("n_docs"))
-            .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-            .withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
+    # read twice below, so it is written: counting may mean encoding whole texts
+    hist = materialise(counted.filter("n_tokens IS NOT NULL").groupBy("n_tokens")
+                       .agg(F.count("*").alias("n_docs"))
+                       .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+                       .withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("b_docs"),
                                        F.sum("tokens").alias("b_tokens"))
     upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
