@@ -2,7 +2,8 @@
 
 A text is cut into atoms: runs of word characters and single other visible characters. An
 n-gram is up to N neighbouring atoms with the text between them, so an entry matches only
-where it starts and ends at an atom border.
+where it starts and ends at an atom border. Which n-grams are built is decided by the first atoms
+of the entries while these are few, else by a prefix tree.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
 from veilframe.functions.arrays import let, lit, var
+from veilframe.operators.prefixtree import ATOM, LEVELS, likely_entries
 from veilframe.session import BROADCAST_ROW_LIMIT, join_checked
 
-ATOM = r"(?U)\w+|[^\w\s]"
 SCORE = 0.85
 FIRST_ATOM_LIMIT = 2_000
 GATE_LIMIT = 200
@@ -33,11 +34,11 @@ def folded(text: str, ignore_case: bool) -> str:
     return f"lower({spaced})" if ignore_case else spaced
 
 
-def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case: bool) -> str:
-    """``array<struct<start, end, surface, phrase>>`` for all n-grams of the given atom counts.
+def ngrams(text: str, widths: list[int], firsts: list[str], ignore_case: bool) -> str:
+    """``array<struct<start, end, surface, phrase>>`` for the n-grams of the given atom counts
+    that begin with an atom of ``firsts``.
 
-    With ``firsts`` only n-grams that begin with one of these atoms are built. White space
-    is folded only in texts that have more than single spaces.
+    White space is folded only in texts that have more than single spaces.
     """
     a, i, w, g, f = (var(c) for c in "aiwgf")
 
@@ -56,8 +57,6 @@ def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case:
                 f"'surface', {g}.surface, 'phrase', {fold(f'{g}.surface', irregular)}))")
 
     def build(atoms: str, irregular: str) -> str:
-        if firsts is None:
-            return f"flatten(transform({atoms}, ({a}, {i}) -> {grams(atoms, irregular, i)}))"
         atom = f"lower({f}.m)" if ignore_case else f"{f}.m"
         listed = ", ".join(lit(x) for x in firsts) or "''"
         starts = (f"filter(transform({atoms}, ({f}, {i}) -> named_struct('i', "
@@ -72,11 +71,12 @@ def ngrams(text: str, widths: list[int], firsts: list[str] | None, ignore_case:
 @dataclass(frozen=True)
 class EntryStats:
     """``widths``: distinct atom counts, at most a handful; ``rows``: number of entries;
-    ``digits``: whether every entry has a digit."""
+    ``digits``: whether every entry has a digit; ``nodes``: bound on their prefixes in a tree."""
 
     widths: list[int]
     rows: int
     digits: bool
+    nodes: int
 
 
 def entry_stats(entries: DataFrame, phrase: str) -> EntryStats:
@@ -84,7 +84,8 @@ def entry_stats(entries: DataFrame, phrase: str) -> EntryStats:
             .agg(F.count(F.lit(1)).alias("rows"),
                  F.every(F.expr(f"{phrase} RLIKE r'\\p{{Nd}}'")).alias("digits")).collect())
     return EntryStats(sorted(r["n"] for r in rows if r["n"]), sum(r["rows"] for r in rows),
-                      all(r["digits"] for r in rows))
+                      all(r["digits"] for r in rows),
+                      sum(min(r["n"] or 0, LEVELS) * r["rows"] for r in rows))
 
 
 def entry_gate(text: str, stats: EntryStats, firsts: list[str] | None, ignore_case: bool) -> str:
@@ -114,13 +115,19 @@ def find_entries(chunks: DataFrame, keys: list[str], text: str, entries: DataFra
 
     Only keys and phrases travel to the join, not the texts. The entries are broadcast if
     counted small; if not, both sides are shuffled with salted phrases, because frequent
-    words are hot keys. Few distinct first atoms prune the n-grams before the join.
+    words are hot keys. Few distinct first atoms prune the n-grams before the join; where they
+    are many, only n-grams whose prefixes are all in a tree of the entries are built.
     ``entries`` is read a few times; materialise it if it is costly.
     """
     stats = entry_stats(entries, phrase)
     firsts = first_atoms(entries, phrase, ignore_case)
-    grams = chunks.filter(entry_gate(text, stats, firsts, ignore_case)).select(*keys, F.expr(
-        f"inline({ngrams(text, stats.widths or [1], firsts, ignore_case)})"))
+    likely = chunks.filter(entry_gate(text, stats, firsts, ignore_case))
+    if firsts is None:
+        grams = likely_entries(likely, keys, text, entries, phrase, stats.widths, stats.nodes,
+                               ignore_case).withColumn("phrase", F.expr(folded("surface", ignore_case)))
+    else:
+        grams = likely.select(*keys, F.expr(
+            f"inline({ngrams(text, stats.widths or [1], firsts, ignore_case)})"))
     table = (entries.withColumn("phrase", F.expr(folded(phrase, ignore_case)))
              .dropDuplicates(["phrase"]))
     return join_checked(grams, table, ["phrase"], "inner",
