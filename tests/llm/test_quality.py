@@ -40,6 +40,46 @@ def test_forest_tells_junk_from_prose():
     assert kept[flag].mean() > 0.98 and kept[~flag].mean() < 0.05
 
 
+def test_paths_and_threshold_against_brute_force():
+    """Every tree is walked node by node; every cut between two path lengths is tried."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 40, (300, 7))
+    rows[:, 0] += 50
+    rows = np.vstack([rows, rows[:20]])
+    flag = rng.random(len(rows)) < 0.8
+    forest = quality.calibrate(quality.fit(rows[flag], rows), rows, flag)
+    x = quality.features(rows)
+
+    def walk(tree, point):
+        at = 0
+        while tree.feature[at] >= 0:
+            side = tree.left if point[tree.feature[at]] < tree.cut[at] else tree.right
+            at = side[at]
+        return tree.depth[at]
+
+    path = np.array([sum(walk(t, point) for t in forest.trees) / len(forest.trees) for point in x])
+    assert np.allclose(forest.path(x), path)
+
+    def cost(threshold):
+        kept = path >= threshold
+        return quality.GOOD_WEIGHT * (flag & ~kept).sum() + (~flag & kept).sum()
+
+    cuts = [-1.0, *((a + b) / 2 for a, b in zip(np.unique(path), np.unique(path)[1:], strict=False)), path.max() + 1]
+    assert cost(forest.threshold) == min(map(cost, cuts))
+
+
+def test_one_row_of_a_labelled_id(spark, make_docs, monkeypatch):
+    """An id on many rows brings one of them to the fit."""
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, every: seen.append(len(every)) or fit(rows, every))
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i))) for i in range(6)]
+    docs = make_docs([*texts, *[(3, t + f" and {j}") for j in range(40) for _, t in texts[:2]]])
+    labels = spark.createDataFrame([(i, int(i != 5)) for i in range(6)], "doc_id bigint, quality int")
+    forest = quality.train(docs, labels)
+    assert seen == [6] and len(forest.trees) == quality.TREES
+
+
 def test_awkward_rows(spark, awkward, no_docs):
     labels = spark.createDataFrame([(0, 0, 0), (5, 1, 0), (8, 1, 1), (99, 1, 0), (None, 1, 0), (6, None, 0)],
                                    "doc_id bigint, quality int, toxic int")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veilframe.llm.common import labelled, map_texts, pieces, utf8
 
@@ -188,13 +189,15 @@ def _stats_of(rows: list) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> Forest:
     """Build the trees from labelled good rows and set the threshold with rows of both labels.
 
-    At most LABEL_ROWS rows, the first by a hash of their id. Only their
-    statistics, a few numbers each, reach the driver.
+    At most LABEL_ROWS ids, the first by a hash, and one row of each: of an id on several rows
+    that with the least statistics. Only these few numbers reach the driver.
     """
     rows = labelled(docs, labels, "quality", LABEL_ROWS)
     counted = map_texts(rows, ["doc_id", "y"], "text",
                         ",".join(f"{s} bigint" for s in STATISTICS), _stats_factory)
-    got = counted.toPandas().sort_values(["doc_id", *STATISTICS])
+    one = (counted.groupBy("doc_id").agg(F.min(F.struct(*STATISTICS, "y")).alias("least"))
+           .select("doc_id", "least.*"))
+    got = one.toPandas().sort_values("doc_id")
     stats = got[list(STATISTICS)].to_numpy(dtype=float).reshape(-1, len(STATISTICS))
     good = got["y"].to_numpy() == 1
     usable = ~base_failed(stats)
@@ -237,11 +240,17 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``judge`` with a forest that is fitted on the labelled rows of ``docs``. Without labels
+    nothing is isolated; null and repeated ids, null texts and empty tables as in ``judge``."""
     return judge(docs, train(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rules and the forest keep; columns are unchanged."""
+    """The rows of ``docs`` that the base rules and the forest keep; columns are unchanged.
+
+    Null, empty and wordless texts go; repeated rows stay or go together, whatever their ids; an
+    empty table stays empty.
+    """
     forest = train(docs, labels)
     column = docs.columns.index("text")
 
