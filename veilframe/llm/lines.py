@@ -8,22 +8,29 @@ compacted into one run of the next level.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import map_texts, materialise, pieces, utf8
+from veilframe.session import join_checked, join_sparse
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 3
-#: Frequent keys are broadcast up to this count (about 8 MB), else joined by a shuffle.
+#: Frequent keys go to the tasks up to this count (about 4 MB), else they are joined by a shuffle.
 BROADCAST_KEYS = 150_000
 
+#: The lists of runs in a store.
+LISTED = "commit int, place int, level int, path string"
+
 
 def line_key(line: bytes) -> bytes | None:
     """128-bit hash of a line without outer blanks and with A-Z lower-cased; None if the
@@ -52,10 +59,60 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 class Runs:
-    """Levels of sorted runs ``(key, n_docs, keeper)``; a key has a keeper in one row only."""
+    """Levels of sorted runs ``(key, n_docs, keeper)``; a key has a keeper in one row only.
+
+    With a ``store`` the runs are kept in this folder: ``save`` writes those that are not there
+    yet and then, as the commit, a numbered list of all; ``open`` goes on from the last list,
+    so later documents only bring their own keys.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, store: str | None = None) -> None:
         self.levels: list[list[DataFrame]] = [[]]
+        self.store, self.commits = store, 0
+        #: Stored runs and their paths.
+        self.stored: list[tuple[DataFrame, str]] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, store: str) -> Runs:
+        """The runs as last saved in ``store``; none if nothing was saved there."""
+        runs = cls(store)
+        try:
+            listed = spark.read.schema(LISTED).parquet(f"{store}/lists")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return runs
+        runs.commits = listed.agg(F.max("commit")).first()[0] or 0
+        rows = listed.filter(F.col("commit") == runs.commits).orderBy("place").collect()
+        for r in rows:
+            while len(runs.levels) <= r["level"]:
+                runs.levels.append([])
+            run = spark.read.parquet(f"{store}/{r['path']}")
+            runs.stored.append((run, r["path"]))
+            runs.levels[r["level"]].append(run)
+        return runs
+
+    def save(self) -> None:
+        """Write new runs, then the list. A save that fails leaves the list before it in force."""
+        rows, stored = [], []
+        for level, held in enumerate(self.levels):
+            for i, run in enumerate(held):
+                path = next((p for r, p in self.stored if r is run), None)
+                if path is None:
+                    path = f"runs/{uuid.uuid4().hex}"
+                    run.write.parquet(f"{self.store}/{path}")
+                    run = held[i] = run.sparkSession.read.parquet(f"{self.store}/{path}")
+                stored.append((run, path))
+                rows.append((self.commits + 1, len(rows), level, path))
+        if rows:
+            (stored[0][0].sparkSession.createDataFrame(rows, LISTED)
+             .coalesce(1).write.mode("append").parquet(f"{self.store}/lists"))
+            self.stored, self.commits = stored, self.commits + 1
+
+    def frequent(self) -> DataFrame:
+        """``f_key, keeper`` of the keys that at least MIN_DOCS documents hold."""
+        return (compact(self.all()).filter(F.col("n_docs") >= MIN_DOCS)
+                .select(F.col("key").alias("f_key"), "keeper"))
 
     def all(self) -> DataFrame | None:
         runs = [run for level in self.levels for run in level]
@@ -103,59 +160,106 @@ def batches(keys: DataFrame) -> list[DataFrame]:
     return out
 
 
-def dropped_keys(docs: DataFrame) -> DataFrame:
-    """``id, drop``: the keys whose lines go from the documents with this id."""
+def frequent_keys(docs: DataFrame) -> DataFrame:
+    """``f_key, keeper``: keys of at least MIN_DOCS documents, with the document that keeps them."""
     keys = materialise(line_keys(docs))
     runs = Runs()
     for batch in batches(keys):
         runs.add(batch)
-    frequent = materialise(compact(runs.all()).filter(F.col("n_docs") >= MIN_DOCS)
-                           .select(F.col("key").alias("f_key"), "keeper"))
-    small = frequent.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    held = keys.join(F.broadcast(frequent) if small else frequent, F.col("key") == F.col("f_key"))
-    return (held.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-            .groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("drop")))
+    return materialise(runs.frequent())
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs`` as struct), ``kept_text``, ``n_lines``, ``n_dropped``.
+def _shorten(text: str | None, gone: Callable[[bytes], bool]) -> tuple[str, int, int]:
+    """The text without the lines whose key is ``gone``, its lines, and the lines dropped."""
+    lines = (text or "").split("\n")
+    kept = [line for line in lines
+            if len(line) < MIN_CHARS or (key := line_key(utf8(line))) is None or not gone(key)]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
 
-    A line whose key is found in at least MIN_DOCS documents is dropped everywhere but in
-    the document with the largest doc_id holding it; other lines stay, in their order,
-    joined by newlines. A null or empty text is one empty line and comes out empty. Rows
-    without an id count as one document that is smaller than all others; repeated rows of
-    an id are one document, too. An empty table gives an empty result.
-    """
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
-    joined = packed.join(dropped_keys(docs), F.col("key").eqNullSafe(F.col("id")), "left")
+
+def _rewrite(packed: DataFrame, shorten: Callable[[pa.RecordBatch], list[tuple[str, int, int]]]) -> DataFrame:
+    """``row`` and the three columns that ``shorten`` gives for each row of a batch."""
     schema = packed.schema["row"].dataType.simpleString()
-    place = docs.columns.index("text")
-
-    def one(text, drop):
-        text = text or ""
-        if not drop:
-            return text, text.count("\n") + 1, 0
-        gone = set(drop)
-        lines = text.split("\n")
-        kept = [line for line in lines
-                if len(line) < MIN_CHARS or line_key(utf8(line)) not in gone]
-        return "\n".join(kept), len(lines), len(lines) - len(kept)
 
     def run(parts):
         for batch in parts:
             for part in pieces(batch):
-                texts = part.column(0).field(place).to_pylist()
-                done = [one(t, d) for t, d in zip(texts, part.column(1).to_pylist(), strict=True)]
+                done = shorten(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([d[0] for d in done], pa.string()),
                      pa.array([d[1] for d in done], pa.int64()),
                      pa.array([d[2] for d in done], pa.int64())],
                     names=["row", "kept_text", "n_lines", "n_dropped"])
 
-    return joined.select("row", "drop").mapInArrow(
+    return packed.mapInArrow(
         run, f"row {schema}, kept_text string, n_lines bigint, n_dropped bigint")
 
 
+def drop_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``row, kept_text, n_lines, n_dropped`` of every row, given materialised ``frequent_keys``.
+
+    Up to BROADCAST_KEYS keys go to the tasks with their keepers, and lines are dropped where
+    the texts are. More are joined to the keys of every row: a row's list of lost keys holds keys
+    of its own text only, whether its id is null, repeated or its own, and rows without such a
+    key are not joined to any.
+    """
+    text = docs.columns.index("text")
+    few = frequent.limit(BROADCAST_KEYS + 1).collect()
+    if len(few) <= BROADCAST_KEYS:
+        keeper = {bytes(r["f_key"]): r["keeper"] for r in few}
+        place = docs.columns.index("doc_id")
+
+        def in_place(part):
+            row = part.column(0)
+            return [_shorten(t, lambda key, i=i: key in keeper and keeper[key] != i)
+                    for t, i in zip(row.field(text).to_pylist(), row.field(place).to_pylist(), strict=True)]
+
+        return _rewrite(docs.select(F.struct("*").alias("row")), in_place)
+
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"),
+                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    listed = map_texts(packed.select("id", "tag", "row.text"), ["id", "tag"], "text",
+                       "keys array<binary>", _keys_factory)
+    held = listed.select("id", "tag", F.explode("keys").alias("f_key")).distinct()
+    lost = join_checked(held, frequent, ["f_key"], "inner", small=False).filter("NOT (id <=> keeper)")
+    lists = materialise(lost.groupBy("id", "tag").agg(F.collect_list("f_key").alias("drop")))
+    joined = join_sparse(packed, lists, ["id", "tag"], lists, "size(drop)")
+
+    def by_list(part):
+        gone = [set(d or ()) for d in part.column(1).to_pylist()]
+        return [_shorten(t, g.__contains__)
+                for t, g in zip(part.column(0).field(text).to_pylist(), gone, strict=True)]
+
+    return _rewrite(joined.select("row", "drop"), by_list)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs`` as struct), ``kept_text``, ``n_lines``, ``n_dropped``.
+
+    A line whose key is found in at least MIN_DOCS documents is dropped everywhere but in
+    the document with the largest doc_id holding it; other lines stay, in their order,
+    joined by newlines. A null or empty text is one empty line and comes out empty. Rows
+    without an id count as one document that is smaller than all others; repeated rows of
+    an id are one document, too. An empty table gives an empty result.
+    """
+    return drop_lines(docs, frequent_keys(docs))
+
+
+def add_documents(docs: DataFrame, store: str) -> DataFrame:
+    """``drop_lines`` of documents that come after those whose runs are in ``store``; theirs are added.
+
+    Lines count over all documents so far. ``docs`` holds other ids than before. A line that an
+    earlier document keeps stays there; one that is new or was kept by none goes to the largest
+    doc_id of this batch. The runs are saved before the result is read, so a batch whose output
+    was lost is made again by ``drop_lines(docs, …)`` and not added twice.
+    """
+    runs = Runs.open(docs.sparkSession, store)
+    for batch in batches(materialise(line_keys(docs))):
+        runs.add(batch)
+    runs.save()
+    return drop_lines(docs, materialise(runs.frequent()))
+
+
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the new texts, and ``n_chars`` of the new text where that column exists."""
     done = dedup_lines(docs)
