@@ -2,8 +2,9 @@
 
 1. ``write_archives``: one record per page, written by Spark's text writer. A record's closing
    blank lines are the line separator, and a file is one gzip stream over all its records.
-2. ``normalise``: every such stream is inflated once, in pieces, each record becomes a gzip
-   member of its own, and a sidecar index gets every member's offset and length.
+2. ``normalise``: every such stream is inflated once, by Spark's text reader, which hands it on
+   piece by piece; each record becomes a gzip member of its own, and a sidecar index gets every
+   member's offset and length. A stream of any length becomes archives of bounded size.
 3. ``read_archives``: members are found, parsed and checked against their digests, and their
    places against the index.
 
@@ -18,6 +19,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +28,13 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import materialise
 from veilframe.session import shared_dir
 
-#: Documented parameters: records of an archive at most, equal payloads from this size on
-#: are revisits, and the level of the members.
+#: Documented parameters: records of a stream at most, and of streams with larger pages: up to
+#: SMALL_PAGE bytes, FEWER times that, and so on, each with FEWER times fewer records; bytes of a
+#: normalised archive beyond its last record; equal payloads from this size on are revisits; and the
+#: level of the members.
 RECORDS_PER_ARCHIVE = 2_000
+SMALL_PAGE, FEWER, SIZE_CLASSES = 1 << 16, 16, 4
+ARCHIVE_BYTES = 1 << 26
 MIN_REVISIT_BYTES = 0
 LEVEL = 6
 #: Digests of repeated payloads are broadcast up to this count (about 8 MB).
@@ -52,7 +58,8 @@ def _urn(page_id: Column) -> Column:
 
 
 def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One text ``record`` per row of ``pages(page_id, url, html)``, without its end.
+    """One text ``record``, and the ``size`` of the payload, per row of ``pages(page_id, url, html)``;
+    without the record's end.
 
     Of equal payloads of at least MIN_REVISIT_BYTES the largest page_id is the response; a
     row that repeats this id is one, too. Null html is an empty payload, a null url an empty
@@ -93,13 +100,28 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
         line("X-Payload-Length", F.col("size").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
-    return rows.select(F.concat(head, block).alias("record"))
+    return rows.select(F.concat(head, block).alias("record"), "size")
+
+
+def size_class(size: Column) -> Column:
+    """0 for pages up to SMALL_PAGE bytes, and one more for each step of FEWER."""
+    limits = [SMALL_PAGE * FEWER ** k for k in range(SIZE_CLASSES - 1)]
+    return sum(((F.coalesce(size, F.lit(0)) > limit).cast("int") for limit in limits), F.lit(0))
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Archives of at most RECORDS_PER_ARCHIVE records, each one gzip stream."""
-    (records(pages).write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(folder))
+    """Archives of at most RECORDS_PER_ARCHIVE records, each one gzip stream, below ``folder``.
+
+    Larger pages go to streams of fewer records (see SMALL_PAGE), so a stream of several records
+    is bounded in bytes, too.
+    """
+    found = pages.select(size_class(F.octet_length("html")).alias("k")).distinct().collect()
+    made = records(pages)
+    for k in sorted(r["k"] for r in found) or [0]:
+        (made.filter(size_class(F.col("size")) == k).select("record")
+         .write.option("lineSep", END).option("compression", "gzip")
+         .option("maxRecordsPerFile", max(RECORDS_PER_ARCHIVE // FEWER ** k, 1))
+         .text(f"{folder}/size={k}"))
 
 
 def split_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -126,22 +148,6 @@ def split_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """A gzip file's content in bounded pieces, one member or several."""
-    view = memoryview(data)
-    at = 0
-    while at < len(view):
-        stream = zlib.decompressobj(31)
-        while not stream.eof:
-            if at >= len(view):
-                raise ValueError("the gzip stream is cut off")
-            piece = stream.decompress(bytes(view[at:at + CHUNK]))
-            at += min(CHUNK, len(view) - at)
-            if piece:
-                yield piece
-        at -= len(stream.unused_data)
-
-
 def header(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     pairs = (line.split(":", 1) for line in lines[1:] if ":" in line)
@@ -162,39 +168,58 @@ def _warcinfo(name: str) -> bytes:
             ).encode() + body + END.encode()
 
 
-def rewrite(name: str, data: bytes) -> tuple[bytes, str]:
-    """A monolithic archive as members and its index: offset, length, type and id per line."""
-    out = bytearray(member(_warcinfo(name)))
-    index = []
-    for record in split_stream(inflate(data)):
+def rewrite(name: str, pieces: Iterator[bytes], most: int) -> Iterator[tuple[str, bytes, str]]:
+    """Archives made of members, from the pieces of one stream: name, content and index.
+
+    The index gives offset, length, type and id per line. An archive is handed on once it has
+    ``most`` bytes, so never more than that and a record is held.
+    """
+    out, index, number = bytearray(), [], 0
+    for record in split_stream(pieces):
+        if not index:
+            own = f"{name}-{number:05d}"
+            out = bytearray(member(_warcinfo(own)))
         head = header(record[:record.find(END.encode())])
         part = member(record)
         index.append(f"{len(out)}\t{len(part)}\t{head['warc-type']}\t{head['warc-record-id']}\n")
         out += part
-    return bytes(out), "".join(index)
+        if len(out) >= most:
+            yield own, bytes(out), "".join(index)
+            index, number = [], number + 1
+    if index:
+        yield own, bytes(out), "".join(index)
 
 
-def normalise(spark: SparkSession, source: str, folder: str) -> None:
-    """Rewrite the archives in ``source`` to ``folder/archive=NAME/kind=warc`` with sidecars in
+def normalise(spark: SparkSession, source: str, folder: str, most: int = ARCHIVE_BYTES) -> None:
+    """Rewrite the streams in ``source`` to ``folder/archive=NAME/kind=warc`` with sidecars in
     ``kind=index``.
 
+    A gzip file is not split, so one task reads its records in their order. The text reader takes
+    the bytes between two ends of records as a line and leaves them as they are, in any encoding.
+
     A gzip member ends with the high byte of its length, which is zero for records below
     16 MiB; where it is not, an empty member follows. So every archive ends with a zero
     byte, and that is the writer's line separator.
     """
     def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                name = path.as_py().rsplit("/", 1)[1].split(".")[0]
-                data, index = rewrite(name, content.as_py())
+        def lines():
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+
+        for path, of_file in groupby(lines(), lambda line: line[0]):
+            stem = path.rsplit("/", 1)[1].split(".")[0]
+            pieces = (value.as_py() + END.encode() for _, value in of_file)
+            for name, data, index in rewrite(stem, pieces, most):
                 data = data if data.endswith(b"\x00") else data + member(b"")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * 2), pa.array(["warc", "index"]),
                      pa.array([data[:-1], index.encode()], pa.binary())],
                     names=["archive", "kind", "data"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    done = files.select("path", "content").mapInArrow(
+    files = (spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz")
+             .option("recursiveFileLookup", "true").text(source))
+    done = files.select(F.col("_metadata.file_path").alias("path"),
+                        F.col("value").cast("binary").alias("piece")).mapInArrow(
         run, "archive string, kind string, data binary")
     (done.select("archive", "kind", F.col("data").cast("string").alias("value"))
      .write.partitionBy("archive", "kind").option("lineSep", "\x00").text(folder))
