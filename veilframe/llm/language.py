@@ -261,4 +261,6 @@ def identify(docs: DataFrame, trees: list[Trees]) -> DataFrame:
 
 
 def language(docs: DataFrame) -> DataFrame:
+    """``identify`` with trees learned from the rows that are not held out; null languages and texts
+    are not learned from, and an empty table gives an empty result."""
     return identify(docs, train(docs))

@@ -223,7 +223,8 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False,
     """``keep`` columns, n_tokens, ids_sha256, decoded, and with ``with_ids`` the ids.
 
     Whole texts, without begin or end ids. Null and empty texts have no ids and decode to
-    the empty text. ``path`` names a merge-type model that every worker can read.
+    the empty text; repeated rows are encoded each; an empty table gives an empty result.
+    ``path`` names a merge-type model that every worker can read.
     """
     def make():
         coder = encoder(path)
@@ -243,7 +244,8 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False,
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``; one row per row of
+    ``docs``, as ``encode_texts`` gives them."""
     done = encode_texts(docs, path, with_ids)
     return done.select("doc_id", "n_tokens", "ids_sha256",
                        F.sha2("decoded", 256).alias("decoded_sha256"), *["ids"] * with_ids)

@@ -233,4 +233,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` with a machine fitted on ``labels``. Labels that are null, of no document or of no id
+    are not learned from; without any, every row gets 0. An empty table gives an empty result."""
     return score(docs, train(docs, labels))
