@@ -1,9 +1,11 @@
 """Work that grows with the tables: how rows are dealt out, what is broadcast, joined and parsed."""
 
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.session import join_checked
+from veilframe.streaming import jobs as J
 
 
 def test_copies_of_a_salted_table_are_not_broadcast(spark, tmp_path):
@@ -15,3 +17,20 @@ def test_copies_of_a_salted_table_are_not_broadcast(spark, tmp_path):
     joined = join_checked(left, names, ["phrase"], "inner", small=False)
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 1000 and joined.columns == ["phrase", "n", "id"]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_table_is_streamed_as_file_and_as_folder(spark, tmp_path, parts):
+    base = tmp_path / "data"
+    rows = spark.range(50).withColumn("text", F.lit("mail a@b.org"))
+    rows.repartition(parts).write.parquet(str(base / "docs.parquet"))
+    if parts == 1:
+        (one,) = (base / "docs.parquet").glob("part-*")
+        (tmp_path / "single").mkdir()
+        base = tmp_path / "single"
+        (base / "docs.parquet").write_bytes(one.read_bytes())
+    rows.write.parquet(str(base / "other.parquet"))
+    source = J.read_stream(spark, str(base), rows.schema, table="docs.parquet")
+    J.scrub_stream(source, "id", "text", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in out) == list(range(50)) and {r.scrubbed_text for r in out} == {"mail [EMAIL_ADDRESS_1]"}
