@@ -1,10 +1,12 @@
 """Work that grows with the tables: how rows are dealt out, what is broadcast, joined and parsed."""
 
+import gc
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.session import join_checked
+from veilframe.sources import email as EM
 from veilframe.streaming import jobs as J
 
 
@@ -34,3 +36,36 @@ def test_a_table_is_streamed_as_file_and_as_folder(spark, tmp_path, parts):
     J.scrub_stream(source, "id", "text", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.id for r in out) == list(range(50)) and {r.scrubbed_text for r in out} == {"mail [EMAIL_ADDRESS_1]"}
+
+
+MAIL = ("From: c{0}@example.com\nTo: desk@example.com\nCc: é{0}@example.org\nSubject: Account {0} of {0}\n"
+        "Content-Type: text/plain; charset=\"utf-8\"\n\nCall {0}.\n")
+
+
+def test_header_classes_do_not_grow_with_the_mails():
+    def classes():
+        return sum(isinstance(o, type) and o.__name__.startswith("_") and "Header" in o.__name__
+                   for o in gc.get_objects())
+
+    gc.collect()
+    gc.disable()
+    try:
+        before = classes()
+        for n in range(50):
+            mail = MAIL.format(n).encode()
+            chunks = EM._parse(mail)["chunks"]
+            assert [c["text"] for c in chunks if c["part"] in ("from", "subject", "body0")] == [
+                f"c{n}@example.com", f"Account {n} of {n}", f"Call {n}.\n"]
+            EM._write(mail, [{**c, "text": "x"} for c in chunks])
+        assert classes() - before < 20
+    finally:
+        gc.enable()
+
+
+def test_a_header_read_twice_is_written_alike():
+    long = "Subject: " + " ".join(["wörd", "plain", "=?utf-8?q?h=C3=A9?="] * 20)
+    mail = f"From: a@b.org\n{long}\nContent-Type: text/html; charset=latin-1; x=\"{'y' * 90}\"\n\nhé\n".encode()
+    chunks = [{"part": "from", "text": "x"}]
+    first = EM._write(mail, chunks)
+    assert EM._write(mail, chunks) == first
+    assert EM._parse(mail) == EM._parse(mail)
