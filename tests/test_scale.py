@@ -5,7 +5,7 @@ import gc
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.session import join_checked
+from veilframe.session import join_checked, spread
 from veilframe.sources import email as EM
 from veilframe.streaming import jobs as J
 
@@ -21,6 +21,24 @@ def test_copies_of_a_salted_table_are_not_broadcast(spark, tmp_path):
     assert joined.count() == 1000 and joined.columns == ["phrase", "n", "id"]
 
 
+def partitions_with_rows(df):
+    return df.groupBy(F.spark_partition_id()).count().count()
+
+
+def test_rows_of_joins_and_unions_are_dealt_out(spark, tmp_path):
+    """The estimate of a join of small files is huge, yet all its rows come from one split."""
+    path = str(tmp_path / "t")
+    spark.range(2000).coalesce(1).select("id", F.repeat(F.lit("x"), 500).alias("text")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    joined = rows.join(spark.range(3).withColumnRenamed("id", "k"), F.expr("id % 3 = k")).crossJoin(
+        spark.range(2).withColumnRenamed("id", "z"))
+    for df in (joined, rows.unionByName(rows)):
+        dealt = spread(df, "id")
+        assert partitions_with_rows(dealt) == cores
+        assert dealt.count() == df.count()
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_a_table_is_streamed_as_file_and_as_folder(spark, tmp_path, parts):
     base = tmp_path / "data"
