@@ -2,9 +2,12 @@
 
 import gc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.operators import substrings as Z
+from veilframe.operators.pseudonymise import restore_documents
 from veilframe.session import join_checked, spread
 from veilframe.sources import email as EM
 from veilframe.streaming import jobs as J
@@ -87,3 +90,30 @@ def test_a_header_read_twice_is_written_alike():
     first = EM._write(mail, chunks)
     assert EM._write(mail, chunks) == first
     assert EM._parse(mail) == EM._parse(mail)
+
+
+def test_few_grams_that_are_no_anchor_reach_the_join(spark):
+    """All grams of a text were joined before, several for each of its characters."""
+    values = [f"07700 9{n:05d} and more" for n in range(0, 3000, 3)] + ["é", "E1"]
+    table = Z.anchors(spark.createDataFrame([(v,) for v in values], "v string"), "v", "v")
+    bits = Z.anchor_bits(table)
+    for r in table.collect():
+        assert bits.has(np.array([r.gram], np.int64).view(np.uint64), r["class"]).all()
+    others = np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.int64).view(np.uint64)
+    assert max(bits.has(others, c).mean() for c in bits.classes) < 0.05
+
+
+def test_long_texts_are_joined_in_segments(spark, monkeypatch):
+    """A text of any length, in pieces, gives back what is restored in place."""
+    pairs = spark.createDataFrame([(f"fake {n} of all", f"real {n}") for n in range(400)] + [("ä", "b")],
+                                  "fake_value string, real_value string")
+    rows = [(n, " and ".join(f"fake {(k * 7 + n) % 450} of all" for k in range(300)) + "ä" * n) for n in range(3)]
+    texts = spark.createDataFrame([*rows, (9, None), (9, ""), (1, rows[1][1])], "n int, t string")
+
+    def done():
+        return sorted((r.n, r.restored_text or "") for r in restore_documents(texts, "n", "t", pairs).collect())
+
+    want = done()
+    monkeypatch.setattr(Z, "VALUE_LIMIT", 0)
+    monkeypatch.setattr(Z, "SEGMENT", 500)
+    assert done() == want

@@ -13,13 +13,14 @@ grams and anchors are joined, and only texts in which an anchor was met are comp
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import join_checked, join_null_safe
+from veilframe.session import BITS_PER_KEY, join_checked, join_null_safe, materialise
 
 #: Length classes: shortest value, characters of a gram, grams of a run.
 CLASSES = ((32, 17, 16), (16, 9, 8), (8, 5, 4), (4, 3, 2), (2, 2, 1), (1, 1, 1))
@@ -32,6 +33,9 @@ FEW = 8
 #: Longest value that goes to every task.
 LONGEST = 1000
 Occurrence = tuple[int, str, str | None]      # start, value, payload
+#: Bits of the table of anchors that each task has, at most.
+MOST_BITS = 1 << 28
+_TURNS = (np.uint64(2), np.uint64(23))
 _SEPARATOR = "\U0010ffff"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -91,6 +95,18 @@ def minimisers(value: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def met_grams(points: np.ndarray, k: int, run: int, likely) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``places, hashes`` of the selected grams that ``likely`` lets pass, a segment at a time."""
+    for at in range(0, len(points), SEGMENT):
+        low = max(at - REACH, 0)
+        hashes = gram_hashes(points[low:at + SEGMENT + REACH], k)
+        near = np.flatnonzero(likely(hashes))
+        near = near[(near + low >= at) & (near + low < at + SEGMENT)]
+        if len(near):
+            near = near[selected(hashes, run)[near]]
+            yield near + low, hashes[near]
+
+
 class Matcher:
     """All occurrences of a set of values in texts. ``entries`` are ``(value, class, gram, offset)``."""
 
@@ -116,17 +132,11 @@ class Matcher:
         points = code_points(_SEPARATOR.join(texts))
         for (_, k, run), bits, grams, entries in self.tables:
             table = np.unpackbits(bits).view(bool)
-            for at in range(0, len(points), SEGMENT):
-                low = max(at - REACH, 0)
-                hashes = gram_hashes(points[low:at + SEGMENT + REACH], k)
-                near = np.flatnonzero(table[hashes & np.uint64((1 << FILTER_BITS) - 1)])
-                near = near[(near + low >= at) & (near + low < at + SEGMENT)]
-                if not len(near):
-                    continue
-                near = near[selected(hashes, run)[near]]
-                first = np.searchsorted(grams, hashes[near], "left")
-                last = np.searchsorted(grams, hashes[near], "right")
-                for place, a, b in zip((near + low).tolist(), first.tolist(), last.tolist(), strict=True):
+            for places, hashes in met_grams(points, k, run,
+                                            lambda h, t=table: t[h & np.uint64((1 << FILTER_BITS) - 1)]):
+                first = np.searchsorted(grams, hashes, "left")
+                last = np.searchsorted(grams, hashes, "right")
+                for place, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
                     for offset, n in entries[a:b].tolist():
                         number = int(np.searchsorted(starts, place, "right")) - 1
                         start = place - offset - int(starts[number])
@@ -169,17 +179,22 @@ def anchors(values: DataFrame, value: str, payload: str) -> DataFrame:
     """``value, payload, class, gram, offset``: each value with the minimiser that the fewest share.
 
     Long grams go before short ones while at most FEW values share them. Empty values are left out; of rows that repeat a value the lowest payload stays.
+    Only the grams that more share are joined to the values' own.
     """
     @F.pandas_udf("array<struct<class:int,gram:bigint,offset:int>>")
     def grams(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: [{"class": c, "gram": g, "offset": o} for c, g, o in minimisers(v)])
+        out: list[list] = [[] for _ in range(len(column))]
+        for numbers, texts in _portions(column):
+            for owner, number, offset, gram in value_grams(texts).tolist():
+                out[numbers[owner]].append({"class": number, "gram": gram, "offset": offset})
+        return pd.Series(out, dtype=object)
 
     distinct = (values.select(F.col(value).alias("value"), F.col(payload).alias("payload"))
                 .filter("length(value) > 0").groupBy("value").agg(F.min("payload").alias("payload")))
     rows = distinct.select("value", "payload", F.explode(grams("value")).alias("m")).select("value", "payload", "m.*")
-    shared = rows.groupBy("class", "gram").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct(F.greatest("n", F.lit(FEW)).alias("n"), "class", "offset", "gram", "payload")).alias("m")
-    return (rows.join(shared, ["class", "gram"]).groupBy("value").agg(best)
+    shared = materialise(rows.groupBy("class", "gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW))
+    best = F.min(F.struct(F.coalesce("n", F.lit(FEW)).alias("n"), "class", "offset", "gram", "payload")).alias("m")
+    return (join_checked(rows, shared, ["class", "gram"]).groupBy("value").agg(best)
             .select("value", "m.payload", "m.class", "m.gram", "m.offset"))
 
 
@@ -196,27 +211,42 @@ def few_values(values: DataFrame, value: str, payload: str) -> list[tuple[str, s
     return [tuple(r) for r in rows]
 
 
-def anchored(values: list[str]) -> list[tuple[str, int, int, int]]:
-    """``anchors`` of few values: ``(value, class, gram, offset)``."""
-    if not values:
-        return []
+def value_grams(values: list[str]) -> np.ndarray:
+    """Rows ``owner, class, offset, gram`` of all values' minimisers.
+
+    Of values of two characters or more no single character is rarer than a pair with it, so
+    single characters are left out there.
+    """
     lengths = np.array([len(v) for v in values], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
     owner = np.repeat(np.arange(len(values)), lengths + 1)
     owner[starts + lengths] = -1                          # separators
     points = code_points(_SEPARATOR.join([*values, ""]))
-    found = []
+    found = [np.zeros((0, 4), np.int64)]
     for number, (least, k, run) in enumerate(CLASSES):
         hashes = gram_hashes(points, k)
         if len(hashes) < run:
             continue
         inside = (owner[:len(owner) - least + 1] >= 0) & (owner[:len(owner) - least + 1] == owner[least - 1:])
+        if least == 1:
+            inside &= lengths[owner] == 1
         at = np.flatnonzero(selected(hashes, run, inside))
-        grams = hashes[at].view(np.int64)
-        _, which, shared = np.unique(grams, return_inverse=True, return_counts=True)
-        found.append(np.stack([owner[at], np.maximum(shared[which], FEW), np.full(len(at), number), at - starts[owner[at]],
-                               grams], axis=1))
-    table = np.concatenate(found)
+        found.append(np.stack([owner[at], np.full(len(at), number), at - starts[owner[at]],
+                               hashes[at].view(np.int64)], axis=1))
+    return np.concatenate(found)
+
+
+def anchored(values: list[str]) -> list[tuple[str, int, int, int]]:
+    """``anchors`` of few values: ``(value, class, gram, offset)``."""
+    if not values:
+        return []
+    rows = value_grams(values)
+    shared = np.zeros(len(rows), np.int64)
+    for number in range(len(CLASSES)):
+        own = rows[:, 1] == number
+        _, which, counts = np.unique(rows[own, 3], return_inverse=True, return_counts=True)
+        shared[own] = counts[which]
+    table = np.column_stack([rows[:, 0], np.maximum(shared, FEW), rows[:, 1:]])
     table = table[np.lexsort(table[:, 3::-1].T)]
     first = np.concatenate([[True], table[1:, 0] != table[:-1, 0]])
     return [(values[v], c, g, o) for v, _, c, o, g in table[first].tolist()]
@@ -272,25 +302,59 @@ def _portions(column: pd.Series) -> Iterator[tuple[list[int], list[str]]]:
         yield numbers, texts
 
 
+@dataclass(frozen=True)
+class AnchorBits:
+    """Two bits for each anchor, in a table of at most MOST_BITS; what has none of them set is none."""
+
+    classes: list[int]
+    words: np.ndarray
+
+    def has(self, hashes: np.ndarray, number: int) -> np.ndarray:
+        size = np.uint64(len(self.words) * 64)
+        met = np.ones(len(hashes), bool)
+        for turn in _TURNS:
+            at = np.flatnonzero(met)
+            bit = ((hashes[at] >> turn) + np.uint64(number)) % size
+            met[at] = (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return met
+
+
+def anchor_bits(table: DataFrame) -> AnchorBits:
+    """The grams of ``anchors`` as bits; what reaches the driver is bounded whatever their number."""
+    counted = materialise(table.select("class", "gram").distinct())
+    classes = counted.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()
+    words = min(max(sum(r["n"] for r in classes) * BITS_PER_KEY // 64, 1), MOST_BITS // 64)
+    # the same as in has(): after an unsigned shift no number is negative
+    bits = F.explode(F.array(*[F.expr(f"pmod(shiftrightunsigned(gram, {int(t)}) + class, {words * 64}L)")
+                               for t in _TURNS])).alias("bit")
+    rows = (counted.select(bits).groupBy(F.expr("bit div 64").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return AnchorBits(sorted(r["class"] for r in classes), out)
+
+
 def _joined(df: DataFrame, text: str, table: DataFrame, finish, kind: str, name: str) -> DataFrame:
     """The same through joins: selected grams to anchors, then the places that met to their texts.
 
-    Texts are told apart by two hashes of their content; equal texts have equal occurrences.
+    Grams that are no anchor's, by a table of bits, go no further. Texts are told apart by two hashes of their content; equal texts have equal occurrences.
     """
-    present = sorted(r[0] for r in table.select("class").distinct().collect())
-
-    @F.pandas_udf("array<struct<class:int,gram:bigint,place:int>>")
-    def postings(column: pd.Series) -> pd.Series:
-        def one(whole):
-            points, out = code_points(whole), []
-            for number in present:
-                _, k, run = CLASSES[number]
-                hashes = gram_hashes(points, k)
-                at = np.flatnonzero(selected(hashes, run))
-                out += [{"class": number, "gram": g, "place": p}
-                        for g, p in zip(hashes[at].view(np.int64).tolist(), at.tolist(), strict=True)]
-            return out
-        return column.map(one)
+    likely = anchor_bits(table)
+
+    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hashes1, hashes2 = pdf["_text1"].to_numpy(), pdf["_text2"].to_numpy()
+            for numbers, texts in _portions(pdf["_text"]):
+                lengths = np.array([len(t) for t in texts], np.int64) + 1
+                starts = np.cumsum(lengths) - lengths
+                rows = np.array(numbers)
+                points = code_points(_SEPARATOR.join(texts))
+                for number in likely.classes:
+                    _, k, run = CLASSES[number]
+                    for places, grams in met_grams(points, k, run, lambda h, c=number: likely.has(h, c)):
+                        at = np.searchsorted(starts, places, "right") - 1
+                        yield pd.DataFrame({"_text1": hashes1[rows[at]], "_text2": hashes2[rows[at]], "class": np.int32(number),
+                                            "gram": grams.view(np.int64), "place": (places - starts[at]).astype(np.int32)})
 
     @F.pandas_udf(kind)
     def compared(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -304,7 +368,8 @@ def _joined(df: DataFrame, text: str, table: DataFrame, finish, kind: str, name:
     keys = ["_text1", "_text2"]
     keyed = df.withColumns({"_text1": F.xxhash64(F.col(text)), "_text2": F.xxhash64(F.col(text), F.lit(1))})
     whole = keyed.filter(F.col(text).isNotNull()).groupBy(*keys).agg(F.any_value(F.col(text)).alias("_text"))
-    rows = whole.select(*keys, F.explode(postings("_text")).alias("m")).select(*keys, "m.*")
+    rows = whole.select(*keys, "_text").mapInPandas(
+        postings, "_text1 bigint, _text2 bigint, class int, gram bigint, place int")
     met = (join_checked(rows, table, ["class", "gram"], "inner", small=False)
            .select(*keys, (F.col("place") - F.col("offset")).alias("start"), "value", "payload").filter("start >= 0")
            .groupBy(*keys).agg(F.collect_set(F.struct("start", "value", "payload")).alias("_met")))
