@@ -1,6 +1,7 @@
 """Work that grows with the tables: how rows are dealt out, what is broadcast, joined and parsed."""
 
 import gc
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -117,3 +118,14 @@ def test_long_texts_are_joined_in_segments(spark, monkeypatch):
     monkeypatch.setattr(Z, "VALUE_LIMIT", 0)
     monkeypatch.setattr(Z, "SEGMENT", 500)
     assert done() == want
+
+
+def test_choosing_takes_a_byte_a_character():
+    """A file is one text; a set of all its taken places took about a hundred bytes for each."""
+    found = [(k * 100, "x" * 90, "y") for k in range(5_000)]
+    tracemalloc.start()
+    try:
+        assert Z.chosen(found + [(5, "x" * 8, "z")]) == found
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    finally:
+        tracemalloc.stop()

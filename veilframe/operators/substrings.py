@@ -149,12 +149,13 @@ def chosen(found: Iterable[Occurrence]) -> list[Occurrence]:
 
     What is taken is never shorter than what is tried, so two places tell of any overlap.
     """
-    taken: set[int] = set()
+    found = sorted(found, key=lambda f: (-len(f[1]), f[0]))
+    taken = bytearray(max((start + len(value) for start, value, _ in found), default=0))
     out = []
-    for one in sorted(found, key=lambda f: (-len(f[1]), f[0])):
+    for one in found:
         start, end = one[0], one[0] + len(one[1])
-        if start not in taken and end - 1 not in taken:
-            taken.update(range(start, end))
+        if not taken[start] and not taken[end - 1]:
+            taken[start:end] = b"\x01" * (end - start)
             out.append(one)
     return sorted(out)
 
