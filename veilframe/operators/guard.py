@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.arrays import lit
-from veilframe.operators.substrings import values_in, with_occurrences
+from veilframe.operators.substrings import row_values
 
 # The length up to which a text is not tested, and the patterns of the guard.
 SAFE_LENGTH = 200
@@ -58,6 +58,4 @@ def residual_values(texts: DataFrame, keys: list[str], text: str, known: DataFra
     No text meets every value: values are found by their anchors, see ``substrings``. A row gives
     each value once; empty values are ignored.
     """
-    found = with_occurrences(texts.select(*keys, F.col(text).alias("_text")), "_text", known, value, value,
-                             values_in, "array<string>", "_values")
-    return found.select(*keys, F.explode("_values").alias(value))
+    return row_values(texts, keys, text, known, value)

@@ -7,7 +7,6 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from veilframe.operators.pseudonymise import grouped_parts, mapped_spans, restor
 from veilframe.operators.redact import CHUNK, SPAN_OF_ROW, label_bases
 from veilframe.plans.scrub import (PSEUDONYMISE, REDACT, Scrubbed, detector_spans, session_fakes,
                                    written_once)
-from veilframe.session import join_null_safe, join_sparse, materialise, spread, union_parts
+from veilframe.session import join_null_safe, join_sparse, materialise, packed, spread, union_parts
 from veilframe.sources import csvfile as CSV
 from veilframe.sources import email as EM
 from veilframe.sources import files as FI
@@ -74,7 +73,8 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
                  key: bytes | None = None, mapping: DataFrame | None = None) -> Batch:
     """Scrub all text, CSV and mail files below ``folder``; sub-folders are kept in the names.
 
-    A file is one row with an array of chunks: lines, cells, or headers and bodies. In
+    A text or mail file is one row with an array of chunks: lines, or headers and bodies. A CSV file is
+    several, with some thousand cells each; its numbering goes on from piece to piece. In
     pseudonymise mode all files share one session and its mapping. A file that cannot be
     read or written becomes an audit entry with an error class and has no output, and so does
     one over Spark's limit for whole files; ``scrub_csv`` reads CSV files of any size.
@@ -91,32 +91,46 @@ def scrub_folder(spark: SparkSession, folder: str, threshold: float = R.DEFAULT_
     files = raw.select("path", "length")
     # the reader tests the length before it reads a file
     known = FI.discover(raw.filter(F.col("length") <= most).select("path", "content"))
-    found, spans = _detect(_parsed(known), tuple(gazetteers), model, entities, how)
+    M.hide_keys(spark)
+    gazetteers = tuple(gazetteers)
+    detect = (gazetteers, model, entities, how)
+    found, spans = _detect(_parsed(known), *detect)
+    tables = known.filter("format = 'csv'")
+    cells, cell_rows = _detect(CSV.chunk_pieces(tables), *detect)
+    stored = _stored_spans(cells, None if mode == REDACT else key, cell_rows if gazetteers or model is not None else None)
 
     fresh = None
     if mode == REDACT:
         found = found.withColumn("parts", F.expr(L.labelled(L.numbered("hits"))))
+        base = label_bases(stored.withColumn(CHUNK, F.lit(0)), "path", "piece").drop(CHUNK)
+        x = var("x")                                             # a piece's labels go on from those before it
+        hits = f"transform(spans, {x} -> named_struct('ord', {x}.ord, 'spans', array({x})))"
+        cell_parts = join_null_safe(stored, base, _PIECE).select(
+            *_PIECE, F.expr(L.labelled(L.numbered(hits, "bases"))).alias("parts"))
     else:
         session_id = session_id or str(uuid.uuid4())
         secret = hmac.new(key, session_id.encode(), "sha256").hexdigest()
+        columns = [*_PIECE, "chunk_ord", "entity_type", "start", "end", "original"]
+        spans = union_parts(spans.select(*columns), _span_rows(stored, key))
         fresh = M.build_mapping(spans, session_id, key, salt=secret, existing=mapping, doc="path")
         fakes = session_fakes(fresh, mapping, session_id, spans)
-        parts = mapped_spans(spans, fakes).groupBy("path").agg(F.array_sort(F.collect_list(F.expr(
+        parts = mapped_spans(spans, fakes).groupBy(*_PIECE).agg(F.array_sort(F.collect_list(F.expr(
             "struct(chunk_ord AS ord, start, end, fake_value AS value)"))).alias("parts"))
-        found = join_null_safe(found, parts, ["path"]).withColumn("parts", F.expr(
+        found = join_null_safe(found, parts, _PIECE).withColumn("parts", F.expr(
             f"coalesce(parts, cast(array() AS {L.PARTS_TYPE}))"))
+        cell_parts = parts
 
     keep = ["path", "format", "content", "counts", "error"]
     ready = found.withColumn("counts", A.count_map()).drop("hits")
     texts = ready.filter("format = 'txt'").select(*keep, F.encode(F.expr(
         L.rebuilt(FI.X.utf8("content"), "parts")), "UTF-8").alias("new"))
-    parts = [texts]
-    for kind, write in (("eml", EM._write), ("csv", CSV.write)):
-        rows = ready.filter(F.col("format") == kind).select(*keep, "chunks", "parts")
-        parts.append(EM.write_mails(rows, "content", "new", write))
-    done = reduce(union_parts, parts).select(
+    mails = EM.write_mails(ready.filter("format = 'eml'").select(*keep, "chunks", "parts"), "content", "new")
+    done = union_parts(texts, mails).withColumn("source_hash", F.sha2("content", 256)).drop("content")
+    counts = stored.select(*_PIECE, F.expr(L.entity_counts("array(named_struct('spans', spans))")).alias("counts"))
+    rows = join_null_safe(join_null_safe(CSV.row_pieces(tables), cell_parts, _PIECE), counts, _PIECE)
+    done = union_parts(done, CSV.write_pieces(rows).withColumn("format", F.lit("csv"))).select(
         "path", "format", FI.output_name("path").alias("output_path"), F.col("new").alias("content"),
-        F.sha2("content", 256).alias("source_hash"), "counts", "error")
+        "source_hash", "counts", "error")
     large = FI.discover(files.filter(F.col("length") > most)).filter(F.col("format").isin(*FI.READABLE)).select(
         "path", "format", FI.output_name("path").alias("output_path"),
         F.lit(None).cast("binary").alias("content"), F.sha2(F.lit(""), 256).alias("source_hash"),
@@ -161,40 +175,74 @@ def _most_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
 
 
+_PIECE = ["path", "piece"]
+
+
 def _parsed(known: DataFrame) -> DataFrame:
-    """``path, content, format, error, chunks`` of the files that have a reader."""
-    columns = ["path", "content", "format", "error", "chunks"]
+    """``path, piece, content, format, error, chunks`` of the text and mail files."""
+    columns = [*_PIECE, "content", "format", "error", "chunks"]
     x = var("x")
+    known = known.withColumn("piece", F.lit(0))
     lines = (f"transform({L.chunks_of(FI.X.utf8('content'))}, {x} -> named_struct('ord', {x}.ord, "
              f"'part', cast(NULL AS string), 'content_type', cast(NULL AS string), "
              f"'text', {x}.text))")
-    out = known.filter("format = 'txt'").select(
-        "path", "content", "format", F.lit(None).cast("string").alias("error"),
+    texts = known.filter("format = 'txt'").select(
+        *_PIECE, "content", "format", F.lit(None).cast("string").alias("error"),
         F.expr(lines).alias("chunks"))
-    for kind, parse in (("eml", EM._parse), ("csv", CSV.parse)):
-        rows = known.filter(F.col("format") == kind).select("path", "content", "format")
-        out = union_parts(out, EM.parse_mails(rows, "content", parse).select(*columns))
-    return out
+    rows = known.filter("format = 'eml'").select(*_PIECE, "content", "format")
+    return union_parts(texts, EM.parse_mails(rows).select(*columns))
 
 
 def _detect(parsed: DataFrame, gazetteers: tuple[Gazetteer, ...], model, entities,
             how: dict) -> tuple[DataFrame, DataFrame]:
-    """``parsed`` with ``hits``, and the same spans as rows ``(path, chunk_ord, …)``."""
+    """``parsed`` with ``hits``, and the same spans as rows ``(path, piece, chunk_ord, …)``."""
     if not gazetteers and model is None:
         found = EM.hits_of_parsed(parsed, how["rules"], how["threshold"])
-        return found, span_rows(found, "path")
-    chunks = parsed.select("path", F.lit(0).alias(CHUNK), F.expr("inline(chunks)")).select(
-        "path", CHUNK, F.col("ord").alias("chunk_ord"), F.col("text").alias("_text"))
-    keys = ["path", CHUNK, "chunk_ord"]
+        return found, span_rows(found, *_PIECE)
+    chunks = parsed.select(*_PIECE, F.lit(0).alias(CHUNK), F.expr("inline(chunks)")).select(
+        *_PIECE, CHUNK, F.col("ord").alias("chunk_ord"), F.col("text").alias("_text"))
+    keys = [*_PIECE, CHUNK, "chunk_ord"]
     rows = detector_spans(chunks, keys, gazetteers, model,
                           None if entities is None else set(entities), how)
     if model is not None:
         rows = written_once(rows, chunks, keys)
     hit = f"named_struct('ord', chunk_ord, 'text', '', 'spans', array({SPAN_OF_ROW}))"
-    per_file = rows.groupBy("path").agg(F.collect_list(F.expr(hit)).alias("hits"))
-    found = join_null_safe(parsed, per_file, ["path"]).withColumn("hits", F.expr(
+    per_file = rows.groupBy(*_PIECE).agg(F.collect_list(F.expr(hit)).alias("hits"))
+    found = join_null_safe(parsed, per_file, _PIECE).withColumn("hits", F.expr(
         f"coalesce(hits, cast(array() AS array<{L.HIT_TYPE}>))"))
-    return found, rows
+    return found, rows.drop(CHUNK)
+
+
+def _stored_spans(found: DataFrame, key: bytes | None, rows: DataFrame | None = None) -> DataFrame:
+    """``path, piece, spans`` of the pieces with spans, written once, so that their detection runs once.
+
+    The spans are those of the ``hits`` in ``found``, or ``rows`` of any detector. With ``key``, ``_originals`` has
+    their texts in the same order, sealed.
+    """
+    h, s, x = var("h"), var("s"), var("x")
+    fields = "named_struct('ord', {0}, 'start', {1}.start, 'end', {1}.end, 'entity', {1}.entity"
+    if rows is None:
+        flat = (f"flatten(transform(hits, {h} -> transform({h}.spans, {s} -> {fields.format(f'{h}.ord', s)}, "
+                f"'original', {S.span_text(f'{h}.text', s)}))))")
+        some = found.select(*_PIECE, F.expr(
+            f"inline(filter(array(named_struct('_flat', {flat})), {x} -> size({x}._flat) > 0))"))
+    else:
+        some = rows.groupBy(*_PIECE).agg(F.collect_list(F.struct(
+            F.col("chunk_ord").alias("ord"), "start", "end", F.col("entity_type").alias("entity"), "original")).alias("_flat"))
+    spans = F.expr(f"transform(_flat, {s} -> {fields.format(f'{s}.ord', s)}))").alias("spans")
+    if key is None:
+        return packed(some.select(*_PIECE, spans))
+    originals = M.encrypt(f"to_json(transform(_flat, {s} -> {s}.original))", key)
+    return packed(some.select(*_PIECE, spans, F.expr(originals).alias("_originals")))
+
+
+def _span_rows(stored: DataFrame, key: bytes) -> DataFrame:
+    """One row per stored span with its original."""
+    s, o = var("s"), var("o")
+    originals = f"from_json({M.decrypt('_originals', key)}, 'array<string>')"
+    return stored.select(*_PIECE, F.expr(
+        f"inline(zip_with(spans, {originals}, ({s}, {o}) -> named_struct('chunk_ord', {s}.ord, 'entity_type', {s}.entity, "
+        f"'start', {s}.start, 'end', {s}.end, 'original', {o})))"))
 
 
 def _handled() -> str:
