@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.session import (BITS_PER_KEY, HOT_KEY_SHARE, join_checked, join_null_safe, packed, small_enough,
+from veilframe.session import (HOT_KEY_SHARE, join_checked, join_null_safe, packed, small_enough,
                                union_parts)
 
 #: Length classes: shortest value, characters of a gram, grams of a run.
@@ -44,7 +44,9 @@ OCCURRENCES = "occurrences"
 Occurrence = tuple[int, str, str | None]      # start, value, payload
 #: Bits of the table of anchors that each task has, at most.
 MOST_BITS = 1 << 28
-_TURNS = (np.uint64(2), np.uint64(23))
+_TURNS = tuple(map(np.uint64, (1, 11, 19, 29)))
+#: Bits of that table for an anchor, of which each sets as many as there are turns.
+ANCHOR_BITS = 32
 _SEPARATOR = "\U0010ffff"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -372,7 +374,7 @@ def _portions(column: pd.Series) -> Iterator[tuple[list[int], list[str]]]:
 
 @dataclass(frozen=True)
 class AnchorBits:
-    """Two bits for each anchor, in a table of at most MOST_BITS; what has none of them set is none."""
+    """Some bits for each anchor, in a table of at most MOST_BITS; what lacks one of them is none."""
 
     classes: list[int]
     words: np.ndarray
@@ -391,7 +393,7 @@ def anchor_bits(table: DataFrame) -> AnchorBits:
     """The grams of ``anchors`` as bits; what reaches the driver is bounded whatever their number."""
     counted = packed(table.select("class", "gram").distinct())
     classes = counted.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()
-    words = min(max(sum(r["n"] for r in classes) * BITS_PER_KEY // 64, 1), MOST_BITS // 64)
+    words = min(max(sum(r["n"] for r in classes) * ANCHOR_BITS // 64, 1), MOST_BITS // 64)
     # the same as in has(): after an unsigned shift no number is negative
     bits = F.explode(F.array(*[F.expr(f"pmod(shiftrightunsigned(gram, {int(t)}) + class, {words * 64}L)")
                                for t in _TURNS])).alias("bit")
